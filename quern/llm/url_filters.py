@@ -2,7 +2,7 @@
 
 Labelled page outcomes (bad or not) are shrunk through beta-binomial priors: all pages to suffix, suffix to registered
 domain, domain to host. At each level the prior's mean is the parent's posterior mean and its strength comes from the
-moments of all units of that level. A host whose lower posterior bound of the bad share exceeds ``max_bad`` is blocked.
+moments of all units of that level, but is that of ``LEAST_STRENGTH`` pages at least, so that no single page decides. A host whose lower posterior bound of the bad share exceeds ``max_bad`` is blocked.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, which no rule fits; hosts without labels take
 their domain's, suffix's or the overall estimate; repeated rows each keep a row; repeated labels of one page each count;
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: (verdict, rule): longest fitting rule wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 MAX_BAD, BOUND_SDS = 0.5, 1.645
+LEAST_STRENGTH = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,7 +77,7 @@ def shrunk(units: DataFrame) -> DataFrame:
     )
     rho = F.coalesce(F.when(F.col("room") > 0, F.col("over") / F.col("room")), F.lit(0.0))
     rho = F.greatest(F.lit(0.0001), F.least(F.lit(0.9999), rho))
-    out = units.crossJoin(F.broadcast(moments.select(((1 - rho) / rho).alias("strength"))))  # one row
+    out = units.crossJoin(F.broadcast(moments.select(F.greatest(F.lit(LEAST_STRENGTH), (1 - rho) / rho).alias("strength"))))  # one row
     out = out.withColumn("a", F.col("m") * F.col("strength") + F.col("k")).withColumn("b", (1 - F.col("m")) * F.col("strength") + F.col("n") - F.col("k"))
     return out.withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).drop("strength", "m")
 
@@ -98,7 +99,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX
 def _level(name: str, units: str, parent: str, keys: str) -> str:
     return f"""
 {name}_u AS (SELECT u.*, {parent}.mean AS m FROM {units} u JOIN (SELECT {keys}, mean FROM {parent}) {parent} USING ({keys})),
-{name}_s AS (SELECT (1 - r) / r AS strength FROM (SELECT greatest(0.0001::DOUBLE, least(0.9999::DOUBLE, coalesce(CASE WHEN sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) > 0
+{name}_s AS (SELECT greatest({LEAST_STRENGTH}::DOUBLE, (1 - r) / r) AS strength FROM (SELECT greatest(0.0001::DOUBLE, least(0.9999::DOUBLE, coalesce(CASE WHEN sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) > 0
   THEN sum(CASE WHEN n > 0 THEN n * (k / n - m) * (k / n - m) - m * (1 - m) END) / sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) END, 0.0::DOUBLE))) AS r FROM {name}_u)),
 {name} AS (SELECT * EXCLUDE (m, strength), m * strength + k AS a, (1 - m) * strength + n - k AS b, (m * strength + k) / (strength + n) AS mean FROM {name}_u, {name}_s)"""
 
