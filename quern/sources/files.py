@@ -31,13 +31,13 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One document a .txt file below folder: text without NUL, trimmed, and its path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     return files.select(strip(F.replace("value", F.lit("\x00"), F.lit(""))).alias("text"), F.col("_metadata.file_path").alias("source"))
 
 
 def read_numbered(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
     """Records with source file:L<n>; files are read whole to number their lines, so keep them of bounded size."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     lines = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("n", "line")).filter(F.length(strip(F.col("line"))) > 0)
     return lines.select(F.from_json("line", schema).alias("r"), F.concat("file", F.lit(":L"), F.col("n") + 1).alias("source")).filter("r is not null").select("r.*", "source")
 

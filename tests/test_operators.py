@@ -102,7 +102,7 @@ def test_quantile_above_the_last_bound(spark):
 def test_bpe_round_trip_and_merge_order(spark):
     d = docs(spark, "low low low lower lowest newest newest widest", "it's the newest 22")
     counts = tokenizers.word_counts(d, tokenizers.pretokens(F.col("text")))
-    merges, vocabulary = tokenizers.train_bpe(counts, size=60)
+    merges, vocabulary = tokenizers.train_bpe(counts, size=60, least=1)
     assert vocabulary[:12] == tokenizers.SPECIALS and len(set(vocabulary)) == len(vocabulary)
     ranks = {m: i for i, m in enumerate(merges)}
     ids = tokenizers.encode(d, tokenizers.pretokens(F.col("text")), lambda w: tokenizers.encode_bpe_word(w, ranks), vocabulary).orderBy("doc_id").collect()
