@@ -47,12 +47,12 @@ _scalar("clean", text.clean, None)
 _scalar("norm", text.normalise, rf"trim(array_to_string(list_transform({_LINES.format(_TYPO)}, lambda x: rtrim(x)), chr(10)), ' ' || chr(10))")
 _scalar("norm_sentences", text.sentences, None)
 _scalar("alpha_ratio", lambda c: F.round(text.alpha_ratio(c), 6), r"round(coalesce(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / nullif(length(regexp_replace(text, '\s', '', 'g')), 0), 0.0), 6)")
-_scalar("word_count", text.word_count, WORDS_SQL)
-_scalar("token_estimate_chars", text.estimated_tokens, "greatest(1, length(text) // 4)")
+_scalar("word_count", text.word_count, f"({WORDS_SQL})::INT")
+_scalar("token_estimate_chars", text.estimated_tokens, "greatest(1, length(text) // 4)::INT")
 _scalar("hash_norm", text.hash_form, r"trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'))")
 _scalar("hash_md5", lambda c: F.md5(c), "md5(text)")
 _scalar("hash_sha256", lambda c: F.sha2(c, 256), "sha256(text)")
-_scalar("shingle", lambda c: F.size(text.shingles(c)), "len(list_distinct(list_transform(range(1, greatest(length(text) - 3, 1)), lambda i: substr(text, i, 5))))")
+_scalar("shingle", lambda c: F.size(text.shingles(c)), "len(list_distinct(list_transform(range(1, greatest(length(text) - 3, 1)), lambda i: substr(text, i, 5))))::INT")
 _scalar("lang_prep", text.language_form, r"trim(regexp_replace(lower(regexp_replace(text, '[^a-zA-ZÀ-ÿ一-鿿؀-ۿ\s]', ' ', 'g')), '\s+', ' ', 'g'))")
 _scalar("f_length", lambda c: text.word_count(c).between(50, 100_000), f"{WORDS_SQL} BETWEEN 50 AND 100000")
 _scalar("f_alpha", lambda c: text.alpha_ratio(c) >= 0.6, r"coalesce(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / nullif(length(regexp_replace(text, '\s', '', 'g')), 0), 0.0) >= 0.6")
@@ -66,7 +66,7 @@ _scalar(
     f"round(CASE WHEN len({_GRAMS}) < 20 THEN 0.0 ELSE list_max(map_values(list_histogram(list_transform(range(1, len({_GRAMS}) - 8), lambda i: array_to_string({_GRAMS}[i:i + 9], ' '))))) * 10 / len({_GRAMS}) END, 6)".replace("list_histogram(", "list_aggregate(").replace(", ' '))))) * 10", ", ' ')), 'histogram'))) * 10"),
 )
 _SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: lower(trim(x))), lambda x: length(x) > 20)"
-_scalar("f_sentence_rep", quality.sentence_repeats, f"coalesce(list_max(map_values(list_aggregate({_SENT}, 'histogram'))), 0)")
+_scalar("f_sentence_rep", quality.sentence_repeats, f"coalesce(list_max(map_values(list_aggregate({_SENT}, 'histogram'))), 0)::INT")
 _NB = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 _scalar("f_bullet", lambda c: F.round(quality.bullet_ratio(c), 6), rf"round(CASE WHEN len({_NB}) < 5 THEN 0.0 ELSE len(list_filter({_NB}, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) < 8)) / len({_NB}) END, 6)")
 
@@ -177,8 +177,8 @@ def script_ratio(spark, sf):
 
 
 _SCAN = f"""WITH w AS (SELECT trim(text) AS t, text, {WORDS_SQL} AS n FROM documents),
-c AS (SELECT count(text) AS total_docs, coalesce(sum(n), 0)::BIGINT AS total_words, count_if(length(t) = 0) AS empty_docs, count_if(length(t) < 20) AS near_empty_docs, count_if(contains(text, chr(0))) AS null_byte_docs,
-  count_if(length(substr(t, 1, 200)) > 0 AND length(regexp_replace(substr(t, 1, 200), '[^\\x{{0}}-\\x{{7F}}]', '', 'g')) / length(substr(t, 1, 200)) < 0.5) AS non_ascii_docs, count(*) - count(text) AS missing_text FROM w)
+c AS (SELECT count(text) AS total_docs, coalesce(sum(n), 0)::BIGINT AS total_words, count_if(length(t) = 0)::BIGINT AS empty_docs, count_if(length(t) < 20)::BIGINT AS near_empty_docs, count_if(contains(text, chr(0)))::BIGINT AS null_byte_docs,
+  count_if(length(substr(t, 1, 200)) > 0 AND length(regexp_replace(substr(t, 1, 200), '[^\\x{{0}}-\\x{{7F}}]', '', 'g')) / length(substr(t, 1, 200)) < 0.5)::BIGINT AS non_ascii_docs, count(*) - count(text) AS missing_text FROM w)
 """
 
 
@@ -198,8 +198,8 @@ _P = "floor(quantile_cont({}, {}))::BIGINT"
 
 @query(f"""WITH w AS (SELECT length(text) AS n, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL)
 SELECT count(*) AS total_docs, sum(n)::BIGINT AS total_chars, sum(w)::BIGINT AS total_words, floor(sum(w) * 1.3)::BIGINT AS total_tokens_approx, round(count_if(n = 0) / count(*), 4) AS empty_rate, round(count_if(n < 20) / count(*), 4) AS near_empty_rate,
- min(n) AS chars_min, {_P.format('n', 0.25)} AS chars_p25, {_P.format('n', 0.5)} AS chars_median, {_P.format('n', 0.75)} AS chars_p75, {_P.format('n', 0.9)} AS chars_p90, {_P.format('n', 0.99)} AS chars_p99, max(n) AS chars_max, floor(sum(n) / count(*))::BIGINT AS chars_mean,
- min(w) AS words_min, {_P.format('w', 0.5)} AS words_median, {_P.format('w', 0.9)} AS words_p90, max(w) AS words_max, floor(sum(w) / count(*))::BIGINT AS words_mean FROM w""")
+ min(n)::INT AS chars_min, {_P.format('n', 0.25)} AS chars_p25, {_P.format('n', 0.5)} AS chars_median, {_P.format('n', 0.75)} AS chars_p75, {_P.format('n', 0.9)} AS chars_p90, {_P.format('n', 0.99)} AS chars_p99, max(n)::INT AS chars_max, floor(sum(n) / count(*))::BIGINT AS chars_mean,
+ min(w)::INT AS words_min, {_P.format('w', 0.5)} AS words_median, {_P.format('w', 0.9)} AS words_p90, max(w)::INT AS words_max, floor(sum(w) / count(*))::BIGINT AS words_mean FROM w""")
 def a_profile(spark, sf):
     return corpus.profile(docs(spark, sf))
 
@@ -222,7 +222,7 @@ def w_split_floor(spark, sf):
     return corpus.split_floor(docs(spark, sf), 0.9, 0.05).select("doc_id", "split")
 
 
-@query(_SPLIT + ", s AS (SELECT CASE WHEN r <= ceil(n * 0.05) THEN 'test' WHEN r <= ceil(n * 0.05) + ceil(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM r) SELECT count(*) AS doc_count, count_if(split = 'train') AS train_docs, count_if(split = 'val') AS val_docs, count_if(split = 'test') AS test_docs FROM s")
+@query(_SPLIT + ", s AS (SELECT CASE WHEN r <= ceil(n * 0.05) THEN 'test' WHEN r <= ceil(n * 0.05) + ceil(n * 0.1) THEN 'val' ELSE 'train' END AS split FROM r) SELECT count(*) AS doc_count, count_if(split = 'train')::BIGINT AS train_docs, count_if(split = 'val')::BIGINT AS val_docs, count_if(split = 'test')::BIGINT AS test_docs FROM s")
 def g_card(spark, sf):
     return corpus.card(corpus.split(docs(spark, sf), 0.1, 0.05))
 

@@ -157,7 +157,7 @@ def tk_wp_encode(spark, sf):
     return tokenizers.encode(docs, tokenizers.wordpiece_words(F.col("text")), lambda w: tokenizers.encode_wordpiece_word(w, known), vocabulary)
 
 
-@query("SELECT item_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([^\\w\\s\\x{80}-\\x{10FFFF}])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> '')[1] AS first_word, len(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([^\\w\\s\\x{80}-\\x{10FFFF}])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> '')) AS n FROM benchmark")
+@query("SELECT item_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([^\\w\\s\\x{80}-\\x{10FFFF}])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> '')[1] AS first_word, len(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([^\\w\\s\\x{80}-\\x{10FFFF}])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> ''))::INT AS n FROM benchmark")
 def tk_wp_pretok(spark, sf):
     w = tokenizers.wordpiece_words(F.col("text"))
     return table(spark, sf, "benchmark").select("item_id", w[0].alias("first_word"), F.size(w).alias("n"))
@@ -285,7 +285,7 @@ def v_keyword(spark, sf):
     return vectors.keyword_search(table(spark, sf, "benchmark"), "text", "the SH ering", 5).select("item_id", "score")
 
 
-@query(r"SELECT item_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), ['the', 'of', 'is'])) AS score FROM benchmark")
+@query(r"SELECT item_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), ['the', 'of', 'is']))::INT AS score FROM benchmark")
 def v_keyword_set(spark, sf):
     return vectors.keyword_overlap(table(spark, sf, "benchmark"), "text", "the of is").select("item_id", "score")
 
@@ -295,7 +295,7 @@ def mean_pool(spark, sf):
     return vectors.centroids_of(emb(spark, sf), "label").select("label", F.posexplode("centroid").alias("i", "m")).withColumn("m", F.round("m", 6))
 
 
-@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS x, len(embedding[1:16]) AS n FROM embeddings")
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS x, len(embedding[1:16])::INT AS n FROM embeddings")
 def emb_l2norm(spark, sf):
     return emb(spark, sf).select("vec_id", F.round(vectors.l2_normalised(F.col("embedding"))[0], 5).alias("x"), F.size(F.slice("embedding", 1, 16)).alias("n"))
 
@@ -374,7 +374,7 @@ def w_gae(spark, sf):
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w)
-SELECT doc_id, n, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0.0 END, 6) AS repeated FROM b""")
+SELECT doc_id, n::INT AS n, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0.0 END, 6) AS repeated FROM b""")
 def reward_shape(spark, sf):
     """Share of repeated bigrams, the penalty of reward shaping."""
     from quern.functions.text import words
