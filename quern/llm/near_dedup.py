@@ -6,13 +6,17 @@ share at least ``COMMON`` = 10 of 32 retained values with all but a chance of ab
 its own sketch, and no chance is left), so in any order of the values, they share one among the first k - 10 + 1. The
 order puts values that many classes retain last, so common lines and passages make no candidates unless nothing else can.
 
-Inverted lists of those first values generate the candidates. A list of at most ``LIST`` classes yields its pairs. From a
-longer one, a few classes that retain the most common values are compared with all of its classes; classes that this links
-need no further comparing, and while a list still holds untested pairs of different components, it gets four times as
-many such pivots. No list's pairs are all emitted unless they really must be tested.
+Inverted lists of those first values generate the candidates. A list of at most ``LIST`` classes yields its pairs, which
+an estimate filters: among the k least values of the union of both sketches at least ``COMMON`` must lie in both.
 
-Candidates pass a filter: among the k least values of the union of both sketches at least ``COMMON`` lie in both (or the
-exact likeness, when both sketches are whole sets). Those that pass are decided on their full sets.
+Classes that stand in longer lists (large families of near copies) get sketches of ``WIDE`` values, most often whole
+sets, and the same lists over these: a class of which more than a quarter is its own then stands in no long list at all.
+In each long list that remains, the class that retains the most common values is compared with all others. Lists with one
+such centre form a group; classes that are linked to the centre need no further comparing, and the rest of the group is
+compared with the whole group in cells of two blocks, by products of incidence matrices, which emit links alone.
+
+Candidates are decided on full sets. They meet by neighbourhood: pairs around the same least class form one, dealt into
+blocks of ``BLOCK`` classes, so that a set travels once per block and not once per pair.
 
 Defined cases: null text counts as empty, and empty sets link with nothing (each such row is its own component); repeated
 rows are copies; an empty table gives an empty result; null ids take part but are never the least id of a component unless
@@ -35,6 +39,9 @@ from quern.plans.lineage import written
 from quern.session import ship
 
 K, COMMON, LIST = 32, 10, 64
+#: The same for classes of large families; 685 of 1024 again leaves six standard deviations.
+WIDE, WIDE_COMMON = 1_024, 685
+BLOCK = 256
 WORDS, NEAR = 5, 75
 #: Values retained by more than LIST classes that may be known to all tasks; beyond, the bound of "more" doubles.
 HOT_VALUES = 1 << 18
@@ -99,9 +106,9 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def _least_common(n: np.ndarray, k: int, common: int) -> np.ndarray:
-    """Retained values that a set of n shingles shares with any set near enough to it."""
-    exact = -(-3 * n // 4)
-    return np.where(n <= k * 3 // 4, exact, np.where(n <= k, common + 3, common))
+    """Retained values that a set of n shingles shares with any set near enough to it. A set of at most k shingles is
+    whole; a set near to it has at most n / 0.75, of which k are retained."""
+    return np.where(n <= k, np.maximum(1, np.ceil(0.75 * n - np.maximum(0, n / 0.75 - k) - 1e-9)), common).astype(np.int64)
 
 
 def entries(classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST) -> DataFrame:
@@ -166,85 +173,160 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int = K, common: int = COMMO
     return pairs.distinct().join(left, "a").join(right, "b").filter(passed).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are near enough."""
-    pairs = written(pairs, "candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect what the pairs (a, b) with near enough full shingle sets connect."""
+    pairs = written(pairs.distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    least = ends.groupBy("class").agg(F.min("other").alias("m")).select("class", F.least("class", "m").alias("m"))
+    of_a, of_b = (least.select(F.col("class").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
+    near = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", F.least("ma", "mb").alias("home")), "homes")
+    members = near.select("home", F.explode(F.array("a", "b")).alias("class")).distinct()
+    blocks = members.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    cells = near.join(blocks, "home").select("a", "b", "home", part("a").alias("pa"), part("b").alias("pb"))
+    cells = cells.select("a", "b", F.col("home"), F.least("pa", "pb").alias("p1"), F.greatest("pa", "pb").alias("p2"))
+    cells = written(cells, "cells")
+    places = cells.select(F.explode(F.array("a", "b")).alias("class"), F.col("home").alias("h"), F.col("p1").alias("q1"), F.col("p2").alias("q2")).distinct()
+    sets = full_sets(docs, written(places.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "wanted"))
+    given = sets.join(places, "class")
+
+    def decide(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = right.column("shingles").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        own = {c: flat[e - n : e] for c, e, n in zip(right.column("class").to_pylist(), ends.tolist(), lists.value_lengths().to_pylist(), strict=True)}
+        root = {c: c for c in own}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for a, b in sorted(zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)):
+            if a not in own or b not in own or (x := find(a)) == (y := find(b)):
+                continue
+            s, t = own[a], own[b]
+            if min(len(s), len(t)) * 100 < max(len(s), len(t)) * NEAR:
+                continue
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if both * 100 >= (len(s) + len(t) - both) * NEAR:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    # A cell holds two blocks of classes at most, however large a family is.
+    return cells.groupBy("home", "p1", "p2").cogroup(given.groupBy("h", "q1", "q2")).applyInArrow(decide, "a long, b long")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int | None = None) -> DataFrame:
+    """class, n and shingles (all, or the k least) of the classes of wanted(class, doc_id), from docs(doc_id, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 sets = list(shingle_sets(batch.column(0).slice(i, 500)))
-                flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), list_array(flat, np.array([len(s) for s in sets], np.int64), pa.int64())], ["class", "shingles"])
+                kept = [s[:k] for s in sets]
+                flat = np.concatenate(kept) if kept else np.empty(0, np.int64)
+                lists = list_array(flat, np.array([len(s) for s in kept], np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["class", "n", "shingles"])
 
-    wanted = docs.select("doc_id", "text").join(need.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = wanted.mapInArrow(each, "class long, shingles array<long>")
-    sets = sets.join(need.select("class"), "class", "left_semi")
-    left, right = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    n = F.size(F.array_intersect("sa", "sb"))
-    near = n.cast("long") * 100 >= (F.size("sa") + F.size("sb") - n).cast("long") * NEAR
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b").distinct()
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    found = texts.mapInArrow(each, "class long, n long, shingles array<long>")
+    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
-def near_links(docs: DataFrame, classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST, wide: int = WIDE, wide_common: int = WIDE_COMMON) -> DataFrame:
     """node and root of every class that is linked to another; classes(class, n, doc_id, sketch) of docs(doc_id, text)."""
     lists = written(entries(classes, k, common, most), "lists")
-    long = written(lists.filter("hot"), "long")
-    pivots, rounds = 2, 0
-    pairs = short_list_pairs(lists.filter("not hot"))
-    used = None
-    links = None
-    while True:
+    tested = likely(short_list_pairs(lists.filter("not hot")), classes, k, common)
+    crowded = written(lists.filter("hot").select("class").distinct().join(classes.select("class", "doc_id"), "class"), "crowded")
+    long = None
+    if not crowded.isEmpty():
+        sketched = written(full_sets(docs, crowded, wide).withColumnRenamed("shingles", "sketch"), "wide")
+        again = written(entries(sketched, wide, wide_common, most), "wide-lists")
+        tested = tested.union(short_list_pairs(again.filter("not hot")))
+        long = written(again.filter("hot"), "long")
         if long.isEmpty():
-            tested = pairs
-        else:
-            fresh = _pivots(long, used, links, pivots)
-            tested = _pivot_pairs(long, fresh, links)
-            tested = pairs.union(tested) if pairs is not None else tested
-            used = written(fresh if used is None else used.union(fresh), "pivots")
-        found = written(confirmed(likely(tested, classes, k, common), classes, docs), "links")
-        pairs = None
-        edges = found if links is None else found.union(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        links = written(components(edges), "components")
-        if long.isEmpty() or _open_lists(long, used, links).isEmpty():
-            return links
-        pivots, rounds = pivots * 4, rounds + 1
-
-
-def _with_roots(long: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return long.withColumn("root", F.col("class"))
-    return long.join(links.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-
-
-def _open_lists(long: DataFrame, used: DataFrame, links: DataFrame) -> DataFrame:
-    """Values whose lists hold classes of different components that were not pivots."""
-    rest = long.join(used.select("value", F.col("pivot").alias("class")), ["value", "class"], "left_anti")
-    return _with_roots(rest, links).groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("value")
-
-
-def _pivots(long: DataFrame, used: DataFrame | None, links: DataFrame | None, n: int) -> DataFrame:
-    """value and pivot: the n classes of each open list, not yet used, that retain the most common values."""
-    if used is not None:
-        long = long.join(_open_lists(long, used, links), "value", "left_semi").join(used.select("value", F.col("pivot").alias("class")), ["value", "class"], "left_anti")
-    # Taken from partial tops, so that no list meets in one task.
-    from pyspark.sql import Window
-
-    parts = Window.partitionBy("value", "part").orderBy(F.desc("weight"), "class")
-    whole = Window.partitionBy("value").orderBy(F.desc("weight"), "class")
-    tops = long.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(64))).withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= n)
-    tops = tops.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n)
-    return tops.select("value", F.col("class").alias("pivot"), F.col("n").alias("pivot_n"))
-
-
-def _pivot_pairs(long: DataFrame, fresh: DataFrame, links: DataFrame | None) -> DataFrame:
-    """a < b: pivots with the classes of their lists that are not in their component yet."""
-    of_pivot = fresh if links is None else fresh.join(links.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left")
-    of_pivot = of_pivot.withColumn("pivot_root", F.coalesce("pivot_root", "pivot")) if links is not None else of_pivot.withColumn("pivot_root", F.col("pivot"))
-    # Pivots are few a value; the list side may be split where one value is common.
-    pairs = _with_roots(long, links).join(of_pivot, "value").filter((F.col("root") != F.col("pivot_root")) & _sizes_fit(F.col("n"), F.col("pivot_n")))
-    return pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
+            long = None
+    if long is not None:
+        tops = long.groupBy("value").agg(F.max_by("class", F.struct("weight", "class")).alias("top")).withColumnRenamed("value", "v")
+        groups = long.join(tops, F.col("value") == F.col("v")).select("top", "class", "n").distinct()
+        long = written(groups.join(classes.select(F.col("class").alias("top"), F.col("n").alias("tn")), "top"), "groups")
+        star = long.filter((F.col("class") != F.col("top")) & _sizes_fit(F.col("n"), F.col("tn")))
+        tested = tested.union(star.select(F.least("class", "top").alias("a"), F.greatest("class", "top").alias("b")))
+    found = written(confirmed(tested, classes, docs), "links")
+    links = written(components(found), "components")
+    if long is not None:
+        more = written(_rest_links(long, links, classes, docs), "rest-links")
+        if not more.isEmpty():
+            links = written(components(more.union(links.select(F.col("node").alias("a"), F.col("root").alias("b")))), "components")
+    return links
+
+
+def _rest_links(groups: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the classes of groups(top, class) that are not in their top's component and all of the group."""
+    root = links.select(F.col("node"), "root")
+    rooted = groups.join(root.withColumnRenamed("node", "class"), "class", "left").select("top", "class", F.coalesce("root", "class").alias("root"))
+    rooted = rooted.join(root.select(F.col("node").alias("top"), F.col("root").alias("top_root")), "top", "left")
+    rooted = written(rooted.select("top", "class", (F.col("root") != F.coalesce("top_root", "top")).alias("rest")), "rooted")
+    sizes = rooted.groupBy("top").agg(F.ceil(F.count("*") / block).cast("int").alias("all"), F.ceil(F.count_if("rest") / block).cast("int").alias("some")).filter("some > 0")
+    part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    placed = written(rooted.join(sizes, "top").select("top", "class", "rest", "all", "some", part("all").alias("pa"), part("some").alias("ps")), "placed")
+    sets = full_sets(docs, written(placed.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "wanted")).drop("n")
+    left = placed.filter("rest").select("class", F.col("top").alias("lt"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("li"), F.col("ps").alias("lj"))
+    right = placed.select("class", F.col("top").alias("rt"), F.col("pa").alias("ri"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("rj"))
+
+    def decide(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = linked_sets(*_sets_of(x, "class", "shingles"), *_sets_of(y, "rc", "rs"))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    others = sets.select(F.col("class").alias("rc"), F.col("shingles").alias("rs")).join(right.withColumnRenamed("class", "rc"), "rc")
+    return sets.join(left, "class").groupBy("lt", "li", "lj").cogroup(others.groupBy("rt", "ri", "rj")).applyInArrow(decide, "a long, b long")
+
+
+def _sets_of(t: pa.Table, key: str, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lists = t.column(values).combine_chunks()
+    return t.column(key).to_numpy(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+
+
+def linked_sets(a: np.ndarray, a_flat: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_flat: np.ndarray, b_sizes: np.ndarray, columns: int = 4_096) -> list[tuple[int, int]]:
+    """Near enough pairs of the sets of a with those of b, without those that others of them imply. Only shared values
+    enter the matrices, some columns at a time."""
+    if not len(a_flat) or not len(b_flat):
+        return []
+    shared = np.intersect1d(a_flat, b_flat)
+    both = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for flat, sizes in ((a_flat, a_sizes), (b_flat, b_sizes)):
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        sides.append((np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]))
+    for i in range(0, len(shared), columns):
+        m = []
+        for (row, at), n in zip(sides, (len(a), len(b)), strict=True):
+            use = (at >= i) & (at < i + columns)
+            x = np.zeros((n, min(columns, len(shared) - i)), np.float32)
+            x[row[use], at[use] - i] = 1
+            m.append(x)
+        both += m[0] @ m[1].T
+    near = both * 100 >= (a_sizes[:, None] + b_sizes[None] - both) * NEAR
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        p, q = int(a[i]), int(b[j])
+        x, y = find(p), find(q)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((min(p, q), max(p, q)))
+    return out
 
 
 def components_of(docs: DataFrame, k: int = K) -> DataFrame:

@@ -13,7 +13,6 @@ a time.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
