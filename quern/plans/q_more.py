@@ -97,12 +97,12 @@ def w_reservoir(spark, sf):
     return table(spark, sf, "documents").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(25).select("doc_id")
 
 
-@query("SELECT round(sum(value) / count(*), 6) AS loss, round(exp(least(sum(value) / count(*), 100)), 4) AS perplexity, count(*) AS tokens FROM events WHERE event_type <> 'error'")
+@query("SELECT round(sum(value) / count(*), 6) AS loss, round(exp(least(sum(value) / count(*), 20)), 4) AS perplexity, count(*) AS tokens FROM events WHERE event_type <> 'error'")
 def a_eval(spark, sf):
     """Mean loss over the tokens that count, and its perplexity."""
     e = events(spark, sf).filter("event_type <> 'error'")
     mean = F.sum("value") / F.count("*")
-    return e.agg(F.round(mean, 6).alias("loss"), F.round(F.exp(F.least(mean, F.lit(100.0))), 4).alias("perplexity"), F.count("*").alias("tokens"))
+    return e.agg(F.round(mean, 6).alias("loss"), F.round(F.exp(F.least(mean, F.lit(20.0))), 4).alias("perplexity"), F.count("*").alias("tokens"))
 
 
 @query("WITH m AS (SELECT label AS model, count(*) AS files, count_if(list_contains(list_transform(embedding, lambda x: isnan(x) OR isinf(x)), true))::BIGINT AS broken, min(len(embedding)) = max(len(embedding)) AS same_size FROM embeddings GROUP BY 1) SELECT model, files, broken, same_size, broken = 0 AND same_size AS passed FROM m")
