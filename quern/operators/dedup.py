@@ -62,10 +62,14 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(len(a), np.int64)
     out = np.full(len(a), RANGE, np.int64)
-    for at in range(0, len(hashes), 4096):
+    for at in range(0, len(hashes), 1024):
         with np.errstate(over="ignore"):
-            rows = (a[:, None] * hashes[None, at : at + 4096] + b[:, None]) % PRIME % RANGE
-        out = np.minimum(out, rows.min(1))
+            x = a[:, None] * hashes[None, at : at + 1024] + b[:, None]
+        # The remainder by a Mersenne prime is the low bits plus the high ones, once corrected either way.
+        y = (x & PRIME) + (x >> 61)
+        y += PRIME * (y < 0)
+        y -= PRIME * (y >= PRIME)
+        out = np.minimum(out, (y & (RANGE - 1)).min(1))
     return out
 
 
