@@ -19,8 +19,8 @@ Candidates are decided on full sets. They meet by neighbourhood: pairs around th
 blocks of ``BLOCK`` classes, so that a set travels once per block and not once per pair.
 
 Defined cases: null text counts as empty, and empty sets link with nothing (each such row is its own component); repeated
-rows are copies; an empty table gives an empty result; null ids take part but are never the least id of a component unless
-all are null; other columns are ignored.
+rows are copies; an empty table gives an empty result; a null id is never the least id of a component, and a class of which
+no row has an id is not compared; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ K, COMMON, LIST = 32, 10, 64
 #: The same for classes of large families; 685 of 1024 again leaves six standard deviations.
 WIDE, WIDE_COMMON = 1_024, 685
 BLOCK = 256
+#: Ids of wanted documents that are sent to all tasks at most (16 MB of them); more are joined by shuffle.
+SENT_IDS = 1 << 21
 WORDS, NEAR = 5, 75
 #: Values retained by more than LIST classes that may be known to all tasks; beyond, the bound of "more" doubles.
 HOT_VALUES = 1 << 18
@@ -231,7 +233,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int | None = None) -> DataF
                 lists = list_array(flat, np.array([len(s) for s in kept], np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["class", "n", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    ids = wanted.select("doc_id").distinct()
+    ids = F.broadcast(ids) if wanted.count() <= SENT_IDS else ids
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
     found = texts.mapInArrow(each, "class long, n long, shingles array<long>")
     return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
