@@ -28,13 +28,25 @@ def dynamic_pad(rows: DataFrame, key: str, batch: int, left: bool = False) -> Da
     return numbered.select(key, "batch", (F.concat(pad, F.col("ids")) if left else F.concat(F.col("ids"), pad)).alias("input_ids"))
 
 
-def _stream(docs: DataFrame, key: str, end: int | None) -> DataFrame:
-    """token and at: the documents' tokens, by key, each document followed by end, with global offsets."""
+def _pieces(docs: DataFrame, key: str, end: int | None, block: int, beyond: int = 0) -> DataFrame:
+    """block_id and x: the documents' tokens, by key, each document followed by end, in blocks that hold ``beyond`` tokens
+    of the next one besides. Blocks inside a document are cut from it as they are, only those over an edge meet by number."""
     ids = F.filter("ids", lambda t: t != PAD)
     d = docs.select(key, (F.concat(ids, F.array(F.lit(end))) if end is not None else ids).alias("ids"))
-    sized = d.select(key, F.size("ids").cast("long").alias("n"))
-    first = offsets(sized, key)
-    return d.join(first, key).select(F.posexplode("ids").alias("pos", "token"), "first").select((F.col("first") + F.col("pos")).alias("at"), "token")
+    first = offsets(d.select(key, F.size("ids").cast("long").alias("n")), key)
+    at = lambda x: F.floor(x / block)
+    placed = d.join(first, key).filter(F.size("ids") > 0)
+    # The block that a document begins in, and for its sake the one before, of which it may hold the tokens beyond.
+    blocks = F.sequence(F.greatest(at(F.col("first") - beyond), F.lit(0)), at(F.col("first") + F.size("ids") - 1))
+    each = placed.select("ids", "first", F.explode(blocks).alias("block_id"))
+    start = F.greatest(F.col("block_id") * block - F.col("first"), F.lit(0)).cast("int")
+    stop = F.least((F.col("block_id") + 1) * block + beyond - F.col("first"), F.size("ids")).cast("int")
+    whole = stop - start == block + beyond
+    piece = F.slice("ids", start + 1, stop - start)
+    inside = each.filter(whole).select("block_id", piece.alias("x"))
+    edges = each.filter(~whole & (stop > start)).select("block_id", F.struct((F.col("first") + start).alias("at"), piece.alias("x")).alias("p"))
+    met = edges.groupBy("block_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return inside.union(met.select("block_id", F.flatten(F.transform("p", lambda p: p["x"]))))
 
 
 def offsets(sized: DataFrame, key: str) -> DataFrame:
@@ -54,21 +66,15 @@ def offsets(sized: DataFrame, key: str) -> DataFrame:
 
 def pack(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS) -> DataFrame:
     """block_id and input_ids: full blocks of the joined documents; an incomplete last block is left out."""
-    s = _stream(docs, key, end).withColumn("block_id", F.floor(F.col("at") / block))
-    return s.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("x")).filter(F.size("x") == block).select("block_id", F.transform("x", lambda t: t["token"]).alias("input_ids"))
+    return _pieces(docs, key, end, block).filter(F.size("x") == block).select("block_id", F.col("x").alias("input_ids"))
 
 
 def causal(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS) -> DataFrame:
     """block_id, input_ids and labels (the next token; ignored where the input ends a document)."""
-    s = _stream(docs, key, end)
-    total = s.agg(F.count("*")).first()[0]
-    blocks = max(0, -(-(total - block) // block))
-    # Each token is an input at its place and a label one place before; both meet by block.
-    both = s.select(F.col("at"), F.col("token").alias("input"), F.lit(None).cast("int").alias("label")).union(s.filter("at > 0").select(F.col("at") - 1, F.lit(None).cast("int"), "token"))
-    at = both.groupBy(F.floor(F.col("at") / block).alias("block_id"), "at").agg(F.max("input").alias("input"), F.max("label").alias("label")).filter(F.col("block_id") < blocks)
-    rows = at.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("at", "input", "label"))).alias("x"))
-    label = lambda t: F.when(t["input"] == end, IGNORED).otherwise(t["label"])
-    return rows.select("block_id", F.transform("x", lambda t: t["input"]).alias("input_ids"), F.transform("x", label).alias("labels"))
+    # A block counts if a token follows it, its last label.
+    x = _pieces(docs, key, end, block, 1).filter(F.size("x") == block + 1)
+    ids = F.slice("x", 1, block)
+    return x.select("block_id", ids.alias("input_ids"), F.transform(ids, lambda t, i: F.when(t == end, IGNORED).otherwise(F.col("x")[i + 1])).alias("labels"))
 
 
 def masked(docs: DataFrame, vocabulary: int, key: str = "doc_id", share: float = 0.15, seed: int = 7) -> DataFrame:
@@ -77,12 +83,14 @@ def masked(docs: DataFrame, vocabulary: int, key: str = "doc_id", share: float =
     Positions and replacements come from hashes of key and position, so a rerun masks alike.
     """
     h = lambda i, salt: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(salt)), F.lit(1 << 30))
-    places = F.filter(F.transform("ids", lambda t, i: F.struct(h(i, 1).alias("h"), i.alias("i"), t.alias("t"))), lambda s: s["t"] > 11)
+    place = lambda t, i: F.struct(h(i, 1).alias("h"), i.alias("i"), t.alias("t"))
+    places = F.filter(F.transform("ids", place), lambda s: s["t"] > 11)
     k = F.greatest(F.lit(1), F.floor(F.size(places) * share).cast("int"))
-    chosen = F.transform(F.slice(F.array_sort(places), 1, k), lambda s: s["i"])
-    picked = docs.select(key, "ids", chosen.alias("chosen"))
-    new = lambda t, i: F.when(~F.array_contains("chosen", i), t).when(h(i, 2) % 10 < 8, F.lit(MASK)).when(h(i, 2) % 10 == 8, (F.lit(12) + h(i, 3) % F.lit(max(1, vocabulary - 12))).cast("int")).otherwise(t)
-    return picked.select(key, F.transform("ids", new).alias("input_ids"), F.transform("ids", lambda t, i: F.when(F.array_contains("chosen", i), t).otherwise(IGNORED)).alias("labels"))
+    # The k least places are chosen: all up to the last of them, so that long documents need no search for each position.
+    picked = docs.select(key, "ids", F.get(F.array_sort(places), k - 1).alias("last"))
+    chosen = lambda t, i: F.coalesce((t > 11) & (place(t, i) <= F.col("last")), F.lit(False))
+    new = lambda t, i: F.when(~chosen(t, i), t).when(h(i, 2) % 10 < 8, F.lit(MASK)).when(h(i, 2) % 10 == 8, (F.lit(12) + h(i, 3) % F.lit(max(1, vocabulary - 12))).cast("int")).otherwise(t)
+    return picked.select(key, F.transform("ids", new).alias("input_ids"), F.transform("ids", lambda t, i: F.when(chosen(t, i), t).otherwise(IGNORED)).alias("labels"))
 
 
 def chat_text(turns: DataFrame, system: str = DEFAULT_SYSTEM, end: bool = True) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from quern.functions.calculator import calculate
@@ -20,6 +25,21 @@ def coded(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.transform(chars, lambda c: (F.ascii(c) % 500 + 12).cast("int")).alias("ids"))
 
 
+def coded_whole(spark, sf):
+    """The same codes of every character of every document."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                ids, text = batch.column(0).slice(i, 256), batch.column(1).slice(i, 256).to_pylist()
+                chars = [np.frombuffer((t or "").encode("utf-32-le"), np.uint32) for t in text]
+                offsets = pa.array([None if t is None else int(o) for t, o in zip(text, np.cumsum([0, *map(len, chars)]))] + [sum(map(len, chars))], pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array((np.concatenate(chars) % 500 + 12).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "ids"])
+
+    return table(spark, sf, "documents").select("doc_id", "text").mapInArrow(each, "doc_id long, ids array<int>")
+
+
 def listed(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
@@ -62,7 +82,44 @@ def w_pack(spark, sf):
 
 @query()
 def ds_mlm(spark, sf):
-    return training.masked(coded(spark, sf), 512)
+    return training.masked(coded_whole(spark, sf), 512)
+
+
+# The queries above keep to the first 200 characters because their SQL does; these take all of every document.
+
+
+@query()
+def ds_fixed_whole(spark, sf):
+    return coded_whole(spark, sf).select("doc_id", training.fixed(F.col("ids"), 64).alias("x")).select("doc_id", "x.*")
+
+
+@query()
+def ds_collate_whole(spark, sf):
+    return training.dynamic_pad(coded_whole(spark, sf), "doc_id", 16)
+
+
+@query()
+def ds_pack_whole(spark, sf):
+    return training.pack(coded_whole(spark, sf), 128)
+
+
+@query()
+def ds_clm_whole(spark, sf):
+    return training.causal(coded_whole(spark, sf), 128)
+
+
+@query()
+def w_pack_whole(spark, sf):
+    n = table(spark, sf, "documents").agg(F.coalesce(F.sum(F.char_length("text") + 1), F.lit(0)).cast("long").alias("tokens"))
+    return n.select("tokens", F.floor(F.col("tokens") / 128).alias("blocks"))
+
+
+@query()
+def tk_encode_whole(spark, sf):
+    """Every document in windows of at most 62 tokens, each between the specials."""
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / 62).cast("int")), lambda i: F.slice("ids", i * 62 + 1, 62))
+    d = coded_whole(spark, sf).filter(F.size("ids") > 0).select("doc_id", F.posexplode(windows).alias("part", "ids"))
+    return d.select("doc_id", "part", tokenizers.with_specials(F.col("ids"), 64).alias("ids"))
 
 
 _CHAT = """WITH s AS (SELECT conv_id, text FROM conversations WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),

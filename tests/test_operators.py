@@ -192,3 +192,29 @@ def test_gae(spark):
     got = [r["advantage"] for r in vectors.gae(s, 0.9, 0.8).orderBy("t").collect()]
     d, last = 1 + 0.45 - 0.5, 0.5
     assert got == pytest.approx([d + 0.72 * (d + 0.72 * last), d + 0.72 * last, last])
+
+
+def test_whole_documents_are_packed(spark, tmp_path):
+    """Against brute force over every character, past the first line and past 200 of them."""
+    from quern.plans import q_training
+
+    texts = ["a" * 300 + "\nsecond line\n" + "é😀" * 200, "", "x", None, "tail\n" * 90, "z" * 127, "q" * 255]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    codes = {i: None if t is None else [ord(c) % 500 + 12 for c in t] for i, t in enumerate(texts)}
+    flat = [x for i in sorted(codes) if codes[i] is not None for x in [*codes[i], 3]]
+    run = lambda f: f(spark, str(tmp_path)).collect()
+    assert {r["block_id"]: r["input_ids"] for r in run(q_training.ds_pack_whole)} == {i: flat[i * 128 : i * 128 + 128] for i in range(len(flat) // 128)}
+    clm = {r["block_id"]: (r["input_ids"], r["labels"]) for r in run(q_training.ds_clm_whole)}
+    assert set(clm) == set(range(-(-(len(flat) - 128) // 128)))
+    for i, (ids, labels) in clm.items():
+        assert ids == flat[i * 128 : i * 128 + 128] and labels == [-100 if t == 3 else flat[i * 128 + k + 1] for k, t in enumerate(ids)]
+    assert run(q_training.w_pack_whole)[0].asDict() == {"tokens": len(flat), "blocks": len(flat) // 128}
+    assert {r["doc_id"]: len(r["labels"]) if r["labels"] is not None else None for r in run(q_training.ds_mlm)} == {i: None if c is None else len(c) for i, c in codes.items()}
+    assert {r["doc_id"]: max(r["input_ids"] and [len(r["input_ids"])] or [0]) for r in run(q_training.ds_collate_whole)}[1] == max(len(c) for c in codes.values() if c)
+    encoded = {}
+    for r in sorted(run(q_training.tk_encode_whole), key=lambda r: (r["doc_id"], r["part"])):
+        assert r["ids"][0] == 2 and r["ids"][-1] == 3 and len(r["ids"]) <= 64
+        encoded.setdefault(r["doc_id"], []).extend(r["ids"][1:-1])
+    assert encoded == {i: c for i, c in codes.items() if c}
+    fixed = {r["doc_id"]: r["input_ids"] for r in run(q_training.ds_fixed_whole)}
+    assert fixed[0] == codes[0][:64] and fixed[2] == codes[2] + [0] * 63
