@@ -334,7 +334,8 @@ def linked_sets(a: np.ndarray, a_flat: np.ndarray, a_sizes: np.ndarray, b: np.nd
 
 
 def components_of(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id (its component's least id) of each row of docs(doc_id, text)."""
+    """doc_id, text_key, n_shingles, component_id (its component's least id) and root (the component itself; null for an
+    empty set) of each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(sketches(docs, k), "sketches")
     classes = rows.filter("class is not null").groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
@@ -342,9 +343,9 @@ def components_of(docs: DataFrame, k: int = K) -> DataFrame:
     links = near_links(docs, classes, k)
     of_class = classes.select("class", "doc_id").join(links.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.join(least, "root").select("class", "component_id")
-    full = rows.filter("class is not null").join(named, "class").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(rows.filter("class is null").select("doc_id", "text_key", "n", F.col("doc_id")))
+    named = of_class.join(least, "root").select("class", "component_id", "root")
+    full = rows.filter("class is not null").join(named, "class").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
+    return full.union(rows.filter("class is null").select("doc_id", "text_key", "n", F.col("doc_id"), F.lit(None).cast("long")))
 
 
 def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
@@ -354,9 +355,13 @@ def near_duplicates(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = K) -> DataFrame:
-    """docs with one row of each component: that of the least id, of rows with this id the one of the least text key."""
+    """docs with one row of each component: that of the least id, of rows with this id the one of the least text key.
+    Components go by their roots, as several can have the same least id or none; rows without shingles repeat each other
+    if id and text are equal."""
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    chosen = components_of(docs, k).filter(kept).groupBy("component_id").agg(F.min("text_key").alias("__q_text_key")).withColumnRenamed("component_id", "__q_id")
+    alone = [F.when(F.col("root").isNull(), F.col(c)).alias(f"__q_{c}") for c in ("doc_id", "text_key")]
+    groups = components_of(docs, k).filter(kept).groupBy("root", *alone)
+    chosen = groups.agg(F.min("component_id").alias("__q_least"), F.min("text_key").alias("__q_least_key")).select("__q_least", "__q_least_key")
     keyed = docs.withColumn("__q_key", text_key(docs["text"]))
-    left = keyed.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("__q_id")) & (F.col("__q_key") == F.col("__q_text_key")), "left_semi")
+    left = keyed.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("__q_least")) & (F.col("__q_key") == F.col("__q_least_key")), "left_semi")
     return left.dropDuplicates(["doc_id", "__q_key"]).drop("__q_key")

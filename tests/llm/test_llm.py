@@ -378,6 +378,15 @@ def test_one_of_each(spark, odd):
     assert {r["doc_id"] for r in got} == {c for c, _ in by_component}
 
 
+def test_one_of_each_keeps_unlike_rows_of_one_id_or_none(spark):
+    rng = np.random.default_rng(24)
+    a, b, c, d, e = (prose(rng, 30) for _ in range(5))
+    rows = [(None, a, None, "s"), (None, b, None, "s"), (None, c, None, "s"), (None, a, None, "s"), (8, d, None, "s"), (8, e, None, "s"), (8, e, None, "s"), (9, c, None, "s"), (10, e, None, "s")]
+    got = near_dedup.one_of_each(table(spark, rows).repartition(3)).collect()
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted([(r["doc_id"], r["text"]) for r in got], key=key) == sorted([(None, a), (None, b), (9, c), (8, d), (8, e)], key=key)
+
+
 def test_component_steps(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(120)]
