@@ -4,12 +4,15 @@ Every line descends a tree of fixed depth: its number of tokens, then its leadin
 variable. In its leaf a line takes part in templates that keep its tokens by position: the one with all of them, and for
 lines of at least ``SEGMENTS`` * 2 tokens those that leave one of ``SEGMENTS`` contiguous parts variable. A template
 that recurs in enough documents is boilerplate: its lines are dropped everywhere but in the document with the least id,
-so that no content leaves the corpus. Lines of ``long_tokens`` or more tokens count as recurring from two documents on.
+so that no content leaves the corpus. Lines of ``long_tokens`` or more tokens count as recurring from two documents on,
+and so do runs of adjacent lines (blank ones between them aside) of as many tokens together: each line of a document that
+recurs anywhere begins a window and ends one, the shortest of ``long_tokens`` tokens over lines that all recur, and
+windows of equal templates are one passage.
 
 All groups are counts and minima by template, combined before the shuffle; no template's lines meet in one task.
 
-Defined cases: null and empty texts stay as they are; blank lines and lines of less than ``min_tokens`` tokens stay; rows
-that repeat an id count as documents of their own, and all rows of the first id keep their lines; null ids count as the
+Defined cases: null and empty texts stay as they are; blank lines stay, and so do lines of less than ``min_tokens`` tokens
+outside recurring runs; rows that repeat an id count as documents of their own, and all rows of the first id keep their lines; null ids count as the
 lowest id; a line's end is ``\\n`` only; letters A-Z are compared in lower case; other columns stay as they are.
 """
 
@@ -29,6 +32,7 @@ from quern.session import ship
 MIN_DOCS, MIN_TOKENS, LONG_TOKENS, LONG_DOCS = 8, 3, 50, 2
 LEADING, SEGMENTS = 2, 4
 _LOWEST = -(1 << 63)
+_LOW_31, _LOW_62 = (1 << 31) - 1, (1 << 62) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -49,7 +53,8 @@ def words_of(part: np.ndarray, begins: np.ndarray, gap: np.ndarray = _GAP) -> tu
 
 
 def templates(part: np.ndarray, offsets: np.ndarray, min_tokens: int = MIN_TOKENS) -> tuple[np.ndarray, ...]:
-    """(row, line, tokens, template hash) of every template that every line of the texts at these offsets takes part in."""
+    """(row, line, tokens, template hash, place among lines that aren't blank, exact) of every template that every line of
+    the texts at these offsets takes part in; exact marks those that leave no part variable."""
     n = len(offsets) - 1
     inside = offsets[:-1][offsets[:-1] < len(part)]
     breaks = np.flatnonzero(part == 10)
@@ -61,13 +66,15 @@ def templates(part: np.ndarray, offsets: np.ndarray, min_tokens: int = MIN_TOKEN
     line = np.arange(len(rows)) - np.searchsorted(rows, rows)
     starts, ends = words_of(part, inside)
     if not len(starts):
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(6))
     tokens = span_hashes(_LOWER[part], starts, ends)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[part])))
     tokens[digits[ends] > digits[starts]] = np.uint64(0x5851F42D4C957F2D)
     at = np.searchsorted(places, starts, side="right") - 1
     size = np.bincount(at, minlength=len(rows))
     begin = np.cumsum(size) - size
+    before = np.cumsum(size > 0) - (size > 0)
+    filled = before - before[np.searchsorted(rows, rows)]
     use = np.flatnonzero(size >= max(1, min_tokens))
     a, m = begin[use], size[use]
     leaf = mix(m.astype(np.uint64))
@@ -86,51 +93,99 @@ def templates(part: np.ndarray, offsets: np.ndarray, min_tokens: int = MIN_TOKEN
                     h = mix(h ^ (parts[i] * np.uint64(2 * i + 3)))
             out.append((use[wide], h))
     which = np.concatenate([w for w, _ in out])
-    return rows[which], line[which], size[which].astype(np.int64), np.concatenate([h for _, h in out]).view(np.int64)
+    return rows[which], line[which], size[which].astype(np.int64), np.concatenate([h for _, h in out]).view(np.int64), filled[which], np.arange(len(which)) < len(use)
 
 
-def line_templates(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, line, tokens, template, lead: one row for each line and template of docs(doc_id, text); lead marks the
-    first line of a text with its template."""
+def line_templates(docs: DataFrame, min_tokens: int = 1) -> DataFrame:
+    """doc_id, text_key, place, tokens, template, lead: one row for each line and template of docs(doc_id, text); place
+    holds the line's number (low 31 bits), its place among lines that aren't blank (next 31) and whether the template is
+    exact (sign); lead marks the first line of a text with its template."""
     ship(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             raw, offsets = buffer_of(strings(batch.column(1)))
             for i, j in slices(np.diff(offsets)):
                 part = raw[offsets[i] : offsets[j]]
                 if not len(part):
                     continue
-                row, line, size, template = templates(part, offsets[i : j + 1] - offsets[i], min_tokens)
+                row, line, size, template, filled, exact = templates(part, offsets[i : j + 1] - offsets[i], min_tokens)
+                place = line.astype(np.int64) | filled.astype(np.int64) << 31 | np.where(exact, _LOWEST, 0)
                 order = np.lexsort((template, line, row))
-                row, line, size, template = row[order], line[order], size[order], template[order]
+                row, place, size, template = row[order], place[order], size[order], template[order]
                 by = np.lexsort((template, row))  # stable: of equal ones the first line leads
                 lead = np.ones(len(by), bool)
                 lead[by[1:]] = (template[by[1:]] != template[by[:-1]]) | (row[by[1:]] != row[by[:-1]])
-                columns = [pa.array(ids[i:j][row]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(template), pa.array(lead)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "tokens", "template", "lead"])
+                columns = [pa.array(ids[i:j][row]), pa.array(keys[i:j][row]), pa.array(place), pa.array(size.astype(np.int32)), pa.array(template), pa.array(lead)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "place", "tokens", "template", "lead"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), "text")
-    return rows.mapInArrow(each, "doc_id long, line int, tokens int, template long, lead boolean")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(each, "doc_id long, text_key long, place long, tokens int, template long, lead boolean")
+
+
+def windows(filled: np.ndarray, tokens: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Ranges of two or more adjacent lines, in order of filled, that reach least tokens and are the shortest with their
+    first or their last line."""
+    out = set()
+    cuts = [0, *(np.flatnonzero(np.diff(filled) != 1) + 1).tolist(), len(filled)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        sums = np.concatenate(([0], np.cumsum(tokens[a:b])))
+        ends = np.searchsorted(sums, sums[:-1] + least)
+        begins = np.searchsorted(sums, sums[1:] - least, side="right") - 1
+        out.update((a + i, a + int(j)) for i, j in enumerate(ends) if j <= b - a)
+        out.update((a + int(i), a + j + 1) for j, i in enumerate(begins) if i >= 0)
+    return sorted((i, j) for i, j in out if j - i > 1)
+
+
+def recurring_runs(recurring: DataFrame, long_tokens: int, long_docs: int) -> DataFrame:
+    """doc_id, text_key and line of lines in runs that recur, of the recurring lines with exact templates."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for doc, key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                # Rows of equal id and text bring each line as often as they are.
+                own = sorted({(x["place"] & _LOW_62) >> 31: x for x in lines}.items())
+                copies = len(lines) // len(own)
+                filled, tokens = np.array([f for f, _ in own]), np.array([x["tokens"] for _, x in own], np.int64)
+                template = np.array([x["template"] for _, x in own], np.int64)
+                seen = set()
+                for i, j in windows(filled, tokens, long_tokens):
+                    h = xxhash.xxh3_64_intdigest(template[i:j].tobytes()) - (1 << 63)
+                    out.append((doc, key, h, [x["place"] & _LOW_31 for _, x in own[i:j]], 0 if h in seen else copies))
+                    seen.add(h)
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "run", "lines", "copies"])
+
+    lists = recurring.filter("place < 0").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "template", "tokens")).alias("x"))
+    runs = written(lists.mapInArrow(each, "doc_id long, text_key long, run long, lines array<int>, copies int"), "runs")
+    found = runs.groupBy("run").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    found = found.filter((F.col("n") >= long_docs) & (F.col("first") < F.col("last"))).select("run", "first")
+    return runs.join(found, "run").filter(F.col("doc_id") != F.col("first")).select("doc_id", "text_key", F.explode("lines").alias("line"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS, long_docs: int = LONG_DOCS) -> DataFrame:
-    """doc_id and lines: the numbers of the lines to drop, for each document that has any."""
-    lines = written(line_templates(docs, min_tokens), "lines")
+    """doc_id, text_key and lines: the numbers of the lines to drop, for each document that has any."""
+    lines = written(line_templates(docs), "lines")
     # A document counts once for a template however often it has it: its first line with it stands for it.
-    enough = F.when(F.col("tokens") >= long_tokens, F.lit(long_docs)).otherwise(F.lit(min_docs))
     found = lines.groupBy("template").agg(F.count_if("lead").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("tokens").alias("tokens"))
-    found = found.filter((F.col("n") >= enough) & (F.col("first") < F.col("last"))).select("template", "first")
-    dropped = lines.join(found, "template").filter(F.col("doc_id") != F.col("first"))
-    return dropped.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    found = found.filter((F.col("n") >= min(min_docs, long_docs)) & (F.col("first") < F.col("last")))
+    recurring = written(lines.select("doc_id", "text_key", "place", "template").join(found, "template"), "recurring")
+    enough = F.when(F.col("tokens") >= long_tokens, F.lit(long_docs)).otherwise(F.lit(min_docs))
+    alone = recurring.filter((F.col("n") >= enough) & (F.col("tokens") >= min_tokens) & (F.col("doc_id") != F.col("first")))
+    alone = alone.select("doc_id", "text_key", F.col("place").bitwiseAND(F.lit(_LOW_31)).cast("int").alias("line"))
+    return alone.union(recurring_runs(recurring, long_tokens, long_docs)).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_lines(docs: DataFrame, **limits: int) -> DataFrame:
     """docs with the recurring lines gone from text, and __q_lines and __q_dropped: the numbers of lines before and dropped."""
-    lines = recurring_lines(docs, **limits).select(F.col("doc_id").alias("__q_id"), F.col("lines").alias("__q_drop"))
+    lines = recurring_lines(docs, **limits).select(F.col("doc_id").alias("__q_id"), F.col("text_key").alias("__q_key"), F.col("lines").alias("__q_drop"))
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST))
-    joined = docs.join(lines, key == F.col("__q_id"), "left")
+    joined = docs.join(lines, (key == F.col("__q_id")) & (F.xxhash64(docs["text"]) == F.col("__q_key")), "left")
     parts = F.split(docs["text"], "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__q_drop", i)), "\n")
     text = F.when(F.col("__q_drop").isNull(), docs["text"]).otherwise(left)

@@ -274,6 +274,39 @@ def test_lines_against_plain_templates(spark):
     assert got[0]["__q_dropped"] == 0 and got[9]["__q_dropped"] == 3 and got[9]["__q_lines"] == 6
 
 
+def test_passage_split_over_lines(spark):
+    rng = np.random.default_rng(21)
+    # 58 tokens over lines of 12, 1, 20, 2, 15 and 8, with blank lines in one copy; half of it is too short to count.
+    passage = [prose(rng, n) for n in (12, 1, 20, 2, 15, 8)]
+    other = [prose(rng, 20), prose(rng, 20)]
+    own = [[prose(rng, 9), prose(rng, 14)] for _ in range(5)]
+    texts = [[own[0][0], *passage, own[0][1]], [own[1][0], *passage[:3], "", *passage[3:], own[1][1]], [own[2][0], *other], [own[3][0], *other, own[3][1]], [own[4][0], *passage[:3], own[4][1]]]
+    rows = [(i, "\n".join(t), None, "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_lines(table(spark, rows).repartition(3)).collect()}
+    assert got == {0: texts[0], 1: [own[1][0], "", own[1][1]], 2: texts[2], 3: texts[3], 4: texts[4]}
+
+
+def test_windows_cover_every_run_that_is_long_enough():
+    rng = np.random.default_rng(22)
+    for _ in range(200):
+        tokens = rng.integers(1, 30, int(rng.integers(1, 14)))
+        filled = np.cumsum(rng.choice([1, 1, 1, 1, 2], len(tokens)))
+        got = line_dedup.windows(filled, tokens, 50)
+        assert all(tokens[i:j].sum() >= 50 and j - i > 1 and filled[j - 1] - filled[i] == j - 1 - i for i, j in got)
+        for a in range(len(tokens)):
+            for b in range(a + 2, len(tokens) + 1):
+                if filled[b - 1] - filled[a] == b - 1 - a and tokens[a:b].sum() >= 50:
+                    assert set(range(a, b)) == {x for i, j in got if a <= i and j <= b for x in range(i, j)}
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rng = np.random.default_rng(23)
+    passage, a, b = prose(rng, 60), prose(rng, 9), prose(rng, 11)
+    rows = [(1, passage, None, "s"), (2, f"{a}\n{passage}", None, "s"), (2, f"{a}\n{b}", None, "s")]
+    got = sorted(r["text"] for r in line_dedup.drop_lines(table(spark, rows)).collect())
+    assert got == sorted([passage, a, f"{a}\n{b}"])
+
+
 def test_wildcards_need_the_same_length_and_start():
     def of(t):
         raw = np.frombuffer(t.encode(), np.uint8)
