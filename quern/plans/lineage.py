@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,15 @@ _written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in tests, a folder of our own."""
+    """``spark.checkpoint.dir``. Where it is unset, a local master gets a folder of our own; on a cluster, whose executors
+    would not see each other's files in one, that is an error."""
     sc = spark.sparkContext
     given = sc._jsc.sc().getCheckpointDir()
     if given.isDefined():
         return given.get()
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-shared-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,12 +42,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made in this application; call it when results that read them are stored."""
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``written`` made in this application and that are still there, oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables that ``written`` made in this application, all if no paths are given; call it when results that read
+    them are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    known = _written.get(spark.sparkContext.applicationId, [])
+    for path in [x for x in known if paths is None or x in paths]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        known.remove(path)
 
 
 @atexit.register

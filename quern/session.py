@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's own default is 64 MB, for each of a task's workers.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -33,11 +36,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def ship(spark: SparkSession) -> None:
-    """Make ``quern`` importable in Python workers when the path does not already provide it.
+    """Make ``quern`` importable in Python workers when the path does not already provide it, and keep their batches small.
 
-    With --py-files, PYTHONPATH or the repository as working directory nothing happens.
+    With --py-files, PYTHONPATH or the repository as working directory nothing is sent. The bytes of a batch are left alone
+    where the session's configuration names them.
     """
     sc = spark.sparkContext
+    if sc.getConf().get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     reachable = {os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p}
     if os.path.realpath(ROOT) in reachable or (os.path.exists("quern") and os.path.realpath("quern") == str(ROOT / "quern")):
         return
