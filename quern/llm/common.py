@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a vectorised operator holds at once; a longer text makes a step of its own.
-SLICE_BYTES = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of text that one step of a vectorised operator holds at once; a longer text makes a step of its own, within which
+#: arrays of more than a byte for each byte of text are made in parts of this size.
+SLICE_BYTES = 1 << 19
+_BASE = 0x9E3779B97F4A7C15 | 1
+_BLOCK = 1 << 16
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -42,18 +46,17 @@ def buffer_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, at least n of them."""
-    if 0 not in _powers or len(_powers[0][0]) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        both = []
-        for b in (_BASE, inverse):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _powers[0] = (both[0], both[1])
-    return _powers[0]
+@cache
+def _powers(base: int) -> np.ndarray:
+    """The first powers of an odd number modulo 2**64; all others are products of two, so this is all that is kept."""
+    steps = np.full(_BLOCK, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _power(base: int, exponents: np.ndarray) -> np.ndarray:
+    high = _powers(pow(base, _BLOCK, 1 << 64))
+    return _powers(base)[exponents & (_BLOCK - 1)] * high[exponents >> 16]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,13 +68,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of values, each times its place's power of the base, up to each place."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    for i in range(0, len(values), _BLOCK):
+        part = values[i : i + _BLOCK].astype(np.uint64) + np.uint64(1)
+        part *= _powers(_BASE)[: len(part)] * np.uint64(pow(_BASE, i, 1 << 64))
+        np.cumsum(part, out=part)
+        sums[i + 1 : i + 1 + len(part)] = part + sums[i]
+    return sums
+
+
+def shifted_back(sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences of prefix sums made independent of where they start."""
+    return sums * _power(pow(_BASE, -1, 1 << 64), starts)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of values[start:end], equal for equal spans wherever they stand."""
-    forward, backward = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * forward[: len(values)], out=sums[1:])
-    spans = (sums[ends] - sums[starts]) * backward[starts]
-    return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sums = prefix_sums(values)
+    return mix(shifted_back(sums[ends] - sums[starts], starts) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes of sorted spans that don't overlap, some of a long text at a time."""
+    at = np.unique(np.concatenate((np.searchsorted(starts, np.arange(0, len(part), SLICE_BYTES)), [len(starts)])))
+    each = zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+    parts = [span_hashes(part[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in each]
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -88,3 +112,10 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     before = np.cumsum(counts) - counts
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - before, counts)
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with few (a row a key), of which each goes to ``salts`` places, so that a key's rows meet it there."""
+    left = rows.withColumn("__q_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    right = few.withColumn("__q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__q_salt"], how).drop("__q_salt")

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import list_array, mix, powers, span_hashes
+from quern.llm.common import list_array, mix, prefix_sums, shifted_back, span_hashes
 from quern.session import ship
 
-GRAM, WINDOW = 16, 64
+GRAM, WINDOW = 16, 16
+#: Windows that are looked at together.
+STEP = 1 << 17
 _LOWEST = -(1 << 63)
 
 
@@ -34,21 +36,26 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     if n < gram:
         whole = span_hashes(points, np.array([0]), np.array([n]))
         return (whole >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
-    forward, backward = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * forward[:n], out=sums[1:])
-    hashes = mix((sums[gram:] - sums[:-gram]) * backward[: n - gram + 1])
-    # One key orders by hash, then from the right.
     low = np.uint64(0xFFFFFFFF)
-    keys = (hashes & ~low) | (low - np.arange(len(hashes), dtype=np.uint64))
-    width, least = 1, keys
-    while width * 2 <= min(window, len(keys)):
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = min(window, len(keys)) - width
-    if rest:
-        least = np.minimum(least[:-rest], least[rest:])
-    chosen = least[np.concatenate(([True], least[1:] != least[:-1]))]
+    most = min(window, n - gram + 1)
+    out, last = [], None
+    for a in range(0, n - gram - most + 2, STEP):  # windows that start here
+        part = points[a : a + STEP + most + gram - 2]
+        sums = prefix_sums(part)
+        starts = np.arange(len(part) - gram + 1)
+        hashes = mix(shifted_back(sums[gram:] - sums[:-gram], starts))
+        # One key orders by hash, then from the right.
+        keys = (hashes & ~low) | (low - (starts + a).astype(np.uint64))
+        width, least = 1, keys
+        while width * 2 <= most:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if most > width:
+            least = np.minimum(least[: width - most], least[most - width :])
+        fresh = np.concatenate(([last is None or least[0] != last], least[1:] != least[:-1]))
+        out.append(least[fresh])
+        last = least[-1]
+    chosen = np.concatenate(out)
     return (chosen >> np.uint64(32)).astype(np.uint32), (low - (chosen & low)).astype(np.int64)
 
 

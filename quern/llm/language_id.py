@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffer_of, slices, strings
+from quern.llm.common import SLICE_BYTES, buffer_of, slices, strings
 from quern.session import ship
 
 TRAIN_DOCS, DIMENSIONS, MIN_BITS = 10_000, 1 << 13, 15
 FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
 CLOSE = 0.15
+#: Texts whose gram counts are held at once.
+ROWS = 100
 #: Bytes as classifiers see them: letters in lower case, all other ASCII a space.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 _GRAM = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
@@ -40,23 +42,23 @@ def gram_counts(part: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSI
     n = len(offsets) - 1
     shift = np.uint32(32 - (dimensions.bit_length() - 1))
     b = _FOLD[part]
-    owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32) | (owner[1:] != owner[:-1])
-    b, owner = b[keep].astype(np.uint32), owner[keep]
+    b, owner = b[keep], owner[keep]
     out = np.zeros(n * dimensions, np.int64)
     for size in (3, 4):
-        m = len(b) - size + 1
-        if m <= 0:
-            continue
-        h = np.full(m, size, np.uint32)
-        for i in range(size):
-            h = (h ^ b[i : i + m]) * _GRAM[i]
-            h ^= h >> np.uint32(15)
-        h *= _GRAM[0]
-        whole = owner[:m] == owner[size - 1 :]
-        # A gram of one letter's bytes says something; one of spaces only can't occur.
-        out += np.bincount((owner[:m] * dimensions + (h >> shift))[whole], minlength=n * dimensions)
+        for a in range(0, len(b) - size + 1, SLICE_BYTES):
+            m = min(SLICE_BYTES, len(b) - size + 1 - a)
+            h = np.full(m, size, np.uint32)
+            for i in range(size):
+                h = (h ^ b[a + i : a + i + m]) * _GRAM[i]
+                h ^= h >> np.uint32(15)
+            h *= _GRAM[0]
+            of = owner[a : a + m]
+            whole = of == owner[a + size - 1 : a + size - 1 + m]
+            # A gram of one letter's bytes says something; one of spaces only can't occur.
+            out += np.bincount((of.astype(np.int64) * dimensions + (h >> shift))[whole], minlength=n * dimensions)
     return out.reshape(n, dimensions)
 
 
@@ -122,9 +124,9 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, dimensions: int = DIMEN
         for batch in batches:
             raw, offsets = buffer_of(strings(batch.column(0)))
             langs = np.array(batch.column(1).to_pylist(), object)
-            for i, j in slices(np.diff(offsets), 1_000_000):
-                for a in range(i, j, 400):
-                    e = min(a + 400, j)
+            for i, j in slices(np.diff(offsets)):
+                for a in range(i, j, ROWS):
+                    e = min(a + ROWS, j)
                     found = gram_counts(raw[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a], dimensions)
                     for lang in set(langs[a:e]):
                         sums[lang] = sums.get(lang, 0) + found[langs[a:e] == lang].sum(0)
@@ -157,9 +159,9 @@ def predict(docs: DataFrame, model: Model | None, dimensions: int = DIMENSIONS)
                 lettered[i] = any(c.isalpha() for c in text[i].as_py())
             best, score, close = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
             if m is not None:
-                for i, j in slices(np.diff(offsets), 1_000_000):
-                    for a in range(i, j, 400):
-                        e = min(a + 400, j)
+                for i, j in slices(np.diff(offsets)):
+                    for a in range(i, j, ROWS):
+                        e = min(a + ROWS, j)
                         best[a:e], score[a:e], close[a:e] = m.decode(gram_counts(raw[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a], dimensions))
             known = lettered & (best >= 0)
             names = np.array([*(m.languages if m is not None else []), UNKNOWN], object)

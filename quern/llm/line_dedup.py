@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffer_of, mix, slices, span_hashes, strings
+from quern.llm.common import buffer_of, mix, slices, span_hashes, strings, word_hashes
 from quern.plans.lineage import written
 from quern.session import ship
 
@@ -67,9 +67,9 @@ def templates(part: np.ndarray, offsets: np.ndarray, min_tokens: int = MIN_TOKEN
     starts, ends = words_of(part, inside)
     if not len(starts):
         return tuple(np.empty(0, np.int64) for _ in range(6))
-    tokens = span_hashes(_LOWER[part], starts, ends)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[part])))
-    tokens[digits[ends] > digits[starts]] = np.uint64(0x5851F42D4C957F2D)
+    tokens = word_hashes(_LOWER[part], starts, ends)
+    digits = np.flatnonzero(_DIGIT[part])
+    tokens[np.searchsorted(digits, ends) > np.searchsorted(digits, starts)] = np.uint64(0x5851F42D4C957F2D)
     at = np.searchsorted(places, starts, side="right") - 1
     size = np.bincount(at, minlength=len(rows))
     begin = np.cumsum(size) - size

@@ -9,18 +9,24 @@ order puts values that many classes retain last, so common lines and passages ma
 Inverted lists of those first values generate the candidates. A list of at most ``LIST`` classes yields its pairs, which
 an estimate filters: among the k least values of the union of both sketches at least ``COMMON`` must lie in both.
 
-Classes that stand in longer lists (large families of near copies) get sketches of ``WIDE`` values, most often whole
-sets, and the same lists over these: a class of which more than a quarter is its own then stands in no long list at all.
-In each long list that remains, the class that retains the most common values is compared with all others. Lists with one
-such centre form a group; classes that are linked to the centre need no further comparing, and the rest of the group is
-compared with the whole group in cells of two blocks, by products of incidence matrices, which emit links alone.
+Classes that stand in longer lists (large families of near copies) get sketches of ``WIDE`` values, which are whole sets
+but for very long texts, and the same lists over these. There a value's place tells how much a class can share with one
+that it first meets there, so documents that hold a large common part, but not enough of it to be near, leave the lists
+that remain long. In each of these, the class that retains the most common values is compared with all others. Lists with
+one such centre form a group; classes that are linked to the centre need no further comparing, and the rest of the group
+is compared with the whole group in cells of two blocks, by products of incidence matrices, which emit links alone.
 
-Candidates are decided on full sets. They meet by neighbourhood: pairs around the same least class form one, dealt into
-blocks of ``BLOCK`` classes, so that a set travels once per block and not once per pair.
+Candidates are decided on full sets, for which the texts of the classes at hand are shuffled once. Pairs meet by
+neighbourhood: pairs around the same least class form one, dealt into blocks of about ``BLOCK`` shingles, so that a set
+travels once per block and not once per pair, and a cell of two blocks is bounded however large a family or a text is.
+
+The plan is the same at every size: nothing is collected or broadcast but what Spark finds small by itself. Joins whose
+keys can be hot (a common value, a neighbourhood, a group) are salted; where rows meet what their own class or component
+is called, adaptive execution splits the partitions of large classes.
 
 Defined cases: null text counts as empty, and empty sets link with nothing (each such row is its own component); repeated
-rows are copies; an empty table gives an empty result; a null id is never the least id of a component, and a class of which
-no row has an id is not compared; other columns are ignored.
+rows are copies; an empty table gives an empty result; a null id is never the least id of a component, and a component of
+which no row has an id has none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +38,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffer_of, list_array, mix, slices, span_hashes, strings
+from quern.llm.common import buffer_of, list_array, mix, salted_join, slices, span_hashes, strings, word_hashes
 from quern.llm.components import components
 from quern.llm.line_dedup import _LOWER, words_of
 from quern.plans.lineage import written
 from quern.session import ship
 
 K, COMMON, LIST = 32, 10, 64
-#: The same for classes of large families; 685 of 1024 again leaves six standard deviations.
-WIDE, WIDE_COMMON = 1_024, 685
-BLOCK = 256
-#: Ids of wanted documents that are sent to all tasks at most (16 MB of them); more are joined by shuffle.
-SENT_IDS = 1 << 21
+#: The same for classes of large families; it again leaves six standard deviations.
+WIDE, WIDE_COMMON = 1 << 14, 11_955
+#: Shingles of a block of classes, on average.
+BLOCK = 1 << 17
 WORDS, NEAR = 5, 75
-#: Values retained by more than LIST classes that may be known to all tasks; beyond, the bound of "more" doubles.
-HOT_VALUES = 1 << 18
+_NO_ID = (1 << 63) - 1
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -60,7 +64,7 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
             yield from (np.empty(0, np.int64) for _ in range(j - i))
             continue
         starts, ends = words_of(part, own[:-1][own[:-1] < len(part)])
-        hashes = span_hashes(part, starts, ends)
+        hashes = word_hashes(part, starts, ends)
         bounds = np.searchsorted(starts, own)
         m = max(0, len(hashes) - words + 1)
         rolled = np.zeros(m, np.uint64)
@@ -113,29 +117,26 @@ def _least_common(n: np.ndarray, k: int, common: int) -> np.ndarray:
     return np.where(n <= k, np.maximum(1, np.ceil(0.75 * n - np.maximum(0, n / 0.75 - k) - 1e-9)), common).astype(np.int64)
 
 
+def _hot_values(classes: DataFrame, most: int) -> DataFrame:
+    """class and hot: the values that more than most classes retain, each with their number."""
+    own = classes.select("class", F.explode("sketch").alias("value"))
+    often = own.groupBy("value").agg(F.count("*").alias("often")).filter(F.col("often") > most)
+    return salted_join(own, often, "value").groupBy("class").agg(F.collect_list(F.struct("value", "often")).alias("hot"))
+
+
 def entries(classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST) -> DataFrame:
-    """value, class, n, hot and weight: the inverted lists of the values of each class that must be looked at."""
-    spark = classes.sparkSession
-    counts = written(classes.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > most), "hot")
-    level = F.floor(F.log2(F.col("n") / most)).cast("int")
-    total, least = 0, 64
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        total += row["count"]
-        if total > HOT_VALUES:
-            break
-        least = row["level"]
-    hot = counts.filter(level >= least).toArrow()
-    values, numbers = hot.column("value").to_numpy(), hot.column("n").to_numpy()
-    order = np.argsort(values)
-    sent = spark.sparkContext.broadcast((values[order], numbers[order]))
+    """value, class, n, hot, weight and reach: the inverted lists of the values of each class that must be looked at.
+    reach: the largest set that can be near the class if this is the first value that both have."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = sent.value
         for batch in batches:
             lists, sizes = batch.column(2), batch.column(1).to_numpy()
             flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
             if not len(flat):
                 continue
+            hot = batch.column(3).flatten()
+            known, first = np.unique(hot.field(0).to_numpy(), return_index=True)
+            often = hot.field(1).to_numpy()[first]
             s = np.diff(ends, prepend=0)
             owner = np.repeat(np.arange(len(s)), s)
             at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
@@ -143,12 +144,19 @@ def entries(classes: DataFrame, k: int = K, common: int = COMMON, most: int = LI
             weight = np.bincount(owner, weights=n, minlength=len(s)).astype(np.int64)
             order = np.lexsort((flat, n, owner))
             rank = np.arange(len(flat)) - (ends - s)[owner[order]]
-            use = order[rank < (s - np.minimum(_least_common(sizes, k, common), s) + 1)[owner[order]]]
+            used = rank < (s - np.minimum(_least_common(sizes, k, common), s) + 1)[owner[order]]
+            use, rank = order[used], rank[used]
             o = owner[use]
+            # Sets a, b that are near share 3/7 of their sizes' sum, so from here on at least that must be left of a. It
+            # holds for those that are whole with all that can be near to them.
+            reach = np.where(sizes[o] * 100 <= k * NEAR, (7 * (sizes[o] - rank)) // 3 - sizes[o], _NO_ID)
             ids = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(flat[use]), pa.array(ids[o]), pa.array(sizes[o]), pa.array(n[use] > 0), pa.array(weight[o])], ["value", "class", "n", "hot", "weight"])
+            columns = [pa.array(flat[use]), pa.array(ids[o]), pa.array(sizes[o]), pa.array(n[use] > 0), pa.array(weight[o]), pa.array(reach)]
+            yield pa.RecordBatch.from_arrays(columns, ["value", "class", "n", "hot", "weight", "reach"])
 
-    return classes.select("class", "n", "sketch").mapInArrow(each, "value long, class long, n long, hot boolean, weight long")
+    known = classes.select("class", "n", "sketch").join(_hot_values(classes, most), "class", "left")
+    known = known.withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<value: bigint, often: bigint>>")))
+    return known.mapInArrow(each, "value long, class long, n long, hot boolean, weight long, reach long")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -157,10 +165,19 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 def short_list_pairs(lists: DataFrame) -> DataFrame:
     """a < b: pairs of classes of one list, whose sizes allow the likeness."""
-    grouped = lists.groupBy("value").agg(F.collect_list(F.struct("class", "n")).alias("own")).filter(F.size("own") > 1)
+    grouped = lists.groupBy("value").agg(F.collect_list(F.struct("class", "n", "reach")).alias("own")).filter(F.size("own") > 1)
     first = grouped.select("own", F.posexplode("own").alias("i", "x"))
-    other = F.filter("own", lambda y: (y["class"] > F.col("x")["class"]) & _sizes_fit(y["n"], F.col("x")["n"]))
-    return first.select(F.col("x")["class"].alias("a"), F.explode(other).alias("y")).select("a", F.col("y")["class"].alias("b"))
+    x = F.col("x")
+    other = F.filter("own", lambda y: (y["class"] > x["class"]) & _sizes_fit(y["n"], x["n"]) & (y["n"] <= x["reach"]) & (x["n"] <= y["reach"]))
+    return first.select(x["class"].alias("a"), F.explode(other).alias("y")).select("a", F.col("y")["class"].alias("b"))
+
+
+def within_reach(long: DataFrame) -> DataFrame:
+    """The entries of long lists that another entry of their list can be near to: of two, the smaller reaches the larger,
+    so a list needs a class that reaches its own size, and the others those sizes."""
+    able = F.col("reach") >= F.col("n")
+    spans = long.filter(able).groupBy("value").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    return salted_join(long, spans, "value").filter(able | ((F.col("n") <= F.col("most")) & (F.col("reach") >= F.col("least")))).drop("least", "most")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, k: int = K, common: int = COMMON) -> DataFrame:
@@ -175,21 +192,21 @@ def likely(pairs: DataFrame, classes: DataFrame, k: int = K, common: int = COMMO
     return pairs.distinct().join(left, "a").join(right, "b").filter(passed).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect what the pairs (a, b) with near enough full shingle sets connect."""
+def confirmed(pairs: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect what the pairs (a, b) with near enough sets connect."""
     pairs = written(pairs.distinct(), "candidates")
     ends = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    least = ends.groupBy("class").agg(F.min("other").alias("m")).select("class", F.least("class", "m").alias("m"))
-    of_a, of_b = (least.select(F.col("class").alias(x), F.col("m").alias(f"m{x}")) for x in "ab")
-    near = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", F.least("ma", "mb").alias("home")), "homes")
-    members = near.select("home", F.explode(F.array("a", "b")).alias("class")).distinct()
-    blocks = members.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    part = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    cells = near.join(blocks, "home").select("a", "b", "home", part("a").alias("pa"), part("b").alias("pb"))
-    cells = cells.select("a", "b", F.col("home"), F.least("pa", "pb").alias("p1"), F.greatest("pa", "pb").alias("p2"))
+    least = ends.groupBy("class").agg(F.min("other").alias("m")).select("class", F.least("class", "m").alias("m")).join(sets.select("class", "n"), "class")
+    of_a, of_b = (least.select(F.col("class").alias(x), F.col("m").alias(f"m{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = written(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "na", "nb", F.least("ma", "mb").alias("home")), "homes")
+    ends = F.array(F.struct(F.col("a").alias("class"), F.col("na").alias("n")), F.struct(F.col("b").alias("class"), F.col("nb").alias("n")))
+    members = near.select("home", F.explode(ends).alias("x")).select("home", "x.*").distinct()
+    blocks = members.groupBy("home").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))).cast("int")
+    cells = salted_join(near.select("a", "b", "home"), blocks, "home", "left").select("a", "b", "home", part("a").alias("pa"), part("b").alias("pb"))
+    cells = cells.select("a", "b", "home", F.least("pa", "pb").alias("p1"), F.greatest("pa", "pb").alias("p2"))
     cells = written(cells, "cells")
     places = cells.select(F.explode(F.array("a", "b")).alias("class"), F.col("home").alias("h"), F.col("p1").alias("q1"), F.col("p2").alias("q2")).distinct()
-    sets = full_sets(docs, written(places.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "wanted"))
     given = sets.join(places, "class")
 
     def decide(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -221,63 +238,62 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, block: int
     return cells.groupBy("home", "p1", "p2").cogroup(given.groupBy("h", "q1", "q2")).applyInArrow(decide, "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int | None = None) -> DataFrame:
-    """class, n and shingles (all, or the k least) of the classes of wanted(class, doc_id), from docs(doc_id, text)."""
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, n and shingles of the classes of wanted(class, rid, rkey: id and key of one text), from docs(doc_id, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 sets = list(shingle_sets(batch.column(0).slice(i, 500)))
-                kept = [s[:k] for s in sets]
-                flat = np.concatenate(kept) if kept else np.empty(0, np.int64)
-                lists = list_array(flat, np.array([len(s) for s in kept], np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["class", "n", "shingles"])
+                flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+                n = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array(n), list_array(flat, n, pa.int64())], ["class", "n", "shingles"])
+
+    texts = docs.select(_id_key().alias("rid"), text_key(F.col("text")).alias("rkey"), "text").join(wanted, ["rid", "rkey"], "left_semi")
+    # Rows that repeat an id and a text repeat their set.
+    return texts.select("text").mapInArrow(each, "class long, n long, shingles array<long>").dropDuplicates(["class"])
+
 
-    ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= SENT_IDS else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    found = texts.mapInArrow(each, "class long, n long, shingles array<long>")
-    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+def _id_key() -> Column:
+    return F.coalesce("doc_id", F.lit(_NO_ID))
 
 
-def near_links(docs: DataFrame, classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST, wide: int = WIDE, wide_common: int = WIDE_COMMON) -> DataFrame:
-    """node and root of every class that is linked to another; classes(class, n, doc_id, sketch) of docs(doc_id, text)."""
+def near_links(docs: DataFrame, classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST, wide: int = WIDE, wide_common: int = WIDE_COMMON, block: int = BLOCK) -> DataFrame:
+    """node and root of every class that is linked to another; classes(class, n, rid, rkey, sketch) of docs(doc_id, text)."""
     lists = written(entries(classes, k, common, most), "lists")
-    tested = likely(short_list_pairs(lists.filter("not hot")), classes, k, common)
-    crowded = written(lists.filter("hot").select("class").distinct().join(classes.select("class", "doc_id"), "class"), "crowded")
-    long = None
-    if not crowded.isEmpty():
-        sketched = written(full_sets(docs, crowded, wide).withColumnRenamed("shingles", "sketch"), "wide")
-        again = written(entries(sketched, wide, wide_common, most), "wide-lists")
-        tested = tested.union(short_list_pairs(again.filter("not hot")))
-        long = written(again.filter("hot"), "long")
-        if long.isEmpty():
-            long = None
-    if long is not None:
-        tops = long.groupBy("value").agg(F.max_by("class", F.struct("weight", "class")).alias("top")).withColumnRenamed("value", "v")
-        groups = long.join(tops, F.col("value") == F.col("v")).select("top", "class", "n").distinct()
-        long = written(groups.join(classes.select(F.col("class").alias("top"), F.col("n").alias("tn")), "top"), "groups")
+    pairs = written(likely(short_list_pairs(lists.filter("not hot")), classes, k, common), "pairs")
+    crowded = lists.filter("hot").select("class").distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(crowded).distinct()
+    sets = written(full_sets(docs, wanted.join(classes.select("class", "rid", "rkey"), "class")), "sets")
+    sketched = sets.join(crowded, "class", "left_semi").select("class", "n", F.slice("shingles", 1, wide).alias("sketch"))
+    again = written(entries(sketched, wide, wide_common, most), "wide-lists")
+    pairs = pairs.union(short_list_pairs(again.filter("not hot")))
+    long = written(within_reach(again.filter("hot")), "long")
+    any_long = not long.isEmpty()
+    if any_long:
+        tops = long.groupBy("value").agg(F.max_by(F.struct("class", "n"), F.struct("weight", "class")).alias("top")).select("value", F.col("top.class").alias("top"), F.col("top.n").alias("tn"))
+        long = written(salted_join(long, tops, "value").select("top", "tn", "class", "n").distinct(), "groups")
         star = long.filter((F.col("class") != F.col("top")) & _sizes_fit(F.col("n"), F.col("tn")))
-        tested = tested.union(star.select(F.least("class", "top").alias("a"), F.greatest("class", "top").alias("b")))
-    found = written(confirmed(tested, classes, docs), "links")
-    links = written(components(found), "components")
-    if long is not None:
-        more = written(_rest_links(long, links, classes, docs), "rest-links")
+        pairs = pairs.union(star.select(F.least("class", "top").alias("a"), F.greatest("class", "top").alias("b")))
+    links = written(components(written(confirmed(pairs, sets, block), "links")), "components")
+    if any_long:
+        more = written(_rest_links(long, links, sets, block), "rest-links")
         if not more.isEmpty():
             links = written(components(more.union(links.select(F.col("node").alias("a"), F.col("root").alias("b")))), "components")
     return links
 
 
-def _rest_links(groups: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the classes of groups(top, class) that are not in their top's component and all of the group."""
-    root = links.select(F.col("node"), "root")
-    rooted = groups.join(root.withColumnRenamed("node", "class"), "class", "left").select("top", "class", F.coalesce("root", "class").alias("root"))
-    rooted = rooted.join(root.select(F.col("node").alias("top"), F.col("root").alias("top_root")), "top", "left")
-    rooted = written(rooted.select("top", "class", (F.col("root") != F.coalesce("top_root", "top")).alias("rest")), "rooted")
-    sizes = rooted.groupBy("top").agg(F.ceil(F.count("*") / block).cast("int").alias("all"), F.ceil(F.count_if("rest") / block).cast("int").alias("some")).filter("some > 0")
+def _rest_links(groups: DataFrame, links: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the classes of groups(top, class, n) that are not in their top's component and all of the group."""
+    root = links.select("node", "root")
+    rooted = groups.join(root.withColumnRenamed("node", "class"), "class", "left").select("top", "class", "n", F.coalesce("root", "class").alias("root"))
+    of_top = groups.select("top").distinct().join(root.withColumnRenamed("node", "top"), "top", "left").select("top", F.coalesce("root", "top").alias("top_root"))
+    rooted = written(salted_join(rooted, of_top, "top").select("top", "class", "n", (F.col("root") != F.col("top_root")).alias("rest")), "rooted")
+    blocks = lambda c: F.greatest(F.ceil(F.sum(c) / block), F.lit(1)).cast("int")
+    sizes = rooted.groupBy("top").agg(blocks("n").alias("all"), blocks(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("some"), F.max("rest").alias("any")).filter("any").drop("any")
     part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
-    placed = written(rooted.join(sizes, "top").select("top", "class", "rest", "all", "some", part("all").alias("pa"), part("some").alias("ps")), "placed")
-    sets = full_sets(docs, written(placed.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "wanted")).drop("n")
+    placed = written(salted_join(rooted, sizes, "top").select("top", "class", "rest", "all", "some", part("all").alias("pa"), part("some").alias("ps")), "placed")
+    sets = sets.select("class", "shingles")
     left = placed.filter("rest").select("class", F.col("top").alias("lt"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("li"), F.col("ps").alias("lj"))
     right = placed.select("class", F.col("top").alias("rt"), F.col("pa").alias("ri"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("rj"))
 
@@ -294,7 +310,7 @@ def _sets_of(t: pa.Table, key: str, values: str) -> tuple[np.ndarray, np.ndarray
     return t.column(key).to_numpy(), lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
 
 
-def linked_sets(a: np.ndarray, a_flat: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_flat: np.ndarray, b_sizes: np.ndarray, columns: int = 4_096) -> list[tuple[int, int]]:
+def linked_sets(a: np.ndarray, a_flat: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_flat: np.ndarray, b_sizes: np.ndarray, columns: int = 2_048) -> list[tuple[int, int]]:
     """Near enough pairs of the sets of a with those of b, without those that others of them imply. Only shared values
     enter the matrices, some columns at a time."""
     if not len(a_flat) or not len(b_flat):
@@ -338,8 +354,9 @@ def components_of(docs: DataFrame, k: int = K) -> DataFrame:
     empty set) of each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(sketches(docs, k), "sketches")
-    classes = rows.filter("class is not null").groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    one = F.min(F.struct(_id_key().alias("rid"), F.col("text_key").alias("rkey"))).alias("one")
+    classes = rows.filter("class is not null").groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), one, F.first("sketch").alias("sketch"))
+    classes = written(classes.select("class", "n", "doc_id", "one.*", "sketch"), "classes")
     links = near_links(docs, classes, k)
     of_class = classes.select("class", "doc_id").join(links.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -33,35 +33,27 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-@cache
-def _ranks(path: str) -> tuple[dict[bytes, int], object]:
-    """A BPE engine over the file's own vocabulary; its merges stand in the order of their ids, as ranks need it."""
-    import json
+#: Pre-tokens whose ids a worker keeps, and those that go to the library at once.
+KEPT, AT_ONCE = 1 << 16, 10_000
 
-    import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    # Byte-level vocabularies write the bytes that are no printable characters of Latin-1 as U+0100 and on.
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    specials = {t.content for t in tokenizer(path).get_added_tokens_decoder().values()}
-    ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in specials}
-    return ranks, tiktoken.Encoding("file", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+@cache
+def _known(path: str) -> dict[str, list[int]]:
+    """Ids of the pre-tokens that this worker met first, which are the most frequent ones."""
+    return {}
 
 
 def piece_ids(words: list[str], path: str) -> list[list[int]]:
     """The ids of each pre-token, as the tokenizer file gives them."""
-    ranks, engine = _ranks(path)
-    special = special_of(path)
-    out = []
-    for w in words:
-        if w == special:
-            out.append([tokenizer(path).token_to_id(w)])
-            continue
-        raw = w.encode()
-        known = ranks.get(raw)
-        out.append([known] if known is not None else engine.encode_single_piece(raw))
+    known, encoder = _known(path), tokenizer(path)
+    out = [known.get(w) for w in words]
+    fresh = [i for i, x in enumerate(out) if x is None]
+    for a in range(0, len(fresh), AT_ONCE):
+        at = fresh[a : a + AT_ONCE]
+        for i, found in zip(at, encoder.encode_batch_fast([words[i] for i in at], add_special_tokens=False), strict=True):
+            out[i] = found.ids
+            if len(known) < KEPT:
+                known[words[i]] = out[i]
     return out
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quern.llm.common import buffer_of, slices, strings
+from quern.llm.common import SLICE_BYTES, buffer_of, slices, strings
 
 SPACE, WHITE, LETTER, NUMBER, OTHER = 0, 1, 2, 3, 4
 #: Code points with Unicode's property White_Space, the space apart.
@@ -41,7 +41,7 @@ def classes() -> np.ndarray:
     return out
 
 
-def code_points(text: pa.Array, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """Code points of the joined texts, and each one's first byte (None: one byte each)."""
     if not len(raw) or raw.max() < 0x80:
         return raw, None
@@ -94,6 +94,26 @@ def _contractions(points: np.ndarray, fresh: np.ndarray, start: np.ndarray, at:
         start[after] = True
 
 
+def segments(raw: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of texts and of parts of long ones, and the number of parts of each text. A part begins at a single space
+    between two letters A-Z, where a pre-token begins however the text goes on."""
+    letter = lambda x: ((x | 32) >= 97) & ((x | 32) <= 122)
+    cuts, parts = [], np.ones(len(offsets) - 1, np.int64)
+    for i in np.flatnonzero(np.diff(offsets) > limit).tolist():
+        text, own, at = raw[offsets[i] : offsets[i + 1]], [], limit
+        while at < len(text) - 1:
+            near = text[at - 1 : at + 65_537]
+            hits = np.flatnonzero((near[1:-1] == 32) & letter(near[:-2]) & letter(near[2:]))
+            if len(hits):
+                own.append(offsets[i] + at + int(hits[0]))
+                at += int(hits[0]) + limit
+            else:
+                at += 65_536
+        cuts += own
+        parts[i] += len(own)
+    return np.sort(np.concatenate((offsets, np.array(cuts, np.int64)))), parts
+
+
 def pretokens(column: pa.Array | pa.ChunkedArray, special: str = "") -> tuple[pa.DictionaryArray, np.ndarray]:
     """All pre-tokens of a text column as one dictionary array, and the number of them in each row.
 
@@ -102,13 +122,14 @@ def pretokens(column: pa.Array | pa.ChunkedArray, special: str = "") -> tuple[pa
     text = strings(column)
     marked = bool(special) and bool(pc.any(pc.match_substring(text, special)).as_py())
     raw, offsets = buffer_of(text)
-    pieces, counts = [], np.zeros(len(text), np.int64)
+    offsets, parts = segments(raw, offsets)
+    pieces, counts = [], np.zeros(len(offsets) - 1, np.int64)
     for i, j in slices(np.diff(offsets)):
         a, b = offsets[i], offsets[j]
         if a == b:
             continue
         part = raw[a:b]
-        points, places = code_points(text, part)
+        points, places = code_points(part)
         begins = offsets[i:j] - a
         begins = np.unique(begins[begins < b - a])
         extra = np.empty(0, np.int64)
@@ -124,7 +145,8 @@ def pretokens(column: pa.Array | pa.ChunkedArray, special: str = "") -> tuple[pa
         pieces.append(pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(part)]))
         counts[i:j] = np.diff(np.searchsorted(at, offsets[i : j + 1] - a))
     flat = pa.chunked_array(pieces, pa.string()).dictionary_encode().combine_chunks() if pieces else pa.array([], pa.string()).dictionary_encode()
-    return (flat if isinstance(flat, pa.DictionaryArray) else flat.chunk(0)), counts
+    of_text = np.diff(np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(parts)))])
+    return (flat if isinstance(flat, pa.DictionaryArray) else flat.chunk(0)), of_text
 
 
 def _marks(part: np.ndarray, special: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

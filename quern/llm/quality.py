@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import buffer_of, mix, slices, span_hashes, strings
+from quern.llm.common import buffer_of, mix, slices, strings, word_hashes
 from quern.llm.line_dedup import _LOWER, words_of
 from quern.session import ship
 
@@ -40,7 +40,7 @@ _NO_WORD = np.array([not (97 <= c <= 122 or 65 <= c <= 90 or c >= 128) for c in
 def text_view(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last row, dense features, row of each distinct word, hash of it), slice by slice."""
     raw, offsets = buffer_of(strings(column))
-    for i, j in slices(np.diff(offsets), 1_000_000):
+    for i, j in slices(np.diff(offsets)):
         own = offsets[i : j + 1] - offsets[i]
         part = raw[offsets[i] : offsets[j]]
         n = j - i
@@ -50,13 +50,13 @@ def text_view(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
             dense[:, 0] = 1
             yield i, j, dense, np.empty(0, np.int64), np.empty(0, np.uint32)
             continue
-        owner = np.repeat(np.arange(n, dtype=np.int64), size)
-        shares = np.bincount(owner * 256 + part, minlength=n * 256).reshape(n, 256) / np.maximum(size, 1)[:, None]
+        counts = np.stack([np.bincount(part[a:b], minlength=256) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)])
+        shares = counts / np.maximum(size, 1)[:, None]
         dense[:, 0] = 1
         dense[:, 1:129] = np.sqrt(shares[:, :128])
         dense[:, 129] = np.log1p(size) / 10
         starts, ends = words_of(part, own[:-1][own[:-1] < len(part)], _NO_WORD)
-        words = (span_hashes(_LOWER[part], starts, ends) >> np.uint64(32)).astype(np.int64)
+        words = (word_hashes(_LOWER[part], starts, ends) >> np.uint64(32)).astype(np.int64)
         of = np.searchsorted(own, starts, side="right") - 1
         number = np.bincount(of, minlength=n)
         pairs = np.unique(of << 32 | words)
@@ -70,7 +70,7 @@ def text_view(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         cuts = np.unique(np.concatenate((own[:-1][own[:-1] < len(part)], breaks + 1)))
         cuts = cuts[cuts < len(part)]
         stops = np.append(cuts[1:], len(part))
-        lines = span_hashes(part, cuts, np.maximum(cuts, stops - (part[stops - 1] == 10)))
+        lines = word_hashes(part, cuts, np.maximum(cuts, stops - (part[stops - 1] == 10)))
         of_line = np.searchsorted(own, cuts, side="right") - 1
         table = np.unique(np.stack((of_line.astype(np.uint64), lines)), axis=1)
         all_lines = np.bincount(of_line, minlength=n)

@@ -31,8 +31,11 @@ HEAD_BYTES = 16 << 20
 
 @cache
 def tokenizer(path: str):
+    import os
+
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Tokenizer.from_file(path)
 
 
@@ -59,9 +62,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head_b
             yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n, pa.int64())], ["piece", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = tokenizer(tokenizer_path)
         for batch in batches:
             sizes = [len(x) for x in t.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
