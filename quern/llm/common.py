@@ -114,8 +114,22 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - before, counts)
 
 
-def salted_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """rows joined with few (a row a key), of which each goes to ``salts`` places, so that a key's rows meet it there."""
-    left = rows.withColumn("__q_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+def salted_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", by: list[str] | None = None, salts: int = 16) -> DataFrame:
+    """rows joined with few (a row a key), of which each goes to ``salts`` places, so that a key's rows meet it there, dealt
+    by a hash of their columns by (all, if not given)."""
+    left = rows.withColumn("__q_salt", F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(salts)).cast("int"))
     right = few.withColumn("__q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "__q_salt"], how).drop("__q_salt")
+
+
+#: Keys that hold at least one of so many rows; there are at most as many of them, so they may be sent to all tasks.
+SHARE = 4_096
+
+
+def parted_join(rows: DataFrame, few: DataFrame, key: str, number: str) -> DataFrame:
+    """rows joined with few (a row a key, number: the key's rows), which should be a stored table. The keys of a
+    ``SHARE``-th of all rows or more meet their rows where these are; only the others are shuffled, so no task gets more."""
+    total = few.agg(F.sum(number).alias("__q_total"))  # one row
+    marked = few.crossJoin(F.broadcast(total)).withColumn("__q_hot", F.col(number) * SHARE >= F.col("__q_total")).drop("__q_total")
+    hot, rest = F.broadcast(marked.filter("__q_hot").drop("__q_hot")), marked.filter("not __q_hot").drop("__q_hot")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))

@@ -5,12 +5,14 @@ of equal ones, and each choice is kept once with its position. Any common passag
 therefore shares a chosen hash. A text shorter than k is one gram; an empty text has none.
 
 Defined cases: null text counts as empty; likeness is the Jaccard likeness of the sets of hashes, 1 for two empty sets;
-repeated rows each keep a row; rows with one doc_id are ordered by text, null ids come last; other columns are ignored.
+repeated rows each keep a row; rows with one doc_id are ordered by a hash of the text, null ids come last; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,45 +87,53 @@ def in_order(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) dealt into blocks of descending doc_id, one a partition and sorted, each followed by the first
     row of the next block (after the last: of the first), marked as a guest.
 
-    Bounds come from a sample of the ids, so they only decide how even the blocks are.
+    There are as many blocks as shuffle partitions. Their bounds come from a sample of some ids a block, so they only decide
+    how even the blocks are; the driver sees these and the first row of each block, nothing that grows with the rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.count()
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 50_000, 1)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    total, blocks = docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, 40 * blocks / max(total, 1))
-    ids = sorted({r[0] for r in rows.select("key").sample(fraction=share, seed=7).collect()}, reverse=True)
-    bounds = np.array(ids[:: max(1, -(-len(ids) // blocks))] if ids else [], np.int64)[1:]
+    places = sorted({(~k, t) for k, t in rows.select("key", "tie").sample(fraction=share, seed=7).collect()})
+    bounds = places[:: max(1, -(-len(places) // blocks))][1:]
+    keys_of_bounds = np.array([k for k, _ in bounds], np.int64)
 
-    def block(keys: np.ndarray) -> np.ndarray:
-        """0 for the highest ids."""
-        return len(bounds) - np.searchsorted(bounds[::-1], keys, side="right")
+    def block(keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """0 for the highest ids; ~ turns their order. Only rows that share a bound's id need its tie."""
+        out = np.searchsorted(keys_of_bounds, ~keys, side="right")
+        for i in np.flatnonzero(out > np.searchsorted(keys_of_bounds, ~keys, side="left")).tolist():
+            out[i] = bisect_right(bounds, (~int(keys[i]), int(ties[i])))
+        return out
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            of = block(keys)
-            found = np.unique(of)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([int(keys[of == b].max()) for b in found], pa.int64())], ["block", "top"])
-
-    firsts = {r["block"]: r["top"] for r in rows.select("key").mapInArrow(tops, "block long, top long").groupBy("block").agg(F.max("top").alias("top")).collect()}
+            keys, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            of = block(keys, ties)
+            order = np.lexsort((ties, ~keys, of))
+            first = order[np.concatenate(([True], np.diff(of[order]) > 0))] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(of[first], pa.int64()), pa.array(keys[first]), pa.array(ties[first])], ["block", "key", "tie"])
+
+    top = F.min(F.struct(F.bitwise_not("key").alias("k"), "tie")).alias("top")
+    found = rows.select("key", "tie").mapInArrow(tops, "block long, key long, tie long").groupBy("block").agg(top).collect()
+    firsts = {r["block"]: (~r["top"]["k"], r["top"]["tie"]) for r in found}
     order = sorted(firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            of = block(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.zeros(len(keys), bool)), batch.column(0), batch.column(1)], names)
-            if (guests := [i for i, (k, b) in enumerate(zip(keys.tolist(), of.tolist(), strict=True)) if firsts[b] == k]):
+            keys, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            of = block(keys, ties)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.zeros(len(keys), bool)), *batch.columns], names)
+            if (guests := [i for i, (b, *place) in enumerate(zip(of.tolist(), keys.tolist(), ties.tolist(), strict=True)) if firsts[b] == tuple(place)]):
                 at = pa.array(guests, pa.int64())
                 to = [before[b] for b in of[guests].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(to), bool)), batch.column(0).take(at), batch.column(1).take(at)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.ones(len(to), bool)), *(c.take(at) for c in batch.columns)], names)
 
-    names = ["block", "guest", "key", "text"]
-    dealt = rows.mapInArrow(deal, "block long, guest boolean, key long, text string")
+    names = ["block", "guest", "key", "tie", "text"]
+    dealt = rows.mapInArrow(deal, "block long, guest boolean, key long, tie long, text string")
     n = len(bounds) + 1
-    return dealt.repartitionById(n, F.col("block").cast("int")).sortWithinPartitions("block", "guest", F.desc("key"), "text")
+    return dealt.repartitionById(n, F.col("block").cast("int")).sortWithinPartitions("block", "guest", F.desc("key"), "tie", "text").drop("tie")
 
 
 def compared(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:

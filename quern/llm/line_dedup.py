@@ -4,12 +4,13 @@ Every line descends a tree of fixed depth: its number of tokens, then its leadin
 variable. In its leaf a line takes part in templates that keep its tokens by position: the one with all of them, and for
 lines of at least ``SEGMENTS`` * 2 tokens those that leave one of ``SEGMENTS`` contiguous parts variable. A template
 that recurs in enough documents is boilerplate: its lines are dropped everywhere but in the document with the least id,
-so that no content leaves the corpus. Lines of ``long_tokens`` or more tokens count as recurring from two documents on,
-and so do runs of adjacent lines (blank ones between them aside) of as many tokens together: each line of a document that
+so that no content leaves the corpus. Lines of ``long_tokens`` or more tokens count as recurring from two documents on if
+they are equal as a whole, and so do runs of adjacent lines (blank ones between them aside) of as many tokens together: each line of a document that
 recurs anywhere begins a window and ends one, the shortest of ``long_tokens`` tokens over lines that all recur, and
 windows of equal templates are one passage.
 
-All groups are counts and minima by template, combined before the shuffle; no template's lines meet in one task.
+All groups are counts and minima by template, combined before the shuffle. A template of a ``SHARE``-th of all lines or more
+meets its lines where they are, so the lines of a footer are not brought together.
 
 Defined cases: null and empty texts stay as they are; blank lines stay, and so do lines of less than ``min_tokens`` tokens
 outside recurring runs; rows that repeat an id count as documents of their own, and all rows of the first id keep their lines; null ids count as the
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffer_of, mix, slices, span_hashes, strings, word_hashes
+from quern.llm.common import buffer_of, mix, parted_join, slices, span_hashes, strings, word_hashes
 from quern.plans.lineage import written
 from quern.session import ship
 
@@ -146,10 +147,8 @@ def recurring_runs(recurring: DataFrame, long_tokens: int, long_docs: int) -> Da
 
         for batch in batches:
             out = []
-            for doc, key, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                # Rows of equal id and text bring each line as often as they are.
+            for doc, key, lines, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = sorted({(x["place"] & _LOW_62) >> 31: x for x in lines}.items())
-                copies = len(lines) // len(own)
                 filled, tokens = np.array([f for f, _ in own]), np.array([x["tokens"] for _, x in own], np.int64)
                 template = np.array([x["template"] for _, x in own], np.int64)
                 seen = set()
@@ -161,7 +160,9 @@ def recurring_runs(recurring: DataFrame, long_tokens: int, long_docs: int) -> Da
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "run", "lines", "copies"])
 
-    lists = recurring.filter("place < 0").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "template", "tokens")).alias("x"))
+    # Rows of equal id and text bring each line as often as they are.
+    lines = recurring.filter("place < 0").groupBy("doc_id", "text_key", "place", "template", "tokens").agg(F.count("*").alias("copies"))
+    lists = lines.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "template", "tokens")).alias("x"), F.max("copies").alias("copies"))
     runs = written(lists.mapInArrow(each, "doc_id long, text_key long, run long, lines array<int>, copies int"), "runs")
     found = runs.groupBy("run").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     found = found.filter((F.col("n") >= long_docs) & (F.col("first") < F.col("last"))).select("run", "first")
@@ -172,10 +173,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     """doc_id, text_key and lines: the numbers of the lines to drop, for each document that has any."""
     lines = written(line_templates(docs), "lines")
     # A document counts once for a template however often it has it: its first line with it stands for it.
-    found = lines.groupBy("template").agg(F.count_if("lead").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("tokens").alias("tokens"))
-    found = found.filter((F.col("n") >= min(min_docs, long_docs)) & (F.col("first") < F.col("last")))
-    recurring = written(lines.select("doc_id", "text_key", "place", "template").join(found, "template"), "recurring")
-    enough = F.when(F.col("tokens") >= long_tokens, F.lit(long_docs)).otherwise(F.lit(min_docs))
+    found = lines.groupBy("template").agg(F.count_if("lead").alias("n"), F.count("*").alias("all"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("tokens").alias("tokens"))
+    found = written(found.filter((F.col("n") >= min(min_docs, long_docs)) & (F.col("first") < F.col("last"))), "found")
+    recurring = written(parted_join(lines.select("doc_id", "text_key", "place", "template"), found, "template", "all").drop("all"), "recurring")
+    enough = F.when((F.col("tokens") >= long_tokens) & (F.col("place") < 0), F.lit(long_docs)).otherwise(F.lit(min_docs))
     alone = recurring.filter((F.col("n") >= enough) & (F.col("tokens") >= min_tokens) & (F.col("doc_id") != F.col("first")))
     alone = alone.select("doc_id", "text_key", F.col("place").bitwiseAND(F.lit(_LOW_31)).cast("int").alias("line"))
     return alone.union(recurring_runs(recurring, long_tokens, long_docs)).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))

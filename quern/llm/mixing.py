@@ -5,11 +5,13 @@ of copies is the Poisson distribution with that mean, inverted at a uniform numb
 above ``STEP`` are sums of independent draws. Copies are then dealt over all partitions by a hash and sorted by it.
 
 Default targets are each source's share to the power ``alpha``, made to sum to 1. The rates are one row a source: they
-are broadcast only if there are at most ``MAX_BROADCAST`` of them, and joined by shuffle otherwise.
+are broadcast only if they take at most ``MAX_BROADCAST`` bytes, and joined by a salted shuffle otherwise, in which a source
+of many documents stands in many tasks.
 
 Defined cases: a null source is a source of its own; sources without characters have rate 1; sources that explicit targets
 leave out have rate 0; null ids draw as one id and repeated ids draw alike; an empty table gives an empty result; columns
-of the input are kept, whatever their names.
+of the input are kept, whatever their names, and a column that has the name of the copies' number makes that one end with
+underscores.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import salted_join
 from quern.plans.lineage import cut
 
 ALPHA, SEED = 0.5, 17
-MAX_BROADCAST = 10_000
+MAX_BROADCAST = 16 << 20
 #: Mean of one draw at most, and the number of values that its distribution is kept for; what lies beyond is below 1e-30.
 STEP, VALUES = 16.0, 100
 
@@ -58,22 +61,27 @@ def uniform(doc_id: Column, draw: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = SEED, copy_column: str | None = "copy") -> DataFrame:
     """The columns of docs, once for each copy, in a global random order; copy_column numbers the copies from 1."""
+    name = F.concat(F.lit("s"), F.col("source").cast("string"))
+    key = F.coalesce(name, F.lit("null"))
     draws = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     table = cut(rates(docs.select("source", "text"), targets, alpha))
-    few = table.count() <= MAX_BROADCAST
-    table = table.select(F.col("source").alias("__q_source"), draws.alias("__q_draws"), distribution(F.col("rate") / draws).alias("__q_sums"))
-    joined = docs.join(F.broadcast(table) if few else table, docs["source"].eqNullSafe(F.col("__q_source")))
+    size = table.agg(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 8 * VALUES + 100)).first()[0] or 0
+    table = table.select(key.alias("__q_source"), draws.alias("__q_draws"), distribution(F.col("rate") / draws).alias("__q_sums"))
+    keyed = docs.withColumn("__q_source", key)
+    joined = keyed.join(F.broadcast(table), "__q_source") if size <= MAX_BROADCAST else salted_join(keyed, table, "__q_source", by=["doc_id", "text"], salts=64)
 
     def drawn(total: Column, j: Column) -> Column:
-        u = uniform(docs["doc_id"], j, seed)
+        u = uniform(F.col("doc_id"), j, seed)
         return total + F.size(F.filter("__q_sums", lambda p: p <= u))
 
     n = F.aggregate(F.sequence(F.lit(1), F.col("__q_draws")), F.lit(0), drawn)
     counted = joined.withColumn("__q_n", n).filter(F.col("__q_n") > 0)
     copies = counted.withColumn("__q_copy", F.explode(F.sequence(F.lit(1), F.col("__q_n"))))
-    dealt = copies.withColumn("__q_key", F.xxhash64(F.lit(seed), docs["doc_id"], F.col("__q_copy")))
+    dealt = copies.withColumn("__q_key", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__q_copy")))
     out = dealt.repartition(F.col("__q_key")).sortWithinPartitions("__q_key")
     kept = [F.col(f"`{c}`") for c in docs.columns]
+    while copy_column and copy_column.lower() in [c.lower() for c in docs.columns]:
+        copy_column += "_"
     return out.select(*kept, *([F.col("__q_copy").alias(copy_column)] if copy_column else []))
 
 

@@ -21,8 +21,8 @@ neighbourhood: pairs around the same least class form one, dealt into blocks of
 travels once per block and not once per pair, and a cell of two blocks is bounded however large a family or a text is.
 
 The plan is the same at every size: nothing is collected or broadcast but what Spark finds small by itself. Joins whose
-keys can be hot (a common value, a neighbourhood, a group) are salted; where rows meet what their own class or component
-is called, adaptive execution splits the partitions of large classes.
+keys can be hot (a common value, a neighbourhood, a group) are salted, and the names of very large classes go to where
+their rows are; the star joins between links are left to adaptive execution, which splits the partitions of a large star.
 
 Defined cases: null text counts as empty, and empty sets link with nothing (each such row is its own component); repeated
 rows are copies; an empty table gives an empty result; a null id is never the least id of a component, and a component of
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffer_of, list_array, mix, salted_join, slices, span_hashes, strings, word_hashes
+from quern.llm.common import buffer_of, list_array, mix, parted_join, salted_join, slices, span_hashes, strings, word_hashes
 from quern.llm.components import components
 from quern.llm.line_dedup import _LOWER, words_of
 from quern.plans.lineage import written
@@ -355,13 +355,13 @@ def components_of(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(sketches(docs, k), "sketches")
     one = F.min(F.struct(_id_key().alias("rid"), F.col("text_key").alias("rkey"))).alias("one")
-    classes = rows.filter("class is not null").groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), one, F.first("sketch").alias("sketch"))
-    classes = written(classes.select("class", "n", "doc_id", "one.*", "sketch"), "classes")
+    classes = rows.filter("class is not null").groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), one, F.count("*").alias("rows"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select("class", "n", "doc_id", "one.*", "rows", "sketch"), "classes")
     links = near_links(docs, classes, k)
-    of_class = classes.select("class", "doc_id").join(links.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    of_class = classes.select("class", "doc_id", "rows").join(links.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.join(least, "root").select("class", "component_id", "root")
-    full = rows.filter("class is not null").join(named, "class").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
+    named = of_class.join(least, "root").select("class", "component_id", "root", "rows")
+    full = parted_join(rows.filter("class is not null"), written(named, "named"), "class", "rows").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
     return full.union(rows.filter("class is null").select("doc_id", "text_key", "n", F.col("doc_id"), F.lit(None).cast("long")))
 
 

@@ -2,16 +2,17 @@
 
 Two views of a document are classified apart: its text (shares of bytes, repetition, and words that labelled documents
 tie to one class) and its page metadata (source, language and length). Over a few rounds each view labels the documents
-of an unlabelled pool that it is sure of, for the other view's next training. Then each view is calibrated on labelled
-documents that it did not see, and a logistic combination of both, fitted there too, scores all documents.
+of a fresh unlabelled pool that it is sure of, for the other view's next training. Then each view is calibrated on
+labelled documents that it did not see, and a logistic combination of both is fitted on others; it scores all documents.
 
-Good means: quality 1 and not toxic. Training reads at most about ``LABELLED`` labelled and ``POOL`` other documents,
-chosen by hashes of their ids at rates found from the counts; this is the documented bound. Every document is scored on
-its whole text, within its own task, without a shuffle.
+Good means: quality 1 and not toxic. Training reads at most about ``LABELLED`` labelled documents and in each round about
+``POOL`` others, chosen by hashes of ids and texts at rates found from the counts; this is the documented bound. Words
+are chosen in Spark, so of each of these documents the driver gets some thousand bits, however long it is. Every document
+is scored on its whole text, within its own task, without a shuffle.
 
-Defined cases: null text counts as empty; null metadata is a value of its own; of repeated labels the worse counts; with
-fewer than ``LEAST`` labelled documents of either class everything scores the share of good ones (1 without labels) and is
-kept; repeated rows each keep a row; columns of the input pass through unchanged.
+Defined cases: null text counts as empty; null metadata is a value of its own; of repeated labels the worse counts; equal
+texts of one id train once; with fewer than ``LEAST`` labelled documents of either class everything scores the share of
+good ones (1 without labels) and is kept; repeated rows each keep a row; columns of the input pass through unchanged.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import buffer_of, mix, slices, strings, word_hashes
+from quern.llm.common import buffer_of, slices, strings, word_hashes
 from quern.llm.line_dedup import _LOWER, words_of
+from quern.plans.lineage import written
 from quern.session import ship
 
-LABELLED, POOL, LEAST = 6_000, 3_000, 5
+LABELLED, POOL, LEAST = 6_000, 1_000, 5
 ROUNDS, SURE, PSEUDO_WEIGHT = 3, 0.95, 0.5
 WORDS, WORD_DOCS, WORD_G = 2_000, 4, 12.0
 META, DENSE = 256, 134
@@ -178,78 +180,92 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _chosen(row: np.ndarray, words: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Words whose presence and class are dependent by the G statistic, most dependent first kept, in hash order."""
-    if not len(words):
-        return np.empty(0, np.uint32)
-    values, at = np.unique(words, return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    k1 = np.bincount(at, weights=y[row], minlength=len(values))
-    k = np.bincount(at, minlength=len(values)).astype(float)
-    g = np.zeros(len(values))
-    cells = ((k1, k, n1), (k - k1, k, n0), (n1 - k1, len(y) - k, n1), (n0 - (k - k1), len(y) - k, n0))
-    for have, of_word, of_class in cells:
-        expected = np.maximum(of_word * of_class / len(y), 1e-9)
-        g += 2 * np.where(have > 0, have * np.log(np.maximum(have, 1e-9) / expected), 0)
-    use = np.flatnonzero((k >= WORD_DOCS) & (g >= WORD_G))
-    use = use[np.argsort(-g[use], kind="stable")][:WORDS]
-    return np.sort(values[use])
+def _chosen(sample: DataFrame) -> np.ndarray:
+    """Hashes of the words whose presence and class are most dependent by the G statistic, sorted, of sample(text, good)."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = batch.column(1).to_numpy()
+            for i, _, _, row, words in text_view(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(good[i + row])], ["word", "good"])
+
+    words = sample.select("text", "good").mapInArrow(each, "word long, good int").groupBy("word").agg(F.sum("good").alias("k1"), F.count("*").alias("k"))
+    totals = sample.agg(F.sum("good").alias("n1"), F.count("*").alias("n"))  # one row
+    k1, k, n1, n = (F.col(c) for c in ("k1", "k", "n1", "n"))
+    cells = ((k1, k, n1), (k - k1, k, n - n1), (n1 - k1, n - k, n1), (n - n1 - k + k1, n - k, n - n1))
+    g = sum((F.when(have > 0, 2 * have * F.log(have * n / (of_word * of_class))).otherwise(0.0) for have, of_word, of_class in cells), F.lit(0.0))
+    best = words.filter(k >= WORD_DOCS).crossJoin(F.broadcast(totals)).withColumn("g", g).filter(F.col("g") >= WORD_G)
+    return np.sort(np.array([r["word"] for r in best.orderBy(F.desc("g"), "word").limit(WORDS).select("word").collect()], np.uint32))
+
+
+def _features(docs: DataFrame, model: Model) -> DataFrame:
+    """id, good (null: unlabelled), round, and the views as bytes of docs(doc_id, text, source, lang, good, round)."""
 
-def _features(docs: DataFrame) -> DataFrame:
-    """good (null: unlabelled), dense, words, source, lang and n_bytes of docs(doc_id, text, source, lang, good)."""
+    def packed(bits: np.ndarray) -> pa.Array:
+        return pa.array([x.tobytes() for x in np.packbits(bits > 0, axis=1)], pa.binary())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            _, offsets = buffer_of(strings(batch.column(1)))
+            source, lang = (batch.column(c).to_pylist() for c in (2, 3))
             for i, j, dense, row, words in text_view(batch.column(1)):
-                ends = np.searchsorted(row, np.arange(j - i + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.astype(np.int64)))
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(dense.ravel(), pa.float32()), DENSE).cast(pa.list_(pa.float32()))
-                _, offsets = buffer_of(strings(batch.column(1)))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), flat, lists, part.column(2), part.column(3), pa.array(np.diff(offsets)[i:j])], ["doc_id", "good", "dense", "words", "source", "lang", "n_bytes"])
+                views = [pa.array([x.tobytes() for x in dense], pa.binary()), packed(model.words(row, words, j - i)), packed(meta_view(source[i:j], lang[i:j], np.diff(offsets)[i:j]))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(6), part.column(4), part.column(5), *views], ["doc_id", "key", "good", "round", "dense", "words", "meta"])
 
-    return docs.select("doc_id", "text", "source", "lang", "good").mapInArrow(each, "doc_id long, good int, dense array<float>, words array<long>, source string, lang string, n_bytes long")
+    columns = docs.select("doc_id", "text", "source", "lang", "good", "round", "key")
+    return columns.mapInArrow(each, "doc_id long, key long, good int, round int, dense binary, words binary, meta binary")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of docs(doc_id, text, source, lang) and labels(doc_id, quality, toxic)."""
-    ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that training reads: labelled ones (good is 0 or 1) and the rounds' pools of others."""
     good = F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
     labels = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("good"))
-    unit = float(1 << 30)
-    drawn = lambda seed, rate: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < rate * unit
+    unit = 1 << 30
+    drawn = lambda salt, rate: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(unit)) < rate * float(unit)
     n_labels, n_docs = labels.count(), docs.count()
     some = labels.filter(drawn(1, min(1.0, LABELLED / max(1, n_labels))))
     # The labelled sample is bounded by LABELLED, so it may be broadcast.
-    known = docs.join(F.broadcast(some), "doc_id")
-    other = docs.filter(drawn(2, min(1.0, POOL / max(1, n_docs)))).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("good", F.lit(None).cast("int"))
-    got = _features(known.select("doc_id", "text", "source", "lang", "good").unionByName(other)).toArrow().combine_chunks()
-    order = np.lexsort((got.column("n_bytes").to_numpy(), got.column("doc_id").to_numpy()))  # the same rows, however they came
-    got = got.take(pa.array(order))
+    known = docs.join(F.broadcast(some), "doc_id").withColumn("round", F.lit(None).cast("int"))
+    place = F.pmod(F.xxhash64("doc_id", "key", F.lit(2)), F.lit(unit))
+    rate = min(1.0, ROUNDS * POOL / max(1, n_docs)) * unit
+    other = docs.filter(place < rate).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("good", F.lit(None).cast("int"))
+    other = other.withColumn("round", F.floor(place * ROUNDS / max(1.0, rate)).cast("int"))
+    return known.unionByName(other).dropDuplicates(["doc_id", "key"])
+
+
+def _enough(y: np.ndarray, use: np.ndarray) -> bool:
+    return min(y[use].sum(), (1 - y[use]).sum()) >= LEAST
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of docs(doc_id, text, source, lang) and labels(doc_id, quality, toxic)."""
+    ship(docs.sparkSession)
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), key)
+    sample = written(_sample(docs, labels), "sample")
+    # A quarter of the labelled documents is held back, in three parts: for the rounds, for the views, for both together.
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(12))
+    model = Model()
+    model.chosen = _chosen(sample.filter(F.col("good").isNotNull() & (fold > 2)))
+    got = _features(sample, model).withColumn("fold", fold).toArrow().combine_chunks()
+    got = got.take(pa.array(np.lexsort((got.column("key").to_numpy(), got.column("doc_id").to_numpy()))))  # the same rows, however they came
     good_of = got.column("good").to_numpy(zero_copy_only=False).astype(float)
     labelled = ~np.isnan(good_of)
     y = np.where(labelled, good_of, 0)
     if min(y[labelled].sum(), (1 - y[labelled]).sum()) < 2 * LEAST:
         return Model(float(y[labelled].mean()) if labelled.any() else 1.0)
-    ids = got.column("doc_id").to_numpy().astype(np.uint64)
-    held = labelled & (mix(ids) % np.uint64(4) == 0)
-    if min(y[held].sum(), (1 - y[held]).sum()) < LEAST or min(y[labelled & ~held].sum(), (1 - y[labelled & ~held]).sum()) < LEAST:
-        held = labelled  # too few to part them
-    first = labelled & ~held if not np.array_equal(held, labelled) else labelled
-    dense = np.array(got.column("dense").combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, DENSE)
-    lists = got.column("words").combine_chunks()
-    row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-    words = lists.flatten().to_numpy().astype(np.uint32)
-    model = Model()
-    of_first = np.flatnonzero(first)
-    place = np.full(len(y), -1)
-    place[of_first] = np.arange(len(of_first))
-    use = place[row] >= 0
-    model.chosen = _chosen(place[row[use]], words[use], y[of_first])
-    text = np.hstack((dense, model.words(row, words, len(y))))
-    meta = meta_view(got.column("source").to_pylist(), got.column("lang").to_pylist(), got.column("n_bytes").to_numpy())
+    folds, rounds = got.column("fold").to_numpy(), np.nan_to_num(got.column("round").to_numpy(zero_copy_only=False).astype(float), nan=-1)
+    first, held = labelled & (folds > 2), [labelled & (folds == f) for f in range(3)]
+    if not all(_enough(y, x) for x in (first, *held)):  # too few to part them
+        first, held = labelled, [labelled] * 3
+
+    def bits(name: str, n: int) -> np.ndarray:
+        flat = np.frombuffer(b"".join(got.column(name).to_pylist()), np.uint8).reshape(len(y), -1)
+        return np.unpackbits(flat, axis=1)[:, :n].astype(np.float32)
+
+    dense = np.frombuffer(b"".join(got.column("dense").to_pylist()), np.float32).reshape(len(y), DENSE)
+    text, meta = np.hstack((dense, bits("words", len(model.chosen)))), bits("meta", META)
     views = {"text": (text, 1e-4), "meta": (meta, 1e-2)}
     marks = {v: (first.copy(), y.copy(), np.ones(len(y))) for v in views}
     fitted = {}
@@ -259,16 +275,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             fitted[v] = Logistic(penalty).fit(x[use], target[use], weight[use])
         if round_ == ROUNDS:
             break
+        pool = rounds == round_
         for v, to in (("text", "meta"), ("meta", "text")):
-            sure = Platt().fit(fitted[v].logit(views[v][0][held])[:, None], y[held]).probability(fitted[v].logit(views[v][0])[:, None])
+            z = fitted[v].logit(views[v][0])[:, None]
+            sure = Platt().fit(z[held[0]], y[held[0]]).probability(z)
             use, target, weight = marks[to]
-            fresh = ~labelled & ((sure >= SURE) | (sure <= 1 - SURE))
+            fresh = pool & ((sure >= SURE) | (sure <= 1 - SURE))
             use[fresh], target[fresh], weight[fresh] = True, sure[fresh] >= SURE, PSEUDO_WEIGHT
     model.text, model.meta = fitted["text"], fitted["meta"]
-    t, m = model.text.logit(text[held])[:, None], model.meta.logit(meta[held])[:, None]
-    model.of_text, model.of_meta = Platt().fit(t, y[held]), Platt().fit(m, y[held])
-    both = np.column_stack((_logit(model.of_text.probability(t)), _logit(model.of_meta.probability(m))))
-    model.both = Platt().fit(both, y[held])
+    t, m = model.text.logit(text)[:, None], model.meta.logit(meta)[:, None]
+    model.of_text, model.of_meta = Platt().fit(t[held[1]], y[held[1]]), Platt().fit(m[held[1]], y[held[1]])
+    both = np.column_stack((_logit(model.of_text.probability(t[held[2]])), _logit(model.of_meta.probability(m[held[2]]))))
+    model.both = Platt().fit(both, y[held[2]])
     return model
 
 
