@@ -20,6 +20,7 @@ PLAIN = (SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + SPACES, "'" * 6 + '"' * 6 + "-
 #: What ends a line for splitting text into lines of any system.
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 
+#: What counts as an address in a text.
 URL = r"(?iU)https?://[^\s<>\"']+"
 EMAIL = r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 

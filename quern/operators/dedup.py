@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import hash_form
-from quern.session import ship
+from quern.session import ship, spread
 
 
 def content_hash(text: Column) -> Column:
@@ -49,12 +49,21 @@ def coefficients(n: int = 128, seed: int = SEED) -> tuple[np.ndarray, np.ndarray
     return tuple(rng.randint(low, PRIME, size=n, dtype=np.int64) for low in (1, 0))
 
 
+#: Hashes of the shingles that a worker met first, which are the frequent ones, and how many it keeps.
+_met: dict[str, int] = {}
+MET = 1 << 17
+
+
 def shingle_hashes(text: str, n: int = 5) -> np.ndarray:
     """The first four bytes, little-endian, of the MD5 of each distinct run of n characters."""
     from hashlib import md5
 
     runs = {text[i : i + n] for i in range(len(text) - n + 1)}
-    return np.frombuffer(b"".join(md5(r.encode()).digest()[:4] for r in runs), "<u4").astype(np.int64)
+    fresh = [r for r in runs if r not in _met]
+    found = dict(zip(fresh, (int.from_bytes(md5(r.encode()).digest()[:4], "little") for r in fresh), strict=True))
+    if len(_met) < MET:
+        _met.update(found)
+    return np.array([found[r] if r in found else _met[r] for r in runs], np.int64)
 
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,7 +91,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", permuta
         for f in frames:
             yield pd.DataFrame({key: f[key], "signature": [signature(shingle_hashes(t or "", n), a, b) for t in f[text]]})
 
-    return docs.select(key, text).mapInPandas(each, f"{key} {docs.schema[key].dataType.simpleString()}, signature array<long>")
+    return spread(docs.select(key, text)).mapInPandas(each, f"{key} {docs.schema[key].dataType.simpleString()}, signature array<long>")
 
 
 def bands_for(permutations: int = 128, threshold: float = 0.85) -> tuple[int, int]:
@@ -92,28 +101,45 @@ def bands_for(permutations: int = 128, threshold: float = 0.85) -> tuple[int, in
     return b, permutations // b
 
 
-def candidate_pairs(sigs: DataFrame, key: str = "doc_id", permutations: int = 128, threshold: float = 0.85) -> DataFrame:
-    """i < j: keys that share a band. Equal signatures stand as one class, so large groups of copies make no pairs here."""
+def classes_of(sigs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, members and signature: equal signatures are one class, named by its first key."""
+    return sigs.groupBy(F.xxhash64("signature").alias("h")).agg(F.min(key).alias(key), F.count("*").alias("members"), F.first("signature").alias("signature")).drop("h")
+
+
+def candidate_pairs(classes: DataFrame, key: str = "doc_id", permutations: int = 128, threshold: float = 0.85) -> DataFrame:
+    """i < j: keys of classes_of that share a band, so large groups of copies make no pairs here."""
     b, r = bands_for(permutations, threshold)
     parts = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * r + 1, r)))
-    banded = sigs.select(F.col(key).alias("k"), F.explode(parts).alias("band"))
+    banded = classes.select(F.col(key).alias("k"), F.explode(parts).alias("band"))
     return banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("i"), F.col("y.k").alias("j")).distinct()
 
 
+def lsh(sigs: DataFrame, key: str = "doc_id", permutations: int = 128, threshold: float = 0.85) -> DataFrame:
+    """key, class (its first key) and links (other classes that share a band with it) of each row of sigs(key, signature)."""
+    from quern.plans.lineage import cut
+
+    sigs = cut(sigs)
+    classes = cut(classes_of(sigs, key))
+    pairs = candidate_pairs(classes, key, permutations, threshold)
+    links = pairs.select(F.explode(F.array("i", "j")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    named = classes.select(F.xxhash64("signature").alias("__q_h"), F.col(key).alias("class")).join(links, "class", "left")
+    return sigs.select(key, F.xxhash64("signature").alias("__q_h")).join(named, "__q_h").select(key, "class", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def jaccard_estimate(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
 
 
 def near(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.85, permutations: int = 128) -> DataFrame:
-    """docs without those that an earlier one (by key) resembles in at least threshold of the signature.
+    """docs without those that an earlier one (by key) resembles in at least threshold of the signature, and without null
+    and empty texts.
 
     Classes of equal signatures are compared once: a class's first key stands for it; all its other keys are duplicates.
     """
     from quern.plans.lineage import cut
 
-    sigs = cut(signatures(docs, text, key, permutations))
-    digest = F.xxhash64("signature")
-    classes = sigs.groupBy(digest.alias("h")).agg(F.min(key).alias(key), F.first("signature").alias("signature")).drop("h")
+    docs = docs.filter(F.length(text) > 0)
+    classes = cut(classes_of(signatures(docs, text, key, permutations), key))
     pairs = candidate_pairs(classes, key, permutations, threshold)
     left, right = (classes.select(F.col(key).alias(x), F.col("signature").alias(f"s{x}")) for x in "ij")
     close = pairs.join(left, "i").join(right, "j").filter(jaccard_estimate(F.col("si"), F.col("sj")) >= threshold)

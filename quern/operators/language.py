@@ -1,13 +1,24 @@
-"""Language detection by out-of-place distance of trigram ranks, relationally; profiles are learned, not shipped."""
+"""Language detection by out-of-place distance of trigram ranks; profiles are learned, not shipped."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import language_form
+from quern.session import ship
 
 RANKS, SAMPLE, LEAST = 300, 3000, 100
+#: Languages that a profile may have: it is sent to all tasks, with RANKS trigrams each.
+LANGUAGES = 1_000
+#: Texts count as Chinese or Arabic from this share of such letters; Latin texts are neither from the second one on.
+SCRIPT, LATIN, SURELY_LATIN = 0.2, 0.8, 0.95
+ALLOWED, CONFIDENCE = ("en",), 0.9
 
 
 def middle(text: Column, sample: int = SAMPLE) -> Column:
@@ -24,37 +35,113 @@ def trigrams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return grams.groupBy(key, "trigram").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
-def ranked(grams: DataFrame, key: str = "doc_id", ranks: int = RANKS) -> DataFrame:
-    """key, trigram, rank of the most frequent trigrams; ties by first occurrence."""
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "first_pos")
-    return grams.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= ranks).select(key, "trigram", "rank")
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Trigrams as numbers, how often each occurs and where first, of a prepared text."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    ok = (points[:-2] != 32) & (points[2:] != 32)
+    grams = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[ok]
+    codes, first, n = np.unique(grams, return_index=True, return_counts=True)
+    return codes, n, first
+
+
+def code_of(trigram: str) -> int:
+    a, b, c = map(ord, trigram)
+    return a << 42 | b << 21 | c
 
 
 def profiles(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
-    """lang, trigram, rank from docs(doc_id, text, lang); ties by trigram. At most ranks rows a language."""
-    grams = trigrams(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    """lang, trigram, rank from docs(doc_id, text, lang); ties by trigram. At most ranks rows a language. Trigrams are
+    counted by language within each batch, so only sums are shuffled."""
+    ship(docs.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, list] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is not None and len(text) >= 3:
+                    sums.setdefault(lang, []).append(_codes(text)[:2])
+            for lang, found in sums.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+                trigrams = [chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in codes.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(trigrams, pa.string()), pa.array(n)], ["lang", "trigram", "n"])
+
+    forms = docs.filter("lang is not null").select("lang", middle(language_form(F.col("text"))).alias("t"))
+    grams = forms.mapInArrow(each, "lang string, trigram string, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "trigram")
     return grams.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= ranks).select("lang", "trigram", "rank")
 
 
-def detect(docs: DataFrame, profile: DataFrame, ranks: int = RANKS) -> DataFrame:
-    """doc_id, lang_pred and confidence (1 - best / second distance, 4 places) of texts long enough; others are unknown.
+def detector(profile: DataFrame, absent: int = RANKS):
+    """A function of a text column: a struct of lang and confidence, from profile(lang, trigram, rank).
 
-    The documents' rows meet the profile by trigram; a profile trigram that a document lacks costs ranks, so the
-    distance is a total over the profile corrected by the matches, and nothing is cross-joined.
+    A text's trigrams are ranked by frequency, then by first place. A language's distance is the sum, over its profile, of
+    differences of ranks, where a trigram that the text lacks has rank absent; it is divided by the profile's size. The
+    confidence is 1 - best / second distance (4 places), of English in Latin letters at least their share. Texts of less
+    than LEAST characters, null ones and those without a trigram are unknown.
     """
-    own = ranked(trigrams(docs.filter(F.length("text") >= LEAST)), ranks=ranks).withColumnRenamed("rank", "own")
-    base = profile.groupBy("lang").agg(F.sum(F.abs(F.col("rank") - ranks)).alias("total"), F.count("*").alias("size"))
-    match = own.join(F.broadcast(profile), "trigram").groupBy("doc_id", "lang").agg(F.sum(F.abs(F.col("rank") - F.col("own")) - F.abs(F.col("rank") - ranks)).alias("diff"))
-    # One row for each document and profile: profiles are a handful.
-    langs = own.select("doc_id").distinct().crossJoin(F.broadcast(base))
-    dist = langs.join(match, ["doc_id", "lang"], "left").select("doc_id", "lang", ((F.col("total") + F.coalesce("diff", F.lit(0))) / F.col("size")).alias("d"))
-    best = dist.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "lang"))), 1, 2).alias("x"))
-    first, second = F.col("x")[0], F.try_element_at("x", F.lit(2))
-    bottom = F.coalesce(second["d"], first["d"] * 2)
-    conf = F.when(bottom == 0, 1.0).otherwise(1 - first["d"] / bottom)
-    found = best.select("doc_id", first["lang"].alias("lang_pred"), F.round(conf, 4).alias("confidence"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("lang_pred", F.lit("unknown")).alias("lang_pred"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    ship(profile.sparkSession)
+    if (n := profile.select("lang").distinct().count()) > LANGUAGES:
+        raise ValueError(f"a profile of {n} languages; at most {LANGUAGES} are handled")
+    lists: dict[str, list[tuple[int, int]]] = {}
+    for r in profile.select("lang", "trigram", "rank").collect():  # at most LANGUAGES * RANKS rows
+        lists.setdefault(r["lang"], []).append((code_of(r["trigram"]), r["rank"]))
+    known = {lang: (np.array([c for c, _ in x], np.int64), np.array([k for _, k in x], np.int64)) for lang, x in sorted(lists.items())}
+    arabic = np.array([chr(c).isalpha() for c in range(0x600, 0x700)])
+
+    def one(text: str) -> tuple[str, float]:
+        if len(text) > SAMPLE:
+            start = len(text) // 2 - SAMPLE // 2
+            part = text[start : start + SAMPLE]
+        else:
+            part = text
+        codes, n, first = _codes(part) if len(part) >= 3 else (np.empty(0, np.int64),) * 3
+        if not len(codes):
+            return "unknown", 0.0
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        cjk = int(((points >= 0x4E00) & (points <= 0x9FFF)).sum())
+        arab = int(arabic[points[(points >= 0x600) & (points < 0x700)] - 0x600].sum())
+        latin = int(((points < 0x600) & (points != 32) & (points != 0xD7) & (points != 0xF7)).sum())
+        letters = cjk + arab + latin
+        if cjk > SCRIPT * letters:
+            return "zh", round(cjk / letters, 4)
+        if arab > SCRIPT * letters:
+            return "ar", round(arab / letters, 4)
+        rank = np.empty(len(codes), np.int64)
+        rank[np.lexsort((first, -n))] = np.arange(1, len(codes) + 1)
+        found = []
+        for lang, (c, k) in known.items():
+            if lang in ("zh", "ar") and latin > LATIN * letters:
+                continue
+            at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+            own = np.where(codes[at] == c, rank[at], absent)
+            found.append((int(np.abs(k - own).sum()) / len(k), lang))
+        if not found:
+            return "unknown", 0.0
+        found.sort()
+        (best, lang), second = found[0], found[1][0] if len(found) > 1 else found[0][0] * 2
+        confidence = 1.0 if second == 0 else 1 - best / second
+        if lang == "en" and latin > SURELY_LATIN * letters:
+            confidence = max(confidence, latin / letters)
+        return lang, round(confidence, 4)
+
+    @F.pandas_udf("lang string, confidence double")
+    def detected(s: pd.Series) -> pd.DataFrame:
+        out = [("unknown", 0.0) if t is None else one(t) for t in s]
+        return pd.DataFrame(out, columns=["lang", "confidence"])
+
+    return lambda text: detected(F.when(F.length(text) >= LEAST, language_form(text)))
+
+
+def detect(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """doc_id, lang_pred and confidence of each row of docs(doc_id, text)."""
+    found = docs.select("doc_id", detector(profile)(F.col("text")).alias("x"))
+    return found.select("doc_id", F.col("x.lang").alias("lang_pred"), "x.confidence")
+
+
+def allowed(detected: Column, languages: tuple[str, ...] = ALLOWED, confidence: float = CONFIDENCE) -> Column:
+    """Whether a detector's result names one of the languages, surely enough."""
+    return (detected["lang"] != "unknown") & (detected["confidence"] >= confidence) & detected["lang"].isin(*languages)
 
 
 def script_ratios(text: Column) -> Column:

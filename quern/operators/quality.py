@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import LINE_END, alpha_ratio, bound, strip, word_count, words
+from quern.operators.language import allowed
 
 
 @dataclass(frozen=True)
@@ -64,17 +65,35 @@ def standard_rules(text: Column, min_words: int = 50, max_words: int = 100_000,
     ]
 
 
-def judged(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """docs with reason_code: the first rule that rejects, or null. Later rules run only on what earlier ones pass."""
+def judged(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", languages=None) -> DataFrame:
+    """docs with reason_code: the first rule that rejects, or null. Later rules run only on what earlier ones pass.
+
+    languages, a language.detector, adds the last rule: what the others pass has to be in an allowed language.
+    """
     code = F.lit(None).cast("string")
     for rule in reversed(rules if rules is not None else standard_rules(F.col(text))):
         code = F.when(rule.rejects, F.lit(rule.code)).otherwise(code)
-    return docs.withColumn("reason_code", code)
+    out = docs.withColumn("reason_code", code)
+    if languages is None:
+        return out
+    # Texts that are rejected already reach the detector as null.
+    found = out.withColumn("__q_lang", languages(F.when(F.col("reason_code").isNull(), F.col(text))))
+    last = F.when(~allowed(F.col("__q_lang")), F.lit("language_rejected"))
+    return found.withColumn("reason_code", F.coalesce("reason_code", last)).drop("__q_lang")
+
+
+def scores(docs: DataFrame, text: str = "text", languages=None) -> DataFrame:
+    """docs with the figures that the standard rules compare, of every row whether an earlier rule rejects it or not."""
+    c = F.col(text)
+    out = docs.withColumns({"token_count": word_count(c), "alpha_ratio": alpha_ratio(c), "ngram_repetition": ngram_repetition(c), "sentence_repeats": sentence_repeats(c), "bullet_ratio": bullet_ratio(c)})
+    if languages is None:
+        return out
+    return out.withColumn("__q_lang", languages(c)).withColumns({"language": F.col("__q_lang.lang"), "lang_confidence": F.col("__q_lang.confidence")}).drop("__q_lang")
 
 
-def passing(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    return judged(docs, rules, text).filter("reason_code is null").drop("reason_code")
+def passing(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", languages=None) -> DataFrame:
+    return judged(docs, rules, text, languages).filter("reason_code is null").drop("reason_code")
 
 
-def counts_by_reason(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    return judged(docs, rules, text).groupBy(F.coalesce("reason_code", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
+def counts_by_reason(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", languages=None) -> DataFrame:
+    return judged(docs, rules, text, languages).groupBy(F.coalesce("reason_code", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))

@@ -18,6 +18,7 @@ SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>", "<mask>", "<sep>", "<cls>", "<pa
 PAD, UNK, BOS, EOS, MASK = 0, 1, 2, 3, 4
 SYSTEM, USER, ASSISTANT, END_TURN = 8, 9, 10, 11
 SPACE = "Ġ"
+#: Fixed value: the standard pattern of pre-tokens.
 PATTERN = r"(?i)'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-Z]+| ?[0-9]+| ?[^\s\w]+|\s+(?!\S)|\s+"
 #: Words that a trainer takes to the driver at most, by frequency; a vocabulary never needs more distinct words.
 TRAIN_WORDS = 500_000

@@ -21,15 +21,15 @@ def extracted(pages: DataFrame) -> DataFrame:
     return out.filter("text <> ''")
 
 
-def build(pages: DataFrame, folder: str, rules=None, start_from: str | None = None, force: bool = False) -> dict[str, DataFrame]:
-    """All stages of pages(url, html), each a Parquet table below folder. A stage whose table is complete (it has a
+def build(pages: DataFrame, folder: str, rules=None, start_from: str | None = None, force: bool = False, languages=None) -> dict[str, DataFrame]:
+    """languages: a language.detector, whose rule comes last. All stages of pages(url, html), each a Parquet table below folder. A stage whose table is complete (it has a
     _SUCCESS marker) is read, not computed, unless force is set or it comes at or after start_from."""
     spark = pages.sparkSession
     steps = {
         "extracted": lambda d: extracted(d),
         "exact": lambda d: dedup.exact(d, order="url").drop("content_hash"),
         "near": lambda d: dedup.near(d, key="url"),
-        "corpus": lambda d: quality.passing(d, rules),
+        "corpus": lambda d: quality.passing(d, rules, languages=languages),
     }
     first = STAGES.index(start_from) if start_from else len(STAGES)
     out, data = {}, pages

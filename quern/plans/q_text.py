@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import html, text, web
 from quern.operators import corpus, dedup, language, quality
 from quern.plans.registry import query
-from quern.session import table
+from quern.session import spread, table
 
 WORDS_SQL = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))"
 HASH_SQL = r"md5(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')))"
@@ -70,25 +70,17 @@ _scalar("f_sentence_rep", quality.sentence_repeats, f"coalesce(list_max(map_valu
 _NB = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 _scalar("f_bullet", lambda c: F.round(quality.bullet_ratio(c), 6), rf"round(CASE WHEN len({_NB}) < 5 THEN 0.0 ELSE len(list_filter({_NB}, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) < 8)) / len({_NB}) END, 6)")
 
-_JUDGE = f"""WITH w AS (SELECT doc_id, source, text, {_GRAMS} AS w, {_SENT} AS s, {_NB} AS l FROM documents),
-m AS (SELECT *, len(w) AS n, coalesce(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0), 0.0) AS alpha,
+_JUDGE = f"""WITH _LANG, parts AS (SELECT doc_id, source, text, {_GRAMS} AS w, {_SENT} AS s, {_NB} AS l FROM documents),
+measured AS (SELECT *, len(w) AS n, coalesce(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0), 0.0) AS alpha,
   CASE WHEN len(w) < 20 THEN 0.0 ELSE list_max(map_values(list_aggregate(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')), 'histogram'))) * 10 / len(w) END AS rep,
   coalesce(list_max(map_values(list_aggregate(s, 'histogram'))), 0) AS srep,
-  CASE WHEN len(l) < 5 THEN 0.0 ELSE len(list_filter(l, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) < 8)) / len(l) END AS bullets FROM w),
-j AS (SELECT *, CASE WHEN n < 50 THEN 'too_short' WHEN n > 100000 THEN 'too_long' WHEN alpha < 0.6 THEN 'low_alpha_ratio' WHEN rep > 0.3 THEN 'high_ngram_repetition'
-  WHEN n >= 20 AND srep > 3 THEN 'repeated_sentences' WHEN bullets > 0.9 THEN 'high_bullet_ratio' END AS reason_code FROM m)
+  CASE WHEN len(l) < 5 THEN 0.0 ELSE len(list_filter(l, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) < 8)) / len(l) END AS bullets FROM parts),
+j AS (SELECT measured.*, lang_pred, confidence, CASE WHEN n < 50 THEN 'too_short' WHEN n > 100000 THEN 'too_long' WHEN alpha < 0.6 THEN 'low_alpha_ratio' WHEN rep > 0.3 THEN 'high_ngram_repetition'
+  WHEN n >= 20 AND srep > 3 THEN 'repeated_sentences' WHEN bullets > 0.9 THEN 'high_bullet_ratio'
+  WHEN NOT (lang_pred = 'en' AND confidence >= 0.9) THEN 'language_rejected' END AS reason_code FROM measured JOIN found USING (doc_id))
 """
 
 
-@query(_JUDGE + "SELECT doc_id, reason_code, reason_code IS NULL AS passed FROM j")
-def f_pipeline(spark, sf):
-    return quality.judged(docs(spark, sf)).select("doc_id", "reason_code", F.col("reason_code").isNull().alias("passed"))
-
-
-@query(_JUDGE + "SELECT coalesce(reason_code, 'passed') AS reason, count(*) AS n FROM j GROUP BY 1")
-def f_pipeline_file(spark, sf):
-    return quality.counts_by_reason(docs(spark, sf))
-
 
 @query(f"WITH h AS (SELECT *, {HASH_SQL} AS h FROM documents WHERE length(trim(text)) > 0) SELECT doc_id, source, h AS content_hash FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id) = 1")
 def dd_exact(spark, sf):
@@ -120,7 +112,8 @@ def dd_minhash_sig(spark, sf):
 
 @query()
 def dd_lsh(spark, sf):
-    return dedup.candidate_pairs(dedup.signatures(docs(spark, sf)))
+    """Classes of equal signatures, and with how many others each shares a band."""
+    return dedup.lsh(dedup.signatures(docs(spark, sf)))
 
 
 @query()
@@ -160,15 +153,53 @@ def lang_profiles(spark, sf):
     return language.profiles(docs(spark, sf))
 
 
-@query(f"""WITH {_TRI}, r AS (SELECT lang, trigram, sum(n) AS n FROM tri WHERE lang IS NOT NULL GROUP BY ALL),
+_share = lambda p: f"length(regexp_replace(t, '[^{p}]', '', 'g')) / nullif(length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')), 0)"
+_FOUND = f"""{_TRI}, r AS (SELECT lang, trigram, sum(n) AS n FROM tri WHERE lang IS NOT NULL GROUP BY ALL),
 p AS (SELECT * FROM (SELECT lang, trigram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(trigram)) AS rank FROM r) WHERE rank <= 300),
-o AS (SELECT * FROM (SELECT doc_id, trigram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS own FROM tri WHERE len >= 100) WHERE own <= 300),
+o AS (SELECT doc_id, trigram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS own FROM tri WHERE len >= 100),
 d AS (SELECT k.doc_id, p.lang, sum(abs(p.rank - coalesce(o.own, 300))) / count(*) AS d FROM (SELECT DISTINCT doc_id FROM o) k JOIN p ON true LEFT JOIN o ON o.doc_id = k.doc_id AND o.trigram = p.trigram GROUP BY ALL),
-b AS (SELECT doc_id, lang, d, lead(d) OVER w AS e, row_number() OVER w AS r FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY d, lang))
-SELECT documents.doc_id, coalesce(b.lang, 'unknown') AS lang_pred, coalesce(round(CASE WHEN coalesce(e, 2 * d) = 0 THEN 1.0 ELSE 1 - d / coalesce(e, 2 * d) END, 4), 0.0) AS confidence FROM documents LEFT JOIN b ON b.doc_id = documents.doc_id AND r = 1""")
+best AS (SELECT doc_id, lang, d, lead(d) OVER w AS e, row_number() OVER w AS r FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY d, lang)),
+share AS (SELECT doc_id, coalesce({_share('\\p{Latin}')}, 0) AS latin, coalesce({_share('一-鿿')}, 0) AS cjk, coalesce({_share('؀-ۿ')}, 0) AS arabic FROM f),
+conf AS (SELECT doc_id, lang, CASE WHEN coalesce(e, 2 * d) = 0 THEN 1.0 ELSE 1 - d / coalesce(e, 2 * d) END AS c FROM best WHERE r = 1),
+found AS (SELECT documents.doc_id, CASE WHEN conf.lang IS NULL THEN 'unknown' WHEN cjk > 0.2 THEN 'zh' WHEN arabic > 0.2 THEN 'ar' ELSE conf.lang END AS lang_pred,
+  round(CASE WHEN conf.lang IS NULL THEN 0.0 WHEN cjk > 0.2 THEN cjk WHEN arabic > 0.2 THEN arabic WHEN conf.lang = 'en' AND latin > 0.95 THEN greatest(c, latin) ELSE c END, 4) AS confidence
+  FROM documents LEFT JOIN conf USING (doc_id) LEFT JOIN share USING (doc_id))"""
+
+
+def _detector(spark, sf):
+    return language.detector(language.profiles(spread(docs(spark, sf))))
+
+
+@query(f"WITH {_FOUND} SELECT doc_id, lang_pred, confidence FROM found")
 def lang_detect(spark, sf):
-    d = docs(spark, sf)
-    return language.detect(d, language.profiles(d))
+    return language.detect(spread(docs(spark, sf)), language.profiles(spread(docs(spark, sf))))
+
+
+@query(f"WITH {_FOUND} SELECT doc_id, lang_pred = 'en' AND confidence >= 0.9 AS passed FROM found")
+def f_lang(spark, sf):
+    return spread(docs(spark, sf)).select("doc_id", language.allowed(_detector(spark, sf)(F.col("text"))).alias("passed"))
+
+
+_JUDGE = _JUDGE.replace("_LANG", _FOUND)
+
+
+@query(_JUDGE + "SELECT doc_id, reason_code, reason_code IS NULL AS passed FROM j")
+def f_pipeline(spark, sf):
+    judged = quality.judged(spread(docs(spark, sf)), languages=_detector(spark, sf))
+    return judged.select("doc_id", "reason_code", F.col("reason_code").isNull().alias("passed"))
+
+
+@query(_JUDGE + "SELECT coalesce(reason_code, 'passed') AS reason, count(*) AS n FROM j GROUP BY 1")
+def f_pipeline_file(spark, sf):
+    return quality.counts_by_reason(spread(docs(spark, sf)), languages=_detector(spark, sf))
+
+
+@query(_JUDGE + "SELECT doc_id, n::INT AS token_count, round(alpha, 6) AS alpha_ratio, round(rep, 6) AS ngram_repetition, srep::INT AS sentence_repeats, round(bullets, 6) AS bullet_ratio, lang_pred AS language, confidence AS lang_confidence FROM j")
+def f_scores(spark, sf):
+    """What the rules compare, of every document."""
+    x = quality.scores(spread(docs(spark, sf)), languages=_detector(spark, sf))
+    rounded = [F.round(c, 6).alias(c) for c in ("alpha_ratio", "ngram_repetition", "bullet_ratio")]
+    return x.select("doc_id", "token_count", "sentence_repeats", *rounded, "language", "lang_confidence")
 
 
 @query(r"SELECT doc_id, round(length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) / nullif(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 0), 4) AS latin FROM documents")

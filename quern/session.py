@@ -60,3 +60,10 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the standard tables; the path may be any that Spark's readers know."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores; a table of one file and row group makes one task otherwise.
+    Only tables of few partitions are dealt out, so a large one is read where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
