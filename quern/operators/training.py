@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import strip
 from quern.operators.corpus import ranks
-from quern.operators.tokenizers import EOS, MASK, PAD
+from quern.operators.tokenizers import ASSISTANT, END_TURN, EOS, MASK, PAD, SYSTEM, USER
+from quern.session import ship
 
 IGNORED = -100
 DEFAULT_SYSTEM = "You are a helpful assistant."
@@ -28,6 +34,12 @@ def dynamic_pad(rows: DataFrame, key: str, batch: int, left: bool = False) -> Da
     return numbered.select(key, "batch", (F.concat(pad, F.col("ids")) if left else F.concat(F.col("ids"), pad)).alias("input_ids"))
 
 
+def batches(rows: DataFrame, key: str, batch: int) -> DataFrame:
+    """rows(key, ids) in batches of consecutive rows: input_ids padded to the longest of the batch, and their masks."""
+    out = dynamic_pad(rows, key, batch).join(rows.select(key, F.size("ids").alias("__q_n")), key)
+    return out.select(key, "batch", "input_ids", F.transform("input_ids", lambda _, i: (i < F.col("__q_n")).cast("int")).alias("attention_mask"))
+
+
 def _pieces(docs: DataFrame, key: str, end: int | None, block: int, beyond: int = 0) -> DataFrame:
     """block_id and x: the documents' tokens, by key, each document followed by end, in blocks that hold ``beyond`` tokens
     of the next one besides. Blocks inside a document are cut from it as they are, only those over an edge meet by number."""
@@ -94,8 +106,8 @@ def masked(docs: DataFrame, vocabulary: int, key: str = "doc_id", share: float =
 
 
 def chat_text(turns: DataFrame, system: str = DEFAULT_SYSTEM, end: bool = True) -> DataFrame:
-    """conv_id and text: delimited turns in order; the first system turn leads (else the default), other roles are left out."""
-    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    """conv_id and text: delimited turns, stripped, in order; the first system turn leads (else the default), other roles are left out."""
+    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", strip(F.col("text")).alias("text")))).alias("t"))
     own = F.transform(F.filter("t", lambda m: m["role"] == "system"), lambda m: m["text"])
     head = F.concat(F.lit("<|system|>\n"), F.coalesce(F.try_element_at(own, F.lit(1)), F.lit(system)), F.lit("\n"))
     one = lambda m: F.when(m["role"] == "user", F.concat(F.lit("<|user|>\n"), m["text"], F.lit("\n"))).when(m["role"] == "assistant", F.concat(F.lit("<|assistant|>\n"), m["text"], F.lit("\n<|end_turn|>\n"))).otherwise("")
@@ -109,13 +121,44 @@ def instruction_text(instruction: Column, given: Column, response: Column, end:
 
 def response_mask(ids: Column, opens: int, closes: int) -> Column:
     """True inside responses: after an opening id, up to a closing one; the delimiters themselves are not."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<boolean>").alias("mask"))
-
-    def step(s: Column, t: Column) -> Column:
-        inside = F.when(t == opens, True).when(t == closes, False).otherwise(s["inside"])
-        return F.struct(inside.alias("inside"), F.concat(s["mask"], F.array(inside & (t != opens) & (t != closes))).alias("mask"))
-
-    return F.aggregate(ids, start, step)["mask"]
+    # The last delimiter before each place, by a running maximum of their places: odd for an opening one.
+    marks = F.transform(ids, lambda t, i: F.when(t == opens, 2 * i + 3).when(t == closes, 2 * i + 2).otherwise(0))
+
+    @F.pandas_udf("array<boolean>")
+    def inside(s: pd.Series) -> pd.Series:
+        return s.map(lambda m: None if m is None else (np.maximum.accumulate(m) % 2 == 1) & (m == 0) if len(m) else [])
+
+    return inside(marks)
+
+
+def chat_ids(turns: DataFrame, longest: int) -> DataFrame:
+    """conv_id, input_ids, attention_mask and labels of whole conversations in chat form: characters are coded above the
+    specials, delimiters are ids of their own, and only what assistants say, with the id that ends it, is a label."""
+    ship(turns.sparkSession)
+    ids_of = {"<|system|>": SYSTEM, "<|user|>": USER, "<|assistant|>": ASSISTANT, "<|end_turn|>": END_TURN, "<eos>": EOS}
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        marks = re.compile("|".join(map(re.escape, ids_of)))
+        for f in frames:
+            rows = []
+            for text in f["text"]:
+                ids, at = [], 0
+                for m in marks.finditer(text):
+                    ids += [ord(c) % 500 + 12 for c in text[at : m.start()]] + [ids_of[m[0]]]
+                    at = m.end()
+                x = np.array((ids + [ord(c) % 500 + 12 for c in text[at:]])[:longest], np.int64)
+                place = np.arange(len(x))
+                delimiter = np.isin(x, [SYSTEM, USER, ASSISTANT, EOS])
+                last = np.maximum.accumulate(np.where(delimiter | (x == END_TURN), place, -1)) if len(x) else place
+                before = np.concatenate(([-1], last[:-1])) if len(x) else last
+                said = (before >= 0) & (x[np.maximum(before, 0)] == ASSISTANT) & ~delimiter
+                rows.append((x.tolist(), [1] * len(x), np.where(said, x, IGNORED).tolist()))
+            columns = ["input_ids", "attention_mask", "labels"]
+            yield pd.DataFrame({"conv_id": f["conv_id"], **{c: [r[i] for r in rows] for i, c in enumerate(columns)}})
+
+    return chat_text(turns).mapInPandas(each, "conv_id long, input_ids array<int>, attention_mask array<int>, labels array<int>")
 
 
 def budget_tail(turns: DataFrame, budget: int) -> DataFrame:
@@ -144,18 +187,28 @@ def preference_pairs(df: DataFrame) -> DataFrame:
     return df.filter(ok[0] & ok[1] & ok[2])
 
 
-#: Prompt forms by name; {x} stands for a column.
-TEMPLATES = {
-    "question": "Question: {question}\nAnswer:",
-    "context_question": "Context:\n{context}\n\nQuestion: {question}\nAnswer:",
-    "summary": "Summarise the following text:\n{text}\n\nSummary:",
-    "classification": "Classify the text into one of: {labels}\nText: {text}\nLabel:",
-    "code": "Write {language} code for this task:\n{task}\n\nCode:",
-}
+#: What prompts add to the system text or begin the answer with.
+STEP_BY_STEP, FIRST_STEP = " Think step by step.", "Let me think through this step by step.\n\n"
+CODE_SYSTEM = "You are an expert software engineer. Write clean, correct, and well-commented code. Follow best practices for the requested language. Only output code and brief explanations, no unnecessary prose."
+
 
+def _said(role: str, text: Column) -> Column:
+    return F.concat(F.lit(f"<|{role}|>\n"), text, F.lit("\n"))
 
-def prompt(name: str, **columns: Column) -> Column:
-    import re
 
-    parts = re.split(r"\{(\w+)\}", TEMPLATES[name])
-    return F.concat(*[columns[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+def prompt(name: str, user: Column, system: Column | None = None, history: Column | None = None, language: str = "Python") -> Column:
+    """A prompt up to where the assistant answers, in one of five forms: system, chat, few_shot, cot and code.
+
+    history: earlier turns, array<struct<user, assistant>>, of chat and few_shot.
+    """
+    if name not in ("system", "chat", "few_shot", "cot", "code"):
+        raise ValueError(f"no prompt form {name}")
+    head = F.lit(DEFAULT_SYSTEM) if system is None else system
+    if name == "cot":
+        head = F.concat(head, F.lit(STEP_BY_STEP))
+    if name == "code" and system is None:
+        head = F.lit(f"{CODE_SYSTEM} Language: {language}.")
+    turn = lambda x: F.concat(_said("user", x["user"]), _said("assistant", x["assistant"]), F.lit("<|end_turn|>\n"))
+    before = F.array_join(F.transform(history, turn), "") if history is not None and name in ("chat", "few_shot") else F.lit("")
+    opening = {"cot": FIRST_STEP, "code": f"```{language.lower()}\n"}.get(name, "")
+    return F.concat(_said("system", head), before, _said("user", user), F.lit("<|assistant|>\n" + opening))

@@ -50,10 +50,11 @@ def keyword_search(passages: DataFrame, text: str, query: str, k: int = 3) -> Da
     return passages.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), F.desc(text)).limit(k)
 
 
-def keyword_overlap(passages: DataFrame, text: str, query: str) -> DataFrame:
-    """score: words that query and passage share."""
+def keyword_overlap(passages: DataFrame, text: str, query: str, k: int = 5, key: str = "id") -> DataFrame:
+    """The k passages that share most words with the query, with their number as score; ties by key, none without any."""
     wanted = F.array(*[F.lit(w) for w in sorted(set(query.lower().split()))])
-    return passages.withColumn("score", F.size(F.array_intersect(F.split(F.lower(text), r"\s+"), wanted)))
+    scored = passages.withColumn("score", F.size(F.array_intersect(F.split(F.lower(text), r"\s+"), wanted)))
+    return scored.filter("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
 def centroids_of(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
@@ -183,20 +184,36 @@ def predicted(coefficients: np.ndarray, x: list[str]) -> Column:
 
 
 def agglomerative(rows: DataFrame, k: int, linkage: str = "average", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """key and cluster of at most BOUNDED rows: repeated merging of the nearest two, ties by place."""
+    """key and cluster of at most BOUNDED rows, whose distances are held at once: merging of the nearest clusters down to k.
+
+    Chains of nearest neighbours find the merges: each step goes to the last cluster's nearest one, until two are each
+    other's. For these linkages the tree is that of merging the nearest two each time; it is cut by the merges' heights.
+    """
     if rows.limit(BOUNDED + 1).count() > BOUNDED:
         raise ValueError(f"agglomerative clustering is for at most {BOUNDED} rows")
 
     def each(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(key)
         x = np.array(f[vector].tolist(), float)
-        d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0)) if len(x) < 1500 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
-        if linkage == "ward":
-            d = d**2 / 2
+        m = len(x)
+        norms = (x * x).sum(1)
+        d = np.maximum(norms[:, None] + norms[None] - 2 * x @ x.T, 0)
+        d = d / 2 if linkage == "ward" else np.sqrt(d)
         np.fill_diagonal(d, np.inf)
-        size, label, live = np.ones(len(x)), np.arange(len(x)), len(x)
-        while live > k:
-            i, j = sorted(divmod(int(d.argmin()), len(x)))
+        size, live, merges, chain = np.ones(m), np.ones(m, bool), [], []
+        while len(merges) < m - 1:
+            if not chain:
+                chain = [int(np.flatnonzero(live)[0])]
+            i = chain[-1]
+            j = int(d[i].argmin())
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+            if len(chain) < 2 or j != chain[-2]:
+                chain.append(j)
+                continue
+            del chain[-2:]
+            i, j = sorted((i, j))
+            merges.append((float(d[i, j]), i, j))
             if linkage == "single":
                 new = np.minimum(d[i], d[j])
             elif linkage == "complete":
@@ -205,17 +222,45 @@ def agglomerative(rows: DataFrame, k: int, linkage: str = "average", key: str =
                 new = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
             else:
                 new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-            new[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
+            live[j] = False
+            new[~live] = np.inf
+            new[i] = np.inf
             d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
-            d[i, i] = np.inf
             size[i] += size[j]
-            label[label == j] = i
-            live -= 1
+        label = np.arange(m)
+        for _, i, j in sorted(merges)[: max(0, m - k)]:
+            label[label == label[j]] = label[i]
         return pd.DataFrame({key: f[key], "cluster": np.unique(label, return_inverse=True)[1].astype("int32")})
 
     return rows.select(key, vector).groupBy().applyInPandas(each, f"{key} {rows.schema[key].dataType.simpleString()}, cluster int")
 
 
+#: Vectors of one side that are sent to all tasks at once.
+QUERIES = 4_096
+
+
+def distances(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key, query_id and Euclidean distance of all rows to a stated set of queries. The queries are dealt into blocks by a
+    hash, so that one of about QUERIES meets a part of the rows as a matrix."""
+    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    blocks = max(1, -(-queries.count() // QUERIES))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    v = F.col(vector).cast("array<double>").alias("v")
+    left = rows.select(key, v, deal(parts).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select(F.col(key).alias("query_id"), v, deal(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def each(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(q):
+            return pd.DataFrame({key: [], "query_id": [], "distance": []}).astype({key: "int64", "query_id": "int64"})
+        b = np.stack(q["v"])
+        d = np.concatenate([np.sqrt(((a - b) ** 2).sum(1)) for a in x["v"]])
+        return pd.DataFrame({key: np.repeat(x[key].to_numpy(), len(b)), "query_id": np.tile(q["query_id"].to_numpy(), len(x)), "distance": d})
+
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(each, f"{key} long, query_id long, distance double")
+
+
 def viterbi(sequences: DataFrame, start: list[float], transitions: list[list[float]]) -> DataFrame:
     """id and path: the best labels of sequences(id, emissions array<array<double>>), as additive scores."""
     ship(sequences.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text, web
-from quern.operators import corpus
+from quern.operators import corpus, vectors
 from quern.plans.registry import query
 from quern.session import table
 
@@ -55,9 +55,11 @@ def token_estimate(spark, sf):
     return n.select("words", corpus.tokens_of(F.col("words")).alias("tokens"))
 
 
-@query("SELECT vec_id, array_to_string(list_transform(embedding[1:8], lambda x: round(x::DOUBLE, 4)::VARCHAR), ',') IS NOT NULL AS ok, len(embedding[1:8]) AS n FROM embeddings")
+@query("WITH v AS (SELECT vec_id, embedding[1:8] AS x FROM embeddings) SELECT vec_id, generate_subscripts(x, 1) - 1 AS i, round(unnest(x)::DOUBLE, 5) AS x FROM v")
 def emb_truncate(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).isNotNull().alias("ok"), F.size(F.slice("embedding", 1, 8)).cast("long").alias("n"))
+    """The first eight components of every vector."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x"))
+    return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 @query()
@@ -155,26 +157,6 @@ def st_shuffle_buffer(spark, sf):
     return shuffled(events(spark, sf).select("event_id", "user_id"), 500)
 
 
-@query("SELECT item_id, len(list_filter(list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1)), lambda c: c <> ' ')) AS n FROM benchmark")
-def tk_decode(spark, sf):
-    """Ids of characters decoded back through a vocabulary table, special ids dropped; spaces were the special ones."""
-    from quern.functions.text import characters
-
-    b = table(spark, sf, "benchmark").select("item_id", F.filter(characters(F.col("text")), lambda c: c != " ").alias("c"))
-    vocabulary = b.select(F.explode("c").alias("token")).distinct()
-    ids = vocabulary.withColumn("id", F.xxhash64("token"))
-    places = b.select("item_id", F.posexplode("c").alias("pos", "token")).join(ids, "token").select("item_id", "pos", "id")
-    back = places.join(ids, "id").groupBy("item_id").agg(F.length(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]), "")).cast("long").alias("n"))
-    return back
-
-
-@query("WITH d AS (SELECT conv_id, length(text) AS n FROM conversations) SELECT conv_id, max(n)::INT AS padded_to, (max(n) * count(*) - sum(n))::BIGINT AS padding FROM d GROUP BY 1")
-def tk_batch(spark, sf):
-    """Padding of each conversation's turns to the longest of them."""
-    n = F.length("text")
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max(n).alias("padded_to"), (F.max(n) * F.count("*") - F.sum(n)).alias("padding"))
-
-
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS chunk FROM documents")
 def snk_chunks(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
@@ -207,10 +189,35 @@ def v_format(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 500).alias("passage"), F.row_number().over(w).alias("number"))
 
 
-@query("SELECT e.vec_id, count(*) FILTER (abs(e.embedding[1] - c.x) <= 0.05) AS near FROM embeddings e, (SELECT vec_id, embedding[1] AS x FROM embeddings WHERE vec_id < 50) c GROUP BY 1")
+@query("""SELECT e.vec_id, q.vec_id AS query_id, round(sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), 4) AS distance
+FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q""")
 def j_cross_dist(spark, sf):
-    """Distances to a fixed set of fifty vectors, held as an array literal, so nothing is cross-joined."""
-    few = [float(r["x"]) for r in table(spark, sf, "embeddings").filter("vec_id < 50").select(F.col("embedding")[0].alias("x")).collect()]
-    x = F.col("embedding")[0]
-    near = F.size(F.filter(F.array(*[F.lit(v).cast("float") for v in few]), lambda c: F.abs(x - c) <= F.lit(0.05)))
-    return table(spark, sf, "embeddings").select("vec_id", near.cast("long").alias("near"))
+    """Distances of all vectors to a stated query set: those whose id is divisible by 50."""
+    e = table(spark, sf, "embeddings")
+    return vectors.distances(e, e.filter("vec_id % 50 = 0")).withColumn("distance", F.round("distance", 4))
+
+
+@query("WITH c AS (SELECT item_id, list_filter(string_split(text, ''), lambda c: c <> ' ') AS c FROM benchmark) SELECT item_id, array_to_string(c, '') AS text FROM c")
+def tk_decode(spark, sf):
+    """Ids of characters decoded back through a vocabulary table, special ids dropped; spaces were the special ones."""
+    from quern.functions.text import characters
+
+    b = table(spark, sf, "benchmark").select("item_id", characters(F.col("text")).alias("c"))
+    vocabulary = b.select(F.explode("c").alias("token")).distinct().select("token", F.xxhash64("token").alias("id"))
+    ids = b.select("item_id", F.transform("c", lambda c: F.xxhash64(c)).alias("ids"))
+    places = ids.select("item_id", F.posexplode("ids").alias("pos", "id")).join(vocabulary, "id").filter("token <> ' '")
+    lists = places.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
+    return lists.select("item_id", F.array_join(F.transform("x", lambda s: s["token"]), "").alias("text"))
+
+
+@query("""WITH b AS (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 8 AS batch, list_transform(string_split(text, ''), lambda c: (unicode(c) % 500 + 12)::INT) AS ids FROM benchmark),
+m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS n FROM b)
+SELECT item_id, batch, array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 0::INT)), ',') AS input_ids, array_to_string(list_transform(range(n), lambda i: (i < len(ids))::INT), ',') AS attention_mask FROM m""")
+def tk_batch(spark, sf):
+    """Padded batches of eight with their attention masks."""
+    from quern.operators import training
+
+    codes = F.transform(text.characters(F.col("text")), lambda c: (F.ascii(c) % 500 + 12).cast("int"))
+    rows = training.batches(table(spark, sf, "benchmark").select("item_id", codes.alias("ids")), "item_id", 8)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return rows.select("item_id", "batch", listed("input_ids"), listed("attention_mask"))

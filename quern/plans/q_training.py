@@ -13,20 +13,14 @@ from quern.functions.calculator import calculate
 from quern.functions.text import millis
 from quern.operators import evaluation, tokenizers, training, vectors
 from quern.plans.registry import query
-from quern.session import table
+from quern.session import spread, table
 
-#: Tokens for set building without a trained vocabulary: character codes above the specials, of a document's first line.
-IDS_SQL = "list_transform(range(1, least(length(split_part(text, chr(10), 1)), 200) + 1), lambda i: (unicode(substr(split_part(text, chr(10), 1), i, 1)) % 500 + 12)::INT)"
+#: Tokens for set building without a trained vocabulary: the codes of all characters, above the specials.
+IDS_SQL = "CASE WHEN text = '' THEN [] ELSE list_transform(string_split(text, ''), lambda c: (unicode(c) % 500 + 12)::INT) END"
 
 
 def coded(spark, sf):
-    line = F.substring(F.split("text", "\n", -1)[0], 1, 200)
-    chars = F.filter(F.split(line, "", -1), lambda c: c != "")
-    return table(spark, sf, "documents").select("doc_id", F.transform(chars, lambda c: (F.ascii(c) % 500 + 12).cast("int")).alias("ids"))
-
-
-def coded_whole(spark, sf):
-    """The same codes of every character of every document."""
+    """Codes of every character of every document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,7 +31,7 @@ def coded_whole(spark, sf):
                 lists = pa.ListArray.from_arrays(offsets, pa.array((np.concatenate(chars) % 500 + 12).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "ids"])
 
-    return table(spark, sf, "documents").select("doc_id", "text").mapInArrow(each, "doc_id long, ids array<int>")
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).mapInArrow(each, "doc_id long, ids array<int>")
 
 
 def listed(c):
@@ -82,30 +76,30 @@ def w_pack(spark, sf):
 
 @query()
 def ds_mlm(spark, sf):
-    return training.masked(coded_whole(spark, sf), 512)
+    return training.masked(coded(spark, sf), 512)
 
 
-# The queries above keep to the first 200 characters because their SQL does; these take all of every document.
+# The same sets as arrays instead of texts.
 
 
 @query()
 def ds_fixed_whole(spark, sf):
-    return coded_whole(spark, sf).select("doc_id", training.fixed(F.col("ids"), 64).alias("x")).select("doc_id", "x.*")
+    return coded(spark, sf).select("doc_id", training.fixed(F.col("ids"), 64).alias("x")).select("doc_id", "x.*")
 
 
 @query()
 def ds_collate_whole(spark, sf):
-    return training.dynamic_pad(coded_whole(spark, sf), "doc_id", 16)
+    return training.dynamic_pad(coded(spark, sf), "doc_id", 16)
 
 
 @query()
 def ds_pack_whole(spark, sf):
-    return training.pack(coded_whole(spark, sf), 128)
+    return training.pack(coded(spark, sf), 128)
 
 
 @query()
 def ds_clm_whole(spark, sf):
-    return training.causal(coded_whole(spark, sf), 128)
+    return training.causal(coded(spark, sf), 128)
 
 
 @query()
@@ -118,12 +112,12 @@ def w_pack_whole(spark, sf):
 def tk_encode_whole(spark, sf):
     """Every document in windows of at most 62 tokens, each between the specials."""
     windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / 62).cast("int")), lambda i: F.slice("ids", i * 62 + 1, 62))
-    d = coded_whole(spark, sf).filter(F.size("ids") > 0).select("doc_id", F.posexplode(windows).alias("part", "ids"))
+    d = coded(spark, sf).filter(F.size("ids") > 0).select("doc_id", F.posexplode(windows).alias("part", "ids"))
     return d.select("doc_id", "part", tokenizers.with_specials(F.col("ids"), 64).alias("ids"))
 
 
-_CHAT = """WITH s AS (SELECT conv_id, text FROM conversations WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
-c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<|user|>' || chr(10) || text || chr(10) WHEN 'assistant' THEN '<|assistant|>' || chr(10) || text || chr(10) || '<|end_turn|>' || chr(10) ELSE '' END, '' ORDER BY turn) AS body FROM conversations GROUP BY 1)
+_CHAT = """WITH s AS (SELECT conv_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
+c AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '<|user|>' || chr(10) || trim(text, chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) WHEN 'assistant' THEN '<|assistant|>' || chr(10) || trim(text, chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) || '<|end_turn|>' || chr(10) ELSE '' END, '' ORDER BY turn) AS body FROM conversations GROUP BY 1)
 """
 
 
@@ -151,12 +145,8 @@ def ds_response_mask(spark, sf):
 
 @query()
 def ds_sft(spark, sf):
-    """Chat texts as padded ids with labels on responses only, by turn."""
-    chars = F.transform(F.filter(F.split(F.substring("text", 1, 256), "", -1), lambda c: c != ""), lambda c: (F.ascii(c) % 500 + 12).cast("int"))
-    t = table(spark, sf, "conversations").filter(F.length("text") >= 4).select("conv_id", "turn", "role", chars.alias("ids"))
-    x = t.withColumn("x", training.fixed(F.col("ids"), 256))
-    labels = F.when(F.col("role") == "assistant", F.col("x.labels")).otherwise(F.transform("x.labels", lambda _: F.lit(-100)))
-    return x.select("conv_id", "turn", "x.input_ids", "x.attention_mask", labels.alias("labels"))
+    """Whole conversations in chat form as ids of at most 2048 tokens, with labels on responses only."""
+    return training.chat_ids(table(spark, sf, "conversations"), 2048)
 
 
 @query("WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), u AS (SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user') SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS chosen, reverse(a.text) AS rejected FROM u JOIN a USING (conv_id, turn) WHERE length(a.text) > 0 AND length(u.text) > 0")
@@ -167,9 +157,22 @@ def ds_pref(spark, sf):
     return training.preference_pairs(u.join(a, ["conv_id", "turn"]))
 
 
-@query("SELECT item_id, 'Summarise the following text:' || chr(10) || text || chr(10) || chr(10) || 'Summary:' AS prompt FROM benchmark")
+_SYSTEM, _ANSWER = f"'<|system|>' || chr(10) || '{training.DEFAULT_SYSTEM}", "<|user|>' || chr(10) || text || chr(10) || '<|assistant|>' || chr(10)"
+_FORMS = {
+    "system": f"{_SYSTEM}' || chr(10) || '{_ANSWER}",
+    "chat": f"{_SYSTEM}' || chr(10) || '<|user|>' || chr(10) || 'Hello' || chr(10) || '<|assistant|>' || chr(10) || 'Hi.' || chr(10) || '<|end_turn|>' || chr(10) || '{_ANSWER}",
+    "few_shot": f"{_SYSTEM}' || chr(10) || '<|user|>' || chr(10) || 'Hello' || chr(10) || '<|assistant|>' || chr(10) || 'Hi.' || chr(10) || '<|end_turn|>' || chr(10) || '{_ANSWER}",
+    "cot": f"{_SYSTEM}{training.STEP_BY_STEP}' || chr(10) || '{_ANSWER} || replace('{training.FIRST_STEP}', chr(10), chr(10))",
+    "code": f"'<|system|>' || chr(10) || '{training.CODE_SYSTEM} Language: Python.' || chr(10) || '{_ANSWER} || '```python' || chr(10)",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT item_id, '{name}' AS form, {sql} AS prompt FROM benchmark" for name, sql in _FORMS.items()))
 def ds_prompts(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", training.prompt("summary", text=F.col("text")).alias("prompt"))
+    """Every item in each of the five forms."""
+    earlier = F.array(F.struct(F.lit("Hello").alias("user"), F.lit("Hi.").alias("assistant")))
+    forms = [F.struct(F.lit(name).alias("form"), training.prompt(name, F.col("text"), history=earlier).alias("prompt")) for name in _FORMS]
+    return table(spark, sf, "benchmark").select("item_id", F.explode(F.array(*forms)).alias("x")).select("item_id", "x.*")
 
 
 @query()
@@ -188,28 +191,28 @@ def bpe_counts(spark, sf):
 
 @query()
 def tk_bpe_train(spark, sf):
-    merges, _ = tokenizers.train_bpe(bpe_counts(spark, sf), size=600)
+    merges, _ = tokenizers.train_bpe(bpe_counts(spark, sf))
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
 
 
 @query()
 def tk_bpe_encode(spark, sf):
     docs = table(spark, sf, "documents")
-    merges, vocabulary = tokenizers.train_bpe(bpe_counts(spark, sf), size=600)
+    merges, vocabulary = tokenizers.train_bpe(bpe_counts(spark, sf))
     ranks = {m: i for i, m in enumerate(merges)}
     return tokenizers.encode(docs, tokenizers.pretokens(F.col("text")), lambda w: tokenizers.encode_bpe_word(w, ranks), vocabulary)
 
 
 @query()
 def tk_wp_train(spark, sf):
-    counts = tokenizers.word_counts(table(spark, sf, "documents"), tokenizers.wordpiece_words(F.col("text"))).orderBy(F.desc("n"), "word").limit(2000)
-    return spark.createDataFrame([(i, t) for i, t in enumerate(tokenizers.train_wordpiece(counts, size=250))], "id int, token string")
+    counts = tokenizers.word_counts(table(spark, sf, "documents"), tokenizers.wordpiece_words(F.col("text")))
+    return spark.createDataFrame([(i, t) for i, t in enumerate(tokenizers.train_wordpiece(counts))], "id int, token string")
 
 
 @query()
 def tk_wp_encode(spark, sf):
     docs = table(spark, sf, "documents")
-    vocabulary = tokenizers.train_wordpiece(tokenizers.word_counts(docs, tokenizers.wordpiece_words(F.col("text"))).orderBy(F.desc("n"), "word").limit(2000), size=250)
+    vocabulary = tokenizers.train_wordpiece(tokenizers.word_counts(docs, tokenizers.wordpiece_words(F.col("text"))))
     known = set(vocabulary)
     return tokenizers.encode(docs, tokenizers.wordpiece_words(F.col("text")), lambda w: tokenizers.encode_wordpiece_word(w, known), vocabulary)
 
@@ -230,10 +233,10 @@ def tk_wp_decode(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", tokenizers.wordpiece_text(F.split(F.replace("text", F.lit("th"), F.lit("t ##h")), " ", -1)).alias("text"))
 
 
-@query(r"""WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([^\w\s\x{80}-\x{10FFFF}])', ' \1 ', 'g')), '\s+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY 1),
+@query(r"""WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '([^\w\s\x{80}-\x{10FFFF}])', ' \1 ', 'g')), '\s+'), lambda x: x <> '')) AS w FROM documents) GROUP BY 1),
 p AS (SELECT w, n, unnest(range(1, length(w))) AS i FROM w) SELECT substr(w, i, 1) AS "left", substr(w, i + 1, 1) AS "right", sum(n)::BIGINT AS n FROM p GROUP BY 1, 2""")
 def a_pair_freq(spark, sf):
-    return tokenizers.pair_counts(tokenizers.word_counts(table(spark, sf, "benchmark"), tokenizers.wordpiece_words(F.col("text"))))
+    return tokenizers.pair_counts(tokenizers.word_counts(table(spark, sf, "documents"), tokenizers.wordpiece_words(F.col("text"))))
 
 
 def _labelled(spark, sf):
@@ -342,9 +345,9 @@ def v_keyword(spark, sf):
     return vectors.keyword_search(table(spark, sf, "benchmark"), "text", "the SH ering", 5).select("item_id", "score")
 
 
-@query(r"SELECT item_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), ['the', 'of', 'is']))::INT AS score FROM benchmark")
+@query(r"WITH s AS (SELECT item_id, text, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\s+')), ['the', 'of', 'is']))::INT AS score FROM benchmark) SELECT item_id, score FROM s WHERE score > 0 ORDER BY score DESC, item_id LIMIT 5")
 def v_keyword_set(spark, sf):
-    return vectors.keyword_overlap(table(spark, sf, "benchmark"), "text", "the of is").select("item_id", "score")
+    return vectors.keyword_overlap(table(spark, sf, "benchmark"), "text", "the of is", 5, "item_id").select("item_id", "score")
 
 
 @query("WITH p AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, (i - 1)::INT AS i, round(avg(x), 6) AS m FROM p GROUP BY 1, 2")
@@ -352,9 +355,13 @@ def mean_pool(spark, sf):
     return vectors.centroids_of(emb(spark, sf), "label").select("label", F.posexplode("centroid").alias("i", "m")).withColumn("m", F.round("m", 6))
 
 
-@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS x, len(embedding[1:16])::INT AS n FROM embeddings")
+_UNNEST = "SELECT vec_id, generate_subscripts(x, 1) - 1 AS i, round(unnest(x), 5) AS x FROM"
+
+
+@query(f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda y: y::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE))), 1e-12)) AS x FROM embeddings) {_UNNEST} v")
 def emb_l2norm(spark, sf):
-    return emb(spark, sf).select("vec_id", F.round(vectors.l2_normalised(F.col("embedding"))[0], 5).alias("x"), F.size(F.slice("embedding", 1, 16)).alias("n"))
+    """Every component of every unit vector."""
+    return emb(spark, sf).select("vec_id", F.posexplode(vectors.l2_normalised(F.col("embedding"))).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
 
 
 @query()
@@ -374,12 +381,12 @@ def v_kmeans(spark, sf):
     return vectors.kmeans(emb(spark, sf), 5)[0]
 
 
-@query("""WITH p AS (SELECT event_id AS k, (epoch_ms(ts) / 3600000.0)::DOUBLE AS x, value AS y FROM events WHERE event_type = 'purchase'),
+@query("""WITH p AS (SELECT event_id AS k, (epoch_ms(ts) / 3600000.0)::DOUBLE AS x, value AS y FROM events),
 n AS (SELECT a.k, b.k AS j FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0),
 c AS (SELECT k FROM n GROUP BY k HAVING count(*) >= 4) SELECT p.k AS id, p.k IN (SELECT k FROM c) AS core, p.k NOT IN (SELECT n.k FROM n JOIN c ON c.k = n.j) AS noise FROM p""")
 def v_dbscan(spark, sf):
     """Core and noise points; cluster names are tested apart."""
-    p = table(spark, sf, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.array(millis(F.col("ts")) / 3600000.0, F.col("value")).alias("v"))
+    p = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.array(millis(F.col("ts")) / 3600000.0, F.col("value")).alias("v"))
     found = vectors.dbscan(p, 2.0, 4, "id", "v")
     near = vectors.neighbour_counts(p, 2.0, "id", "v")
     return found.join(near, "id").select("id", (F.col("n") >= 4).alias("core"), (F.col("cluster") == -1).alias("noise"))
@@ -387,7 +394,7 @@ def v_dbscan(spark, sf):
 
 @query()
 def v_agglo(spark, sf):
-    return vectors.agglomerative(emb(spark, sf).filter("vec_id < 200"), 5)
+    return vectors.agglomerative(emb(spark, sf), 5)
 
 
 @query()
