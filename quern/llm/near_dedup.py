@@ -20,8 +20,8 @@ Candidates are decided on full sets, for which the texts of the classes at hand
 neighbourhood: pairs around the same least class form one, dealt into blocks of about ``BLOCK`` shingles, so that a set
 travels once per block and not once per pair, and a cell of two blocks is bounded however large a family or a text is.
 
-The plan is the same at every size: nothing is collected or broadcast but what Spark finds small by itself. Joins whose
-keys can be hot (a common value, a neighbourhood, a group) are salted, and the names of very large classes go to where
+Nothing is collected, and nothing broadcast but the common values, if their table is small; else they are joined, with the
+same result. Joins whose keys can be hot (a common value, a neighbourhood, a group) are salted, and the names of very large classes go to where
 their rows are; the star joins between links are left to adaptive execution, which splits the partitions of a large star.
 
 Defined cases: null text counts as empty, and empty sets link with nothing (each such row is its own component); repeated
@@ -48,7 +48,9 @@ K, COMMON, LIST = 32, 10, 64
 #: The same for classes of large families; it again leaves six standard deviations.
 WIDE, WIDE_COMMON = 1 << 14, 11_955
 #: Shingles of a block of classes, on average.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
+#: Values of long lists that are sent to all tasks at most (16 MB of them and their numbers); more are joined.
+SENT_VALUES = 1 << 20
 WORDS, NEAR = 5, 75
 _NO_ID = (1 << 63) - 1
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -117,16 +119,19 @@ def _least_common(n: np.ndarray, k: int, common: int) -> np.ndarray:
     return np.where(n <= k, np.maximum(1, np.ceil(0.75 * n - np.maximum(0, n / 0.75 - k) - 1e-9)), common).astype(np.int64)
 
 
-def _hot_values(classes: DataFrame, most: int) -> DataFrame:
-    """class and hot: the values that more than most classes retain, each with their number."""
-    own = classes.select("class", F.explode("sketch").alias("value"))
-    often = own.groupBy("value").agg(F.count("*").alias("often")).filter(F.col("often") > most)
-    return salted_join(own, often, "value").groupBy("class").agg(F.collect_list(F.struct("value", "often")).alias("hot"))
-
-
-def entries(classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST) -> DataFrame:
+def entries(classes: DataFrame, k: int = K, common: int = COMMON, most: int = LIST, sent_values: int = SENT_VALUES) -> DataFrame:
     """value, class, n, hot, weight and reach: the inverted lists of the values of each class that must be looked at.
     reach: the largest set that can be near the class if this is the first value that both have."""
+    own = classes.select("class", F.explode("sketch").alias("value"))
+    often = written(own.groupBy("value").agg(F.count("*").alias("often")).filter(F.col("often") > most), "often")
+    none = F.array().cast("array<struct<value: bigint, often: bigint>>")
+    if often.count() <= sent_values:
+        known = classes.select("class", "n", "sketch").withColumn("hot", none)
+        sent = classes.sparkSession.sparkContext.broadcast(tuple(often.orderBy("value").toArrow().column(c).to_numpy() for c in ("value", "often")))
+    else:
+        hot = salted_join(own, often, "value").groupBy("class").agg(F.collect_list(F.struct("value", "often")).alias("hot"))
+        known = classes.select("class", "n", "sketch").join(hot, "class", "left").withColumn("hot", F.coalesce("hot", none))
+        sent = None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +139,12 @@ def entries(classes: DataFrame, k: int = K, common: int = COMMON, most: int = LI
             flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
             if not len(flat):
                 continue
-            hot = batch.column(3).flatten()
-            known, first = np.unique(hot.field(0).to_numpy(), return_index=True)
-            often = hot.field(1).to_numpy()[first]
+            if sent is not None:
+                known, often = sent.value
+            else:
+                hot = batch.column(3).flatten()
+                known, first = np.unique(hot.field(0).to_numpy(), return_index=True)
+                often = hot.field(1).to_numpy()[first]
             s = np.diff(ends, prepend=0)
             owner = np.repeat(np.arange(len(s)), s)
             at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
@@ -154,8 +162,6 @@ def entries(classes: DataFrame, k: int = K, common: int = COMMON, most: int = LI
             columns = [pa.array(flat[use]), pa.array(ids[o]), pa.array(sizes[o]), pa.array(n[use] > 0), pa.array(weight[o]), pa.array(reach)]
             yield pa.RecordBatch.from_arrays(columns, ["value", "class", "n", "hot", "weight", "reach"])
 
-    known = classes.select("class", "n", "sketch").join(_hot_values(classes, most), "class", "left")
-    known = known.withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<value: bigint, often: bigint>>")))
     return known.mapInArrow(each, "value long, class long, n long, hot boolean, weight long, reach long")
 
 

@@ -387,8 +387,12 @@ def family(rng, n, words, changed):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"k": 8, "common": 1, "most": 2, "wide": 16, "wide_common": 1}])
-def test_components_against_all_pairs(spark, monkeypatch, settings):
+@pytest.mark.parametrize("joined", [False, True])
+@pytest.mark.parametrize("settings", [{}, {"k": 8, "common": 1, "most": 2, "wide": 16, "wide_common": 1}, {"k": 8, "common": 1, "most": 2, "block": 500}])
+def test_components_against_all_pairs(spark, monkeypatch, settings, joined):
+    if joined:  # common values are joined instead of sent
+        lists = near_dedup.entries
+        monkeypatch.setattr(near_dedup, "entries", lambda *a: lists(*a, sent_values=-1))
     rng = np.random.default_rng(12)
     rows = odd_rows()
     shared = prose(rng, 15)
@@ -402,6 +406,19 @@ def test_components_against_all_pairs(spark, monkeypatch, settings):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_large_common_parts_that_do_not_make_near_copies(spark, monkeypatch):
+    # Four fifths of each text are shared: near to 0.67, so no pair links, and no list may stay to be compared pair by pair.
+    rng = np.random.default_rng(31)
+    shared = prose(rng, 400)
+    rows = [(i, shared + " " + " ".join(f"w{i}x{j}" for j in range(100)), None, "s") for i in range(150)]
+    rows += [(500 + i, rows[i][1] + " end", None, "s") for i in range(3)]
+    rest, asked = near_dedup._rest_links, []
+    monkeypatch.setattr(near_dedup, "_rest_links", lambda groups, *a: asked.append(groups.count()) or rest(groups, *a))
+    got = near_dedup.near_duplicates(table(spark, rows).repartition(5)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(plain_components(rows))
+    assert sum(asked) <= 12
+
+
 def test_one_of_each(spark, odd):
     out = near_dedup.one_of_each(odd)
     assert out.columns == odd.columns
