@@ -149,6 +149,31 @@ def near(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
     return docs.join(kept, key, "left_semi")
 
 
+def remember(docs: DataFrame, path: str, text: str = "text") -> None:
+    """Append the content hashes of docs to the table at path, which ``unseen`` of a later run reads."""
+    docs.filter(F.length(F.trim(F.col(text))) > 0).select(content_hash(F.col(text)).alias("content_hash")).distinct().write.mode("append").parquet(path)
+
+
+def remember_signatures(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> None:
+    """Append the signatures of docs to the table at path, which ``near_unseen`` of a later run reads."""
+    signatures(docs.filter(F.length(text) > 0), text, key).write.mode("append").parquet(path)
+
+
+def near_unseen(docs: DataFrame, seen: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.85, permutations: int = 128) -> DataFrame:
+    """docs without those that an earlier one of them or of seen(signature) resembles."""
+    from quern.plans.lineage import cut
+
+    fresh = near(docs, text, key, threshold, permutations)
+    own = cut(signatures(fresh, text, key, permutations))
+    b, r = bands_for(permutations, threshold)
+    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * r + 1, r)))).alias("band")
+    old = seen.select("signature").distinct()
+    old = cut(old.withColumn("old", F.xxhash64("signature")))
+    met = own.select(key, bands).join(old.select("old", bands), "band").select(key, "old").distinct()
+    close = met.join(own, key).join(old.select("old", F.col("signature").alias("s")), "old").filter(jaccard_estimate(F.col("signature"), F.col("s")) >= threshold)
+    return fresh.join(close.select(key).distinct(), key, "left_anti")
+
+
 def jaccard_exact(pairs: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5) -> DataFrame:
     """i, j and the Jaccard likeness of their character shingles, for given pairs(i, j)."""
     from quern.functions.text import shingles

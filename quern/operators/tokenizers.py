@@ -1,17 +1,23 @@
-"""Subword tokenizers trained on word counts: BPE and WordPiece. Words are counted by Spark, merged on the driver over the
-distinct words above a minimum frequency, and encoded once per distinct word."""
+"""Subword tokenizers trained on word counts: BPE and WordPiece. Words are counted by Spark and encoded once per distinct
+word. Merges are found on the driver where it can hold the distinct words above a minimum frequency; beyond that the words
+stay in Spark, which counts pairs and applies merges, and the driver sees the best pairs only."""
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.lineage import written
 from quern.session import ship
+from quern.sources.files import read_small, write_small
 
 #: The first ids of every vocabulary.
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>", "<mask>", "<sep>", "<cls>", "<pad_extra>", "<|system|>", "<|user|>", "<|assistant|>", "<|end_turn|>"]
@@ -20,8 +26,10 @@ SYSTEM, USER, ASSISTANT, END_TURN = 8, 9, 10, 11
 SPACE = "Ġ"
 #: Fixed value: the standard pattern of pre-tokens.
 PATTERN = r"(?i)'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-Z]+| ?[0-9]+| ?[^\s\w]+|\s+(?!\S)|\s+"
-#: Words that a trainer takes to the driver at most, by frequency; a vocabulary never needs more distinct words.
+#: Distinct words that a trainer takes to the driver at most; with more, the same merges are found in Spark.
 TRAIN_WORDS = 500_000
+#: Pairs that the driver looks at together, and rounds after which the words in Spark are stored anew.
+BEST_PAIRS, STORED = 1_000, 8
 
 
 def pretokens(text: Column, pattern: str = PATTERN) -> Column:
@@ -36,13 +44,136 @@ def wordpiece_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)([^\w\s])", " $1 "), r"(?U)\s+", -1), lambda w: w != "")
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """A trained vocabulary (ids are places), with merges for BPE and without for WordPiece."""
+
+    vocabulary: list[str]
+    merges: list[tuple[str, str]] | None = None
+
+    @property
+    def kind(self) -> str:
+        return "WordPiece" if self.merges is None else "BPE"
+
+    def extended(self, tokens: list[str]) -> Tokenizer:
+        """With tokens behind it that it lacks; those it has keep their ids."""
+        return Tokenizer(list(dict.fromkeys([*self.vocabulary, *tokens])), self.merges)
+
+    def words(self, text: Column) -> Column:
+        return wordpiece_words(text) if self.merges is None else pretokens(text)
+
+    def encode(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """key and ids of docs(key, text)."""
+        if self.merges is None:
+            known = set(self.vocabulary)
+            return encode(docs, self.words(F.col(text)), lambda w: encode_wordpiece_word(w, known), self.vocabulary, key)
+        ranks = {m: i for i, m in enumerate(self.merges)}
+        return encode(docs, self.words(F.col(text)), lambda w: encode_bpe_word(w, ranks), self.vocabulary, key)
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """vocab.json, merges.txt and tokenizer_config.json in a folder of any file system that Spark knows."""
+        write_small(spark, f"{folder}/vocab.json", json.dumps({t: i for i, t in enumerate(self.vocabulary)}, ensure_ascii=False, indent=2))
+        if self.merges is not None:
+            write_small(spark, f"{folder}/merges.txt", "".join(f"{a} {b}\n" for a, b in [("#version:", "1"), *self.merges]))
+        write_small(spark, f"{folder}/tokenizer_config.json", json.dumps({"tokenizer_class": self.kind, "vocab_size": len(self.vocabulary)}))
+
+
+def load(spark: SparkSession, folder: str) -> Tokenizer:
+    """What ``save`` wrote, of the kind that its configuration names."""
+    kind = json.loads(read_small(spark, f"{folder}/tokenizer_config.json")).get("tokenizer_class")
+    if kind not in ("BPE", "WordPiece"):
+        raise ValueError(f"unknown tokenizer class {kind!r} in {folder}")
+    ids = json.loads(read_small(spark, f"{folder}/vocab.json"))
+    vocabulary = sorted(ids, key=ids.get)
+    if kind == "WordPiece":
+        return Tokenizer(vocabulary)
+    lines = read_small(spark, f"{folder}/merges.txt").split("\n")[1:]
+    return Tokenizer(vocabulary, [tuple(x.split(" ")) for x in lines if x])
+
+
 def word_counts(docs: DataFrame, words: Column) -> DataFrame:
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _frequent(counts: DataFrame, least: int) -> dict[str, int]:
-    rows = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).collect()  # bounded
-    return {r["word"]: r["n"] for r in rows}
+def _frequent(counts: DataFrame) -> dict[str, int]:
+    return {r["word"]: r["n"] for r in counts.collect()}
+
+
+def _joined(parts: Column, pairs: list[tuple[str, str]], news: list[str]) -> Column:
+    """Arrays of parts with every occurrence of the pairs, which share no part, replaced."""
+    names = dict(zip(pairs, news, strict=True))
+
+    @F.pandas_udf("array<string>")
+    def each(s: pd.Series) -> pd.Series:
+        def one(p: list[str]) -> list[str]:
+            out, i = [], 0
+            while i < len(p):
+                new = names.get((p[i], p[i + 1])) if i + 1 < len(p) else None
+                out.append(p[i] if new is None else new)
+                i += 1 if new is None else 2
+            return out
+
+        return s.map(lambda p: one(list(p)))
+
+    return each(parts)
+
+
+def _independent(best: list[tuple[int, tuple[str, str]]], whole: bool) -> list[tuple[str, str]]:
+    """The first of these pairs (most frequent first, then least) that follow each other whatever the merges before do.
+
+    A merge changes counts of pairs with its parts only, and makes none that is more frequent than those were; so the next
+    pair stands if none that is as frequent shares a part with those taken. whole: no pair was left out of best.
+    """
+    taken, used = [], set()
+    for n, group in groupby(best, key=lambda x: x[0]):
+        pairs = [pair for _, pair in group]
+        cut = not whole and n == best[-1][0]  # others may be as frequent
+        for i, pair in enumerate(pairs):
+            if taken and (cut or any(used & set(q) for q in pairs[i:])):
+                return taken
+            taken.append(pair)
+            used |= set(pair)
+    return taken
+
+
+def _pairs_of(words: DataFrame) -> DataFrame:
+    """a, b and n: adjacent parts of words(parts, n), weighted by the words."""
+    zipped = words.filter(F.size("parts") > 1).select("n", F.explode(F.arrays_zip(F.slice("parts", 1, F.size("parts") - 1).alias("a"), F.slice("parts", 2, F.size("parts")).alias("b"))).alias("p"))
+    return zipped.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
+
+
+def _train_apart(counts: DataFrame, size: int, least: int, wordpiece: bool) -> tuple[list[tuple[str, str]], list[str]]:
+    """Merges and vocabulary as the trainers below find them, over words that stay in Spark."""
+    ship(counts.sparkSession)
+    chars = F.filter(F.split("word", "", -1), lambda c: c != "")
+    parts = F.transform(chars, lambda c, i: F.when(i > 0, F.concat(F.lit("##"), c)).otherwise(c)) if wordpiece else chars
+    words = written(counts.select(parts.alias("parts"), "n"), "words")
+    vocabulary = [*SPECIALS, *sorted(r[0] for r in words.select(F.explode("parts").alias("p")).distinct().collect())]  # an alphabet
+    known, merges, rounds = set(vocabulary), [], 0
+    while len(vocabulary) < size:
+        pairs = _pairs_of(words)
+        if wordpiece:
+            single = words.select("n", F.explode("parts").alias("p")).groupBy("p").agg(F.sum("n").alias("k"))
+            scored = pairs.join(single.select(F.col("p").alias("a"), F.col("k").alias("ka")), "a").join(single.select(F.col("p").alias("b"), F.col("k").alias("kb")), "b")
+            # As the driver's: the quotient of the count and the exact product.
+            top = scored.select("a", "b", (F.col("n") / (F.col("ka") * F.col("kb")).cast("double")).alias("s")).orderBy(F.desc("s"), "a", "b").first()
+            chosen = [(top["a"], top["b"])] if top else []
+        else:
+            best = pairs.filter(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(BEST_PAIRS).collect()
+            chosen = _independent([(r["n"], (r["a"], r["b"])) for r in best], len(best) < BEST_PAIRS)
+        if not chosen:
+            break
+        news = [a + (b[2:] if wordpiece else b) for a, b in chosen]
+        for pair, new in zip(chosen, news, strict=True):
+            if len(vocabulary) < size:
+                merges.append(pair)
+                if new not in known:
+                    known.add(new)
+                    vocabulary.append(new)
+        words = words.select(_joined(F.col("parts"), chosen, news).alias("parts"), "n")
+        rounds += 1
+        words = written(words, "words") if rounds % STORED == 0 else words
+    return merges, vocabulary
 
 
 def train_bpe(counts: DataFrame, size: int = 32_000, least: int = 2) -> tuple[list[tuple[str, str]], list[str]]:
@@ -50,7 +181,10 @@ def train_bpe(counts: DataFrame, size: int = 32_000, least: int = 2) -> tuple[li
 
     Pair counts and the words that hold each pair are kept up to date, so a merge costs only its own occurrences.
     """
-    freq = _frequent(counts, least)
+    counts = written(counts.filter(F.col("n") >= least), "counts")
+    if counts.count() > TRAIN_WORDS:
+        return _train_apart(counts, size, least, wordpiece=False)
+    freq = _frequent(counts)
     parts = {w: list(w) for w in freq}
     vocabulary = [*SPECIALS, *sorted({c for p in parts.values() for c in p})]
     pairs: Counter = Counter()
@@ -115,7 +249,10 @@ def encode_bpe_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 
 def train_wordpiece(counts: DataFrame, size: int = 1_000, least: int = 2) -> list[str]:
     """The vocabulary: at each step the pair with the highest count over the product of its parts' counts joins."""
-    freq = _frequent(counts, least)
+    counts = written(counts.filter(F.col("n") >= least), "counts")
+    if counts.count() > TRAIN_WORDS:
+        return _train_apart(counts, size, least, wordpiece=True)[1]
+    freq = _frequent(counts)
     parts = {w: [w[0], *("##" + c for c in w[1:])] for w in freq}
     vocabulary = [*SPECIALS, *sorted({c for p in parts.values() for c in p})]
     known = set(vocabulary)

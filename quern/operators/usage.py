@@ -83,13 +83,52 @@ def sliding_limit(requests: pd.DataFrame, limit: int, window_ms: int) -> pd.Data
     return requests.assign(allowed=allowed, remaining=remaining)
 
 
+def islands(rows: DataFrame, gap_ms: int) -> DataFrame:
+    """rows(key, id, ts_ms) with __q_island: a number for each run of a key's rows without a longer gap. What depends on rows
+    within the gap only, can be replayed by island instead of by key."""
+    w = Window.partitionBy("key").orderBy("ts_ms", "id")
+    starts = rows.withColumn("__q_new", F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w) >= gap_ms, F.lit(True)).cast("int"))
+    return starts.withColumn("__q_island", F.sum("__q_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__q_new")
+
+
 def replay_limit(requests: DataFrame, limit: int, window_ms: int = 60_000) -> DataFrame:
-    """requests(key, id, ts_ms) with allowed and remaining. A key's requests are one ordered fold, so they meet in one task."""
+    """requests(key, id, ts_ms) with allowed and remaining: an ordered fold over a key's requests, which starts anew after a
+    pause of a window."""
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         return sliding_limit(rows.sort_values(["ts_ms", "id"]), limit, window_ms)[["key", "id", "ts_ms", "allowed", "remaining"]]
 
-    return requests.groupBy("key").applyInPandas(each, "key long, id long, ts_ms long, allowed boolean, remaining int")
+    return islands(requests, window_ms).groupBy("key", "__q_island").applyInPandas(each, "key long, id long, ts_ms long, allowed boolean, remaining int")
+
+
+def micro_batches(requests: DataFrame, most: int = 16, wait_ms: int = 20) -> DataFrame:
+    """key, batch_ms (when its first request came), dispatch_ms and size of the batches of requests(key, id, ts_ms): one goes
+    out with its most-th request or wait_ms after its first."""
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts_ms", "id"])
+        out, first, n = [], None, 0
+        for t in rows["ts_ms"].tolist():
+            if n and t - first >= wait_ms:
+                out.append((first, first + wait_ms, n))
+                n = 0
+            if not n:
+                first = t
+            n += 1
+            if n == most:
+                out.append((first, t, n))
+                n = 0
+        if n:
+            out.append((first, first + wait_ms, n))
+        return pd.DataFrame(out, columns=["batch_ms", "dispatch_ms", "size"]).assign(key=rows["key"].iloc[0])[["key", "batch_ms", "dispatch_ms", "size"]]
+
+    return islands(requests, wait_ms).groupBy("key", "__q_island").applyInPandas(each, "key long, batch_ms long, dispatch_ms long, size int")
+
+
+def batcher_stats(batches: DataFrame) -> DataFrame:
+    """key, requests, batches, mean size (2 places) and how many went out full."""
+    g = batches.groupBy("key").agg(F.sum("size").alias("requests"), F.count("*").alias("batches"), F.round(F.avg("size"), 2).alias("mean_size"), F.count_if(F.col("dispatch_ms") < F.col("batch_ms") + 20).alias("full"))
+    return g
 
 
 def replay_quota(usage: DataFrame, per_day: int) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text, web
-from quern.operators import corpus, vectors
+from quern.operators import corpus, dedup, usage, vectors
 from quern.plans.registry import query
 from quern.session import table
+from quern.sources import files
 
 
 def events(spark, sf):
@@ -169,7 +170,6 @@ def snk_jsonl(spark, sf):
     import uuid
 
     from quern.plans.lineage import shared_folder
-    from quern.sources import files
 
     path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
     files.write_jsonl(table(spark, sf, "documents").select("doc_id", "text").filter("length(text) > 0"), path)
@@ -221,3 +221,99 @@ def tk_batch(spark, sf):
     rows = training.batches(table(spark, sf, "benchmark").select("item_id", codes.alias("ids")), "item_id", 8)
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return rows.select("item_id", "batch", listed("input_ids"), listed("attention_mask"))
+
+
+def _queues(spark, sf):
+    return events(spark, sf).select((F.col("user_id") % 10).alias("key"), F.col("event_id").alias("id"), text.millis(F.col("ts")).alias("ts_ms"))
+
+
+@query()
+def st_batches(spark, sf):
+    """Batches of each queue: dispatched at 16 requests or after 20 ms."""
+    return usage.micro_batches(_queues(spark, sf))
+
+
+@query()
+def a_batcher(spark, sf):
+    return usage.batcher_stats(usage.micro_batches(_queues(spark, sf)))
+
+
+def _stored(spark, name):
+    import uuid
+
+    from quern.plans.lineage import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def src_jsonl(spark, sf):
+    """Compressed JSON lines, written and read again."""
+    path = _stored(spark, "jsonl")
+    table(spark, sf, "documents").select("doc_id", "text").filter("text is not null").write.option("compression", "gzip").json(path)
+    return files.read_jsonl(spark, path, "doc_id long, text string")
+
+
+@query("SELECT l AS line, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(9)) AS l FROM benchmark) WHERE l <> '' GROUP BY 1")
+def src_lines(spark, sf):
+    path = _stored(spark, "lines")
+    table(spark, sf, "benchmark").select("text").write.text(path)
+    return files.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("SELECT url FROM pages WHERE url NOT LIKE '#%' AND trim(url) <> ''")
+def src_url_list(spark, sf):
+    path = _stored(spark, "urls")
+    listed = table(spark, sf, "pages").select(F.explode(F.array("url", F.concat(F.lit("# "), "url"), F.lit(""))).alias("value"))
+    listed.write.text(path)
+    return files.read_url_list(spark, path)
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE length(text) > 0")
+def src_ingest_jsonl(spark, sf):
+    """Records that are numbered by their lines, each line once."""
+    path = _stored(spark, "numbered")
+    table(spark, sf, "conversations").select("conv_id", "turn", "text").filter("length(text) > 0").write.json(path)
+    rows = files.read_numbered(spark, path, "conv_id long, turn long, text string")
+    return rows.dropDuplicates(["source"]).select("conv_id", "turn", "text")
+
+
+@query("SELECT count(*) AS lines FROM pages")
+def src_count_lines(spark, sf):
+    path = _stored(spark, "counted")
+    table(spark, sf, "pages").select(F.to_json(F.struct("page_id", "url")).alias("value")).write.text(path)
+    return spark.range(1).select(F.lit(files.count_lines(spark, path)).cast("long").alias("lines"))
+
+
+@query("SELECT split, count(*) AS docs FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents) GROUP BY 1")
+def snk_splits(spark, sf):
+    """A folder for each split, read back, and its card."""
+    d = table(spark, sf, "documents").withColumn("split", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train"))
+    return files.write_splits(d, _stored(spark, "splits"))
+
+
+@query(r"WITH h AS (SELECT doc_id, md5(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'))) AS h, length(trim(text)) > 0 AS ok FROM documents) SELECT min(doc_id) AS doc_id FROM h WHERE ok AND doc_id % 2 = 1 AND h NOT IN (SELECT h FROM h WHERE ok AND doc_id % 2 = 0) GROUP BY h")
+def snk_hashset(spark, sf):
+    """Hashes that one run stores keep another run's documents out."""
+    path, d = _stored(spark, "seen"), table(spark, sf, "documents")
+    dedup.remember(d.filter("doc_id % 2 = 0"), path)
+    return dedup.unseen(d.filter("doc_id % 2 = 1"), spark.read.parquet(path)).select("doc_id")
+
+
+@query()
+def snk_lsh(spark, sf):
+    """Signatures that one run stores keep another run's near copies out."""
+    path, d = _stored(spark, "signatures"), table(spark, sf, "documents")
+    dedup.remember_signatures(d.filter("doc_id % 2 = 0"), path)
+    return dedup.near_unseen(d.filter("doc_id % 2 = 1"), spark.read.parquet(path)).select("doc_id")
+
+
+@query()
+def tk_load(spark, sf):
+    """A tokenizer that was trained on documents, saved and loaded, over the benchmark."""
+    from quern.operators import tokenizers
+
+    merges, vocabulary = tokenizers.train_bpe(tokenizers.word_counts(table(spark, sf, "documents"), tokenizers.pretokens(F.col("text"))), 1_000)
+    folder = _stored(spark, "tokenizer")
+    tokenizers.Tokenizer(vocabulary, merges).save(spark, folder)
+    return tokenizers.load(spark, folder).encode(table(spark, sf, "benchmark"), key="item_id")

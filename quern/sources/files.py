@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import strip, wiki_plain
@@ -29,17 +29,45 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).filter(~F.col("line").startswith("#")).withColumnRenamed("line", "url")
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines of a text file, .gz by suffix."""
+    return spark.read.text(path).count()
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A whole file as one JSON value (an object, or an array of them)."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark names the files below it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One document a .txt file below folder: text without NUL, trimmed, and its path."""
+    """One document a .txt file below folder: text without NUL, trimmed, and its path from there."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    return files.select(strip(F.replace("value", F.lit("\x00"), F.lit(""))).alias("text"), F.col("_metadata.file_path").alias("source"))
+    below = F.replace(F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/")), F.lit(qualified(spark, folder).replace("file:///", "file:/") + "/"), F.lit(""))
+    return files.select(strip(F.replace("value", F.lit("\x00"), F.lit(""))).alias("text"), below.alias("source"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n (from 1) and line: lines are numbered within their split and shifted by the splits before it, so files may be
+    of any size."""
+    m = F.col("_metadata")
+    lines = spark.read.text(path, lineSep="\n").select(m["file_path"].alias("path"), m["file_name"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    return lines.join(splits, ["path", "start"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("n"), "line")
 
 
 def read_numbered(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
-    """Records with source file:L<n>; files are read whole to number their lines, so keep them of bounded size."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("n", "line")).filter(F.length(strip(F.col("line"))) > 0)
-    return lines.select(F.from_json("line", schema).alias("r"), F.concat("file", F.lit(":L"), F.col("n") + 1).alias("source")).filter("r is not null").select("r.*", "source")
+    """Records with source file:L<n>."""
+    lines = numbered_lines(spark, path).filter(F.length(strip(F.col("line"))) > 0)
+    return lines.select(F.from_json("line", schema).alias("r"), F.concat("file", F.lit(":L"), "n").alias("source")).filter("r is not null").select("r.*", "source")
 
 
 def read_wiki_dump(spark: SparkSession, path: str, shortest: int = 200) -> DataFrame:
@@ -66,8 +94,28 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", chunk: in
     (w.option("maxRecordsPerFile", chunk) if chunk else w).json(path)
 
 
-def write_splits(df: DataFrame, path: str, column: str = "split") -> None:
+def write_splits(df: DataFrame, path: str, column: str = "split", source: str | None = None) -> DataFrame:
+    """A folder for each split, and a card of them: split, docs, and the md5 of the source file if one is named."""
     df.write.partitionBy(column).mode("overwrite").parquet(path)
+    card = df.sparkSession.read.parquet(path).groupBy(column).agg(F.count("*").alias("docs"))
+    if source is None:
+        return card
+    one = file_hashes(df.sparkSession, source).select(F.col("md5").alias("source_md5"))
+    return card.crossJoin(F.broadcast(one.limit(1)))  # one row
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file (a vocabulary, a card) on any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return spark.read.format("binaryFile").load(path).first()["content"].decode()
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -81,13 +129,23 @@ def stale_files(spark: SparkSession, path: str, days: int, now: str) -> DataFram
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
-    """name, version, complete and latest from <root>/<name>/<version>/metadata.json and the files beside it."""
-    from pyspark.sql import Window
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    parts = F.split("path", "/")
-    at = lambda i: F.element_at(parts, i)
-    versions = files.groupBy(at(-3).alias("name"), at(-2).alias("version")).agg(F.collect_set(at(-1)).alias("files"))
-    complete = F.array_contains("files", "metadata.json") & (F.size("files") > 1)
-    newest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("version"))) == 1
-    return versions.select("name", "version", complete.alias("complete"), newest.alias("latest")).orderBy("name", F.desc("version"))
+    """name, version, promoted_at, complete, size_mb and latest of <root>/<name>/<folder>, newest first within a name.
+
+    metadata.json names version and time of promotion (else the folder is the version). A version is complete with
+    model.pt, config.json and a tokenizer folder, and latest if the metadata in <name>/latest names it.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    place = F.split(F.replace(F.replace("path", F.lit("file:///"), F.lit("file:/")), F.lit(qualified(spark, root).replace("file:///", "file:/") + "/"), F.lit("")), "/")
+    below = F.array_join(F.slice(place, 3, 9), "/").alias("file")
+    files = reader.load(root).select(place[0].alias("name"), place[1].alias("folder"), below, "length")
+    meta = reader.option("pathGlobFilter", "metadata.json").load(root).select(place[0].alias("name"), place[1].alias("folder"), below, F.from_json(F.decode("content", "UTF-8"), "version string, promoted_at string").alias("m"))
+    meta = meta.filter("file = 'metadata.json'").select("name", "folder", "m.*")
+    held = F.collect_set(F.when(F.col("file").startswith("tokenizer/"), "tokenizer").otherwise(F.col("file")))
+    size = F.sum(F.when(F.col("file") == "model.pt", F.col("length")).otherwise(0))
+    versions = files.groupBy("name", "folder").agg(held.alias("files"), F.round(size / 1e6, 1).alias("size_mb"))
+    versions = versions.filter(~F.col("folder").isin("latest", "previous", "latest.new")).join(meta, ["name", "folder"], "left")
+    pointer = meta.filter("folder = 'latest'").select("name", F.col("version").alias("pointed"))
+    complete = F.array_contains("files", "model.pt") & F.array_contains("files", "config.json") & F.array_contains("files", "tokenizer")
+    latest = F.coalesce(F.col("version") == F.col("pointed"), F.lit(False))
+    out = versions.join(pointer, "name", "left").select("name", F.coalesce("version", "folder").alias("version"), "promoted_at", complete.alias("complete"), "size_mb", latest.alias("latest"))
+    return out.orderBy("name", F.desc_nulls_last("promoted_at"), F.desc("version"))

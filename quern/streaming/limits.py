@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,43 +11,58 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def limited(requests: DataFrame, limit: int, window_ms: int = 60_000) -> DataFrame:
-    """requests(key, id, ts_ms) with allowed: an admitted request lies in the window; the state is at most limit times a key.
+#: Time without requests after which a key's state is forgotten.
+IDLE_MS, IDLE_DAYS_MS = 3_600_000, 2 * 86_400_000
+
+
+def limited(requests: DataFrame, limit: int, window_ms: int = 60_000, idle_ms: int = IDLE_MS) -> DataFrame:
+    """requests(key, id, ts_ms) with allowed: an admitted request lies in the window; the state is at most limit times a key,
+    and is gone after idle_ms without a request.
 
     Within a batch a key's requests are replayed by time; order across batches is that of arrival.
     """
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(frames)).sort_values(["ts_ms", "id"])
         allowed = []
-        for t in rows["ts_ms"]:
-            kept = [x for x in kept if x > t - window_ms]
+        for t in rows["ts_ms"].tolist():
+            while kept and kept[0] <= t - window_ms:
+                kept.popleft()
             ok = len(kept) < limit
             if ok:
-                kept.append(int(t))
+                kept.append(t)
             allowed.append(ok)
-        state.update((kept,))
+        state.update((list(kept),))
+        state.setTimeoutDuration(max(idle_ms, window_ms))
         yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "ts_ms": rows["ts_ms"], "allowed": allowed})
 
-    return requests.groupBy("key").applyInPandasWithState(each, "key long, id long, ts_ms long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("key").applyInPandasWithState(each, "key long, id long, ts_ms long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def quota(usage: DataFrame, per_day: int) -> DataFrame:
-    """usage(org_id, day, id, tokens) with allowed: tokens of admitted requests count until the day's quota is used."""
+def quota(usage: DataFrame, per_day: int, idle_ms: int = IDLE_DAYS_MS) -> DataFrame:
+    """usage(org_id, day, id, tokens) with allowed: tokens of admitted requests count until the day's quota is used. A day's
+    counter is gone after idle_ms without a request."""
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values("id")
         allowed = []
-        for n in rows["tokens"]:
+        for n in rows["tokens"].tolist():
             ok = used < per_day
-            used += int(n) if ok else 0
+            used += n if ok else 0
             allowed.append(ok)
         state.update((used,))
+        state.setTimeoutDuration(idle_ms)
         yield rows[["org_id", "day", "id", "tokens"]].assign(allowed=allowed)
 
-    return usage.groupBy("org_id", "day").applyInPandasWithState(each, "org_id long, day string, id long, tokens long, allowed boolean", "used long", "append", GroupStateTimeout.NoTimeout)
+    return usage.groupBy("org_id", "day").applyInPandasWithState(each, "org_id long, day string, id long, tokens long, allowed boolean", "used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -78,6 +94,11 @@ def usage_sink(records: str, totals: str):
     return each
 
 
+def event_log(stream: DataFrame, folder: str, checkpoint: str):
+    """A query that appends each event as a JSON line below folder, once however often a batch is replayed."""
+    return stream.writeStream.format("json").outputMode("append").option("checkpointLocation", checkpoint).start(folder)
+
+
 def shuffled(rows: DataFrame, buffer: int = 1_000, seed: int = 1) -> DataFrame:
     """rows of each partition in the order of a shuffle buffer: fill, shuffle, emit nine tenths."""
 

@@ -218,3 +218,102 @@ def test_whole_documents_are_packed(spark, tmp_path):
     assert encoded == {i: c for i, c in codes.items() if c}
     fixed = {r["doc_id"]: r["input_ids"] for r in run(q_training.ds_fixed_whole)}
     assert fixed[0] == codes[0][:64] and fixed[2] == codes[2] + [0] * 63
+
+
+def test_near_leaves_out_null_and_empty_texts(spark):
+    text = "a text that is long enough to have many shingles of five characters"
+    d = spark.createDataFrame([(0, None), (1, ""), (2, "abc"), (3, text), (4, text + ".")], "doc_id long, text string")
+    assert {r["doc_id"] for r in dedup.near(d).collect()} == {2, 3}
+
+
+def test_copies_make_one_class_and_no_pairs(spark):
+    d = spark.createDataFrame([(i, "the same text for all of these rows") for i in range(50)] + [(90, "something else entirely, on its own")], "doc_id long, text string")
+    got = dedup.lsh(dedup.signatures(d)).collect()
+    assert {(r["class"], r["links"]) for r in got} == {(0, 0), (90, 0)} and len(got) == 51
+
+
+def test_stored_signatures_keep_near_copies_out(spark, tmp_path):
+    a, b = "one text of some length about nothing in particular, for a test", "another text that has nothing in common with the first one at all"
+    d = spark.createDataFrame([(1, a), (2, a + "!"), (3, b), (4, b)], "doc_id long, text string")
+    dedup.remember_signatures(d.filter("doc_id = 1"), str(tmp_path / "s"))
+    got = dedup.near_unseen(d.filter("doc_id > 1"), spark.read.parquet(str(tmp_path / "s")))
+    assert [r["doc_id"] for r in got.collect()] == [3]
+
+
+def test_language_rules(spark):
+    from quern.operators import language
+
+    profile = spark.createDataFrame([("en", t, i) for i, t in enumerate(["the", "ing", "and", "ion"], 1)] + [("fr", t, i) for i, t in enumerate(["les", "ent", "ais", "que"], 1)], "lang string, trigram string, rank int")
+    english = "the king and the nation and the thing and the ration standing and landing in the evening with the motion"
+    texts = [english, "short", None, "汉语文字" * 40, "العربية " * 30, "1 2 3 " * 40, english.replace("e", "é")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    find = language.detector(profile)
+    got = {r["doc_id"]: (r["x"]["lang"], r["x"]["confidence"], r["ok"]) for r in d.select("doc_id", find(F.col("text")).alias("x"), language.allowed(find(F.col("text"))).alias("ok")).collect()}
+    assert got[0] == ("en", 1.0, True)  # Latin letters make English sure
+    assert got[1] == got[2] == got[5] == ("unknown", 0.0, False)
+    assert got[3] == ("zh", 1.0, False) and got[4] == ("ar", 1.0, False)
+
+
+def test_trained_apart_finds_the_same_merges(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = sorted({"".join(rng.choice(list("abcde"), int(rng.integers(1, 8)))) for _ in range(150)})
+    counts = spark.createDataFrame([(w, int(rng.integers(1, 9))) for w in words], "word string, n long").coalesce(1)
+    here, pieces = tokenizers.train_bpe(counts, 60), tokenizers.train_wordpiece(counts, 40)
+    monkeypatch.setattr(tokenizers, "TRAIN_WORDS", 0)
+    assert tokenizers.train_bpe(counts, 60) == here
+    assert tokenizers.train_wordpiece(counts, 40) == pieces
+
+
+def test_tokenizers_are_saved_and_loaded(spark, tmp_path):
+    counts = spark.createDataFrame([("Ġlow", 5), ("low", 3), ("Ġlower", 2)], "word string, n long")
+    merges, vocabulary = tokenizers.train_bpe(counts, 40)
+    t = tokenizers.Tokenizer(vocabulary, merges)
+    t.save(spark, str(tmp_path / "t"))
+    assert tokenizers.load(spark, str(tmp_path / "t")) == t
+    d = spark.createDataFrame([(1, "low lower")], "doc_id long, text string")
+    assert t.encode(d).collect() == tokenizers.load(spark, str(tmp_path / "t")).encode(d).collect()
+    more = t.extended(["new", vocabulary[0]])
+    assert more.vocabulary == [*vocabulary, "new"]
+    w = tokenizers.Tokenizer(tokenizers.train_wordpiece(counts, 30))
+    w.save(spark, str(tmp_path / "w"))
+    assert tokenizers.load(spark, str(tmp_path / "w")) == w
+    (tmp_path / "w" / "tokenizer_config.json").write_text('{"tokenizer_class": "X"}')
+    with pytest.raises(ValueError):
+        tokenizers.load(spark, str(tmp_path / "w"))
+
+
+def test_chat_ids_label_responses(spark):
+    from quern.operators import training
+
+    turns = spark.createDataFrame([(1, 1, "user", " hi "), (1, 2, "assistant", "yo"), (2, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in training.chat_ids(turns, 2048).collect()}
+    said = [x for x in got[1]["labels"] if x != -100]
+    assert said[:-1] == [ord(c) % 500 + 12 for c in "\nyo\n"] and said[-1] == tokenizers.END_TURN
+    assert all(x == -100 for x in got[2]["labels"])
+
+
+def test_micro_batches(spark):
+    from quern.operators import usage
+
+    rows = [(1, i, i) for i in range(40)] + [(1, 100, 70), (2, 200, 5)]
+    got = {(r["key"], r["batch_ms"]): r["size"] for r in usage.micro_batches(spark.createDataFrame(rows, "key long, id long, ts_ms long")).collect()}
+    assert got == {(1, 0): 16, (1, 16): 16, (1, 32): 8, (1, 70): 1, (2, 5): 1}
+
+
+def test_chains_of_neighbours_merge_as_the_nearest_pairs_do(spark):
+    from quern.operators import vectors
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 3))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for linkage in ("average", "complete", "single"):
+        clusters = [[i] for i in range(40)]
+        far = np.linalg.norm(x[:, None] - x[None], axis=2)
+        gap = {"average": np.mean, "complete": np.max, "single": np.min}[linkage]
+        while len(clusters) > 6:
+            i, j = min(((i, j) for i in range(len(clusters)) for j in range(i)), key=lambda p: gap(far[np.ix_(clusters[p[0]], clusters[p[1]])]))
+            clusters[j] += clusters.pop(i)
+        got = {}
+        for r in vectors.agglomerative(d, 6, linkage).collect():
+            got.setdefault(r["cluster"], set()).add(r["vec_id"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, clusters))

@@ -57,12 +57,62 @@ def test_sinks(spark, tmp_path):
 
 
 def test_registry(spark, tmp_path):
-    for v in ("1", "2"):
-        (tmp_path / "m" / v).mkdir(parents=True)
-        (tmp_path / "m" / v / "metadata.json").write_text("{}")
-    (tmp_path / "m" / "1" / "weights.bin").write_text("x")
-    got = {(r["version"]): (r["complete"], r["latest"]) for r in files.registry(spark, str(tmp_path)).collect()}
-    assert got == {"1": (True, False), "2": (False, True)}
+    def version(folder, meta, *names):
+        (tmp_path / "m" / folder / "tokenizer").mkdir(parents=True)
+        (tmp_path / "m" / folder / "metadata.json").write_text(meta)
+        for n in names:
+            (tmp_path / "m" / folder / n).write_text("x")
+
+    whole = ("model.pt", "config.json", "tokenizer/vocab.json")
+    version("9", '{"version": "9", "promoted_at": "2024-01-01"}', *whole)
+    version("10", '{"version": "10", "promoted_at": "2024-02-01"}', *whole)
+    version("11", '{"version": "11", "promoted_at": "2024-01-15"}', "model.pt", "config.json")
+    version("latest", '{"version": "10"}', *whole)
+    got = [(r["version"], r["complete"], r["latest"]) for r in files.registry(spark, str(tmp_path)).collect()]
+    assert got == [("10", True, True), ("11", False, False), ("9", True, False)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"text": "t{i}"}}\n' + "\n" * (i % 3 == 0) for i in range(4000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    got = {r["source"]: r["text"] for r in files.read_numbered(spark, str(tmp_path / "a.jsonl")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want, n = {}, 1
+    for i in range(4000):
+        want[f"a.jsonl:L{n}"] = f"t{i}"
+        n += 1 + (i % 3 == 0)
+    assert got == want
+
+
+def test_addresses_as_a_source(spark, tmp_path):
+    from quern.sources import urls
+
+    (tmp_path / "p.html").write_text("<html><body><b>plain</b> words</body></html>")
+    urls.register(spark)
+    listed = f"file://{tmp_path}/p.html\n# no\nfile://{tmp_path}/gone.html"
+    got = {r["url"][-6:]: (r["text"], r["error"] is None) for r in spark.read.format("urls").option("urls", listed).load().collect()}
+    assert got == {"p.html": ("plain words", True), "e.html": (None, False)}
+
+
+def test_quota_and_limit_streams_forget_idle_keys(spark, tmp_path):
+    from quern.streaming import limits
+
+    rows = [(1, "d", 1, 60), (1, "d", 2, 60), (1, "d", 3, 60), (2, "d", 4, 500), (2, "e", 5, 1)]
+    spark.createDataFrame(rows, "org_id long, day string, id long, tokens long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("org_id long, day string, id long, tokens long").parquet(str(tmp_path / "in"))
+    limits.quota(stream, 100).writeStream.format("memory").queryName("quotas").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {r["id"]: r["allowed"] for r in spark.table("quotas").collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_event_log(spark, tmp_path):
+    from quern.streaming import limits
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    q = limits.event_log(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "c"))
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.json(str(tmp_path / "log")).count() == 5
 
 
 def page(i, *links):
