@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-#: Time without requests after which a key's state is forgotten.
+#: Times without requests after which queries that run on may forget a key's state, or a day's. They are waited for, so a
+#: query that ends by itself (trigger availableNow) takes none.
 IDLE_MS, IDLE_DAYS_MS = 3_600_000, 2 * 86_400_000
 
 
-def limited(requests: DataFrame, limit: int, window_ms: int = 60_000, idle_ms: int = IDLE_MS) -> DataFrame:
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def limited(requests: DataFrame, limit: int, window_ms: int = 60_000, idle_ms: int | None = None) -> DataFrame:
     """requests(key, id, ts_ms) with allowed: an admitted request lies in the window; the state is at most limit times a key,
-    and is gone after idle_ms without a request.
+    and with idle_ms it is gone after so long without a request.
 
     Within a batch a key's requests are replayed by time; order across batches is that of arrival.
     """
@@ -37,15 +42,16 @@ def limited(requests: DataFrame, limit: int, window_ms: int = 60_000, idle_ms: i
                 kept.append(t)
             allowed.append(ok)
         state.update((list(kept),))
-        state.setTimeoutDuration(max(idle_ms, window_ms))
+        if idle_ms is not None:
+            state.setTimeoutDuration(max(idle_ms, window_ms))
         yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "ts_ms": rows["ts_ms"], "allowed": allowed})
 
-    return requests.groupBy("key").applyInPandasWithState(each, "key long, id long, ts_ms long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("key").applyInPandasWithState(each, "key long, id long, ts_ms long, allowed boolean", "kept array<long>", "append", _timeout(idle_ms))
 
 
-def quota(usage: DataFrame, per_day: int, idle_ms: int = IDLE_DAYS_MS) -> DataFrame:
-    """usage(org_id, day, id, tokens) with allowed: tokens of admitted requests count until the day's quota is used. A day's
-    counter is gone after idle_ms without a request."""
+def quota(usage: DataFrame, per_day: int, idle_ms: int | None = None) -> DataFrame:
+    """usage(org_id, day, id, tokens) with allowed: tokens of admitted requests count until the day's quota is used. With
+    idle_ms a day's counter is gone after so long without a request."""
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,10 +65,11 @@ def quota(usage: DataFrame, per_day: int, idle_ms: int = IDLE_DAYS_MS) -> DataFr
             used += n if ok else 0
             allowed.append(ok)
         state.update((used,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield rows[["org_id", "day", "id", "tokens"]].assign(allowed=allowed)
 
-    return usage.groupBy("org_id", "day").applyInPandasWithState(each, "org_id long, day string, id long, tokens long, allowed boolean", "used long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return usage.groupBy("org_id", "day").applyInPandasWithState(each, "org_id long, day string, id long, tokens long, allowed boolean", "used long", "append", _timeout(idle_ms))
 
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:

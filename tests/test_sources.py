@@ -1,6 +1,7 @@
 import bz2
 import gzip
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def test_addresses_as_a_source(spark, tmp_path):
     assert got == {"p.html": ("plain words", True), "e.html": (None, False)}
 
 
-def test_quota_and_limit_streams_forget_idle_keys(spark, tmp_path):
+def test_quota_stream(spark, tmp_path):
     from quern.streaming import limits
 
     rows = [(1, "d", 1, 60), (1, "d", 2, 60), (1, "d", 3, 60), (2, "d", 4, 500), (2, "e", 5, 1)]
@@ -105,6 +106,26 @@ def test_quota_and_limit_streams_forget_idle_keys(spark, tmp_path):
     assert {r["id"]: r["allowed"] for r in spark.table("quotas").collect()} == {1: True, 2: True, 3: False, 4: True, 5: True}
 
 
+def test_a_running_stream_forgets_idle_keys(spark, tmp_path):
+    from quern.streaming import limits
+
+    schema = "key long, id long, ts_ms long"
+    spark.createDataFrame([(1, 1, 0), (1, 2, 1)], schema).write.parquet(str(tmp_path / "in"))
+    out = limits.limited(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 1, 10, idle_ms=1_500)
+    q = out.writeStream.format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline:
+            time.sleep(0.5)
+            rows = [p["stateOperators"][0]["numRowsTotal"] for p in (x if isinstance(x, dict) else json.loads(x.json) for x in q.recentProgress) if p["stateOperators"]]
+            if 1 in rows and rows[-1] == 0:
+                break
+        assert 1 in rows and rows[-1] == 0
+    finally:
+        q.stop()
+    assert {r["id"]: r["allowed"] for r in spark.table("limits").collect()} == {1: True, 2: False}
+
+
 def test_event_log(spark, tmp_path):
     from quern.streaming import limits
 
