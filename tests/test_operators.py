@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import corpus, dedup, evaluation, language, monitoring, quality, tokenizers, training, usage, vectors
+from quern.sources.files import write_small
 
 
 def docs(spark, *texts):
@@ -277,7 +278,7 @@ def test_tokenizers_are_saved_and_loaded(spark, tmp_path):
     w = tokenizers.Tokenizer(tokenizers.train_wordpiece(counts, 30))
     w.save(spark, str(tmp_path / "w"))
     assert tokenizers.load(spark, str(tmp_path / "w")) == w
-    (tmp_path / "w" / "tokenizer_config.json").write_text('{"tokenizer_class": "X"}')
+    write_small(spark, str(tmp_path / "w" / "tokenizer_config.json"), '{"tokenizer_class": "X"}')
     with pytest.raises(ValueError):
         tokenizers.load(spark, str(tmp_path / "w"))
 
