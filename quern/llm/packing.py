@@ -17,6 +17,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +34,26 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-#: Pre-tokens whose ids a worker keeps, and those that go to the library at once.
-KEPT, AT_ONCE = 1 << 16, 10_000
+#: Pre-tokens whose ids a worker keeps (some 50 MB), and those that go to the library at once.
+KEPT, AT_ONCE = 1 << 18, 10_000
 
 
 @cache
-def _known(path: str) -> dict[str, list[int]]:
+def _known(path: str) -> dict[str, bytes]:
     """Ids of the pre-tokens that this worker met first, which are the most frequent ones."""
     return {}
 
 
-def piece_ids(words: list[str], path: str) -> list[list[int]]:
-    """The ids of each pre-token, as the tokenizer file gives them."""
+def piece_ids(words: list[str], path: str) -> list[bytes]:
+    """The ids of each pre-token, as the tokenizer file gives them, as little-endian unsigned 32-bit numbers."""
     known, encoder = _known(path), tokenizer(path)
     out = [known.get(w) for w in words]
     fresh = [i for i, x in enumerate(out) if x is None]
     for a in range(0, len(fresh), AT_ONCE):
         at = fresh[a : a + AT_ONCE]
         for i, found in zip(at, encoder.encode_batch_fast([words[i] for i in at], add_special_tokens=False), strict=True):
-            out[i] = found.ids
+            ids = found.ids
+            out[i] = pack_ids(f"<{len(ids)}I", *ids)
             if len(known) < KEPT:
                 known[words[i]] = out[i]
     return out
@@ -142,8 +144,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, n_open: int =
         for batch in batches:
             words, counts = pretokens(batch.column(1), special)
             ids = piece_ids(words.dictionary.to_pylist(), tokenizer_path)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum()))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4")
             begins = np.cumsum(sizes) - sizes
             at = words.indices.to_numpy()
             ends = np.cumsum(counts)
