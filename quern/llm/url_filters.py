@@ -2,8 +2,8 @@
 
 Labelled page outcomes (bad or not) are shrunk through beta-binomial priors: all pages to suffix, suffix to registered
 domain, domain to host. At each level the prior's mean is the parent's posterior mean and its strength comes from the
-moments of all units of that level, but is that of ``LEAST_STRENGTH`` pages at least, so that no single page decides. A
-host whose lower posterior bound of the bad share exceeds ``max_bad`` is blocked.
+moments of all units of that level, but is that of ``LEAST_STRENGTH`` pages at least, so that no single page decides, and
+no more than the parent's posterior itself rests on. A host whose lower posterior bound of the bad share exceeds ``max_bad`` is blocked.
 
 For its reputation a host is taken without user, port and final dots. Its suffix is its last label, or the last two if
 ``SUFFIXES`` has them, its registered domain one label more; an address is its own domain, without a suffix.
@@ -85,18 +85,19 @@ def reputation(outcomes: DataFrame, max_bad: float = MAX_BAD, sds: float = BOUND
     hosts = written(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k"), "hosts")
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
-    overall = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"))
+    overall = suffixes.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m"), (F.sum("n") + 2).alias("t"))
+    parent = lambda key: level.select(key, F.col("mean").alias("m"), (F.col("a") + F.col("b")).alias("t"))
     level = shrunk(written(suffixes.crossJoin(F.broadcast(overall)), "units"))  # one row of totals
-    units = salted_join(domains, level.select("suffix", F.col("mean").alias("m")), "suffix")
+    units = salted_join(domains, parent("suffix"), "suffix")
     level = shrunk(written(units, "units"))
-    units = salted_join(hosts.drop("suffix"), level.select("domain", F.col("mean").alias("m")), "domain")
+    units = salted_join(hosts.drop("suffix"), parent("domain"), "domain")
     level = shrunk(written(units, "units"))
     bound = F.col("mean") - sds * F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1)))
     return level.select("host", "n", F.col("k").alias("bad"), "a", "b", (bound > max_bad).alias("blocked"))
 
 
 def shrunk(units: DataFrame) -> DataFrame:
-    """units(n, k, m: the parent's mean) with the posterior a, b and its mean; the strength is found by moments."""
+    """units(n, k, m and t: the parent's mean and weight) with the posterior a, b and its mean; the strength is found by moments."""
     seen = F.col("n") > 0
     spread = F.col("m") * (1 - F.col("m"))
     moments = units.agg(
@@ -106,8 +107,9 @@ def shrunk(units: DataFrame) -> DataFrame:
     rho = F.coalesce(F.when(F.col("room") > 0, F.col("over") / F.col("room")), F.lit(0.0))
     rho = F.greatest(F.lit(0.0001), F.least(F.lit(0.9999), rho))
     out = units.crossJoin(F.broadcast(moments.select(F.greatest(F.lit(LEAST_STRENGTH), (1 - rho) / rho).alias("strength"))))  # one row
+    out = out.withColumn("strength", F.least("strength", "t"))
     out = out.withColumn("a", F.col("m") * F.col("strength") + F.col("k")).withColumn("b", (1 - F.col("m")) * F.col("strength") + F.col("n") - F.col("k"))
-    return out.withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).drop("strength", "m")
+    return out.withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).drop("strength", "m", "t")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, sds: float = BOUND_SDS) -> DataFrame:
@@ -126,10 +128,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX
 
 def _level(name: str, units: str, parent: str, keys: str) -> str:
     return f"""
-{name}_u AS (SELECT u.*, {parent}.mean AS m FROM {units} u JOIN (SELECT {keys}, mean FROM {parent}) {parent} USING ({keys})),
+{name}_u AS (SELECT u.*, {parent}.mean AS m, {parent}.weight AS t FROM {units} u JOIN (SELECT {keys}, mean, weight FROM {parent}) {parent} USING ({keys})),
 {name}_s AS (SELECT greatest({LEAST_STRENGTH}::DOUBLE, (1 - r) / r) AS strength FROM (SELECT greatest(0.0001::DOUBLE, least(0.9999::DOUBLE, coalesce(CASE WHEN sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) > 0
   THEN sum(CASE WHEN n > 0 THEN n * (k / n - m) * (k / n - m) - m * (1 - m) END) / sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) END, 0.0::DOUBLE))) AS r FROM {name}_u)),
-{name} AS (SELECT * EXCLUDE (m, strength), m * strength + k AS a, (1 - m) * strength + n - k AS b, (m * strength + k) / (strength + n) AS mean FROM {name}_u, {name}_s)"""
+{name} AS (SELECT * EXCLUDE (m, t, s), m * s + k AS a, (1 - m) * s + n - k AS b, (m * s + k) / (s + n) AS mean, s + n AS weight FROM (SELECT *, least(strength, t) AS s FROM {name}_u, {name}_s))"""
 
 
 SQL = f"""
@@ -143,7 +145,7 @@ hosts AS (SELECT unit AS host, domain, suffix, count(bad)::DOUBLE AS n, coalesce
   FROM (SELECT unit, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END AS bad FROM units LEFT JOIN labels ON doc_id = page_id) JOIN known USING (unit) GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
-overall AS (SELECT suffix, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS mean FROM suffixes),
+overall AS (SELECT suffix, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM suffixes) AS mean, (SELECT sum(n) + 2 FROM suffixes) AS weight FROM suffixes),
 {_level("s", "suffixes", "overall", "suffix")},{_level("d", "domains", "s", "suffix")},{_level("h", "hosts", "d", "domain, suffix")},
 ruled AS (SELECT units.*, CASE
   WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
