@@ -1,22 +1,27 @@
 """Exact top-k by inner product with KD-trees per shard.
 
-Vectors become integers, floor(256 * x). Shards follow the cells of a few median splits found on a bounded sample, which
-only decides how even and tight the shards are; a cell of more than ``SHARD_ROWS`` rows is dealt over several shards by
-hash. In its shard a KD-tree splits at the median of the widest component down to ``LEAF_ROWS`` rows; each node keeps the
-bounding box of its rows and their least id. The largest inner product that a box allows is
-sum(max(q_i * low_i, q_i * high_i)); the traversal opens nodes by falling bounds and ends below the k-th score so far.
+Vectors become integers, floor(256 * x). Shards are the cells of median splits: in each pass every cell of more than
+``SHARD_ROWS`` rows is split by planes that are found on a bounded sample of its own rows, some levels at a time, until no
+cell is larger or none can be split (equal vectors), which is dealt over several shards by hash. The samples only decide
+how even and tight the shards are. In its shard a KD-tree splits at the median of the widest component down to
+``LEAF_ROWS`` rows; each node keeps the bounding box of its rows and their least id. The largest inner product that a box
+allows is sum(max(q_i * low_i, q_i * high_i)); the traversal opens nodes by falling bounds and ends below the k-th score
+so far.
 
 Queries run twice: first in the shard whose box allows most, which yields a k-th score for each query; then, with that
-score handed on, in every other shard whose box may still reach it. Queries meet a shard in blocks of ``BLOCK`` at most.
+score handed on, in every other shard whose box may still reach it. Queries are routed in blocks of ``BLOCK`` against
+``BOXES`` boxes at a time, and meet a shard in such blocks; the driver sees counts alone.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part, neither do components
-whose integers pass 2**53; only vectors of equal length are compared; equal rows (id and vector) count once; ids that are
-null take no part; a query's candidates are all rows with another id; scores are exact as long as they fit into 63 bits.
+Defined cases: an empty table gives an empty result; other columns are ignored; vectors that are null, empty or hold null
+or non-finite components take no part, neither do components whose integers pass 2**53; only vectors of equal length are
+compared; equal rows (id and vector) count once; ids that are null take no part; a query's candidates are all rows with
+another id; scores are exact as long as they fit into 63 bits.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import salted_join
 from quern.plans.lineage import written
 from quern.session import ship
 
 K, EVERY, SCALE = 5, 50, 256
-SHARD_ROWS, LEAF_ROWS, BLOCK, SAMPLE = 20_000, 64, 5_000, 4_096
+SHARD_ROWS, LEAF_ROWS, BLOCK, BOXES = 20_000, 64, 5_000, 2_048
+#: Rows of a cell that its planes are found on, about, and levels of splits that a pass adds at most.
+SAMPLE, LEVELS = 2_048, 6
 
 
 def integers(table: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -157,119 +165,128 @@ class Tree:
         return [(s, -v) for s, v in sorted(best, reverse=True)]
 
 
-def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score of the best k of all other rows for each row whose vec_id is divisible by every."""
-    vectors = written(integers(table, scale), "vectors")
-    total = vectors.count()
-    sample: dict[int, list] = {}
-    for (v,) in vectors.select("vector").sample(fraction=min(1.0, SAMPLE / max(1, total)), seed=3).collect():
-        sample.setdefault(len(v), []).append(v)
-    depth = max(0, min(12, int(np.ceil(np.log2(max(1.0, total / shard_rows))))))
-    planes = {size: cells(np.array(v), depth) for size, v in sample.items()}
-
-    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _planes(rows: DataFrame, large: DataFrame, shard_rows: int) -> DataFrame:
+    """cell and planes (as JSON) of the cells of large(cell, n) that can be split, from rows(vec_id, vector, cell)."""
+
+    def each(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        depth = int(min(LEVELS, np.ceil(np.log2(f["n"].iloc[0] / shard_rows))))
+        found = cells(np.stack(f["vector"]), max(1, depth))
+        return pd.DataFrame({"cell": [key[0]], "planes": [json.dumps(found)]} if found[0] is not None else {"cell": [], "planes": []}, dtype=object)
+
+    place = F.pmod(F.xxhash64("vec_id", "vector", F.lit(3)), F.lit(1 << 30))
+    sample = salted_join(rows, large, "cell", by=["vec_id"]).filter(place < F.lit(float(SAMPLE << 30)) / F.col("n"))
+    return sample.groupBy("cell").applyInPandas(each, "cell string, planes string")
+
+
+def _split(rows: DataFrame, planes: DataFrame) -> DataFrame:
+    """rows(vec_id, vector, cell) with the cells that planes divide named anew."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy()
-            out = np.zeros(len(sizes), np.int64)
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                if planes.get(int(size)):
-                    out[rows] = cell_of(np.array(batch.column(1).take(pa.array(rows)).flatten().to_numpy()).reshape(len(rows), size), planes[int(size)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), pa.array(out)], ["vec_id", "vector", "size", "cell"])
-
-    rows = vectors.mapInArrow(celled, "vec_id long, vector array<long>, size int, cell long")
-    rows = written(rows, "cells")
-    parts = {(r["size"], r["cell"]): -(-r["count"] // shard_rows) for r in rows.groupBy("size", "cell").count().collect()}
-    numbers, n = {}, 0
-    for key in sorted(parts):
-        numbers[key] = n
-        n += parts[key]
-    spread = F.create_map(*[F.lit(x) for key in sorted(parts) for x in (f"{key[0]}:{key[1]}", parts[key])]) if parts else None
-    base = F.create_map(*[F.lit(x) for key in sorted(parts) for x in (f"{key[0]}:{key[1]}", numbers[key])]) if parts else None
-    if not parts:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    name = F.concat_ws(":", "size", "cell")
-    sharded = rows.select("vec_id", "vector", "size", (base[name] + F.pmod(F.xxhash64("vec_id"), spread[name].cast("long"))).cast("int").alias("shard"))
-    sharded = written(sharded, "shards")
-    queries = sharded.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "size").distinct()
-    blocks = -(-queries.count() // block)
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int"))
-    boxes = _boxes(sharded)
-    least = {s: (int(size), low, high) for s, size, low, high in boxes}
-
-    def routed(first: bool):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shards = {}
-            for s, (size, low, high) in least.items():
-                shards.setdefault(size, []).append((s, low, high))
-            packed = {size: (np.array([s for s, _, _ in v]), np.array([x for _, x, _ in v], np.float64), np.array([x for _, _, x in v], np.float64)) for size, v in shards.items()}
-            for batch in batches:
-                got = batch.to_pylist()
-                out = []
-                for r in got:
-                    names, low, high = packed[r["size"]]
-                    q = np.array(r["query"], np.float64)
-                    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-                    home = int(np.argmax(bound))
-                    # Rounding may lower a bound of very large integers.
-                    go = [home] if first else [j for j in np.flatnonzero(bound * (1 + 1e-12) + 1 >= (r["kth"] if r["kth"] is not None else -np.inf)) if j != home]
-                    out += [{"query_id": r["query_id"], "query": r["query"], "block": r["block"], "kth": r.get("kth"), "shard": int(names[j])} for j in go]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("query_id", pa.int64()), ("query", pa.list_(pa.int64())), ("block", pa.int32()), ("kth", pa.int64()), ("shard", pa.int32())]))
-
-        return each
-
-    route = "query_id long, query array<long>, block int, kth long, shard int"
-
-    def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "whole": []}).astype("int64")
-        seen = pd.DataFrame({"i": right["vec_id"], "v": [x.tobytes() for x in (np.asarray(v, np.int64) for v in right["vector"])]})
-        right = right[~seen.duplicated().to_numpy()]
-        tree = Tree(right["vec_id"].to_numpy(), np.stack([np.asarray(v, np.int64) for v in right["vector"]]))
-        kth = None if left["kth"].isna().any() else left["kth"].to_numpy().astype(np.int64)
-        q_ids = left["query_id"].to_numpy()
+            names = np.array(batch.column(2).to_pylist(), object)
+            by = {c: p for c, p in zip(names, batch.column(3).to_pylist(), strict=True) if p is not None}
+            for cell, text in by.items():
+                at = np.flatnonzero(names == cell)
+                x = batch.column(1).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
+                names[at] = [f"{cell}.{node}" for node in cell_of(x, json.loads(text)).tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names.tolist(), pa.string())], ["vec_id", "vector", "cell"])
+
+    joined = salted_join(rows, planes, "cell", "left", by=["vec_id"]).select("vec_id", "vector", "cell", "planes")
+    return joined.mapInArrow(each, "vec_id long, vector array<long>, cell string")
+
+
+def shards(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """vec_id, vector, size and shard of vectors(vec_id, vector)."""
+    rows = written(vectors.withColumn("cell", F.size("vector").cast("string")), "cells")
+    while True:
+        large = written(rows.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows), "large")
+        planes = written(_planes(rows, large, shard_rows), "planes")
+        if planes.isEmpty():
+            break
+        rows = written(_split(rows, planes), "cells")
+    parts = large.select("cell", F.ceil(F.col("n") / shard_rows).alias("parts"))
+    dealt = salted_join(rows, parts, "cell", "left", by=["vec_id"])
+    part = F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("string")
+    return dealt.select("vec_id", "vector", F.size("vector").alias("size"), F.concat_ws("/", "cell", part).alias("shard"))
+
+
+def _boxes(sharded: DataFrame) -> DataFrame:
+    """shard, size, low and high: one row a shard."""
+
+    def each(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(f["vector"])
+        return pd.DataFrame({"shard": [key[0]], "size": [x.shape[1]], "low": [x.min(0)], "high": [x.max(0)]}, dtype=object)
+
+    return sharded.groupBy("shard").applyInPandas(each, "shard string, size int, low array<long>, high array<long>")
+
+
+def _routes(queries: DataFrame, boxes: DataFrame, blocks: int, chunks: int, first: bool) -> DataFrame:
+    """query_id, block, shard and bound: the best box of each chunk for each query, or all but its home that reach kth."""
+
+    def each(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for i, found in zip(q_ids, tree.top(q_ids, np.stack([np.asarray(v, np.int64) for v in left["query"]]), k, kth), strict=True):
-            out += [(int(i), v, s, int(len(found) == k)) for s, v in found]
+        if len(q) and len(b):
+            low, high = (np.stack(b[c]).astype(np.float64) for c in ("low", "high"))
+            names = b["shard"].to_numpy()
+            for i in range(0, len(q), 512):
+                part = q.iloc[i : i + 512]
+                x = np.stack(part["query"]).astype(np.float64)
+                bounds = np.maximum(x, 0) @ high.T + np.minimum(x, 0) @ low.T
+                if first:
+                    best = bounds.argmax(1)
+                    out.append(pd.DataFrame({"query_id": part["query_id"], "block": part["block"], "shard": names[best], "bound": bounds[np.arange(len(best)), best]}))
+                    continue
+                # Rounding may lower a bound of very large integers.
+                kth = part["kth"].astype(float).fillna(-np.inf).to_numpy()
+                at, to = np.nonzero(bounds * (1 + 1e-12 * np.sign(bounds)) + 1 >= kth[:, None])
+                found = pd.DataFrame({"query_id": part["query_id"].to_numpy()[at], "block": part["block"].to_numpy()[at], "shard": names[to], "bound": bounds[at, to]})
+                out.append(found[found["shard"].to_numpy() != part["home"].to_numpy()[at]])
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "block": [], "shard": [], "bound": []})
+        return found.astype({"shard": object})  # one array, however many parts it came from
+
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("chunk", all_of(chunks))
+    right = boxes.withColumn("chunk", F.pmod(F.xxhash64("shard"), F.lit(chunks)).cast("int")).withColumn("block", all_of(blocks))
+    return left.groupBy("size", "block", "chunk").cogroup(right.groupBy("size", "block", "chunk")).applyInPandas(each, "query_id long, block int, shard string, bound double")
+
+
+def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK, at_once: int = BOXES) -> DataFrame:
+    """query_id, rank, vec_id and score of the best k of all other rows for each row whose vec_id is divisible by every."""
+    sharded = written(shards(integers(table, scale).distinct(), shard_rows), "shards")
+    boxes = written(_boxes(sharded), "boxes")
+    asked = sharded.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "size")
+    blocks, chunks = max(1, -(-asked.count() // block)), max(1, -(-boxes.count() // at_once))
+    queries = written(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            tree = Tree(right["vec_id"].to_numpy(), np.stack(right["vector"]).astype(np.int64))
+            kth = None if left["kth"].isna().any() else left["kth"].to_numpy().astype(np.int64)
+            q_ids = left["query_id"].to_numpy()
+            for i, found in zip(q_ids, tree.top(q_ids, np.stack(left["query"]).astype(np.int64), k, kth), strict=True):
+                out += [(int(i), v, s, int(len(found) == k)) for s, v in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "whole"]).astype("int64")
 
-    def search(routes: DataFrame) -> DataFrame:
+    def search(routes: DataFrame, known: DataFrame) -> DataFrame:
         # A block of queries meets its own copy of a shard: blocks x shards groups of bounded size.
-        routes = written(routes, "routes")
         visited = routes.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block")).distinct()
-        sides = sharded.select("vec_id", "vector", F.col("shard").alias("to_shard")).join(visited, "to_shard")
-        return routes.groupBy("shard", "block").cogroup(sides.groupBy("to_shard", "to_block")).applyInPandas(answer, "query_id long, vec_id long, score long, whole long")
-
-    near = written(search(queries.withColumn("kth", F.lit(None).cast("long")).mapInArrow(routed(True), route)), "near")
+        left = routes.select("query_id", "block", "shard").join(known.select("query_id", "query", "kth"), "query_id")
+        right = sharded.select("vec_id", "vector", F.col("shard").alias("to_shard")).join(visited, "to_shard")
+        return left.groupBy("shard", "block").cogroup(right.groupBy("to_shard", "to_block")).applyInPandas(answer, "query_id long, vec_id long, score long, whole long")
+
+    best = _routes(queries, boxes, blocks, chunks, first=True)
+    home = best.groupBy("query_id").agg(F.max_by(F.struct("block", "shard"), F.struct("bound", "shard")).alias("x")).select("query_id", "x.*")
+    home = written(home, "homes")
+    near = written(search(home, queries.withColumn("kth", F.lit(None).cast("long"))), "near")
     kth = near.filter("whole = 1").groupBy("query_id").agg(F.min("score").alias("kth"))
-    far = search(queries.join(kth, "query_id", "left").mapInArrow(routed(False), route))
+    known = written(queries.join(kth, "query_id", "left").join(home.select("query_id", F.col("shard").alias("home")), "query_id"), "known")
+    far = search(written(_routes(known, boxes, blocks, chunks, first=False), "routes"), known)
     both = near.union(far).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     out = both.select("query_id", F.posexplode("best").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x")["vec_id"].alias("vec_id"), (-F.col("x")["s"]).alias("score"))
 
 
-def _boxes(sharded: DataFrame) -> list[tuple[int, int, list[int], list[int]]]:
-    """shard, size, low and high: one row a shard."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            shards, sizes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for s, size in set(zip(shards.tolist(), sizes.tolist(), strict=True)):
-                rows = pa.array(np.flatnonzero((shards == s) & (sizes == size)))
-                v = batch.column(0).take(rows).flatten().to_numpy().reshape(len(rows), size)
-                low, high = v.min(0), v.max(0)
-                old = found.get((s, size), (low, high))
-                found[s, size] = np.minimum(low, old[0]), np.maximum(high, old[1])
-        rows = [{"shard": s, "size": size, "axis": i, "low": int(a), "high": int(b)} for (s, size), (low, high) in found.items() for i, (a, b) in enumerate(zip(low, high, strict=True))]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), ("size", pa.int32()), ("axis", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))
-
-    sides = sharded.select("vector", "shard", "size").mapInArrow(each, "shard int, size int, axis int, low long, high long")
-    boxes = sides.groupBy("shard", "size", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    boxes = boxes.groupBy("shard", "size").agg(F.array_sort(F.collect_list(F.struct("axis", "low", "high"))).alias("x"))
-    return [(r["shard"], r["size"], [x["low"] for x in r["x"]], [x["high"] for x in r["x"]]) for r in boxes.collect()]
-
-
 SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

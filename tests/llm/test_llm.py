@@ -206,14 +206,15 @@ def test_language_accuracy_and_odd_texts(spark, odd):
 # 5
 
 
-@pytest.mark.parametrize(("shard", "block"), [(7, 3), (20_000, 5_000)])
-def test_top_k_against_all_products(spark, shard, block):
+@pytest.mark.parametrize(("shard", "block", "boxes"), [(7, 3, 4), (1, 100, 2_048), (20_000, 5_000, 2_048)])
+def test_top_k_against_all_products(spark, monkeypatch, shard, block, boxes):
+    monkeypatch.setattr(topk, "LEVELS", 2)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(120, 6)).round(2)
     x[30:70] = x[30]  # copies: ties by id
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, []), (504, [float("inf")] * 6), (550, [1.0, 2.0]), (600, [3.0, -1.0]), (3, x[3].tolist())]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(e, every=10, shard_rows=shard, block=block).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(e, every=10, shard_rows=shard, block=block, at_once=boxes).collect()}
     q = np.floor(256 * x).astype(int)
     want = {}
     for i in range(0, 120, 10):
