@@ -20,11 +20,15 @@ def content_hash(text: Column) -> Column:
 def exact(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """The first record of each content, by order; empty and null texts are left out.
 
-    Only hash and order are grouped, and only they are shuffled before the semi join back.
+    Contents are hashed once; only hash and order are grouped and meet the records again.
     """
-    keyed = docs.filter(F.length(F.trim(F.col(text))) > 0).withColumn("content_hash", content_hash(F.col(text)))
-    first = keyed.groupBy("content_hash").agg(F.min(order).alias("__q_first"))
-    return keyed.join(first.select(F.col("content_hash").alias("__q_hash"), "__q_first"), (F.col("content_hash") == F.col("__q_hash")) & (F.col(order) == F.col("__q_first")), "left_semi")
+    from quern.plans.lineage import written
+
+    use = spread(docs).filter(F.length(F.trim(F.col(text))) > 0)
+    keyed = written(use.select(order, content_hash(F.col(text)).alias("content_hash"), F.xxhash64(text).alias("__q_text")), "hashes")
+    first = keyed.groupBy("content_hash").agg(F.min(order).alias(order)).join(keyed, ["content_hash", order], "left")
+    first = first.select(F.col(order).alias("__q_first"), F.col("__q_text").alias("__q_same"), "content_hash").distinct()
+    return use.join(first, (use[order] == F.col("__q_first")) & (F.xxhash64(use[text]) == F.col("__q_same"))).select(*[F.col(f"`{c}`") for c in docs.columns], "content_hash")
 
 
 def exact_stats(docs: DataFrame, text: str = "text") -> DataFrame:
