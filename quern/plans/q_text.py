@@ -60,11 +60,14 @@ _scalar("f_min_chars", lambda c: F.length(c) >= 200, "length(text) >= 200")
 _scalar("f_nul", lambda c: F.contains(c, F.lit("\x00")), "contains(text, chr(0))")
 _scalar("f_non_ascii", text.non_ascii, r"length(substr(text, 1, 200)) > 0 AND length(regexp_replace(substr(text, 1, 200), '[^\x{0}-\x{7F}]', '', 'g')) / length(substr(text, 1, 200)) < 0.5")
 _GRAMS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
-_scalar(
-    "f_ngram_rep",
-    lambda c: F.round(quality.ngram_repetition(c), 6),
-    f"round(CASE WHEN len({_GRAMS}) < 20 THEN 0.0 ELSE list_max(map_values(list_histogram(list_transform(range(1, len({_GRAMS}) - 8), lambda i: array_to_string({_GRAMS}[i:i + 9], ' '))))) * 10 / len({_GRAMS}) END, 6)".replace("list_histogram(", "list_aggregate(").replace(", ' '))))) * 10", ", ' ')), 'histogram'))) * 10"),
-)
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_GRAMS} AS w FROM documents)
+SELECT doc_id, round(CASE WHEN len(w) < 20 THEN 0.0 ELSE list_max(map_values(list_aggregate(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')), 'histogram'))) * 10 / len(w) END, 6) AS value FROM w""")
+def f_ngram_rep(spark, sf):
+    return spread(docs(spark, sf)).select("doc_id", F.round(quality.ngram_repetition(F.col("text")), 6).alias("value"))
+
+
 _SENT = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda x: lower(trim(x))), lambda x: length(x) > 20)"
 _scalar("f_sentence_rep", quality.sentence_repeats, f"coalesce(list_max(map_values(list_aggregate({_SENT}, 'histogram'))), 0)::INT")
 _NB = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
