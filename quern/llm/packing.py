@@ -34,14 +34,26 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-#: Pre-tokens whose ids a worker keeps (some 50 MB), and those that go to the library at once.
-KEPT, AT_ONCE = 1 << 18, 10_000
+#: Bytes of pre-tokens and their ids that a worker keeps, with what objects of that size take besides, and the number of
+#: pre-tokens that go to the library at once.
+KEPT_BYTES, OVERHEAD, AT_ONCE = 48 << 20, 180, 10_000
+
+
+class Known(dict):
+    """Ids of the pre-tokens that this worker met first, which are the most frequent ones, while they take so many bytes."""
+
+    room = KEPT_BYTES
+
+    def keep(self, word: str, ids: bytes) -> None:
+        size = OVERHEAD + 4 * len(word) + len(ids)  # a character takes four bytes at most
+        if size <= self.room:
+            self.room -= size
+            self[word] = ids
 
 
 @cache
-def _known(path: str) -> dict[str, bytes]:
-    """Ids of the pre-tokens that this worker met first, which are the most frequent ones."""
-    return {}
+def _known(path: str) -> Known:
+    return Known()
 
 
 def piece_ids(words: list[str], path: str) -> list[bytes]:
@@ -54,11 +66,24 @@ def piece_ids(words: list[str], path: str) -> list[bytes]:
         for i, found in zip(at, encoder.encode_batch_fast([words[i] for i in at], add_special_tokens=False), strict=True):
             ids = found.ids
             out[i] = pack_ids(f"<{len(ids)}I", *ids)
-            if len(known) < KEPT:
-                known[words[i]] = out[i]
+            known.keep(words[i], out[i])
     return out
 
 
+def document_ids(texts: pa.Array, path: str, special: str, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text, with end_id after them; special is the text of the file's special token."""
+    words, counts = pretokens(texts, special)
+    ids = piece_ids(words.dictionary.to_pylist(), path)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    begins = np.cumsum(sizes) - sizes
+    at = words.indices.to_numpy()
+    end = np.array([end_id], "<u4")
+    for n, last in zip(counts, np.cumsum(counts), strict=True):
+        used = at[last - n : last]
+        yield np.append(flat[ragged(begins[used], sizes[used])], end)
+
+
 class Packer:
     """Bounded-space best fit. A piece is (doc_id, start, ids, doc_tokens); rows go out as tuples of NAMES."""
 
@@ -142,16 +167,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, n_open: int =
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, n_open, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            words, counts = pretokens(batch.column(1), special)
-            ids = piece_ids(words.dictionary.to_pylist(), tokenizer_path)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            begins = np.cumsum(sizes) - sizes
-            at = words.indices.to_numpy()
-            ends = np.cumsum(counts)
-            for doc_id, n, end in zip(batch.column(0).to_pylist(), counts, ends, strict=True):
-                used = at[end - n : end]
-                own = np.append(flat[ragged(begins[used], sizes[used])], np.array([end_id], "<u4"))
+            for doc_id, own in zip(batch.column(0).to_pylist(), document_ids(batch.column(1), tokenizer_path, special, end_id), strict=True):
                 packer.add(doc_id, 0, own, len(own))
                 if len(packer.rows) >= 50_000:
                     yield packer.take()
