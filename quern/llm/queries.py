@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import configuration_packing, conversations, fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, token_counts, topk, url_filters
+from quern.llm import configuration_packing, conversations, fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, spelling, token_counts, topk, url_filters
 from quern.session import table
 
 
@@ -58,6 +58,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -66,6 +70,6 @@ def op13_whole_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configuration_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-_ALL = (op1_fingerprints, op2_token_counts, op3_language_id, op4_packing, op5_top_k, op6_mixing, op7_line_dedup, op8_quality, op9_near_dedup, op10_url_filters, op12_conversation_repair, op13_whole_packing)
+_ALL = (op1_fingerprints, op2_token_counts, op3_language_id, op4_packing, op5_top_k, op6_mixing, op7_line_dedup, op8_quality, op9_near_dedup, op10_url_filters, op11_spelling, op12_conversation_repair, op13_whole_packing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op5_top_k": topk.SQL, "op6_mixing": mixing.SQL, "op10_url_filters": url_filters.SQL}
