@@ -3,8 +3,8 @@
 Every line descends a tree of fixed depth: its number of tokens, then its leading tokens; tokens with digits count as
 variable. In its leaf a line takes part in templates that keep its tokens by position: the one with all of them, and for
 lines of at least ``SEGMENTS`` * 2 tokens those that leave one of ``SEGMENTS`` contiguous parts variable. A template
-that recurs in enough documents is boilerplate: its lines are dropped everywhere but in the document with the least id,
-so that no content leaves the corpus. Lines of ``long_tokens`` or more tokens count as recurring from two documents on if
+that recurs in enough documents is boilerplate: its lines are dropped everywhere but in the document with the least id
+(and of several rows with that id the one whose text has the least hash), so that no content leaves the corpus. Lines of ``long_tokens`` or more tokens count as recurring from two documents on if
 they are equal as a whole, and so do runs of adjacent lines (blank ones between them aside) of as many tokens together: each line of a document that
 recurs anywhere begins a window and ends one, the shortest of ``long_tokens`` tokens over lines that all recur, and
 windows of equal templates are one passage.
@@ -13,8 +13,8 @@ All groups are counts and minima by template, combined before the shuffle. A tem
 meets its lines where they are, so the lines of a footer are not brought together.
 
 Defined cases: null and empty texts stay as they are; blank lines stay, and so do lines of less than ``min_tokens`` tokens
-outside recurring runs; rows that repeat an id count as documents of their own, and all rows of the first id keep their lines; null ids count as the
-lowest id; a line's end is ``\\n`` only; letters A-Z are compared in lower case; other columns stay as they are.
+outside recurring runs; unlike rows that share an id are documents of their own; rows of equal id and text keep or lose their
+lines alike; null ids are the lowest id; a line's end is ``\\n`` only; letters A-Z are compared in lower case; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import buffer_of, mix, parted_join, slices, span_hashes, strings, word_hashes
@@ -164,31 +164,49 @@ def recurring_runs(recurring: DataFrame, long_tokens: int, long_docs: int) -> Da
     lines = recurring.filter("place < 0").groupBy("doc_id", "text_key", "place", "template", "tokens").agg(F.count("*").alias("copies"))
     lists = lines.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "template", "tokens")).alias("x"), F.max("copies").alias("copies"))
     runs = written(lists.mapInArrow(each, "doc_id long, text_key long, run long, lines array<int>, copies int"), "runs")
-    found = runs.groupBy("run").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    found = found.filter((F.col("n") >= long_docs) & (F.col("first") < F.col("last"))).select("run", "first")
-    return runs.join(found, "run").filter(F.col("doc_id") != F.col("first")).select("doc_id", "text_key", F.explode("lines").alias("line"))
+    found = runs.groupBy("run").agg(F.sum("copies").alias("n"), F.count("*").alias("all"), F.min("doc_id").alias("first"))
+    found = written(found.filter(F.col("n") >= long_docs), "found")
+    met = written(parted_join(runs, found.select("run", "all", "first"), "run", "all").drop("all"), "met")
+    return later(met, "run").select("doc_id", "text_key", F.explode("lines").alias("line"))
+
+
+def later(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (doc_id, text_key, first: the key's least doc_id) that do not stand in their key's first document."""
+    # Rows with the first id are told apart by their texts' hashes; only where there are several need they meet again.
+    tied = rows.filter(F.col("doc_id") == F.col("first"))
+    several = tied.groupBy(key).agg(F.count("*").alias("all"), F.min("text_key").alias("first_key"), F.max("text_key").alias("last_key"))
+    several = written(several.filter("first_key < last_key").select(key, "all", "first_key"), "several")
+    among = parted_join(tied, several, key, "all").filter(F.col("text_key") != F.col("first_key")).select(rows.columns)
+    return rows.filter(F.col("doc_id") != F.col("first")).unionByName(among)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, long_tokens: int = LONG_TOKENS, long_docs: int = LONG_DOCS) -> DataFrame:
     """doc_id, text_key and lines: the numbers of the lines to drop, for each document that has any."""
     lines = written(line_templates(docs), "lines")
     # A document counts once for a template however often it has it: its first line with it stands for it.
-    found = lines.groupBy("template").agg(F.count_if("lead").alias("n"), F.count("*").alias("all"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("tokens").alias("tokens"))
-    found = written(found.filter((F.col("n") >= min(min_docs, long_docs)) & (F.col("first") < F.col("last"))), "found")
+    found = lines.groupBy("template").agg(F.count_if("lead").alias("n"), F.count("*").alias("all"), F.min("doc_id").alias("first"), F.max("tokens").alias("tokens"))
+    found = written(found.filter(F.col("n") >= min(min_docs, long_docs)), "found")
     recurring = written(parted_join(lines.select("doc_id", "text_key", "place", "template"), found, "template", "all").drop("all"), "recurring")
     enough = F.when((F.col("tokens") >= long_tokens) & (F.col("place") < 0), F.lit(long_docs)).otherwise(F.lit(min_docs))
-    alone = recurring.filter((F.col("n") >= enough) & (F.col("tokens") >= min_tokens) & (F.col("doc_id") != F.col("first")))
+    alone = later(recurring.filter((F.col("n") >= enough) & (F.col("tokens") >= min_tokens)), "template")
     alone = alone.select("doc_id", "text_key", F.col("place").bitwiseAND(F.lit(_LOW_31)).cast("int").alias("line"))
     return alone.union(recurring_runs(recurring, long_tokens, long_docs)).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
 
 
+def without(text: Column, lines: Column) -> Column:
+    """text without the lines of these numbers, in time that grows with its lines, however many go."""
+    parts = F.split(text, "\n", -1)
+    # Named once, so that the text is not split anew for each line.
+    held = F.array(F.struct(parts.alias("parts"), F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lines).alias("keep")))
+    return F.transform(held, lambda h: F.array_join(F.transform(h["keep"], lambda i: F.get(h["parts"], i)), "\n"))[0]
+
+
 def drop_lines(docs: DataFrame, **limits: int) -> DataFrame:
     """docs with the recurring lines gone from text, and __q_lines and __q_dropped: the numbers of lines before and dropped."""
     lines = recurring_lines(docs, **limits).select(F.col("doc_id").alias("__q_id"), F.col("text_key").alias("__q_key"), F.col("lines").alias("__q_drop"))
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LOWEST))
     joined = docs.join(lines, (key == F.col("__q_id")) & (F.xxhash64(docs["text"]) == F.col("__q_key")), "left")
     parts = F.split(docs["text"], "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__q_drop", i)), "\n")
-    text = F.when(F.col("__q_drop").isNull(), docs["text"]).otherwise(left)
+    text = F.when(F.col("__q_drop").isNull(), docs["text"]).otherwise(without(docs["text"], F.col("__q_drop")))
     kept = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*kept, F.coalesce(F.size(parts), F.lit(0)).alias("__q_lines"), F.when(F.col("__q_drop").isNull(), 0).otherwise(F.size("__q_drop")).alias("__q_dropped"))
