@@ -14,8 +14,8 @@ score handed on, in every other shard whose box may still reach it. Queries are
 
 Defined cases: an empty table gives an empty result; other columns are ignored; vectors that are null, empty or hold null
 or non-finite components take no part, neither do components whose integers pass 2**53; only vectors of equal length are
-compared; equal rows (id and vector) count once; ids that are null take no part; a query's candidates are all rows with
-another id; scores are exact as long as they fit into 63 bits.
+compared; repeated rows are candidates each, but ask once; ids that are null take no part; a query's candidates are all rows
+with another id; scores are exact as long as they fit into 63 bits.
 """
 
 from __future__ import annotations
@@ -252,9 +252,11 @@ def _routes(queries: DataFrame, boxes: DataFrame, blocks: int, chunks: int, firs
 
 def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK, at_once: int = BOXES) -> DataFrame:
     """query_id, rank, vec_id and score of the best k of all other rows for each row whose vec_id is divisible by every."""
-    sharded = written(shards(integers(table, scale).distinct(), shard_rows), "shards")
+    # Of equal rows no more than k can be among the best k.
+    equal = integers(table, scale).groupBy("vec_id", "vector").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    sharded = written(shards(equal.select("vec_id", "vector", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy"), shard_rows), "shards")
     boxes = written(_boxes(sharded), "boxes")
-    asked = sharded.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "size")
+    asked = sharded.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "size").distinct()
     blocks, chunks = max(1, -(-asked.count() // block)), max(1, -(-boxes.count() // at_once))
     queries = written(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
 
@@ -282,7 +284,7 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE,
     kth = near.filter("whole = 1").groupBy("query_id").agg(F.min("score").alias("kth"))
     known = written(queries.join(kth, "query_id", "left").join(home.select("query_id", F.col("shard").alias("home")), "query_id"), "known")
     far = search(written(_routes(known, boxes, blocks, chunks, first=False), "routes"), known)
-    both = near.union(far).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    both = near.union(far).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     out = both.select("query_id", F.posexplode("best").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x")["vec_id"].alias("vec_id"), (-F.col("x")["s"]).alias("score"))
 
@@ -290,7 +292,7 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE,
 SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM (SELECT DISTINCT * FROM v) q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
 """

@@ -221,6 +221,11 @@ def test_top_k_against_all_products(spark, monkeypatch, shard, block, boxes):
         s = q @ q[i]
         for rank, j in enumerate(sorted((j for j in range(120) if j != i), key=lambda j: (-s[j], j))[:5], 1):
             want[i, rank] = (j, int(s[j]))
+    for i in range(0, 120, 10):  # 3 is there twice
+        s = [*(q @ q[i]), int(q[3] @ q[i])]
+        ids = [*range(120), 3]
+        for rank, j in enumerate(sorted((j for j in range(121) if ids[j] != i), key=lambda j: (-s[j], ids[j]))[:5], 1):
+            want[i, rank] = (ids[j], int(s[j]))
     a, b = np.floor(256 * np.array([1.0, 2.0])), np.floor(256 * np.array([3.0, -1.0]))
     want |= {(550, 1): (600, int(a @ b)), (600, 1): (550, int(a @ b))}
     assert got == want

@@ -92,13 +92,19 @@ def test_a_text_between_two_languages_is_ambiguous(spark):
 
 
 def plain_lines(rows, min_docs=8, min_tokens=3, long_tokens=50):
-    """The numbers of dropped lines of each row, line by line and template by template (runs of lines aside)."""
+    """The numbers of dropped lines of each row, line by line, template by template and run by run. Rows of one id are told
+    apart by their texts; ``order`` is any order of texts."""
     star = object()
-    found = defaultdict(list)
+    found, exact, runs = defaultdict(list), defaultdict(set), defaultdict(set)
+    texts = []
     for r, (i, t, *_) in enumerate(rows):
         for n, line in enumerate((t or "").split("\n")):
             tokens = ["#" if any(c.isdigit() for c in w) else w.lower() for w in line.split()]
             m = len(tokens)
+            if not m:
+                continue
+            exact[tuple(tokens)].add(r)
+            texts.append((r, n, tuple(tokens)))
             if m < min_tokens:
                 continue
             forms = [(m, tuple(tokens))]
@@ -107,22 +113,41 @@ def plain_lines(rows, min_docs=8, min_tokens=3, long_tokens=50):
                 # Leading tokens are the tree's: they stand even where they are part of what varies.
                 forms += [(m, tuple(tokens[:2]), tuple(star if cuts[f] <= k < cuts[f + 1] else w for k, w in enumerate(tokens)), f) for f in range(4)]
             for form in forms:
-                found[form].append((i, r, n))
+                found[form].append((r, n))
+    for r in range(len(rows)):  # runs of two or more adjacent lines that all recur
+        own = [(n, w) for q, n, w in texts if q == r]
+        for a in range(len(own)):
+            size = 0
+            for b in range(a, len(own)):
+                if len(exact[own[b][1]]) < 2:
+                    break
+                size += len(own[b][1])
+                if b > a and size >= long_tokens:
+                    runs[tuple(w for _, w in own[a : b + 1])].add((r, tuple(n for n, _ in own[a : b + 1])))
+    key = lambda r: (rows[r][0] is not None, rows[r][0] or 0, plain_lines.order(rows[r][1]))
     drop = defaultdict(set)
     for form, places in found.items():
         least = 2 if form[0] >= long_tokens and len(form) == 2 else min_docs
-        docs = {r for _, r, _ in places}
-        first = min(i for i, _, _ in places)
-        if len(docs) >= least and len({i for i, _, _ in places}) > 1:
-            for i, r, n in places:
-                if i != first:
+        docs = {r for r, _ in places}
+        first = min(map(key, docs))
+        if len(docs) >= least:
+            for r, n in places:
+                if key(r) != first:
                     drop[r].add(n)
+    for places in runs.values():
+        first = min(key(r) for r, _ in places)
+        if len({r for r, _ in places}) > 1:
+            for r, lines in places:
+                if key(r) != first:
+                    drop[r].update(lines)
     return drop
 
 
-def test_templates_against_plain_ones(spark):
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: None, lambda i: i // 7, lambda i: None if i % 3 else i])
+def test_templates_against_plain_ones(spark, ids):
     rng = np.random.default_rng(45)
     bases = [prose(rng, n) for n in (4, 8, 9, 14, 55)]
+    run = [prose(rng, n) for n in (20, 2, 21, 1, 19)]
     rows = []
     for i in range(40):
         lines = [prose(rng, int(rng.integers(3, 12)))]
@@ -132,16 +157,52 @@ def test_templates_against_plain_ones(spark):
                 for k in rng.choice(len(w), int(rng.integers(0, 3)), replace=False):
                     w[k] = str(rng.choice(["new", "7x", "other", "12"]))
                 lines.append(" ".join(w))
-        rows.append((i, "\n".join(rng.permutation(lines)), None, "s"))
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(table(spark, rows).repartition(4), long_tokens=55).collect()}
+        lines = rng.permutation(lines).tolist()
+        if i % 9 == 4:
+            lines[1:1] = run[: int(rng.integers(2, 6))]
+        rows.append((ids(i), "\n".join(lines), None, "s"))
+    rows.append(rows[5])  # a repeated row
+    docs = table(spark, rows).repartition(4)
+    order = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    plain_lines.order = order.get
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.drop_lines(docs, long_tokens=55).collect())
     drop = plain_lines(rows, long_tokens=55)
-    # Runs of lines that reach 55 tokens together may go beside these; single lines are as the plain version has them.
-    for r, (i, t, *_) in enumerate(rows):
-        keep = [x for n, x in enumerate(t.split("\n")) if n not in drop[r]]
-        assert got[i].split("\n") == keep or set(got[i].split("\n")) < set(keep), i
+    want = Counter((i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drop[r])) for r, (i, t, *_) in enumerate(rows))
+    assert got == want
     assert sum(map(len, drop.values())) > 20
 
 
+def test_footers_of_documents_without_ids(spark):
+    rng = np.random.default_rng(47)
+    rows = [(None, f"{prose(rng, 9)}\nall rights are reserved here", None, "s") for _ in range(20)]
+    got = [r["text"] for r in line_dedup.drop_lines(table(spark, rows)).collect()]
+    assert sum("reserved" in t for t in got) == 1 and len(got) == 20
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    import time
+
+    half = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} recurs in two documents or more than that of them " * 5 for i in range(40_000)]
+    own = [f"line of the first {i} {i * 7}" for i in range(40_000)]
+    mixed = "\n".join(x for pair in zip(half, own, strict=True) for x in pair)
+    docs = table(spark, [(1, "\n".join(half), None, "s"), (2, mixed, None, "s")])
+    began = time.time()
+    got = {r["doc_id"]: (r["__q_lines"], r["__q_dropped"], len(r["text"])) for r in line_dedup.drop_lines(docs).collect()}
+    assert len(mixed) > 10_000_000 and time.time() - began < 90
+    assert got[1][1] == 0 and got[2][:2] == (80_000, 40_000) and got[2][2] == len("\n".join(own))
+
+
+def test_rows_without_ids_draw_on_their_own(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.concat(F.lit("text number "), F.format_string("%05d", "id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    for seed in (17, 18, 19):
+        out = mixing.mix(docs, targets={"s": 1.0}, seed=seed)
+        copies = Counter(r["n"] for r in out.groupBy("text").agg(F.count("*").alias("n")).collect())
+        assert abs(sum(n * k for n, k in copies.items()) - 2000) < 150 and 600 < copies[1] < 880  # 2000 / e
+        assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 900 or out.rdd.getNumPartitions() < 3
+
+
 def test_long_lines_that_differ_in_a_quarter_are_text(spark):
     rng = np.random.default_rng(46)
     w = prose(rng, 60).split()
