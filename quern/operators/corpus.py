@@ -63,23 +63,34 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def _ordered(docs: DataFrame, key: str, seed: int) -> DataFrame:
     """docs with __q_r, the rank in a seeded order: ranks come from sorted partitions and their offsets, not one task."""
-    return ranks(docs.withColumn("__q_o", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))), ["__q_o", key], "__q_r").drop("__q_o")
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return ranks(docs.withColumn("__q_o", F.md5(name)), ["__q_o", key], "__q_r").drop("__q_o")
+
+
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """df stored in a total order (rows of equal order by a hash of all they have), with __q_p and __q_i: its sorted
+    partition and its place there. Whole rows go through the sort, so none is lost or doubled whatever its order columns hold."""
+    from quern.plans.lineage import written
+
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() != "map"]
+    placed = df.sort(*order, F.xxhash64(*plain)).withColumn("__q_p", F.spark_partition_id())
+    return written(placed.withColumn("__q_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sorted")
+
+
+def before(sizes: list[tuple[int, int]]) -> Column:
+    """The sum of the sizes of the partitions before __q_p, from a size for each; one entry a partition."""
+    total, entries = 0, []
+    for p, n in sorted(sizes):
+        entries += [F.lit(p), F.lit(total)]
+        total += n
+    return F.create_map(*entries)[F.col("__q_p")].cast("long") if entries else F.lit(0).cast("long")
 
 
 def ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with its global rank by unique order columns, from 1. Keys are range-sorted; each partition adds what is before it."""
-    from quern.plans.lineage import cut
-
-    keys = cut(df.select(*order).sort(*order).withColumn("__q_p", F.spark_partition_id()).withColumn("__q_i", F.monotonically_increasing_id()))
-    sizes = sorted((r["__q_p"], r["count"]) for r in keys.groupBy("__q_p").count().collect())  # one row a partition
-    before, offsets = 0, {}
-    for p, n in sizes:
-        offsets[p] = before
-        before += n
-    base = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)]) if offsets else F.create_map().cast("map<int,bigint>")
-    in_part = F.col("__q_i").bitwiseAND(F.lit((1 << 33) - 1))
-    ranked = keys.select(*order, (base[F.col("__q_p")].cast("long") + in_part + 1).alias(name))
-    return df.join(ranked, order)
+    """df with its global rank by the order columns, from 1."""
+    placed = in_order(df, order)
+    sizes = [(r["__q_p"], r["count"]) for r in placed.groupBy("__q_p").count().collect()]  # one row a partition
+    return placed.withColumn(name, before(sizes) + F.col("__q_i") + 1).drop("__q_p", "__q_i")
 
 
 def split(docs: DataFrame, val: float, test: float, key: str = "doc_id", seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +17,31 @@ def content_hash(text: Column) -> Column:
     return F.md5(hash_form(text))
 
 
+def one_of_equal(rows: DataFrame, name: str) -> DataFrame:
+    """One row of each name, the one of least hash over all columns."""
+    first = Window.partitionBy(name).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    return rows.withColumn("__q_rn", F.row_number().over(first)).filter("__q_rn = 1").drop("__q_rn")
+
+
 def exact(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first record of each content, by order; empty and null texts are left out.
+    """The first record of each content, by order (nulls last; of equal orders the text of least hash); empty and null texts
+    are left out. Of rows that are equal in order and text one stays.
 
-    Contents are hashed once; only hash and order are grouped and meet the records again.
+    Contents are hashed once; only hashes and order are grouped and meet the records again.
     """
     from quern.plans.lineage import written
 
     use = spread(docs).filter(F.length(F.trim(F.col(text))) > 0)
-    keyed = written(use.select(order, content_hash(F.col(text)).alias("content_hash"), F.xxhash64(text).alias("__q_text")), "hashes")
-    first = keyed.groupBy("content_hash").agg(F.min(order).alias(order)).join(keyed, ["content_hash", order], "left")
-    first = first.select(F.col(order).alias("__q_first"), F.col("__q_text").alias("__q_same"), "content_hash").distinct()
-    return use.join(first, (use[order] == F.col("__q_first")) & (F.xxhash64(use[text]) == F.col("__q_same"))).select(*[F.col(f"`{c}`") for c in docs.columns], "content_hash")
+    keyed = use.select(F.col(order).alias("__q_order"), content_hash(F.col(text)).alias("content_hash"), F.xxhash64(text).alias("__q_same"))
+    equal = keyed.groupBy("content_hash", "__q_order", "__q_same").agg(F.count("*").alias("__q_n"))
+    place = F.struct(F.isnull("__q_order"), F.col("__q_order"), F.col("__q_same"), F.col("__q_n"))
+    first = written(equal.groupBy("content_hash").agg(F.min(place).alias("x")).select("content_hash", "x.__q_order", "x.__q_same", "x.__q_n"), "hashes")
+    met = use.join(first, use[order].eqNullSafe(F.col("__q_order")) & (F.xxhash64(use[text]) == F.col("__q_same")))
+    several = F.col("__q_n") > 1
+    kept = [F.col(f"`{c}`") for c in docs.columns] + [F.col("content_hash")]
+    if first.filter(several).isEmpty():
+        return met.select(kept)
+    return met.filter(~several).select(kept).unionByName(one_of_equal(met.filter(several).select(kept), "content_hash"))
 
 
 def exact_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -86,16 +99,19 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", permutations: int = 128, n: int = 5) -> DataFrame:
-    """key and signature array<long>."""
+def signatures(docs: DataFrame, text: str = "text", key: str | list[str] = "doc_id", permutations: int = 128, n: int = 5) -> DataFrame:
+    """The key's columns and signature array<long>."""
     ship(docs.sparkSession)
+    keys = [key] if isinstance(key, str) else key
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(permutations)
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "signature": [signature(shingle_hashes(t or "", n), a, b) for t in f[text]]})
+        for batch in batches:
+            found = [signature(shingle_hashes(t or "", n), a, b) for t in batch.column(len(keys)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, pa.list_(pa.int64()))], [*keys, "signature"])
 
-    return spread(docs.select(key, text)).mapInPandas(each, f"{key} {docs.schema[key].dataType.simpleString()}, signature array<long>")
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return spread(docs.select(*keys, text)).mapInArrow(each, f"{kinds}, signature array<long>")
 
 
 def bands_for(permutations: int = 128, threshold: float = 0.85) -> tuple[int, int]:
@@ -135,22 +151,37 @@ def jaccard_estimate(a: Column, b: Column) -> Column:
 
 
 def near(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.85, permutations: int = 128) -> DataFrame:
-    """docs without those that an earlier one (by key) resembles in at least threshold of the signature, and without null
-    and empty texts.
+    """docs without those that an earlier one (by key, nulls last, then by a hash of the text) resembles in at least threshold
+    of the signature, and without null and empty texts. Of rows that are equal in key and text one stays.
 
-    Classes of equal signatures are compared once: a class's first key stands for it; all its other keys are duplicates.
+    Classes of equal signatures are compared once: a class's first row stands for it; all its others are duplicates.
     """
-    from quern.plans.lineage import cut
+    from quern.plans.lineage import cut, written
 
     docs = docs.filter(F.length(text) > 0)
-    classes = cut(classes_of(signatures(docs, text, key, permutations), key))
-    pairs = candidate_pairs(classes, key, permutations, threshold)
-    left, right = (classes.select(F.col(key).alias(x), F.col("signature").alias(f"s{x}")) for x in "ij")
+    name = F.struct(F.isnull(key).alias("no_key"), F.col(key).alias("key"), F.xxhash64(text).alias("same"))
+    keyed = docs.select(F.col(key).alias("__q_key"), F.xxhash64(text).alias("__q_same"), text)
+    sigs = signatures(keyed, text, ["__q_key", "__q_same"], permutations)
+    sigs = written(sigs.select(F.struct(F.isnull("__q_key").alias("no_key"), F.col("__q_key").alias("key"), F.col("__q_same").alias("same")).alias("name"), "signature"), "signatures")
+    classes = cut(classes_of(sigs, "name"))
+    pairs = candidate_pairs(classes, "name", permutations, threshold)
+    left, right = (classes.select(F.col("name").alias(x), F.col("signature").alias(f"s{x}")) for x in "ij")
     close = pairs.join(left, "i").join(right, "j").filter(jaccard_estimate(F.col("si"), F.col("sj")) >= threshold)
-    # A later class member that resembles an earlier class resembles its first key.
-    bad = close.select(F.col("j").alias(key)).distinct()
-    kept = classes.select(key).join(bad, key, "left_anti")
-    return docs.join(kept, key, "left_semi")
+    # A later class member that resembles an earlier class resembles its first row.
+    bad = close.select(F.col("j").alias("name")).distinct()
+    kept = classes.select("name").join(bad, "name", "left_anti")
+    several = written(sigs.groupBy("name").count().filter("count > 1").select("name", F.lit(True).alias("__q_several")), "several")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if several.isEmpty():
+        return _semi(docs, name, kept).select(columns)
+    named = _semi(docs, name, kept).join(several.withColumnRenamed("name", "__q_name"), "__q_name", "left")
+    once = one_of_equal(named.filter("__q_several").drop("__q_several"), "__q_name")
+    return named.filter("__q_several IS NULL").select(columns).unionByName(once.select(columns))
+
+
+def _semi(docs: DataFrame, name: Column, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose name is in kept(name), with it as __q_name."""
+    return docs.withColumn("__q_name", name).join(kept.withColumnRenamed("name", "__q_name"), "__q_name", "left_semi")
 
 
 def remember(docs: DataFrame, path: str, text: str = "text") -> None:
@@ -168,14 +199,18 @@ def near_unseen(docs: DataFrame, seen: DataFrame, text: str = "text", key: str =
     from quern.plans.lineage import cut
 
     fresh = near(docs, text, key, threshold, permutations)
-    own = cut(signatures(fresh, text, key, permutations))
+    name = F.struct(F.isnull(key).alias("no_key"), F.col(key).alias("key"), F.xxhash64(text).alias("same"))
+    keyed = fresh.select(F.col(key).alias("__q_key"), F.xxhash64(text).alias("__q_same"), text)
+    own = signatures(keyed, text, ["__q_key", "__q_same"], permutations)
+    own = cut(own.select(F.struct(F.isnull("__q_key").alias("no_key"), F.col("__q_key").alias("key"), F.col("__q_same").alias("same")).alias("name"), "signature"))
     b, r = bands_for(permutations, threshold)
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * r + 1, r)))).alias("band")
     old = seen.select("signature").distinct()
     old = cut(old.withColumn("old", F.xxhash64("signature")))
-    met = own.select(key, bands).join(old.select("old", bands), "band").select(key, "old").distinct()
-    close = met.join(own, key).join(old.select("old", F.col("signature").alias("s")), "old").filter(jaccard_estimate(F.col("signature"), F.col("s")) >= threshold)
-    return fresh.join(close.select(key).distinct(), key, "left_anti")
+    met = own.select("name", bands).join(old.select("old", bands), "band").select("name", "old").distinct()
+    close = met.join(own, "name").join(old.select("old", F.col("signature").alias("s")), "old").filter(jaccard_estimate(F.col("signature"), F.col("s")) >= threshold)
+    left = own.select("name").join(close.select("name").distinct(), "name", "left_anti")
+    return _semi(fresh, name, left).drop("__q_name").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def jaccard_exact(pairs: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5) -> DataFrame:

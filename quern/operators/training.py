@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import strip
-from quern.operators.corpus import ranks
+from quern.operators.corpus import before, in_order, ranks
 from quern.operators.tokenizers import ASSISTANT, END_TURN, EOS, MASK, PAD, SYSTEM, USER
 from quern.session import ship
 
@@ -26,18 +26,22 @@ def fixed(ids: Column, length: int) -> Column:
     return F.struct(padded.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
 
 
-def dynamic_pad(rows: DataFrame, key: str, batch: int, left: bool = False) -> DataFrame:
-    """rows(key, ids) in batches of consecutive rows, padded to the longest of each batch."""
+def _padded(rows: DataFrame, key: str, batch: int, left: bool) -> DataFrame:
+    """key, batch, input_ids and n (ids without padding) of rows(key, ids) in batches of consecutive rows."""
     numbered = ranks(rows, [key], "__q_r").withColumn("batch", F.floor((F.col("__q_r") - 1) / batch))
     longest = F.max(F.size("ids")).over(Window.partitionBy("batch"))
     pad = F.array_repeat(F.lit(PAD), longest - F.size("ids"))
-    return numbered.select(key, "batch", (F.concat(pad, F.col("ids")) if left else F.concat(F.col("ids"), pad)).alias("input_ids"))
+    return numbered.select(key, "batch", (F.concat(pad, F.col("ids")) if left else F.concat(F.col("ids"), pad)).alias("input_ids"), F.size("ids").alias("n"))
+
+
+def dynamic_pad(rows: DataFrame, key: str, batch: int, left: bool = False) -> DataFrame:
+    """rows(key, ids) in batches of consecutive rows, padded to the longest of each batch."""
+    return _padded(rows, key, batch, left).drop("n")
 
 
 def batches(rows: DataFrame, key: str, batch: int) -> DataFrame:
     """rows(key, ids) in batches of consecutive rows: input_ids padded to the longest of the batch, and their masks."""
-    out = dynamic_pad(rows, key, batch).join(rows.select(key, F.size("ids").alias("__q_n")), key)
-    return out.select(key, "batch", "input_ids", F.transform("input_ids", lambda _, i: (i < F.col("__q_n")).cast("int")).alias("attention_mask"))
+    return _padded(rows, key, batch, False).select(key, "batch", "input_ids", F.transform("input_ids", lambda _, i: (i < F.col("n")).cast("int")).alias("attention_mask"))
 
 
 def _pieces(docs: DataFrame, key: str, end: int | None, block: int, beyond: int = 0) -> DataFrame:
@@ -45,9 +49,8 @@ def _pieces(docs: DataFrame, key: str, end: int | None, block: int, beyond: int
     of the next one besides. Blocks inside a document are cut from it as they are, only those over an edge meet by number."""
     ids = F.filter("ids", lambda t: t != PAD)
     d = docs.select(key, (F.concat(ids, F.array(F.lit(end))) if end is not None else ids).alias("ids"))
-    first = offsets(d.select(key, F.size("ids").cast("long").alias("n")), key)
     at = lambda x: F.floor(x / block)
-    placed = d.join(first, key).filter(F.size("ids") > 0)
+    placed = offsets(d.withColumn("n", F.size("ids").cast("long")), key).filter(F.size("ids") > 0)
     # The block that a document begins in, and for its sake the one before, of which it may hold the tokens beyond.
     blocks = F.sequence(F.greatest(at(F.col("first") - beyond), F.lit(0)), at(F.col("first") + F.size("ids") - 1))
     each = placed.select("ids", "first", F.explode(blocks).alias("block_id"))
@@ -62,18 +65,12 @@ def _pieces(docs: DataFrame, key: str, end: int | None, block: int, beyond: int
 
 
 def offsets(sized: DataFrame, key: str) -> DataFrame:
-    """key and first: the sum of n before each key. Sums are taken in sorted partitions, then shifted by their totals."""
-    from quern.plans.lineage import cut
-
-    parts = cut(sized.sort(key).withColumn("__q_p", F.spark_partition_id()))
-    totals = {r["__q_p"]: r["n"] for r in parts.groupBy("__q_p").agg(F.sum("n").alias("n")).collect()}  # one row a partition
-    before, base = 0, {}
-    for p in sorted(totals):
-        base[p] = before
-        before += totals[p]
-    shift = F.create_map(*[F.lit(x) for p, o in base.items() for x in (p, o)]) if base else F.create_map().cast("map<int,bigint>")
-    w = Window.partitionBy("__q_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(key, (F.coalesce(F.sum("n").over(w), F.lit(0)) + shift[F.col("__q_p")].cast("long")).alias("first"))
+    """sized(key, n, ...) with first: the sum of n before each row, by key. Sums are taken in sorted partitions, then shifted
+    by their totals."""
+    parts = in_order(sized, [key])
+    totals = [(r["__q_p"], r["n"]) for r in parts.groupBy("__q_p").agg(F.sum("n").alias("n")).collect()]  # one row a partition
+    w = Window.partitionBy("__q_p").orderBy("__q_i").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)) + before(totals)).drop("__q_p", "__q_i")
 
 
 def pack(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS) -> DataFrame:
