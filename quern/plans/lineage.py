@@ -33,12 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes with the tables."""
+    path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back, so later plans see their true size."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

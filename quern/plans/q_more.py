@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text, web
 from quern.operators import corpus, dedup, usage, vectors
+from quern.plans.lineage import folder
 from quern.plans.registry import query
 from quern.session import table
 from quern.sources import files
@@ -238,12 +239,7 @@ def a_batcher(spark, sf):
     return usage.batcher_stats(usage.micro_batches(_queues(spark, sf)))
 
 
-def _stored(spark, name):
-    import uuid
-
-    from quern.plans.lineage import shared_folder
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+_stored = folder
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
