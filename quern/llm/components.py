@@ -1,26 +1,43 @@
-"""Connected components by alternating large-star and small-star steps, each a grouped minimum and a join."""
+"""Connected components by alternating large-star and small-star steps, each a grouped minimum and a join.
+
+The centre of a star of more than ``STAR`` links meets its minimum where its links are, so that they are not brought to one
+task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.lineage import cut
+from quern.llm.common import parted_join
+from quern.plans.lineage import cut, release, tables, written
+
+#: Links of a node that one task may take.
+STAR = 100_000
+
+
+def met(links: DataFrame, least: DataFrame, node: str) -> DataFrame:
+    """links joined with least (node, m, n: the node's links), by shuffle unless a node has too many of them."""
+    if (least.agg(F.max("n")).first()[0] or 0) <= STAR:
+        return links.join(least.drop("n"), node)
+    return parted_join(links, written(least, "stars"), node, "n").drop("n")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and root (the least node reachable) of every node of links(a, b); symmetric, loops and repeats are ignored."""
     edges = cut(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    spark, before = links.sparkSession, None
     for _ in range(most_rounds):
+        known = tables(spark)
         # Large star: each larger neighbour of a node is linked to the least of the node and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = met(both.filter("v > u"), least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
         # Small star: a node and its smaller neighbours are linked to the least of these.
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v")
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        small = met(large, least, "v")
         edges = cut(small.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u <> v").distinct())
+        release(spark, [x for x in tables(spark) if x not in known])
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
