@@ -118,7 +118,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX
     url = F.col("url")
     pages = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).withColumn("unit", unit_of(F.col("host")))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
-    outcomes = pages.select("page_id", F.col("unit").alias("host")).join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id", "left")
+    named = pages.select("page_id", F.col("unit").alias("host"))
+    # Pages without an id have no outcome; they do not meet in the join's one place for nulls.
+    outcomes = named.filter("page_id IS NOT NULL").join(labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), "page_id", "left").select("host", "bad")
+    outcomes = outcomes.unionByName(named.filter("page_id IS NULL").select("host", F.lit(None).cast("int").alias("bad")))
     blocked = reputation(outcomes, max_bad, sds).filter("blocked").select(F.col("host").alias("unit"), "blocked")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     of_rule = F.coalesce(*[F.when(F.col("rule") == r, v) for v, r in rules], F.lit(None).cast("string")) if rules else F.lit(None)
