@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.joins import by_parts
 from quern.plans.lineage import written
 from quern.session import ship
 from quern.sources.files import read_small, write_small
@@ -314,19 +315,27 @@ def encode_wordpiece_word(word: str, vocabulary: set[str], longest: int = 100) -
 
 
 def encode(docs: DataFrame, words: Column, encode_word, vocabulary: list[str], key: str = "doc_id") -> DataFrame:
-    """key and ids array<int>: each distinct word is encoded once and joined back to its places."""
+    """key and ids array<int>: each distinct word is encoded once and joined back to its places, frequent words where these
+    are. Rows are told apart by all they hold, so unlike rows may share a key or have none; equal rows have a row each."""
     spark = docs.sparkSession
     ship(spark)
     ids = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})  # a vocabulary, of fixed size
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"word": f["word"], "ids": [[ids.value.get(t, UNK) for t in encode_word(w)] for w in f["word"]]})
-
-    places = docs.select(key, F.posexplode(words).alias("pos", "word"))
-    table = places.select("word").distinct().mapInPandas(each, "word string, ids array<int>")
-    lists = places.join(table, "word").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return docs.select(key).join(lists, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+            yield pd.DataFrame({"word": f["word"], "n": f["n"], "ids": [[ids.value.get(t, UNK) for t in encode_word(w)] for w in f["word"]]})
+
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() != "map"]
+    name = [F.xxhash64(*plain).alias("__q_a"), F.hash(*plain).alias("__q_b")]
+    places = docs.select(key, *name, F.posexplode_outer(words).alias("pos", "word"))
+    counts = places.filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
+    table = written(counts.mapInPandas(each, "word string, n long, ids array<int>"), "encoded")
+    met = by_parts(places.filter("word IS NOT NULL"), table, ["word"], "n").select(key, "__q_a", "__q_b", "pos", "ids")
+    none = places.filter("word IS NULL").select(key, "__q_a", "__q_b", "pos", F.lit(None).cast("array<int>").alias("ids"))
+    copies = F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).cast("int").alias("copies")
+    lists = met.unionByName(none).groupBy(key, "__q_a", "__q_b").agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("x"), copies)
+    flat = F.flatten(F.filter(F.transform("x", lambda s: s["ids"]), lambda i: i.isNotNull()))
+    return lists.select(key, flat.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def with_specials(ids: Column, longest: int = 2048) -> Column:

@@ -90,3 +90,74 @@ def test_gate_tells_prose_from_noise(spark, texts):
     assert all(r["kept"] for r in perplexity.gate(docs, None).collect())
     assert perplexity.gate(docs.limit(0), 1.0).count() == 0
     assert perplexity.gate(docs, 2.0, F.lit(True)).filter("perplexity = 1").count() == docs.count()
+
+
+def segmentations(word):
+    if not word:
+        yield []
+    for i in range(1, len(word) + 1):
+        for rest in segmentations(word[i:]):
+            yield [word[:i], *rest]
+
+
+def random_model(rng, longest=4):
+    from quern.operators.unigram import Unigram
+
+    pieces = {"".join(rng.choice(list("abc"), int(rng.integers(1, longest + 1)))) for _ in range(20)} | {"a", "b"}
+    x = rng.random(len(pieces))
+    return Unigram({p: float(v) for p, v in zip(sorted(pieces), np.log(x / x.sum()), strict=True)}, longest)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_segmentations_against_all_of_them(seed):
+    from quern.operators import unigram
+
+    rng = np.random.default_rng(seed)
+    m = random_model(rng)
+    log = lambda s: sum(m.logs.get(p, m.floor if len(p) == 1 else -math.inf) if len(p) <= m.longest else -math.inf for p in s)
+    for _ in range(25):
+        word = "".join(rng.choice(list("abcd"), int(rng.integers(1, 9))))
+        every = [(log(s), s) for s in segmentations(word)]
+        every = [(x, s) for x, s in every if x > -math.inf]
+        score, pieces = unigram.best(word, m.logs, m.longest, m.floor)
+        assert score == pytest.approx(max(x for x, _ in every)) and "".join(pieces) == word and log(pieces) == pytest.approx(score)
+        total, found = unigram.expected(word, m.logs, m.longest, m.floor)
+        mass = sum(math.exp(x) for x, _ in every)
+        assert total == pytest.approx(math.log(mass))
+        want = Counter()
+        for x, s in every:
+            for p in s:
+                if p in m.logs:
+                    want[p] += math.exp(x) / mass
+        assert found == pytest.approx(dict(want))
+
+
+def test_likelihood_rises_and_the_vocabulary_has_its_size(spark):
+    from quern.operators import unigram
+
+    rng = np.random.default_rng(9)
+    stems, ends = ["walk", "talk", "jump", "work"], ["", "s", "ed", "ing", "er", "ers"]
+    counts = [(unigram.SPACE + rng.choice(stems) + rng.choice(ends), int(rng.integers(1, 50))) for _ in range(60)]
+    frame = spark.createDataFrame(counts, "word string, n long").groupBy("word").sum("n").withColumnRenamed("sum(n)", "n")
+    trace = []
+    m = unigram.train(frame, 30, 500, 8, rounds=4, trace=trace)
+    assert len(m.logs) <= 30 and {c for w, _ in counts for c in w} <= set(m.logs)
+    for a, b in zip(trace, trace[1:], strict=False):
+        assert a is None or b is None or b >= a - 1e-6
+    assert sum(math.exp(x) for x in m.logs.values()) == pytest.approx(1)
+    assert sum(x is None for x in trace) > 1 and {"ing", unigram.SPACE + "talk"} & set(m.logs)
+
+
+def test_unigram_round_trip_with_odd_rows(spark):
+    from quern.operators import tokenizers, unigram
+
+    rows = [(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (None, "the dog"), (None, "a cat"), (1, "mat"), (2, ""), (3, None), (4, "zebra é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    m = unigram.train(tokenizers.word_counts(docs.filter("doc_id is null or doc_id < 4"), unigram.words(docs["text"])), 40, 200, 6)
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in m.encode(docs).collect())
+    vocabulary = m.vocabulary
+    ids = lambda t: tuple(vocabulary.index(p) if p in m.logs else tokenizers.UNK for w in (t or "").split() for p in m.pieces(unigram.SPACE + w))
+    assert got == Counter((i, ids(t)) for i, t in rows)
+    texts = sorted(r["t"] for r in m.encode(docs.filter("doc_id = 1")).select(m.decode("ids").alias("t")).collect())
+    assert texts == sorted(t for i, t in rows if i == 1)
+    assert unigram.train(tokenizers.word_counts(docs.limit(0), unigram.words(docs["text"]))).logs == {}
