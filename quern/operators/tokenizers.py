@@ -7,7 +7,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -63,13 +63,17 @@ class Tokenizer:
     def words(self, text: Column) -> Column:
         return wordpiece_words(text) if self.merges is None else pretokens(text)
 
-    def encode(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-        """key and ids of docs(key, text)."""
+    def encode_word(self) -> Callable[[str], list[str]]:
+        """The pieces of a word, as a function that holds what it needs."""
         if self.merges is None:
             known = set(self.vocabulary)
-            return encode(docs, self.words(F.col(text)), lambda w: encode_wordpiece_word(w, known), self.vocabulary, key)
+            return lambda w: encode_wordpiece_word(w, known)
         ranks = {m: i for i, m in enumerate(self.merges)}
-        return encode(docs, self.words(F.col(text)), lambda w: encode_bpe_word(w, ranks), self.vocabulary, key)
+        return lambda w: encode_bpe_word(w, ranks)
+
+    def encode(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """key and ids of docs(key, text)."""
+        return encode(docs, self.words(F.col(text)), self.encode_word(), self.vocabulary, key)
 
     def save(self, spark: SparkSession, folder: str) -> None:
         """vocab.json, merges.txt and tokenizer_config.json in a folder of any file system that Spark knows."""

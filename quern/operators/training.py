@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import strip
 from quern.operators.corpus import before, in_order, ranks
-from quern.operators.tokenizers import ASSISTANT, END_TURN, EOS, MASK, PAD, SYSTEM, USER
-from quern.session import ship
+from quern.operators.tokenizers import ASSISTANT, END_TURN, EOS, MASK, PAD, SPECIALS, Tokenizer, encode
 
 IGNORED = -100
 DEFAULT_SYSTEM = "You are a helpful assistant."
@@ -128,34 +125,49 @@ def response_mask(ids: Column, opens: int, closes: int) -> Column:
     return inside(marks)
 
 
-def chat_ids(turns: DataFrame, longest: int) -> DataFrame:
-    """conv_id, input_ids, attention_mask and labels of whole conversations in chat form: characters are coded above the
-    specials, delimiters are ids of their own, and only what assistants say, with the id that ends it, is a label."""
-    ship(turns.sparkSession)
-    ids_of = {"<|system|>": SYSTEM, "<|user|>": USER, "<|assistant|>": ASSISTANT, "<|end_turn|>": END_TURN, "<eos>": EOS}
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        marks = re.compile("|".join(map(re.escape, ids_of)))
-        for f in frames:
-            rows = []
-            for text in f["text"]:
-                ids, at = [], 0
-                for m in marks.finditer(text):
-                    ids += [ord(c) % 500 + 12 for c in text[at : m.start()]] + [ids_of[m[0]]]
-                    at = m.end()
-                x = np.array((ids + [ord(c) % 500 + 12 for c in text[at:]])[:longest], np.int64)
-                place = np.arange(len(x))
-                delimiter = np.isin(x, [SYSTEM, USER, ASSISTANT, EOS])
-                last = np.maximum.accumulate(np.where(delimiter | (x == END_TURN), place, -1)) if len(x) else place
-                before = np.concatenate(([-1], last[:-1])) if len(x) else last
-                said = (before >= 0) & (x[np.maximum(before, 0)] == ASSISTANT) & ~delimiter
-                rows.append((x.tolist(), [1] * len(x), np.where(said, x, IGNORED).tolist()))
-            columns = ["input_ids", "attention_mask", "labels"]
-            yield pd.DataFrame({"conv_id": f["conv_id"], **{c: [r[i] for r in rows] for i, c in enumerate(columns)}})
-
-    return chat_text(turns).mapInPandas(each, "conv_id long, input_ids array<int>, attention_mask array<int>, labels array<int>")
+def marked_words(text: Column, words) -> Column:
+    """The words of text by a column function, the delimiters of chats and the end as words of their own."""
+    marks = r"<\|system\|>|<\|user\|>|<\|assistant\|>|<\|end_turn\|>|<eos>"
+    parts = F.filter(F.split(text, f"(?={marks})|(?<={marks})", -1), lambda p: p != "")
+    return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(f"^(?:{marks})$"), F.array(p)).otherwise(words(p))))
+
+
+def marked_ids(texts: DataFrame, tokenizer: Tokenizer, key: str) -> DataFrame:
+    """key and ids of texts(key, text), with delimiters as their own ids."""
+    marks, encode_word = {*SPECIALS}, tokenizer.encode_word()
+    return encode(texts.select(key, "text"), marked_words(F.col("text"), tokenizer.words), lambda w: [w] if w in marks else encode_word(w), tokenizer.vocabulary, key)
+
+
+def padded(ids: Column, length: int, fill: int = PAD) -> Column:
+    return F.concat(ids, F.array_repeat(F.lit(fill), length - F.size(ids)))
+
+
+def chat_ids(turns: DataFrame, tokenizer: Tokenizer, longest: int = 2048, least: int = 4) -> DataFrame:
+    """conv_id, input_ids, attention_mask and labels, each of exactly longest, of conversations in chat form with at least so
+    many ids. A place inside a response is labelled with the id that follows it, all others are ignored."""
+    ids = marked_ids(chat_text(turns), tokenizer, "conv_id").filter(F.size("ids") >= least).select("conv_id", F.slice("ids", 1, longest).alias("ids"))
+    following = F.concat(F.slice("ids", 2, longest), F.array(F.when(F.size("ids") == longest, EOS).otherwise(PAD)))
+    labels = F.zip_with(following, response_mask(F.col("ids"), ASSISTANT, END_TURN), lambda t, said: F.when(said, t).otherwise(IGNORED))
+    ones = F.transform("ids", lambda _: F.lit(1))
+    return ids.select("conv_id", padded(F.col("ids"), longest).alias("input_ids"), padded(ones, longest, 0).alias("attention_mask"), padded(labels, longest, IGNORED).alias("labels"))
+
+
+def preference_ids(pairs: DataFrame, tokenizer: Tokenizer, longest: int = 512, least: int = 2) -> DataFrame:
+    """input_ids and attention_mask of both sides of pairs(prompt, chosen, rejected, ...), each of exactly longest, beside the
+    pairs' other columns. Incomplete pairs and those with a side of less than so many ids are left out."""
+    others = [c for c in pairs.columns if c not in ("prompt", "chosen", "rejected")]
+    whole = preference_pairs(pairs)
+    text = lambda side: F.concat(strip(F.col("prompt")), F.lit("\n"), strip(F.col(side)), F.lit("<eos>"))
+    name = F.struct(*others, F.xxhash64("prompt", "chosen", "rejected").alias("__q_h"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), text(side).alias("text")) for i, side in enumerate(("chosen", "rejected"))]))
+    rows = whole.select(name.alias("pair"), sides.alias("x")).select(F.struct("pair", F.col("x.side").alias("side")).alias("key"), "x.text")
+    ids = marked_ids(rows, tokenizer, "key")
+    side = lambda i: F.max(F.when(F.col("key.side") == i, F.col("ids")))
+    both = ids.groupBy(F.col("key.pair").alias("pair")).agg(side(0).alias("chosen"), side(1).alias("rejected"), F.count_if(F.col("key.side") == 0).cast("int").alias("copies"))
+    both = both.filter((F.size("chosen") >= least) & (F.size("rejected") >= least))
+    cut = lambda c: F.slice(c, 1, longest)
+    columns = [x for c in ("chosen", "rejected") for x in (padded(cut(c), longest).alias(f"{c}_input_ids"), padded(F.transform(cut(c), lambda _: F.lit(1)), longest, 0).alias(f"{c}_attention_mask"))]
+    return both.select("pair", *columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*[F.col(f"pair.{c}").alias(c) for c in others], *[f"{c}_{k}" for c in ("chosen", "rejected") for k in ("input_ids", "attention_mask")])
 
 
 def budget_tail(turns: DataFrame, budget: int) -> DataFrame:

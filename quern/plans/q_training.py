@@ -76,44 +76,80 @@ def w_pack(spark, sf):
 
 @query()
 def ds_mlm(spark, sf):
-    return training.masked(coded(spark, sf), 512)
+    return training.masked(ids_of(spark, sf), len(trained(spark, sf).vocabulary))
 
 
-# The same sets as arrays instead of texts.
+# Sets of whole texts by a tokenizer of the documents, with the sizes that training takes.
+
+LENGTH, PAIR_LENGTH, CHAT_LENGTH, BATCH = 1024, 512, 2048, 16
+_tokenizers: dict[tuple[str, str], tokenizers.Tokenizer] = {}
+
+
+def bpe_counts(spark, sf):
+    return tokenizers.word_counts(table(spark, sf, "documents"), tokenizers.pretokens(F.col("text")))
+
+
+def trained(spark, sf) -> tokenizers.Tokenizer:
+    """The BPE tokenizer of the documents; one for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _tokenizers:
+        merges, vocabulary = tokenizers.train_bpe(bpe_counts(spark, sf))
+        _tokenizers[key] = tokenizers.Tokenizer(vocabulary, merges)
+    return _tokenizers[key]
+
+
+def ids_of(spark, sf):
+    return trained(spark, sf).encode(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query()
 def ds_fixed_whole(spark, sf):
-    return coded(spark, sf).select("doc_id", training.fixed(F.col("ids"), 64).alias("x")).select("doc_id", "x.*")
+    return ids_of(spark, sf).select("doc_id", training.fixed(F.col("ids"), LENGTH).alias("x")).select("doc_id", "x.*")
 
 
 @query()
 def ds_collate_whole(spark, sf):
-    return training.dynamic_pad(coded(spark, sf), "doc_id", 16)
+    return training.batches(ids_of(spark, sf), "doc_id", BATCH)
 
 
 @query()
 def ds_pack_whole(spark, sf):
-    return training.pack(coded(spark, sf), 128)
+    return training.pack(ids_of(spark, sf), LENGTH)
 
 
 @query()
 def ds_clm_whole(spark, sf):
-    return training.causal(coded(spark, sf), 128)
+    return training.causal(ids_of(spark, sf), LENGTH)
 
 
 @query()
 def w_pack_whole(spark, sf):
-    n = table(spark, sf, "documents").agg(F.coalesce(F.sum(F.char_length("text") + 1), F.lit(0)).cast("long").alias("tokens"))
-    return n.select("tokens", F.floor(F.col("tokens") / 128).alias("blocks"))
+    n = ids_of(spark, sf).agg(F.coalesce(F.sum(F.size("ids") + 1), F.lit(0)).cast("long").alias("tokens"))
+    return n.select("tokens", F.floor(F.col("tokens") / LENGTH).alias("blocks"))
 
 
 @query()
 def tk_encode_whole(spark, sf):
-    """Every document in windows of at most 62 tokens, each between the specials."""
-    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / 62).cast("int")), lambda i: F.slice("ids", i * 62 + 1, 62))
-    d = coded(spark, sf).filter(F.size("ids") > 0).select("doc_id", F.posexplode(windows).alias("part", "ids"))
-    return d.select("doc_id", "part", tokenizers.with_specials(F.col("ids"), 64).alias("ids"))
+    """Every document in windows of at most LENGTH - 2 tokens, each between the specials."""
+    n = LENGTH - 2
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / n).cast("int")), lambda i: F.slice("ids", i * n + 1, n))
+    d = ids_of(spark, sf).filter(F.size("ids") > 0).select("doc_id", F.posexplode(windows).alias("part", "ids"))
+    return d.select("doc_id", "part", tokenizers.with_specials(F.col("ids"), LENGTH).alias("ids"))
+
+
+@query()
+def ds_jsonl(spark, sf):
+    """Documents as JSON lines, read by ranges of bytes, encoded, cut and padded."""
+    from quern.plans.lineage import folder
+    from quern.sources import lines
+
+    lines.register(spark)
+    path = folder(spark, "jsonl")
+    table(spark, sf, "documents").select("doc_id", "text").write.option("lineSep", "\n").json(path)
+    read = spark.read.format("json_lines").options(path=path, suffix=".json", bytesPerTask=str(8 << 20)).load()
+    docs = read.select(F.get_json_object("record", "$.doc_id").cast("long").alias("doc_id"), "text")
+    ids = trained(spark, sf).encode(docs).filter(F.size("ids") > 0)
+    return ids.select("doc_id", training.fixed(F.col("ids"), LENGTH).alias("x")).select("doc_id", "x.*")
 
 
 _CHAT = """WITH s AS (SELECT conv_id, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
@@ -145,8 +181,18 @@ def ds_response_mask(spark, sf):
 
 @query()
 def ds_sft(spark, sf):
-    """Whole conversations in chat form as ids of at most 2048 tokens, with labels on responses only."""
-    return training.chat_ids(table(spark, sf, "conversations"), 2048)
+    """Whole conversations in chat form, as ids of the documents' tokenizer, cut and padded, with labels on responses only."""
+    return training.chat_ids(table(spark, sf, "conversations"), trained(spark, sf), CHAT_LENGTH)
+
+
+@query()
+def ds_pref_ids(spark, sf):
+    """Answers against those that the same conversation gave before, as padded ids."""
+    c = table(spark, sf, "conversations")
+    u = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    a = c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("chosen"))
+    worse = a.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("chosen").alias("rejected"))
+    return training.preference_ids(u.join(a, ["conv_id", "turn"]).join(worse, ["conv_id", "turn"]), trained(spark, sf), PAIR_LENGTH)
 
 
 @query("WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), u AS (SELECT conv_id, turn + 1 AS turn, text FROM conversations WHERE role = 'user') SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS chosen, reverse(a.text) AS rejected FROM u JOIN a USING (conv_id, turn) WHERE length(a.text) > 0 AND length(u.text) > 0")
@@ -185,10 +231,6 @@ def tk_encode(spark, sf):
     return coded(spark, sf).select("doc_id", listed(tokenizers.with_specials(F.col("ids"), 64)).alias("ids"))
 
 
-def bpe_counts(spark, sf):
-    return tokenizers.word_counts(table(spark, sf, "documents"), tokenizers.pretokens(F.col("text")))
-
-
 @query()
 def tk_bpe_train(spark, sf):
     merges, _ = tokenizers.train_bpe(bpe_counts(spark, sf))
@@ -197,10 +239,7 @@ def tk_bpe_train(spark, sf):
 
 @query()
 def tk_bpe_encode(spark, sf):
-    docs = table(spark, sf, "documents")
-    merges, vocabulary = tokenizers.train_bpe(bpe_counts(spark, sf))
-    ranks = {m: i for i, m in enumerate(merges)}
-    return tokenizers.encode(docs, tokenizers.pretokens(F.col("text")), lambda w: tokenizers.encode_bpe_word(w, ranks), vocabulary)
+    return ids_of(spark, sf)
 
 
 @query()

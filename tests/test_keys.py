@@ -83,3 +83,62 @@ def test_blocks_hold_every_token_once(spark, block):
         assert r["input_ids"] == x
     padded = training.batches(rows, "doc_id", 2).collect()
     assert Counter((r["doc_id"], sum(r["attention_mask"])) for r in padded) == Counter((i, len(x)) for i, x in ids)
+
+
+@pytest.fixture(scope="module")
+def tokenizer(spark):
+    from quern.operators import tokenizers
+
+    docs = spark.createDataFrame([("the cat sat on the mat and the dog sat too",)] * 3, "text string")
+    merges, vocabulary = tokenizers.train_bpe(tokenizers.word_counts(docs, tokenizers.pretokens(F.col("text"))), 60)
+    return tokenizers.Tokenizer(vocabulary, merges)
+
+
+def plain_ids(t, text):
+    """Ids by the definition: delimiters are their own, other parts go through the tokenizer word by word."""
+    import re
+
+    from quern.operators import tokenizers
+
+    one, out = t.encode_word(), []
+    for part in re.split(r"(<\|system\|>|<\|user\|>|<\|assistant\|>|<\|end_turn\|>|<eos>)", text):
+        if part in tokenizers.SPECIALS:
+            out.append(t.vocabulary.index(part))
+            continue
+        for w in re.findall(r" ?[a-zA-Z]+| ?[0-9]+| ?[^\s\w]+", part):
+            out += [t.vocabulary.index(p) if p in t.vocabulary else tokenizers.UNK for p in one(w.replace(" ", tokenizers.SPACE))]
+    return out
+
+
+def test_chats_as_padded_ids_with_labels_on_answers(spark, tokenizer):
+    turns = [(1, 0, "system", "sat"), (1, 1, "user", "the cat"), (1, 2, "assistant", "sat on"), (2, 0, "user", " the dog "), (2, 1, "assistant", "the mat"), (3, 0, "user", "q"), (None, 0, "user", "the")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    texts = {r["conv_id"]: r["text"] for r in training.chat_text(frame).collect()}
+    for longest in (12, 64):
+        got = {r["conv_id"]: r for r in training.chat_ids(frame, tokenizer, longest).collect()}
+        assert set(got) == {1, 2, 3, None}
+        for i, r in got.items():
+            ids = plain_ids(tokenizer, texts[i])[:longest]
+            pad = [0] * (longest - len(ids))
+            inside, mask = False, []
+            for t in ids:
+                if t == training.ASSISTANT:
+                    inside, said = True, False
+                elif t == training.END_TURN:
+                    inside, said = False, False
+                else:
+                    said = inside
+                mask.append(said)
+            following = ids[1:] + [training.EOS if not pad else 0]
+            assert r["input_ids"] == ids + pad and r["attention_mask"] == [1] * len(ids) + pad
+            assert r["labels"] == [t if m else -100 for t, m in zip(following, mask, strict=True)] + [-100] * len(pad)
+    assert training.chat_ids(frame, tokenizer, 64, least=1000).count() == 0
+
+
+def test_pairs_as_padded_ids(spark, tokenizer):
+    rows = [(1, " the cat ", "sat on", "the mat"), (1, " the cat ", "sat on", "the mat"), (None, "dog", "sat", "too"), (None, "dog", "sat", "mat"), (2, "", "a", "b"), (3, "a", None, "b")]
+    got = training.preference_ids(spark.createDataFrame(rows, "id long, prompt string, chosen string, rejected string"), tokenizer, 12).collect()
+    pad = lambda x: x[:12] + [0] * (12 - len(x))
+    want = [(i, tuple(pad(plain_ids(tokenizer, f"{p.strip()}\n{a}<eos>"))), tuple(pad(plain_ids(tokenizer, f"{p.strip()}\n{b}<eos>")))) for i, p, a, b in rows[:4]]
+    assert Counter((r["id"], tuple(r["chosen_input_ids"]), tuple(r["rejected_input_ids"])) for r in got) == Counter(want)
+    assert all(sum(r["chosen_attention_mask"]) == sum(t != 0 for t in r["chosen_input_ids"]) for r in got)

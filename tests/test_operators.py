@@ -195,30 +195,40 @@ def test_gae(spark):
     assert got == pytest.approx([d + 0.72 * (d + 0.72 * last), d + 0.72 * last, last])
 
 
-def test_whole_documents_are_packed(spark, tmp_path):
-    """Against brute force over every character, past the first line and past 200 of them."""
+def test_whole_documents_are_packed(spark, tmp_path, monkeypatch):
+    """Against brute force over every token of the documents' own tokenizer, past the first line and past 200 of them."""
+    import re
+
     from quern.plans import q_training
 
-    texts = ["a" * 300 + "\nsecond line\n" + "é😀" * 200, "", "x", None, "tail\n" * 90, "z" * 127, "q" * 255]
+    n = 128
+    monkeypatch.setattr(q_training, "LENGTH", n)
+    texts = ["ab cd " * 300 + "\nsecond line\n" + "é😀 " * 200, "", "x", None, "tail\n" * 90, "z 1" * 127, "q." * 255]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    codes = {i: None if t is None else [ord(c) % 500 + 12 for c in t] for i, t in enumerate(texts)}
-    flat = [x for i in sorted(codes) if codes[i] is not None for x in [*codes[i], 3]]
+    t = q_training.trained(spark, str(tmp_path))
+    one, number = t.encode_word(), {p: i for i, p in enumerate(t.vocabulary)}
+    words = lambda s: [w.replace(" ", tokenizers.SPACE) for w in re.findall(r" ?[a-zA-Z]+| ?[0-9]+| ?[^\s\w]+", s or "")]
+    codes = {i: [number.get(p, tokenizers.UNK) for w in words(s) for p in one(w)] for i, s in enumerate(texts)}
+    flat = [x for i in sorted(codes) for x in [*codes[i], 3]]
     run = lambda f: f(spark, str(tmp_path)).collect()
-    assert {r["block_id"]: r["input_ids"] for r in run(q_training.ds_pack_whole)} == {i: flat[i * 128 : i * 128 + 128] for i in range(len(flat) // 128)}
+    assert len(flat) > 4 * n
+    assert {r["block_id"]: r["input_ids"] for r in run(q_training.ds_pack_whole)} == {i: flat[i * n : i * n + n] for i in range(len(flat) // n)}
     clm = {r["block_id"]: (r["input_ids"], r["labels"]) for r in run(q_training.ds_clm_whole)}
-    assert set(clm) == set(range(-(-(len(flat) - 128) // 128)))
+    assert set(clm) == set(range(-(-(len(flat) - n) // n)))
     for i, (ids, labels) in clm.items():
-        assert ids == flat[i * 128 : i * 128 + 128] and labels == [-100 if t == 3 else flat[i * 128 + k + 1] for k, t in enumerate(ids)]
-    assert run(q_training.w_pack_whole)[0].asDict() == {"tokens": len(flat), "blocks": len(flat) // 128}
-    assert {r["doc_id"]: len(r["labels"]) if r["labels"] is not None else None for r in run(q_training.ds_mlm)} == {i: None if c is None else len(c) for i, c in codes.items()}
-    assert {r["doc_id"]: max(r["input_ids"] and [len(r["input_ids"])] or [0]) for r in run(q_training.ds_collate_whole)}[1] == max(len(c) for c in codes.values() if c)
+        assert ids == flat[i * n : i * n + n] and labels == [-100 if t == 3 else flat[i * n + k + 1] for k, t in enumerate(ids)]
+    assert run(q_training.w_pack_whole)[0].asDict() == {"tokens": len(flat), "blocks": len(flat) // n}
+    assert {r["doc_id"]: len(r["labels"]) for r in run(q_training.ds_mlm)} == {i: len(c) for i, c in codes.items()}
+    collated = {r["doc_id"]: r for r in run(q_training.ds_collate_whole)}
+    assert {len(r["input_ids"]) for r in collated.values()} == {max(map(len, codes.values()))} and {i: sum(r["attention_mask"]) for i, r in collated.items()} == {i: len(c) for i, c in codes.items()}
     encoded = {}
     for r in sorted(run(q_training.tk_encode_whole), key=lambda r: (r["doc_id"], r["part"])):
-        assert r["ids"][0] == 2 and r["ids"][-1] == 3 and len(r["ids"]) <= 64
+        assert r["ids"][0] == 2 and r["ids"][-1] == 3 and len(r["ids"]) <= n
         encoded.setdefault(r["doc_id"], []).extend(r["ids"][1:-1])
     assert encoded == {i: c for i, c in codes.items() if c}
     fixed = {r["doc_id"]: r["input_ids"] for r in run(q_training.ds_fixed_whole)}
-    assert fixed[0] == codes[0][:64] and fixed[2] == codes[2] + [0] * 63
+    assert all(fixed[i] == (c + [0] * n)[:n] for i, c in codes.items())
+    assert {r["doc_id"]: r["input_ids"] for r in run(q_training.ds_jsonl)} == {i: (c + [0] * n)[:n] for i, c in codes.items() if c}
 
 
 def test_near_leaves_out_null_and_empty_texts(spark):
@@ -283,16 +293,6 @@ def test_tokenizers_are_saved_and_loaded(spark, tmp_path):
         tokenizers.load(spark, str(tmp_path / "w"))
 
 
-def test_chat_ids_label_responses(spark):
-    from quern.operators import training
-
-    turns = spark.createDataFrame([(1, 1, "user", " hi "), (1, 2, "assistant", "yo"), (2, 1, "user", "x")], "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in training.chat_ids(turns, 2048).collect()}
-    said = [x for x in got[1]["labels"] if x != -100]
-    assert said[:-1] == [ord(c) % 500 + 12 for c in "\nyo\n"] and said[-1] == tokenizers.END_TURN
-    assert all(x == -100 for x in got[2]["labels"])
-
-
 def test_micro_batches(spark):
     from quern.operators import usage
 
