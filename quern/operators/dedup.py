@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,6 +135,49 @@ def candidate_pairs(classes: DataFrame, key: str = "doc_id", permutations: int =
     return banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("i"), F.col("y.k").alias("j")).distinct()
 
 
+#: Classes of a band that are compared as pairs of rows, and those of a block where there are more; rows of a block at once.
+FEW, BLOCK, AT_ONCE = 200, 1_000, 64
+
+
+def resembling(classes: DataFrame, permutations: int = 128, threshold: float = 0.85) -> DataFrame:
+    """id of the classes(id, signature) that one of lower id resembles, by the bands they share. A band of many classes is
+    compared block by block, each pair of blocks in a task of its own that yields ids alone, so it makes no pairs of rows."""
+    from quern.operators.joins import by_parts
+    from quern.plans.lineage import written
+
+    b, r = bands_for(permutations, threshold)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * r + 1, r)))
+    banded = classes.select("id", F.explode(parts).alias("band"))
+    sizes = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    few = banded.join(sizes.filter(F.col("n") <= FEW).select("band"), "band")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
+    left, right = (classes.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ij")
+    close = pairs.join(left, "i").join(right, "j").filter(jaccard_estimate(F.col("si"), F.col("sj")) >= threshold).select(F.col("j").alias("id"))
+    large = sizes.filter(F.col("n") > FEW)
+    if large.isEmpty():
+        return close.distinct()
+    many = by_parts(banded, large, ["band"], "n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "band", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).join(classes.select("id", "signature"), "id")
+
+    def each(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        ids, side, sigs = f["id"].to_numpy(), f["own"].to_numpy(), np.stack(f["signature"]).astype(np.uint32)
+        crossed = f["low"].iloc[0] != f["high"].iloc[0]
+        bad = np.zeros(len(f), bool)
+        for at in range(0, len(f), AT_ONCE):
+            some = slice(at, at + AT_ONCE)
+            alike = (sigs[some, None, :] == sigs[None, : at + AT_ONCE, :]).sum(2) >= threshold * sigs.shape[1]
+            alike &= ids[None, : at + AT_ONCE] < ids[some, None]
+            if crossed:
+                alike &= side[None, : at + AT_ONCE] != side[some, None]
+            bad[some] = alike.any(1)
+        return pd.DataFrame({"id": ids[bad]})
+
+    return close.unionByName(dealt.groupBy("band", "low", "high").applyInPandas(each, "id long")).distinct()
+
+
 def lsh(sigs: DataFrame, key: str = "doc_id", permutations: int = 128, threshold: float = 0.85) -> DataFrame:
     """key, class (its first key) and links (other classes that share a band with it) of each row of sigs(key, signature)."""
     from quern.plans.lineage import cut
@@ -156,20 +200,18 @@ def near(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: fl
 
     Classes of equal signatures are compared once: a class's first row stands for it; all its others are duplicates.
     """
-    from quern.plans.lineage import cut, written
+    from quern.operators.corpus import in_order
+    from quern.plans.lineage import written
 
     docs = docs.filter(F.length(text) > 0)
     name = F.struct(F.isnull(key).alias("no_key"), F.col(key).alias("key"), F.xxhash64(text).alias("same"))
     keyed = docs.select(F.col(key).alias("__q_key"), F.xxhash64(text).alias("__q_same"), text)
     sigs = signatures(keyed, text, ["__q_key", "__q_same"], permutations)
     sigs = written(sigs.select(F.struct(F.isnull("__q_key").alias("no_key"), F.col("__q_key").alias("key"), F.col("__q_same").alias("same")).alias("name"), "signature"), "signatures")
-    classes = cut(classes_of(sigs, "name"))
-    pairs = candidate_pairs(classes, "name", permutations, threshold)
-    left, right = (classes.select(F.col("name").alias(x), F.col("signature").alias(f"s{x}")) for x in "ij")
-    close = pairs.join(left, "i").join(right, "j").filter(jaccard_estimate(F.col("si"), F.col("sj")) >= threshold)
+    classes = in_order(classes_of(sigs, "name"), ["name"])
+    classes = classes.withColumn("id", F.shiftleft(F.col("__q_p").cast("long"), 33) + F.col("__q_i"))
     # A later class member that resembles an earlier class resembles its first row.
-    bad = close.select(F.col("j").alias("name")).distinct()
-    kept = classes.select("name").join(bad, "name", "left_anti")
+    kept = classes.select("id", "name").join(resembling(classes, permutations, threshold), "id", "left_anti").select("name")
     several = written(sigs.groupBy("name").count().filter("count > 1").select("name", F.lit(True).alias("__q_several")), "several")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if several.isEmpty():

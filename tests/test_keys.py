@@ -49,6 +49,28 @@ def test_near_keeps_one_row_of_each_likeness(spark, docs):
     assert (7, "solo") not in {(r["doc_id"], r["text"]) for r in dedup.near_unseen(docs, old).collect()}
 
 
+@pytest.mark.parametrize("few, block", [(1, 3), (2, 1000), (200, 1000)])
+def test_bands_of_many_classes_are_compared_in_blocks(spark, monkeypatch, few, block):
+    import numpy as np
+
+    monkeypatch.setattr(dedup, "FEW", few)
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(dedup, "AT_ONCE", 4)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, 128)
+    rows = []
+    for i in range(60):
+        s = base.copy()
+        change = rng.choice(128, int(rng.integers(0, 40)), replace=False)
+        s[change] = rng.integers(0, 1 << 32, len(change))
+        rows.append((i, s.tolist()))
+    got = {r["id"] for r in dedup.resembling(spark.createDataFrame(rows, "id long, signature array<long>").repartition(3)).collect()}
+    b, r = dedup.bands_for()
+    met = lambda x, y: any(x[k * r : k * r + r] == y[k * r : k * r + r] for k in range(b))
+    want = {j for j, y in rows for i, x in rows if i < j and met(x, y) and sum(p == q for p, q in zip(x, y, strict=True)) / 128 >= 0.85}
+    assert got == want and len(want) > 10
+
+
 def test_ranks_number_every_row_once(docs):
     got = corpus.ranks(docs, ["doc_id"], "r").collect()
     assert sorted(r["r"] for r in got) == list(range(1, len(ROWS) + 1))
