@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.session import ship
@@ -118,3 +118,14 @@ def keep_checkpoints(rows: DataFrame, last: int, metric: str, lowest: bool = Tru
     newest = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("step")))
     best = F.row_number().over(Window.partitionBy("model").orderBy(F.asc(metric) if lowest else F.desc(metric), "step"))
     return rows.withColumn("__q_n", newest).withColumn("__q_b", best).filter((F.col("__q_n") <= last) | (F.col("__q_b") == 1)).drop("__q_n", "__q_b")
+
+
+def shaped_reward(base: Column, tokens: Column, least: int, most: int, bonus: float, penalty: float) -> Column:
+    """base with the bonus for a number of tokens from least to most (less below, and less the further above), and less a
+    penalty for the share of pairs of adjacent tokens that came before."""
+    n = F.size(tokens)
+    length = F.when(n < least, bonus * n / least - bonus).when(n > most, -bonus * (n - most) / most).otherwise(bonus)
+    # Pairs by zipping, so that tokens are taken once however many there are.
+    pairs = F.arrays_zip(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))))
+    repeats = F.when(n > 2, (n - 1 - F.size(F.array_distinct(pairs))) / (n - 1)).otherwise(0.0)
+    return base + length - penalty * repeats

@@ -22,8 +22,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def build(pages: DataFrame, folder: str, rules=None, start_from: str | None = None, force: bool = False, languages=None) -> dict[str, DataFrame]:
-    """languages: a language.detector, whose rule comes last. All stages of pages(url, html), each a Parquet table below folder. A stage whose table is complete (it has a
-    _SUCCESS marker) is read, not computed, unless force is set or it comes at or after start_from."""
+    """All stages of pages(url, html), each a Parquet table below folder. A stage whose table is complete (it has a _SUCCESS
+    marker) is read, not computed, unless force is set or it comes at or after start_from. languages: a language.detector,
+    whose rule comes last."""
     spark = pages.sparkSession
     steps = {
         "extracted": lambda d: extracted(d),

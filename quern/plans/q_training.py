@@ -487,13 +487,24 @@ def reward_shape(spark, sf):
     return w.select("doc_id", F.size("w").alias("n"), F.round(F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0), 6).alias("repeated"))
 
 
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w)
+SELECT b.doc_id, round(l.quality + CASE WHEN n BETWEEN 50 AND 300 THEN 0.5 WHEN n < 50 THEN 0.5 * n / 50 - 0.5 ELSE -0.5 * (n - 300) / 300 END - CASE WHEN n > 2 THEN 0.3 * (len(g) - len(list_distinct(g))) / greatest(n - 1, 1) ELSE 0 END, 6) AS reward
+FROM b JOIN labels l ON l.doc_id = b.doc_id""")
+def reward_length(spark, sf):
+    """The quality label as a reward, with the bonus for a length between 50 and 300 words and the penalty for repetition."""
+    from quern.functions.text import words
+
+    d = table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("w")).join(table(spark, sf, "labels"), "doc_id")
+    return d.select("doc_id", F.round(evaluation.shaped_reward(F.col("quality"), F.col("w"), 50, 300, 0.5, 0.3), 6).alias("reward"))
+
+
 @query()
 def corpus_build(spark, sf):
-    """The whole page pipeline: extraction, exact and near dedup, quality; stage counts."""
-    import uuid
-
+    """The whole page pipeline: extraction, exact and near dedup, quality with the language rule last; stage counts."""
+    from quern.operators import language
     from quern.plans import corpus_build as build
-    from quern.plans.lineage import shared_folder
+    from quern.plans.lineage import folder
 
-    tables = build.build(table(spark, sf, "pages").select("url", "html"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}")
+    languages = language.detector(language.profiles(spread(table(spark, sf, "documents"))))
+    tables = build.build(table(spark, sf, "pages").select("url", "html"), folder(spark, "corpus"), languages=languages)
     return build.stats(tables)
