@@ -368,22 +368,3 @@ def test_pipeline_on_odd_rows_and_none(spark, tmp_path):
         # A component without any id is apart from others by its texts, which are unlike here.
         assert len(kept["near_dedup"]) == len({(c, n > 0, i if not n else 0) for i, n, c in plain_components(kept["line_dedup"])})
         assert bool(kept["packing"]) == bool(rows)
-
-
-
-def test_large_stars_take_no_task_of_their_own(spark, monkeypatch):
-    from quern.llm import components
-
-    rng = np.random.default_rng(48)
-    links = [(0, i) for i in range(1, 60)] + [(i, 100 + i) for i in range(1, 30)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (50, 2))] + [(500, 500)]
-    frame = spark.createDataFrame(links, "a long, b long")
-    plain = {r["node"]: r["root"] for r in components.components(frame).collect()}
-    monkeypatch.setattr(components, "STAR", 5)
-    monkeypatch.setattr(common, "SHARE", 20)
-    got = {r["node"]: r["root"] for r in components.components(frame).collect()}
-    root = {x: x for a, b in links if a != b for x in (a, b)}
-    links = [(a, b) for a, b in links if a != b]
-    for _ in range(100):
-        for a, b in links:
-            root[a] = root[b] = min(root[a], root[b])
-    assert got == plain == root
