@@ -326,3 +326,45 @@ def repair_parts(parts: DataFrame) -> DataFrame:
     built = chosen.join(parts.select("block", "items"), "block").select("conv_id", "block", "state", "edits", "counts", "audit", "items")
     built = built.mapInArrow(rebuild, "conv_id long, block long, counts array<long>, audit string, data binary")
     return ordered(built).mapInArrow(digest, RESULT_DDL)
+
+
+def _sql() -> str:
+    """The contract in SQL: a fold over each conversation's rows whose state is the cheapest (cost, audit) of each grammar state,
+    and a second fold that applies the audit. CRC-32 is computed from its polynomial."""
+    far = "{'c': 1000000000::BIGINT, 'a': ''}"
+    plus = lambda s, cost, edit: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}'}}"
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    when = lambda cond, x: f"CASE WHEN {cond} THEN {x} ELSE {far} END"
+
+    def insert(v: str) -> str:
+        return f"{{'s0': {v}.s0, 's1': {v}.s1, 's2': {least(f'{v}.s2', *[plus(f'{v}.s{k}', 2, 'I') for k in (0, 1, 3)])}, 's3': {least(f'{v}.s3', plus(f'{v}.s2', 2, 'I'))}}}"
+
+    def closed(out: str) -> str:
+        for k in range(3):  # no more insertions in a row can help
+            out = f"list_transform([{out}], lambda v{k}: {insert(f'v{k}')})[1]"
+        return out
+
+    def row(v: str, r: str) -> str:
+        go = lambda s, edit, cost: plus(f"{v}.s{s}", cost, edit)
+        keep = lambda s, initial: when(f"NOT {r}.gone AND {r}.initial = '{initial}'", go(s, "K", f"{r}.extra"))
+        other = lambda s: when(f"NOT {r}.gone", go(s, "R", f"2 + {r}.extra"))
+        return f"""{{'s0': {go(0, 'D', 3)}, 's1': {least(go(1, 'D', 3), keep(0, 's'))},
+ 's2': {least(go(2, 'D', 3), *[other(s) for s in (0, 1, 3)], *[keep(s, 'u') for s in (0, 1, 3)])}, 's3': {least(go(3, 'D', 3), other(2), keep(2, 'a'))}}}"""
+
+    start = f"{{'s0': {{'c': 0::BIGINT, 'a': ''}}, 's1': {far}, 's2': {far}, 's3': {far}}}"
+    return rf"""WITH codes AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i::BIGINT)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT raw.*, xor(4294967295, list_reduce(list_transform(string_split(k, ''), lambda c: unicode(c)::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT)) % 20 AS h FROM raw, codes),
+after AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM after),
+judged AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+lists AS (SELECT conv_id, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, list({{'initial': left(role, 1), 'gone': coalesce(fault IN ('blank', 'duplicate'), false), 'extra': CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'role': role, 'text': text}} ORDER BY i) AS rows FROM judged GROUP BY conv_id),
+every AS (SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(rows, []) AS rows FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN lists l ON c.conv_id IS NOT DISTINCT FROM l.conv_id),
+solved AS (SELECT *, list_transform([list_reduce(rows, lambda v, r: {closed(row('v', 'r'))}, {closed(start)})], lambda e: {least('e.s0', 'e.s3')})[1] AS best FROM every),
+repaired AS (SELECT *, list_reduce(string_split(best.a, ''), lambda z, e: CASE WHEN e = '' THEN z ELSE list_transform([{{'i': z.i + CASE e WHEN 'I' THEN 0 ELSE 1 END, 'role': CASE WHEN e = 'K' THEN rows[z.i].role WHEN z.s = 2 THEN 'assistant' ELSE 'user' END, 'text': CASE e WHEN 'I' THEN '' ELSE rows[z.i].text END}}],
+  lambda n: {{'i': n.i, 's': CASE WHEN e = 'D' THEN z.s ELSE CASE left(n.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END, 'out': CASE WHEN e = 'D' THEN z.out ELSE list_append(z.out, n.role || ':' || n.text) END}})[1] END, {{'i': 1::BIGINT, 's': 0, 'out': []::VARCHAR[]}}).out AS lines FROM solved)
+SELECT conv_id, gaps::BIGINT AS gaps, blank::BIGINT AS blank, duplicate::BIGINT AS duplicate, truncated::BIGINT AS truncated, illegal::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM repaired"""
+
+
+SQL = _sql()

@@ -518,20 +518,20 @@ def test_queries_are_registered_once():
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op5_top_k", "op6_mixing", "op10_url_filters"])
+@pytest.mark.parametrize("name", ["op5_top_k", "op6_mixing", "op10_url_filters", "op12_conversation_repair"])
 def test_sql(spark, name):
     import duckdb
 
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     mine = entry.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
     theirs = con.execute(entry.oracle_sql()[name]).fetchdf()
