@@ -72,4 +72,4 @@ def op13_whole_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_fingerprints, op2_token_counts, op3_language_id, op4_packing, op5_top_k, op6_mixing, op7_line_dedup, op8_quality, op9_near_dedup, op10_url_filters, op11_spelling, op12_conversation_repair, op13_whole_packing)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op5_top_k": topk.SQL, "op6_mixing": mixing.SQL, "op10_url_filters": url_filters.SQL, "op12_conversation_repair": conversations.SQL}
+SQL: dict[str, str] = {"op5_top_k": topk.SQL, "op6_mixing": mixing.SQL, "op10_url_filters": url_filters.SQL, "op11_spelling": spelling.SQL, "op12_conversation_repair": conversations.SQL}

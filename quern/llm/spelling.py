@@ -389,3 +389,19 @@ def grouped(words: DataFrame, times: int = TIMES, most: int = SHARD_WORDS, long:
     named = named.select("word", "form", F.col("root_word").alias("root"), "n", "n_near", "form_n")
     alone = judged.filter("form_id IS NULL").select("word", F.lit(None).cast("string").alias("form"), F.col("word").alias("root"), "n", "n_near", "form_n")
     return named.unionByName(alone)
+
+
+#: The contract in SQL: neighbours by joins of words without one character; CRC-32 is computed from its polynomial.
+SQL = rf"""
+WITH RECURSIVE codes AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i::BIGINT)) AS t),
+runs AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{LETTERS}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) GROUP BY doc_id, w),
+hashed AS (SELECT w, c, xor(4294967295, list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END)),
+  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT)) AS h FROM runs, codes),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % {RATE} = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM hashed) WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
+less AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS x FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.x = b.x AND a.i = b.i AND a.word <> b.word UNION SELECT less.word, words.word FROM less JOIN words ON words.word = x UNION SELECT words.word, less.word FROM less JOIN words ON words.word = x),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, {{'a': -o.n, 'b': encode(other)}}) AS other, max(o.n) AS n FROM near JOIN words o ON o.word = other GROUP BY near.word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= {TIMES} * w.n THEN other END AS form, CASE WHEN b.n >= {TIMES} * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.root AND f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) USING (word)
+"""

@@ -524,7 +524,7 @@ def test_queries_are_registered_once():
     assert set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op5_top_k", "op6_mixing", "op10_url_filters", "op12_conversation_repair"])
+@pytest.mark.parametrize("name", ["op5_top_k", "op6_mixing", "op10_url_filters", "op11_spelling", "op12_conversation_repair"])
 def test_sql(spark, name):
     import duckdb
 
