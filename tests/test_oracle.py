@@ -23,7 +23,7 @@ def duck():
 
 def canonical(df: pd.DataFrame) -> list:
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, (int, float)) or hasattr(v, "dtype"):
             f = round(float(v), 5)
