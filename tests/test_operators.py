@@ -275,6 +275,22 @@ def test_trained_apart_finds_the_same_merges(spark, monkeypatch):
     assert tokenizers.train_wordpiece(counts, 40) == pieces
 
 
+def test_rounds_of_live_pairs_find_the_same_merges(spark, monkeypatch):
+    """Small rounds, few runs and parts that are made in several ways."""
+    for seed, least in ((1, 2), (3, 4)):
+        rng = np.random.default_rng(seed)
+        words = sorted({"".join(rng.choice(list("abc" if seed < 3 else "abcdefgh"), int(rng.integers(1, 12)))) for _ in range(200)})
+        counts = spark.createDataFrame([(w, int(rng.integers(1, 30))) for w in words], "word string, n long").coalesce(2)
+        with monkeypatch.context() as m:
+            here, pieces = tokenizers.train_bpe(counts, 60, least), tokenizers.train_wordpiece(counts, 40, least)
+            m.setattr(tokenizers, "TRAIN_WORDS", 0)
+            for live, runs in ((6, 200_000), (16, 60)):
+                m.setattr(tokenizers, "LIVE_PAIRS", live)
+                m.setattr(tokenizers, "RUNS", runs)
+                assert tokenizers.train_bpe(counts, 60, least) == here
+                assert tokenizers.train_wordpiece(counts, 40, least) == pieces
+
+
 def test_tokenizers_are_saved_and_loaded(spark, tmp_path):
     counts = spark.createDataFrame([("Ġlow", 5), ("low", 3), ("Ġlower", 2)], "word string, n long")
     merges, vocabulary = tokenizers.train_bpe(counts, 40)
