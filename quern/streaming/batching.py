@@ -25,22 +25,24 @@ class Batcher(StatefulProcessor):
         self.open = handle.getListState("open", "id long, ts_ms long")
         self.number = handle.getValueState("number", "n long")
 
-    def _out(self, key: tuple, rows: list[tuple], at: int, full: bool) -> pd.DataFrame:
+    def _out(self, key: tuple, batches: list[tuple[list[tuple], int, bool]]) -> pd.DataFrame:
+        """Rows of dispatched batches (requests, time, full): the number is read and kept once for all of them."""
         n = self.number.get()[0] if self.number.exists() else 0
-        self.number.update((n + 1,))
-        return pd.DataFrame({"key": [key[0]], "batch": [n], "ids": [[i for i, _ in rows]], "first_ms": [rows[0][1]], "dispatched_ms": [at], "full": [full]})
+        self.number.update((n + len(batches),))
+        ids, firsts = [[i for i, _ in rows] for rows, _, _ in batches], [rows[0][1] for rows, _, _ in batches]
+        return pd.DataFrame({"key": [key[0]] * len(batches), "batch": range(n, n + len(batches)), "ids": ids, "first_ms": firsts, "dispatched_ms": [at for _, at, _ in batches], "full": [full for _, _, full in batches]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = [(r[0], r[1]) for r in self.open.get()] if self.open.exists() else []
-        began = held[0][1] if held else None
+        began, gone = held[0][1] if held else None, []
         fresh = pd.concat(list(rows)).sort_values(["ts_ms", "id"])
         for i, t in zip(fresh["id"].tolist(), fresh["ts_ms"].tolist(), strict=True):
             if held and t >= held[0][1] + self.wait:
-                yield self._out(key, held, held[0][1] + self.wait, False)
+                gone.append((held, held[0][1] + self.wait, False))
                 held = []
             held.append((i, t))
             if len(held) == self.most:
-                yield self._out(key, held, t, True)
+                gone.append((held, t, True))
                 held = []
         if began is not None and (not held or held[0][1] != began):
             self.handle.deleteTimer(began + self.wait)
@@ -49,12 +51,14 @@ class Batcher(StatefulProcessor):
             self.handle.registerTimer(held[0][1] + self.wait)
         else:
             self.open.clear()
+        if gone:
+            yield self._out(key, gone)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = [(r[0], r[1]) for r in self.open.get()] if self.open.exists() else []
         if held and held[0][1] + self.wait <= expiredTimerInfo.getExpiryTimeInMs():
             self.open.clear()
-            yield self._out(key, held, held[0][1] + self.wait, False)
+            yield self._out(key, [(held, held[0][1] + self.wait, False)])
 
 
 #: Fixed value: the store that state of lists and timers needs.
