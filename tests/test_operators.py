@@ -332,6 +332,24 @@ def test_delays_of_many_requests_of_a_domain(spark):
     assert usage.domain_schedule(d, 600_000).agg(F.max("start_ms")).first()[0] == 4_999 * 600_000
 
 
+def test_trigrams_are_counted_without_a_shuffle_of_them(spark):
+    from collections import defaultdict
+
+    from quern.operators import language
+
+    texts = [(1, "the theme the"), (2, "ab"), (3, None), (None, "abcabc abc"), (None, "abc"), (4, "é𝒳y é𝒳y"), (4, "y é𝒳y"), (5, "word " * 900)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    want = defaultdict(lambda: [0, 1 << 30])
+    for r in d.select("doc_id", language.middle(language.language_form(F.col("text"))).alias("t")).collect():
+        for i in range(len(r["t"] or "") - 2):
+            if (g := r["t"][i : i + 3])[0] != " " and g[2] != " ":
+                x = want[r["doc_id"], g]
+                x[0], x[1] = x[0] + 1, min(x[1], i)
+    found = language.trigrams(d)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((*k, *x)) for k, x in want.items())
+    assert found.schema.simpleString() == "struct<doc_id:bigint,trigram:string,n:bigint,first_pos:int>"
+
+
 def test_chains_of_neighbours_merge_as_the_nearest_pairs_do(spark):
     from quern.operators import vectors
 
