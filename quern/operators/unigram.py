@@ -1,9 +1,10 @@
 """A unigram language model of subwords: trained by expectation and maximisation over all segmentations, pruned by loss,
 and used by the best segmentation.
 
-Words carry a mark for the space before them. Seeds are the substrings of words that cover most of the text; each round
-weighs every segmentation of every distinct word by its probability (forward and backward sums in Arrow tasks) and sets a
-piece's probability to its share of what all pieces are expected to occur. Then the pieces whose loss would cost the text
+Words carry a mark for the space before them. Seeds are the substrings of words that cover most of the text; where they lie in
+each distinct word is found once and stored. Each round weighs every segmentation of every distinct word by its probability
+(forward and backward sums over many words of a length at once, in Arrow tasks) and sets a piece's probability to its share of
+what all pieces are expected to occur. Then the pieces whose loss would cost the text
 least go, until the vocabulary has its size; single characters stay. Counts of words and of pieces are tables; the driver and
 the tasks hold the pieces, ``seeds`` of them at most.
 """
@@ -13,7 +14,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ SPACE = "▁"
 LONGEST, SIZE, SEEDS, SHRINK, ROUNDS = 16, 8_000, 80_000, 0.75, 2
 #: What a character that no piece covers costs, in logs, below the rarest piece.
 UNKNOWN = 10.0
+#: Edges of words of one length that are summed at once.
+CELLS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -51,8 +56,14 @@ def edges(word: str, logs: dict[str, float], longest: int, floor: float, but: st
 def best(word: str, logs: dict[str, float], longest: int, floor: float, but: str | None = None) -> tuple[float, list[str]]:
     """The log and the pieces of the most probable segmentation; of equal ones the one whose last piece is longest."""
     score, back = [0.0] + [-math.inf] * len(word), [None] * (len(word) + 1)
-    for j, ends in enumerate(edges(word, logs, longest, floor, but)):
-        for i, log, piece in ends:
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - longest), j):
+            piece = word[i:j]
+            log = logs.get(piece) if piece != but else None
+            if log is None:
+                if i < j - 1:
+                    continue
+                log = floor
             if score[i] + log > score[j]:
                 score[j], back[j] = score[i] + log, (i, piece)
     out, at = [], len(word)
@@ -96,7 +107,7 @@ class Unigram:
     logs: dict[str, float]
     longest: int = LONGEST
 
-    @property
+    @cached_property
     def floor(self) -> float:
         return min(self.logs.values(), default=0.0) - UNKNOWN
 
@@ -131,25 +142,74 @@ def seeds(counts: DataFrame, most: int, longest: int) -> dict[str, float]:
     return {r["piece"]: math.log(r["n"]) - total for r in rows}
 
 
-def expectations(counts: DataFrame, model: Unigram) -> tuple[float, dict[str, float]]:
-    """The log-likelihood of counts(word, n), and how often each piece is expected."""
-    sent = counts.sparkSession.sparkContext.broadcast((model.logs, model.longest, model.floor))
+def lattices(counts: DataFrame, pieces: list[str], longest: int) -> DataFrame:
+    """n and ids of counts(word, n): for each end in a word, and each of the longest starts before it in order, the place of what
+    lies between among pieces; their number where it is none of them, and one more for a character that is none."""
+    sent = counts.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(pieces)})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, none = sent.value.get, len(sent.value)
+        for batch in batches:
+            flat, ends = [], [0]
+            for word in batch.column(0).to_pylist():
+                for j in range(1, len(word) + 1):
+                    flat += [none] * (longest - j) + [place(word[i:j], none) for i in range(max(0, j - longest), j)]
+                    if flat[-1] == none:
+                        flat[-1] = none + 1
+                ends.append(len(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["n", "ids"])
+
+    return counts.select("word", "n").mapInArrow(each, "n long, ids array<int>")
+
+
+def _sums(ids: np.ndarray, n: np.ndarray, logs: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log-likelihood of words of one length, ids(word, end, start), that occur n times, and how often each id is expected."""
+    rows, size, longest = ids.shape
+    edge = logs[ids]
+    forward, backward = np.full((2, rows, longest + size), -np.inf)  # of place p at p + longest - 1
+    forward[:, longest - 1] = backward[:, -1] = 0.0
+    for j in range(size):
+        x = forward[:, j : j + longest] + edge[:, j]
+        top = x.max(1)
+        forward[:, j + longest] = top + np.log(np.exp(x - top[:, None]).sum(1))
+    for j in reversed(range(size)):
+        at = backward[:, j : j + longest]
+        np.logaddexp(at, edge[:, j] + backward[:, j + longest, None], out=at)
+    whole = forward[:, -1]
+    for j in range(size):
+        edge[:, j] += forward[:, j : j + longest] + (backward[:, j + longest] - whole)[:, None]
+    np.exp(edge, out=edge)
+    edge *= n[:, None, None]
+    return float(n @ whole), np.bincount(ids.ravel(), edge.ravel(), len(logs))
+
+
+def expectations(lattice: DataFrame, pieces: list[str], model: Unigram) -> tuple[float, dict[str, float]]:
+    """The log-likelihood of the words of a lattice of pieces, and how often each piece is expected."""
+    logs = np.array([*[model.logs.get(p, -math.inf) for p in pieces], -math.inf, model.floor])
+    sent, longest = lattice.sparkSession.sparkContext.broadcast(logs), model.longest
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, longest, floor = sent.value
-        total, sums = 0.0, {}
+        logs = sent.value
+        total, sums = 0.0, np.zeros(len(logs))
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                log, found = expected(word, logs, longest, floor)
-                total += n * log
-                for piece, x in found.items():
-                    sums[piece] = sums.get(piece, 0.0) + n * x
-        yield pa.RecordBatch.from_arrays([pa.array([None, *sums], pa.string()), pa.array([total, *sums.values()], pa.float64())], ["piece", "x"])
-
-    rows = counts.select("word", "n").mapInArrow(each, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()  # a row a piece
+            n, lists = batch.column(0).to_numpy().astype(float), batch.column(1)
+            at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            sizes = np.diff(at)
+            for size in np.unique(sizes[sizes > 0]):
+                of, step = np.flatnonzero(sizes == size), max(1, CELLS // int(size))
+                for k in range(0, len(of), step):
+                    some = of[k : k + step]
+                    ids = flat[at[some][:, None] + np.arange(size)].reshape(len(some), -1, longest)
+                    log, found = _sums(ids, n[some], logs)
+                    total, sums = total + log, sums + found
+        used = np.flatnonzero(sums[:-2])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([total, *sums[used].tolist()], pa.float64())], ["piece", "x"])
+
+    rows = lattice.mapInArrow(each, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()  # a row a piece
     found = {r["piece"]: r["x"] for r in rows}
     sent.destroy()
-    return found.pop(None, 0.0), found
+    log = found.pop(-1, 0.0)
+    return log, {pieces[i]: x for i, x in found.items()}
 
 
 def maximised(found: dict[str, float], logs: dict[str, float]) -> dict[str, float]:
@@ -172,14 +232,17 @@ def train(counts: DataFrame, size: int = SIZE, most_seeds: int = SEEDS, longest:
     """The model of counts(word, n) with size pieces besides the specials, or as many as there are. trace gets the
     log-likelihood before each maximisation, and None where pieces went."""
     ship(counts.sparkSession)
-    counts = written(counts, "words")
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    counts = written(counts.repartition(4 * cores), "words")  # few bytes, but much work for each
     logs = seeds(counts, most_seeds, longest)
     if not logs:
         return Unigram({}, longest)
+    pieces = list(logs)
+    lattice = written(lattices(counts, pieces, longest), "lattices")
     while True:
         found: dict[str, float] = {}
         for _ in range(rounds):
-            log, found = expectations(counts, Unigram(logs, longest))
+            log, found = expectations(lattice, pieces, Unigram(logs, longest))
             if trace is not None:
                 trace.append(log)
             logs = maximised(found, logs)

@@ -161,3 +161,24 @@ def test_unigram_round_trip_with_odd_rows(spark):
     texts = sorted(r["t"] for r in m.encode(docs.filter("doc_id = 1")).select(m.decode("ids").alias("t")).collect())
     assert texts == sorted(t for i, t in rows if i == 1)
     assert unigram.train(tokenizers.word_counts(docs.limit(0), unigram.words(docs["text"]))).logs == {}
+
+
+def test_unigram_sums_of_many_words_at_once_equal_each_words_own(spark):
+    from quern.operators import unigram
+
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdé𝒳"), rng.integers(1, 30))) for _ in range(200)] + ["zz", "z", "a" * 400]
+    pieces = sorted({w[i : i + k] for w in words[:40] for i in range(len(w)) for k in (1, 2, 3, 5)} - {"z"})
+    logs = dict(zip(pieces, np.log(rng.dirichlet(np.ones(len(pieces)))).tolist(), strict=True))
+    dropped = [p for p in pieces if len(p) == 3][::2]
+    model = unigram.Unigram({p: x for p, x in logs.items() if p not in dropped}, 5)
+    frame = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "word string, n long").repartition(3)
+    log, found = unigram.expectations(unigram.lattices(frame, pieces, 5), pieces, model)
+    total, want = 0.0, {}
+    for i, w in enumerate(words):
+        one, each = unigram.expected(w, model.logs, 5, model.floor)
+        total += (i + 1) * one
+        for p, x in each.items():
+            want[p] = want.get(p, 0.0) + (i + 1) * x
+    assert log == pytest.approx(total) and {p for p, x in found.items() if x > 1e-12} == {p for p, x in want.items() if x > 1e-12}
+    assert all(found[p] == pytest.approx(x, rel=1e-8) for p, x in want.items() if x > 1e-12)
