@@ -25,3 +25,22 @@ def test_a_merge_looks_at_its_own_places_alone(letters):
         word = tokenizers.merged(word, pair)
         if len(word) < 20_000:
             break
+
+
+def test_perplexity_stores_its_trigrams_twice(spark, monkeypatch):
+    """Once counted with their contexts and once with probabilities; no row a text and trigram is stored."""
+    from pyspark.sql import functions as F
+
+    from quern.operators import perplexity
+
+    stored = []
+    monkeypatch.setattr(perplexity, "written", lambda df, name, write=perplexity.written: stored.append((name, out := write(df, name))) or out)
+    texts = [f"word{i % 7} and word{i % 5} then word{i % 3}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = perplexity.gate(docs, None, F.col("doc_id") % 5 == 0)
+    assert [name for name, _ in stored] == ["trigrams", "bigrams", "unigrams", "logs"]
+    assert len({df.count() for name, df in stored if name in ("trigrams", "logs")}) == 1
+    # The same figures by the model of the training texts alone and scoring them as texts of others.
+    model = perplexity.fit(docs.filter("doc_id % 5 <> 0"))
+    apart = {r["doc_id"]: r["perplexity"] for r in perplexity.score(docs, model).collect()}
+    assert {r["doc_id"]: r["perplexity"] for r in out.collect()} == pytest.approx(apart)
