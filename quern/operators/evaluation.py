@@ -125,7 +125,10 @@ def shaped_reward(base: Column, tokens: Column, least: int, most: int, bonus: fl
     penalty for the share of pairs of adjacent tokens that came before."""
     n = F.size(tokens)
     length = F.when(n < least, bonus * n / least - bonus).when(n > most, -bonus * (n - most) / most).otherwise(bonus)
-    # Pairs by zipping, so that tokens are taken once however many there are.
-    pairs = F.arrays_zip(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))))
+    # Pairs as strings: distinct ones are found by hashing, while structs would be compared each with each. Lengths keep apart
+    # what is written alike.
+    one = lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+    rest = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, 1, rest), F.slice(tokens, 2, rest), lambda a, b: F.concat(one(a), one(b)))
     repeats = F.when(n > 2, (n - 1 - F.size(F.array_distinct(pairs))) / (n - 1)).otherwise(0.0)
     return base + length - penalty * repeats
