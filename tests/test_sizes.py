@@ -44,3 +44,46 @@ def test_perplexity_stores_its_trigrams_twice(spark, monkeypatch):
     model = perplexity.fit(docs.filter("doc_id % 5 <> 0"))
     apart = {r["doc_id"]: r["perplexity"] for r in perplexity.score(docs, model).collect()}
     assert {r["doc_id"]: r["perplexity"] for r in out.collect()} == pytest.approx(apart)
+
+
+def test_forms_of_texts_in_tasks_are_those_of_sql(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions.text import language_form
+    from quern.operators import language
+
+    texts = ["", " ", "a", "  Ab\t c d ", "ÀÉ×÷ÿß İı K Å", "日本 中文、。 العَرَبِية ؟ 12", "x😀y😀 😀", "end.\n", "\x85z\x1cq\x0b", "".join(map(chr, range(1, 0x2100)))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", language_form(F.col("text")).alias("form")).collect()
+    assert ["".join(map(chr, language.formed(r["text"]))) for r in rows] == [r["form"] for r in rows]
+    assert [language._middle(language.formed("ab " * n)).tolist() == [ord(c) for c in ("ab " * n).strip()[max(0, (3 * n - 1 - 3000) // 2) :][:3000]] for n in (1, 1000, 1001, 1002, 1500)] == [True] * 5
+
+
+def test_profiles_are_learned_once(spark):
+    from quern.operators import language
+
+    docs = spark.createDataFrame([(i, "the cat sat on the mat " * 9, "en") for i in range(5)], "doc_id long, text string, lang string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    language.detector(language.profiles(docs.mapInArrow(seen, docs.schema)))
+    assert read.value == 5
+
+
+def test_repeats_are_counted_apart_by_text(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import evaluation, quality
+
+    texts = ["a b c d e f g h i j " * 3, " ".join(map(str, range(25))), "a " * 40, "a " * 19, None, "", "a b c d e f g h i j " * 2 + "x y z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", quality.ngram_repetition(F.col("t")).alias("r")).collect()
+    want = {0: 3 * 10 / 30, 1: 10 / 25, 2: 31 * 10 / 40, 3: 0.0, 4: 0.0, 5: 0.0, 6: 2 * 10 / 23}
+    assert {r["i"]: r["r"] for r in rows} == pytest.approx(want)
+    # Pairs of tokens: structs were compared each with each, minutes for these.
+    began = time.perf_counter()
+    long = spark.range(8).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("w"))
+    got = long.select(evaluation.shaped_reward(F.lit(0.0), F.col("w"), 50, 300, 0.0, 1.0).alias("r")).collect()
+    assert {r["r"] for r in got} == {0.0} and time.perf_counter() - began < 30
