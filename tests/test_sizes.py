@@ -87,3 +87,20 @@ def test_repeats_are_counted_apart_by_text(spark):
     long = spark.range(8).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("w"))
     got = long.select(evaluation.shaped_reward(F.lit(0.0), F.col("w"), 50, 300, 0.0, 1.0).alias("r")).collect()
     assert {r["r"] for r in got} == {0.0} and time.perf_counter() - began < 30
+
+
+def test_likeness_of_pairs_needs_texts_alone(spark):
+    import random as rnd
+
+    from quern.operators import dedup
+
+    r = rnd.Random(5)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 5_000)))
+    texts = ["", None, "abcd", "abcde", "abcdeabcde", "日本語のテキスト", "日本語のテキスト と abcde", wide, wide[:3_000] + "x", *("".join(r.choices("abc 😀", k=40)) for _ in range(8))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))], "i long, j long")
+    out = dedup.jaccard_exact(pairs, docs)
+    sets = [{(t or "")[k : k + 5] for k in range(len(t or "") - 4)} for t in texts]
+    want = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    assert {(x["i"], x["j"]): x["jaccard"] for x in out.collect()} == want
+    assert "array<string>" not in out._jdf.queryExecution().optimizedPlan().treeString() and "array_distinct" not in out._jdf.queryExecution().toString()
