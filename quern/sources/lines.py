@@ -131,6 +131,21 @@ class LineTable(Lines, DataSourceReader):
     def partitions(self) -> list[Range]:
         return self._ranges({}, self._files())
 
+    def read(self, partition: Range) -> Iterator:
+        """The rows as Arrow batches of about a BLOCK of text."""
+        import pyarrow as pa
+
+        schema = pa.schema([("file", pa.string()), ("place", pa.int64()), ("text", pa.string()), ("record", pa.string())])
+        rows, size = [], 0
+        for row in super().read(partition):
+            rows.append(row)
+            size += len(row[3])
+            if size >= BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
 
 class JsonLines(DataSource):
     """file, place (its first byte), text and record of each line whose text is a string that isn't empty; others are left out."""

@@ -104,3 +104,23 @@ def test_likeness_of_pairs_needs_texts_alone(spark):
     want = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
     assert {(x["i"], x["j"]): x["jaccard"] for x in out.collect()} == want
     assert "array<string>" not in out._jdf.queryExecution().optimizedPlan().treeString() and "array_distinct" not in out._jdf.queryExecution().toString()
+
+
+def test_words_are_encoded_together_as_one_by_one():
+    """Many rare words: each took a search of its own for every merge."""
+    r = random.Random(7)
+    for seed in range(40):
+        parts, merges = list("abc"), []
+        for _ in range(seed % 13):
+            merges.append((r.choice(parts), r.choice(parts)))
+            parts.append("".join(merges[-1]))
+        coder = tokenizers.BpeWords(merges, frozenset(["ab"] if seed % 2 else []))
+        ids = {t: i + 20 for i, t in enumerate(dict.fromkeys(parts[: r.randint(1, len(parts))]))}
+        words = ["".join(r.choices("abcdé😀", [5, 3, 2, 0.3, 0.2, 0.2], k=r.randint(0, 14))) for _ in range(60)] + ["ab", "a" * 99]
+        sizes, flat = coder.many(ids)(words)
+        want = [[ids.get(t, tokenizers.UNK) for t in coder(w)] for w in words]
+        assert sizes.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+    merges = tokenizers._merge([(r.choices("abcdefgh", k=100_000), 2)], 2, 600, [], set())
+    words = ["".join(r.choices("abcdefgh", k=14)) for _ in range(200_000)]
+    code, began = tokenizers.BpeWords(merges).many({}), time.perf_counter()
+    assert code(words)[0].sum() > 0 and time.perf_counter() - began < 8
