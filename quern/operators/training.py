@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from quern.functions.text import strip
-from quern.operators.corpus import before, in_order, ranks
-from quern.operators.tokenizers import ASSISTANT, END_TURN, EOS, MASK, PAD, SPECIALS, Tokenizer, encode
+from quern.operators.corpus import before, ranks
+from quern.operators.tokenizers import ASSISTANT, END_TURN, EOS, MASK, PAD, SPECIALS, BpeWords, Tokenizer, encode
+from quern.plans.lineage import written
+from quern.session import ship
 
 IGNORED = -100
+#: Makes key and ids of rows, one row for each, in their places.
+Ids = Callable[[DataFrame], DataFrame]
 DEFAULT_SYSTEM = "You are a helpful assistant."
 
 
@@ -23,64 +32,153 @@ def fixed(ids: Column, length: int) -> Column:
     return F.struct(padded.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
 
 
-def _padded(rows: DataFrame, key: str, batch: int, left: bool) -> DataFrame:
-    """key, batch, input_ids and n (ids without padding) of rows(key, ids) in batches of consecutive rows."""
+def _padded(rows: DataFrame, key: str, batch: int, left: bool, ids: Ids | None) -> DataFrame:
+    """key, batch, input_ids and n (ids without padding) of rows(key, ids) in batches of consecutive rows. With a function that
+    makes ids of rows(key, ...) in their places, the rows are numbered and dealt without ids, which are not shuffled."""
     numbered = ranks(rows, [key], "__q_r").withColumn("batch", F.floor((F.col("__q_r") - 1) / batch))
-    longest = F.max(F.size("ids")).over(Window.partitionBy("batch"))
-    pad = F.array_repeat(F.lit(PAD), longest - F.size("ids"))
-    return numbered.select(key, "batch", (F.concat(pad, F.col("ids")) if left else F.concat(F.col("ids"), pad)).alias("input_ids"), F.size("ids").alias("n"))
-
-
-def dynamic_pad(rows: DataFrame, key: str, batch: int, left: bool = False) -> DataFrame:
-    """rows(key, ids) in batches of consecutive rows, padded to the longest of each batch."""
-    return _padded(rows, key, batch, left).drop("n")
-
-
-def batches(rows: DataFrame, key: str, batch: int) -> DataFrame:
+    name = F.struct(F.col(key).alias("key"), "batch").alias(key)
+    met = numbered.repartition("batch").sortWithinPartitions("batch", "__q_r").select(name, *[f"`{c}`" for c in rows.columns if c != key])
+    met = (ids(met) if ids else met).select(f"`{key}`.key", f"`{key}`.batch", "ids")
+    kind = rows.schema[key].dataType
+
+    def each(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Scalar, int, np.ndarray | None]] = []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            longest = max((len(x) for *_, x in held if x is not None), default=0)
+            step = max(1, AT_ONCE // max(1, longest))
+            for at in range(0, len(held), step):
+                some = held[at : at + step]
+                sizes = np.array([-1 if x is None else len(x) for *_, x in some], np.int64)
+                flat = np.full((int((sizes >= 0).sum()), longest), PAD, np.int32)
+                for row, x in zip(flat, (x for *_, x in some if x is not None), strict=True):
+                    row[longest - len(x) if left else 0 : longest if left else len(x)] = x
+                ends = np.concatenate([[0], np.cumsum((sizes >= 0) * longest)])
+                offsets = pa.array(ends.astype(np.int32), mask=np.append(sizes < 0, False))
+                keys = pa.concat_arrays([k for k, *_ in some])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([b for _, b, _ in some], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel())), pa.array(sizes, pa.int32(), mask=sizes < 0)], ["key", "batch", "input_ids", "n"])
+
+        for found_batch in found:
+            keys, numbers, lists = found_batch.columns
+            flat, at, there = _flat(lists)
+            for i, b in enumerate(numbers.to_pylist()):
+                if held and held[0][1] != b:
+                    yield from made()
+                    held.clear()
+                held.append((keys.slice(i, 1), b, flat[at[i] : at[i + 1]] if there[i] else None))
+        if held:
+            yield from made()
+
+    schema = StructType([StructField("key", kind), StructField("batch", LongType()), StructField("input_ids", ArrayType(IntegerType())), StructField("n", IntegerType())])
+    return met.mapInArrow(each, schema).withColumnRenamed("key", key)
+
+
+#: Ids of a padded batch that are made at once.
+AT_ONCE = 1 << 18
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of lists of numbers (null: 0), where each list begins there and the last ends, and which lists aren't null."""
+    flat = lists.flatten()
+    flat = (flat.fill_null(0) if flat.null_count else flat).to_numpy()
+    sizes = lists.value_lengths()
+    sizes = (sizes.fill_null(0) if sizes.null_count else sizes).to_numpy()
+    return flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.asarray(lists.is_valid())
+
+
+def dynamic_pad(rows: DataFrame, key: str, batch: int, left: bool = False, ids: Ids | None = None) -> DataFrame:
+    """rows(key, ids) in batches of consecutive rows, padded to the longest of each batch. ids: a function that makes them of
+    rows(key, ...)."""
+    return _padded(rows, key, batch, left, ids).drop("n")
+
+
+def batches(rows: DataFrame, key: str, batch: int, ids: Ids | None = None) -> DataFrame:
     """rows(key, ids) in batches of consecutive rows: input_ids padded to the longest of the batch, and their masks."""
-    return _padded(rows, key, batch, False).select(key, "batch", "input_ids", F.transform("input_ids", lambda _, i: (i < F.col("n")).cast("int")).alias("attention_mask"))
-
-
-def _pieces(docs: DataFrame, key: str, end: int | None, block: int, beyond: int = 0) -> DataFrame:
+    return _padded(rows, key, batch, False, ids).select(key, "batch", "input_ids", F.transform("input_ids", lambda _, i: (i < F.col("n")).cast("int")).alias("attention_mask"))
+
+
+def _placed(docs: DataFrame, key: str, end: int | None, ids: Ids | None) -> DataFrame:
+    """ids and first: the documents' tokens without padding, each document followed by end, and the number of tokens before
+    it, by key. Stored in that order. With a function that makes ids of docs(key, ...) in their places, it is the documents
+    that are sorted: sampling and sorting them makes no ids. Sums run in sorted partitions and are shifted by their totals."""
+    ship(docs.sparkSession)
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() != "map"]
+    ordered = docs.sort(key, F.xxhash64(*plain))
+
+    def each(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in found:
+            flat, at, there = _flat(batch.column(0))
+            kept = flat != PAD
+            sizes = np.diff(np.concatenate([[0], np.cumsum(kept)])[at])
+            flat = flat[kept]
+            if end is not None:
+                flat = np.insert(flat, np.cumsum(sizes)[there], end)
+                sizes += there
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(total + ends[:-1]), pa.array(sizes), pa.array(np.full(len(sizes), part, np.int32))], ["ids", "first", "n", "__q_p"])
+            total += int(ends[-1])
+
+    rows = (ids(ordered) if ids else ordered).select("ids").mapInArrow(each, "ids array<int>, first long, n long, __q_p int")
+    stored = written(rows.filter("n > 0"), "sorted")
+    totals = [(r["__q_p"], r["n"]) for r in stored.groupBy("__q_p").agg(F.sum("n").alias("n")).collect()]  # one row a partition
+    return stored.select("ids", (F.col("first") + before(totals)).alias("first"))
+
+
+def _pieces(docs: DataFrame, key: str, end: int | None, block: int, beyond: int = 0, ids: Ids | None = None) -> DataFrame:
     """block_id and x: the documents' tokens, by key, each document followed by end, in blocks that hold ``beyond`` tokens
-    of the next one besides. Blocks inside a document are cut from it as they are, only those over an edge meet by number."""
-    ids = F.filter("ids", lambda t: t != PAD)
-    d = docs.select(key, (F.concat(ids, F.array(F.lit(end))) if end is not None else ids).alias("ids"))
-    at = lambda x: F.floor(x / block)
-    placed = offsets(d.withColumn("n", F.size("ids").cast("long")), key).filter(F.size("ids") > 0)
-    # The block that a document begins in, and for its sake the one before, of which it may hold the tokens beyond.
-    blocks = F.sequence(F.greatest(at(F.col("first") - beyond), F.lit(0)), at(F.col("first") + F.size("ids") - 1))
-    each = placed.select("ids", "first", F.explode(blocks).alias("block_id"))
-    start = F.greatest(F.col("block_id") * block - F.col("first"), F.lit(0)).cast("int")
-    stop = F.least((F.col("block_id") + 1) * block + beyond - F.col("first"), F.size("ids")).cast("int")
-    whole = stop - start == block + beyond
-    piece = F.slice("ids", start + 1, stop - start)
-    inside = each.filter(whole).select("block_id", piece.alias("x"))
-    edges = each.filter(~whole & (stop > start)).select("block_id", F.struct((F.col("first") + start).alias("at"), piece.alias("x")).alias("p"))
+    of the next one besides. Consecutive documents of a batch are cut as one; only blocks over a batch's edge meet by number."""
+    placed = _placed(docs, key, end, ids)
+    full = block + beyond
+
+    def cut(whole: bool):
+        def each(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                flat, at, _ = _flat(batch.column(0))
+                first = batch.column(1).to_numpy()
+                breaks = np.flatnonzero(first[1:] != first[:-1] + np.diff(at)[:-1]) + 1
+                for i, j in zip([0, *breaks.tolist()], [*breaks.tolist(), len(first)], strict=True):
+                    if i == j:
+                        continue
+                    run, start = flat[at[i] : at[j]], int(first[i])
+                    # The block that a run begins in, and for its sake the one before, of which it may hold the tokens beyond.
+                    low, high = max(start - beyond, 0) // block, (start + len(run) - 1) // block
+                    inner = range(-(-start // block), (start + len(run) - full) // block + 1)
+                    if whole:
+                        for k in range(inner.start, inner.stop, step := max(1, AT_ONCE // full)):
+                            some = np.arange(k, min(k + step, inner.stop))
+                            x = run[(some * block - start)[:, None] + np.arange(full)].ravel()
+                            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, full, dtype=np.int32)), pa.array(x))
+                            yield pa.RecordBatch.from_arrays([pa.array(some), lists], ["block_id", "x"])
+                        continue
+                    rest = [k for k in (range(low, high + 1) if not len(inner) else [*range(low, inner.start), *range(inner.stop, high + 1)])]
+                    spans = [(k, max(k * block, start), min(k * block + full, start + len(run))) for k in rest]
+                    spans = [(k, a, b) for k, a, b in spans if a < b]
+                    if spans:
+                        x = pa.array([run[a - start : b - start] for _, a, b in spans], pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in spans], pa.int64()), pa.array([a for _, a, _ in spans], pa.int64()), x], ["block_id", "at", "x"])
+
+        return each
+
+    inside = placed.mapInArrow(cut(True), "block_id long, x array<int>")
+    edges = placed.mapInArrow(cut(False), "block_id long, at long, x array<int>").select("block_id", F.struct("at", "x").alias("p"))
     met = edges.groupBy("block_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
     return inside.union(met.select("block_id", F.flatten(F.transform("p", lambda p: p["x"]))))
 
 
-def offsets(sized: DataFrame, key: str) -> DataFrame:
-    """sized(key, n, ...) with first: the sum of n before each row, by key. Sums are taken in sorted partitions, then shifted
-    by their totals."""
-    parts = in_order(sized, [key])
-    totals = [(r["__q_p"], r["n"]) for r in parts.groupBy("__q_p").agg(F.sum("n").alias("n")).collect()]  # one row a partition
-    w = Window.partitionBy("__q_p").orderBy("__q_i").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)) + before(totals)).drop("__q_p", "__q_i")
-
-
-def pack(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS) -> DataFrame:
-    """block_id and input_ids: full blocks of the joined documents; an incomplete last block is left out."""
-    return _pieces(docs, key, end, block).filter(F.size("x") == block).select("block_id", F.col("x").alias("input_ids"))
+def pack(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS, ids: Ids | None = None) -> DataFrame:
+    """block_id and input_ids: full blocks of the joined documents; an incomplete last block is left out. ids: a function
+    that makes them of docs(key, ...), a row for each in its place."""
+    return _pieces(docs, key, end, block, ids=ids).filter(F.size("x") == block).select("block_id", F.col("x").alias("input_ids"))
 
 
-def causal(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS) -> DataFrame:
+def causal(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS, ids: Ids | None = None) -> DataFrame:
     """block_id, input_ids and labels (the next token; ignored where the input ends a document)."""
     # A block counts if a token follows it, its last label.
-    x = _pieces(docs, key, end, block, 1).filter(F.size("x") == block + 1)
-    ids = F.slice("x", 1, block)
-    return x.select("block_id", ids.alias("input_ids"), F.transform(ids, lambda t, i: F.when(t == end, IGNORED).otherwise(F.col("x")[i + 1])).alias("labels"))
+    x = _pieces(docs, key, end, block, 1, ids).filter(F.size("x") == block + 1)
+    tokens = F.slice("x", 1, block)
+    return x.select("block_id", tokens.alias("input_ids"), F.zip_with(tokens, F.slice("x", 2, block), lambda t, following: F.when(t == end, IGNORED).otherwise(following)).alias("labels"))
 
 
 def masked(docs: DataFrame, vocabulary: int, key: str = "doc_id", share: float = 0.15, seed: int = 7) -> DataFrame:
@@ -134,8 +232,9 @@ def marked_words(text: Column, words) -> Column:
 
 def marked_ids(texts: DataFrame, tokenizer: Tokenizer, key: str) -> DataFrame:
     """key and ids of texts(key, text), with delimiters as their own ids."""
-    marks, encode_word = {*SPECIALS}, tokenizer.encode_word()
-    return encode(texts.select(key, "text"), marked_words(F.col("text"), tokenizer.words), lambda w: [w] if w in marks else encode_word(w), tokenizer.vocabulary, key)
+    marks, encode_word = frozenset(SPECIALS), tokenizer.encode_word()
+    each = BpeWords(tokenizer.merges, marks) if tokenizer.merges is not None else lambda w: [w] if w in marks else encode_word(w)
+    return encode(texts.select(key, "text"), marked_words(F.col("text"), tokenizer.words), each, tokenizer.vocabulary, key)
 
 
 def padded(ids: Column, length: int, fill: int = PAD) -> Column:

@@ -124,3 +124,39 @@ def test_words_are_encoded_together_as_one_by_one():
     words = ["".join(r.choices("abcdefgh", k=14)) for _ in range(200_000)]
     code, began = tokenizers.BpeWords(merges).many({}), time.perf_counter()
     assert code(words)[0].sum() > 0 and time.perf_counter() - began < 8
+
+
+@pytest.mark.parametrize("beyond", [False, True])
+def test_blocks_make_ids_once_and_shuffle_none_of_them(spark, beyond):
+    from pyspark.sql import functions as F
+
+    from quern.operators import training
+
+    docs = spark.createDataFrame([(i * 7 % 40, "x" * (i % 9)) for i in range(40)], "doc_id long, text string").repartition(3)
+    made = spark.sparkContext.accumulator(0)
+
+    def ids(rows):
+        def each(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(each, rows.schema).select("doc_id", F.transform(F.split("text", ""), lambda _, i: (i + 12).cast("int")).alias("ids"))
+
+    plain = ids(docs).select("doc_id", "ids")
+    f = training.causal if beyond else training.pack
+    want = sorted(map(tuple, f(plain, 4).collect()))
+    made.value = 0
+    assert sorted(map(tuple, f(docs, 4, ids=ids).collect())) == want and want
+    assert made.value == 40
+    made.value = 0
+    got = training.batches(docs, "doc_id", 3, ids)
+    want = {(r["doc_id"], len(r["ids"])) for r in plain.collect()}
+    made.value = 0
+    rows = got.collect()
+    assert made.value == 40 and {(r["doc_id"], sum(r["attention_mask"])) for r in rows} == want
+    longest = {}
+    for r in rows:
+        longest[r["batch"]] = max(longest.get(r["batch"], 0), sum(r["attention_mask"]))
+        assert r["batch"] == r["doc_id"] // 3
+    assert all(len(r["input_ids"]) == longest[r["batch"]] for r in rows)
