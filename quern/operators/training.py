@@ -181,20 +181,60 @@ def causal(docs: DataFrame, block: int, key: str = "doc_id", end: int = EOS, ids
     return x.select("block_id", tokens.alias("input_ids"), F.zip_with(tokens, F.slice("x", 2, block), lambda t, following: F.when(t == end, IGNORED).otherwise(following)).alias("labels"))
 
 
+_P1, _P2, _P3, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _hashed(seeds: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+    """``F.xxhash64(..., number)`` of hashes of what stands before, for numbers from 0 of 32 bits."""
+    turned = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    with np.errstate(over="ignore"):
+        h = seeds + (_P5 + np.uint64(4)) ^ np.asarray(number).astype(np.uint64) * _P1
+        h = turned(h, 23) * _P2 + _P3
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
 def masked(docs: DataFrame, vocabulary: int, key: str = "doc_id", share: float = 0.15, seed: int = 7) -> DataFrame:
     """key, input_ids and labels: max(1, share) of the positions without specials; of these 80 % <mask>, 10 % random, 10 % kept.
 
-    Positions and replacements come from hashes of key and position, so a rerun masks alike.
+    Positions and replacements come from hashes of key and position, so a rerun masks alike; they are made in tasks as arrays.
     """
-    h = lambda i, salt: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(salt)), F.lit(1 << 30))
-    place = lambda t, i: F.struct(h(i, 1).alias("h"), i.alias("i"), t.alias("t"))
-    places = F.filter(F.transform("ids", place), lambda s: s["t"] > 11)
-    k = F.greatest(F.lit(1), F.floor(F.size(places) * share).cast("int"))
-    # The k least places are chosen: all up to the last of them, so that long documents need no search for each position.
-    picked = docs.select(key, "ids", F.get(F.array_sort(places), k - 1).alias("last"))
-    chosen = lambda t, i: F.coalesce((t > 11) & (place(t, i) <= F.col("last")), F.lit(False))
-    new = lambda t, i: F.when(~chosen(t, i), t).when(h(i, 2) % 10 < 8, F.lit(MASK)).when(h(i, 2) % 10 == 8, (F.lit(12) + h(i, 3) % F.lit(max(1, vocabulary - 12))).cast("int")).otherwise(t)
-    return picked.select(key, F.transform("ids", new).alias("input_ids"), F.transform("ids", lambda t, i: F.when(chosen(t, i), t).otherwise(IGNORED)).alias("labels"))
+    ship(docs.sparkSession)
+
+    def some(keys: pa.Array, lists: pa.ListArray, name: np.ndarray) -> pa.RecordBatch:
+        flat, at, there = _flat(lists)
+        sizes = np.diff(at)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.flatnonzero(flat > 11)
+        named = _hashed(name[row[place]], place - at[row[place]])
+        named = _hashed(named, seed)
+        h = lambda i, salt: (_hashed(named[i], salt) & np.uint64((1 << 30) - 1)).astype(np.int64)
+        # Of each row the places of least hash, of equal ones the first.
+        order = np.argsort(row[place] << 30 | h(slice(None), 1), kind="stable")
+        n = np.bincount(row[place], minlength=len(sizes))
+        most = np.maximum(1, np.floor(n * share).astype(np.int64))
+        of = row[place[order]]
+        chosen = order[np.arange(len(order)) - (np.cumsum(n) - n)[of] < most[of]]
+        labels = np.full(len(flat), IGNORED, np.int32)
+        labels[place[chosen]] = flat[place[chosen]]
+        kind = h(chosen, 2) % 10
+        new = flat.astype(np.int32)
+        new[place[chosen[kind < 8]]] = MASK
+        other = chosen[kind == 8]
+        new[place[other]] = 12 + h(other, 3) % max(1, vocabulary - 12)
+        offsets = pa.array(at.astype(np.int32), mask=np.append(~there, False))
+        gone = lists.flatten().is_null().to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(new, mask=gone)), pa.ListArray.from_arrays(offsets, pa.array(labels))], [key, "input_ids", "labels"])
+
+    def each(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield some(part.column(0), part.column(1), part.column(2).to_numpy().view(np.uint64))
+
+    schema = StructType([docs.schema[key], *(StructField(c, ArrayType(IntegerType())) for c in ("input_ids", "labels"))])
+    return docs.select(key, "ids", F.xxhash64(key).alias("__q_h")).mapInArrow(each, schema)
 
 
 def chat_text(turns: DataFrame, system: str = DEFAULT_SYSTEM, end: bool = True) -> DataFrame:

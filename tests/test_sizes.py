@@ -160,3 +160,28 @@ def test_blocks_make_ids_once_and_shuffle_none_of_them(spark, beyond):
         longest[r["batch"]] = max(longest.get(r["batch"], 0), sum(r["attention_mask"]))
         assert r["batch"] == r["doc_id"] // 3
     assert all(len(r["input_ids"]) == longest[r["batch"]] for r in rows)
+
+
+def test_masks_come_from_hashes_of_key_and_place(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import training
+
+    ids = [[*range(5, 105)], [], None, [3, 4], [13] * 30]
+    for kind, keys in (("long", [5, 6, 7, 8, None]), ("string", list("abcde"))):
+        docs = spark.createDataFrame(list(zip(keys, ids)), f"doc_id {kind}, ids array<int>")
+        out = training.masked(docs, 500)
+        # In tasks: hashes of structs of every place were sorted in Spark.
+        assert "sort" not in out._jdf.queryExecution().optimizedPlan().toString()
+        h = lambda i, salt: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(7), F.lit(salt)), F.lit(1 << 30))
+        hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.transform("ids", lambda t, i: F.array(h(i, 1), h(i, 2), h(i, 3))).alias("h")).collect()}
+        for r in out.collect():
+            x = ids[keys.index(r["doc_id"])]
+            if x is None:
+                assert r["input_ids"] is None and r["labels"] is None
+                continue
+            places = sorted((hashes[r["doc_id"]][i][0], i) for i, t in enumerate(x) if t > 11)
+            chosen = {i for _, i in places[: max(1, int(len(places) * 0.15))]}
+            new = {i: (4 if k % 10 < 8 else 12 + n % 488 if k % 10 == 8 else x[i]) for i in chosen for _, k, n in [hashes[r["doc_id"]][i]]}
+            assert r["labels"] == [t if i in chosen else -100 for i, t in enumerate(x)]
+            assert r["input_ids"] == [new.get(i, t) for i, t in enumerate(x)]
