@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quern.sources.files import write_small
 
 BUCKETS = 64
+#: Hits that a task of a search counts, on average at most.
+HITS = 1 << 20
 #: What stands between passages that are given together.
 BETWEEN = "\n---\n"
 
@@ -71,7 +73,12 @@ class Memory:
         paths = [f"{self.folder}/lists/{b}/bucket={n}" for b in self.batches() for n in sorted(wanted) if f"bucket={n}" in self._names(f"{self.folder}/lists/{b}")]
         if not paths:
             return self.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, rank int, id long, score long")
-        met = asked.join(self.spark.read.parquet(*paths), "word").groupBy("query_id", "id").agg(F.count("*").alias("score"))
+        # Hits are dealt before they are counted, to as many tasks as they need: one that reads lists, which are small files of
+        # many rows, would hold the counts of all their passages for all queries.
+        hits = asked.join(self.spark.read.parquet(*paths), "word").select("query_id", "id")
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-hits.count() // HITS))
+        hits = hits.repartition(parts, "query_id", "id")
+        met = hits.groupBy("query_id", "id").agg(F.count("*").alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

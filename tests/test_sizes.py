@@ -185,3 +185,16 @@ def test_masks_come_from_hashes_of_key_and_place(spark):
             new = {i: (4 if k % 10 < 8 else 12 + n % 488 if k % 10 == 8 else x[i]) for i in chosen for _, k, n in [hashes[r["doc_id"]][i]]}
             assert r["labels"] == [t if i in chosen else -100 for i, t in enumerate(x)]
             assert r["input_ids"] == [new.get(i, t) for i, t in enumerate(x)]
+
+
+def test_hits_of_a_search_are_dealt_before_they_are_counted(spark, tmp_path, monkeypatch):
+    from quern.sources import memory
+
+    monkeypatch.setattr(memory, "HITS", 100)
+    m = memory.Memory(spark, str(tmp_path / "m"), 4)
+    m.store(spark.createDataFrame([(i, f"common word{i % 9}", "semantic", None) for i in range(900)], "id long, text string, kind string, source string"))
+    found = m.search(spark.createDataFrame([(1, "common word7"), (2, "word3")], "query_id long, text string"))
+    # 900 and 100 hits by words of the first query, 100 of the second.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 11" in plan.split("RepartitionByExpression")[1].split("\n")[0]
+    assert [(r["query_id"], r["rank"], r["id"], r["score"]) for r in found.orderBy("query_id", "rank").collect()][:6] == [(1, i + 1, 7 + 9 * i, 2) for i in range(5)] + [(2, 1, 3, 1)]
