@@ -10,12 +10,14 @@ from quern.functions.text import clean, normalise
 from quern.functions.web import domain
 from quern.operators import dedup, quality
 from quern.operators.corpus import stage_stats
+from quern.session import ship
 
 STAGES = ("extracted", "exact", "near", "corpus")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """text, url, domain, title and language of pages(url, html); pages without text are left out. html stays behind."""
+    ship(pages.sparkSession)  # pages go to workers in small batches
     both = pages.select("url", html_text("html").alias("t"), html_metadata("html").alias("m")).filter("t <> ''")
     out = both.select(normalise(clean(F.col("t"))).alias("text"), "url", domain(F.col("url")).alias("domain"), F.col("m.title").alias("title"), F.coalesce("m.language", F.lit("")).alias("language"))
     return out.filter("text <> ''")

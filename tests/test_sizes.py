@@ -198,3 +198,13 @@ def test_hits_of_a_search_are_dealt_before_they_are_counted(spark, tmp_path, mon
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and ", 11" in plan.split("RepartitionByExpression")[1].split("\n")[0]
     assert [(r["query_id"], r["rank"], r["id"], r["score"]) for r in found.orderBy("query_id", "rank").collect()][:6] == [(1, i + 1, 7 + 9 * i, 2) for i in range(5)] + [(2, 1, 3, 1)]
+
+
+def test_pages_go_to_workers_in_small_batches(spark, tmp_path):
+    from quern.plans import corpus_build, q_text
+    from quern.session import _BATCH, BATCH_BYTES
+
+    spark.createDataFrame([(1, "u", "<p>" + "a long paragraph " * 5 + "</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for made in (lambda: q_text.html_paragraphs(spark, str(tmp_path)), lambda: corpus_build.extracted(spark.read.parquet(str(tmp_path / "pages.parquet")))):
+        spark.conf.unset(_BATCH)
+        assert made().count() == 1 and int(spark.conf.get(_BATCH)) == BATCH_BYTES
