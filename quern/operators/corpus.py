@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.numbers import ratio, rounded
 from quern.functions.text import non_ascii, strip, word_count
 
 
@@ -114,11 +115,11 @@ def card(split_docs: DataFrame) -> DataFrame:
 
 
 def stage_stats(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Counts after each stage and the rate each one drops, 4 places: one row."""
+    """Counts after each stage and the rate each one drops, 4 places (not a number of none): one row."""
     out = None
     for i, (name, df) in enumerate(stages):
         one = df.agg(F.count("*").alias(name if i == 0 else f"after_{name}"))
         out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
     names = [stages[0][0], *[f"after_{n}" for n, _ in stages[1:]]]
-    rates = [F.round(1 - F.col(b) / F.col(a), 4).alias(f"{b.removeprefix('after_')}_rate") for a, b in zip(names, names[1:], strict=False)]
+    rates = [rounded(1 - ratio(F.col(b), F.col(a)), 4).alias(f"{b.removeprefix('after_')}_rate") for a, b in zip(names, names[1:], strict=False)]
     return out.select(*names, *rates)
