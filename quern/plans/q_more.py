@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text, web
+from quern.functions.numbers import rounded
 from quern.operators import corpus, dedup, usage, vectors
 from quern.plans.lineage import folder
 from quern.plans.registry import query
@@ -86,13 +88,34 @@ def w_welford(spark, sf):
 @query("""WITH p AS (SELECT user_id, event_id, value AS priority FROM events), c AS (SELECT *, sum(priority) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS high, sum(priority) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id) AS n FROM p)
 SELECT user_id, event_id, round(power(n * priority / total + 1e-6, -0.4), 6) AS weight FROM c WHERE floor((high - priority) / total * 8 - 0.5) <> floor(high / total * 8 - 0.5)""")
 def w_priority(spark, sf):
-    """One row for the middle of each of eight strata of a user's cumulative priorities, with its importance weight."""
+    """One row for the middle of each of eight strata of a user's cumulative priorities, with its importance weight.
+
+    A sum on the border of two strata falls to the side that its rounding gives, so sums are added in the order of the SQL's
+    engine: totals one by one, cumulative ones over nodes of 16 rows, of 16 nodes and so on."""
     whole = Window.partitionBy("user_id")
-    run = whole.orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    c = events(spark, sf).select("user_id", "event_id", F.col("value").alias("p")).withColumn("high", F.sum("p").over(run)).withColumn("total", F.sum("p").over(whole)).withColumn("n", F.count("*").over(whole))
-    stratum = lambda x: F.floor(x / F.col("total") * 8 - 0.5)
-    hit = c.filter(stratum(F.col("high") - F.col("p")) != stratum(F.col("high")))
-    return hit.select("user_id", "event_id", F.round(F.pow(F.col("n") * F.col("p") / F.col("total") + 1e-6, F.lit(-0.4)), 6).alias("weight"))
+    rows = events(spark, sf).select("user_id", "event_id", F.col("value").alias("p"), F.monotonically_increasing_id().alias("at"))
+    dealt = rows.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("event_id"), "at")
+    c = dealt.select("user_id", "event_id", "p", F.sum("p").over(whole).alias("total"), F.count("*").over(whole).alias("n"))
+
+    def each(batches):
+        user, sums = object(), None
+        for batch in batches:
+            users, values = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            high = np.zeros(len(users))
+            for i, (u, v) in enumerate(zip(users, values, strict=True)):
+                if sums is None or u != user:
+                    user, sums = u, usage.NodeSums()
+                high[i] = sums.add(v)
+            p, total, n = (batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+            with np.errstate(all="ignore"):
+                before, after = (np.floor(x / total * 8 - 0.5) for x in (high - p, high))
+                weight = np.power(n * p / total + 1e-6, -0.4)
+            hit = (before != after) & ~(np.isnan(before) & np.isnan(after)) & batch.column(2).is_valid().to_numpy(zero_copy_only=False) & batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weight)], ["user_id", "event_id", "weight"])
+            yield out.filter(pa.array(hit))
+
+    hit = c.mapInArrow(each, "user_id long, event_id long, weight double")
+    return hit.select("user_id", "event_id", rounded(F.col("weight"), 6).alias("weight"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 25")
