@@ -227,3 +227,24 @@ def test_clusters_are_joined_in_rounds_of_squares_of_tiles(spark, monkeypatch):
     # Ends of the chains have two points within reach: they are border points of the next.
     assert {c for i, (c, _) in got.items() if i < 600} == {1} and {c for i, (c, _) in got.items() if 600 <= i < 1200} == {601}
     assert [i for i, (_, k) in got.items() if i < 1200 and not k] == [0, 599, 600, 1199] and got[1200] == got[1201] == (-1, False)
+
+
+def test_perplexity_in_slices_keeps_one_slice_of_trigrams(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quern.operators import perplexity
+    from quern.plans import lineage
+
+    texts = [" ".join(f"w{(i * i + k * k * (i % 7 + 1)) % 23}" for k in range(i % 19)) for i in range(80)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: tuple(r)[2:] for r in perplexity.gate(docs, 20.0, F.col("doc_id") % 5 == 0).collect()}
+    there = []
+    write = perplexity.written
+    monkeypatch.setattr(perplexity, "written", lambda df, name: there.append(sum("quern-trigrams" in t for t in lineage.tables(spark))) or write(df, name))
+    monkeypatch.setattr(perplexity, "SLICE_BYTES", sum(len(t or "") for t in texts) // 3)
+    before = sum("quern-trigrams" in t for t in lineage.tables(spark))
+    got = {r["doc_id"]: tuple(r)[2:] for r in perplexity.gate(docs, 20.0, F.col("doc_id") % 5 == 0).collect()}
+    assert max(there) == before + 1 and len(there) > 20
+    assert got.keys() == whole.keys()
+    for i, (n, p, held, kept) in got.items():
+        assert (n, held, kept) == (whole[i][0], whole[i][2], whole[i][3]) and p == pytest.approx(whole[i][1])
